@@ -1,0 +1,4 @@
+"""Registered queries of the retrieval operators and their oracle SQL."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
