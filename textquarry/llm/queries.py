@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from .common import table
+from pyspark.sql import functions as F
+
+from .common import crc_bucket, table
 
 
 def op1_pfair_mix(spark, sf_dir):
@@ -11,12 +13,20 @@ def op1_pfair_mix(spark, sf_dir):
     return mix(spark, table(spark, sf_dir, "documents"))
 
 
+def op3_toxic_segments(spark, sf_dir):
+    from .toxicity import toxicity
+
+    held = crc_bucket("doc_id", 3) == 1
+    out = toxicity(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held)
+    return out.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", "predicted", "n_tokens", F.size("passages").alias("n_passages"))
+
+
 def op9_sampled_splitters(spark, sf_dir):
     from .sharding import shard
 
     return shard(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pfair_mix, op9_sampled_splitters)}
+QUERIES = {f.__name__: f for f in (op1_pfair_mix, op3_toxic_segments, op9_sampled_splitters)}
 
 ORACLE_SQL: dict[str, str] = {}
