@@ -21,12 +21,20 @@ def op3_toxic_segments(spark, sf_dir):
     return out.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", "predicted", "n_tokens", F.size("passages").alias("n_passages"))
 
 
+def op4_cross_parsing(spark, sf_dir):
+    from .language import identify
+
+    held = crc_bucket("doc_id", 4) == 2
+    out = identify(spark, table(spark, sf_dir, "documents"), ~held)
+    return out.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score", "n_symbols", "n_phrases")
+
+
 def op9_sampled_splitters(spark, sf_dir):
     from .sharding import shard
 
     return shard(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pfair_mix, op3_toxic_segments, op9_sampled_splitters)}
+QUERIES = {f.__name__: f for f in (op1_pfair_mix, op3_toxic_segments, op4_cross_parsing, op9_sampled_splitters)}
 
 ORACLE_SQL: dict[str, str] = {}
