@@ -29,12 +29,18 @@ def op4_cross_parsing(spark, sf_dir):
     return out.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score", "n_symbols", "n_phrases")
 
 
+def op8_transport_stream(spark, sf_dir):
+    from .transport import media_column
+
+    return media_column(spark, table(spark, sf_dir, "documents"))
+
+
 def op9_sampled_splitters(spark, sf_dir):
     from .sharding import shard
 
     return shard(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pfair_mix, op3_toxic_segments, op4_cross_parsing, op9_sampled_splitters)}
+QUERIES = {f.__name__: f for f in (op1_pfair_mix, op3_toxic_segments, op4_cross_parsing, op8_transport_stream, op9_sampled_splitters)}
 
 ORACLE_SQL: dict[str, str] = {}
