@@ -41,6 +41,14 @@ def op9_sampled_splitters(spark, sf_dir):
     return shard(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pfair_mix, op3_toxic_segments, op4_cross_parsing, op8_transport_stream, op9_sampled_splitters)}
+def op10_co_training(spark, sf_dir):
+    from .quality import quality
+
+    held = crc_bucket("doc_id", 5) == 0
+    out = quality(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held)
+    return out.withColumn("held_out", F.coalesce(held, F.lit(False)))
+
+
+QUERIES = {f.__name__: f for f in (op1_pfair_mix, op3_toxic_segments, op4_cross_parsing, op8_transport_stream, op9_sampled_splitters, op10_co_training)}
 
 ORACLE_SQL: dict[str, str] = {}
