@@ -13,6 +13,12 @@ def op1_pfair_mix(spark, sf_dir):
     return mix(spark, table(spark, sf_dir, "documents"))
 
 
+def op2_site_templates(spark, sf_dir):
+    from .html import extract
+
+    return extract(spark, table(spark, sf_dir, "pages"))
+
+
 def op3_toxic_segments(spark, sf_dir):
     from .toxicity import toxicity
 
@@ -49,6 +55,6 @@ def op10_co_training(spark, sf_dir):
     return out.withColumn("held_out", F.coalesce(held, F.lit(False)))
 
 
-QUERIES = {f.__name__: f for f in (op1_pfair_mix, op3_toxic_segments, op4_cross_parsing, op8_transport_stream, op9_sampled_splitters, op10_co_training)}
+QUERIES = {f.__name__: f for f in (op1_pfair_mix, op2_site_templates, op3_toxic_segments, op4_cross_parsing, op8_transport_stream, op9_sampled_splitters, op10_co_training)}
 
 ORACLE_SQL: dict[str, str] = {}
