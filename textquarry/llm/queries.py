@@ -35,6 +35,12 @@ def op4_cross_parsing(spark, sf_dir):
     return out.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score", "n_symbols", "n_phrases")
 
 
+def op6_sorted_projections(spark, sf_dir):
+    from .neardup_vectors import near_duplicates
+
+    return near_duplicates(spark, table(spark, sf_dir, "embeddings"))
+
+
 def op8_transport_stream(spark, sf_dir):
     from .transport import media_column
 
@@ -55,6 +61,6 @@ def op10_co_training(spark, sf_dir):
     return out.withColumn("held_out", F.coalesce(held, F.lit(False)))
 
 
-QUERIES = {f.__name__: f for f in (op1_pfair_mix, op2_site_templates, op3_toxic_segments, op4_cross_parsing, op8_transport_stream, op9_sampled_splitters, op10_co_training)}
+QUERIES = {f.__name__: f for f in (op1_pfair_mix, op2_site_templates, op3_toxic_segments, op4_cross_parsing, op6_sorted_projections, op8_transport_stream, op9_sampled_splitters, op10_co_training)}
 
 ORACLE_SQL: dict[str, str] = {}
