@@ -41,6 +41,12 @@ def op6_sorted_projections(spark, sf_dir):
     return near_duplicates(spark, table(spark, sf_dir, "embeddings"))
 
 
+def op7_size_aware_join(spark, sf_dir):
+    from .jaccard import jaccard_classes
+
+    return jaccard_classes(spark, table(spark, sf_dir, "documents"))
+
+
 def op8_transport_stream(spark, sf_dir):
     from .transport import media_column
 
@@ -61,6 +67,6 @@ def op10_co_training(spark, sf_dir):
     return out.withColumn("held_out", F.coalesce(held, F.lit(False)))
 
 
-QUERIES = {f.__name__: f for f in (op1_pfair_mix, op2_site_templates, op3_toxic_segments, op4_cross_parsing, op6_sorted_projections, op8_transport_stream, op9_sampled_splitters, op10_co_training)}
+QUERIES = {f.__name__: f for f in (op1_pfair_mix, op2_site_templates, op3_toxic_segments, op4_cross_parsing, op6_sorted_projections, op7_size_aware_join, op8_transport_stream, op9_sampled_splitters, op10_co_training)}
 
 ORACLE_SQL: dict[str, str] = {}
