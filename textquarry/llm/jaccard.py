@@ -285,3 +285,22 @@ def jaccard_classes(
     is one.  Other columns are ignored.
     """
     return Join(spark, docs, id_col, text_col, words, percent).run()
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, less all but the smallest id of each component.
+
+    Rows that repeat an id and a text are one document; rows without an id stay.
+    """
+    scratch = Scratch(spark, "one-of-each")
+    classes = scratch.save(jaccard_classes(spark, docs, id_col=id_col, text_col=text_col, **options), "classes")
+    gone = classes.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    left = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    twice = classes.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1")
+    twice = scratch.save(twice.select(F.col("doc_id").alias("_twice")), "twice")
+    if not twice.limit(1).count():
+        return left
+    again = F.col(id_col) == F.col("_twice")
+    return left.join(twice, again, "left_anti").unionByName(left.join(twice, again, "left_semi").dropDuplicates([id_col, text_col]))

@@ -23,6 +23,7 @@ BLOCK_ROWS = 8
 PERIOD = 1000
 ROWS_PER_BUCKET = 20_000
 SMALL_TABLE_BYTES = 8 << 20
+BROADCAST_IDS = 500_000
 
 
 def quantize(weights: dict[str, float], period: int) -> dict[str, int]:
@@ -161,3 +162,17 @@ def mix(
         due.alias("deadline"),
         (slot * block_rows + F.col("inner")).alias("position"),
     )
+
+
+def in_mixed_order(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, sorted by their place in the mixture.
+
+    Rows that share an id are placed together, at the first of their places.
+    """
+    scratch = Scratch(spark, "mixed-order")
+    places = mix(spark, docs, id_col=id_col, **options).groupBy("doc_id").agg(F.min("position").alias("_position"))
+    places = scratch.save(places.withColumnRenamed("doc_id", "_id"), "places")
+    if places.count() <= BROADCAST_IDS:
+        places = F.broadcast(places)
+    joined = docs.join(places, F.col(id_col).eqNullSafe(F.col("_id")), "left")
+    return joined.orderBy("_position").select(*[docs[c] for c in docs.columns])

@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -293,6 +294,23 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(*_columns(docs)).mapInPandas(run, "doc_id long, score double, text_score double, meta_score double")
 
 
+def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that score at least ``threshold``."""
+    box = docs.sparkSession.sparkContext.broadcast(model)
+    kinds = {"text": pa.string(), "lang": pa.string(), "source": pa.string(), "n_chars": pa.int64()}
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                have = set(batch.schema.names)
+                cols = {c: (batch.column(c).cast(k) if c in have else pa.nulls(batch.num_rows, k)) for c, k in kinds.items()}
+                score, _, _ = box.value.score(*view_features(pa.table(cols).to_pandas()))
+                yield batch.filter(pa.array(score >= threshold, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def quality(
     spark: SparkSession, docs: DataFrame, labels: DataFrame, learn: Column, train_docs: DataFrame | None = None, threshold: float = THRESHOLD
 ) -> DataFrame:

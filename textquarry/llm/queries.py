@@ -35,6 +35,12 @@ def op4_cross_parsing(spark, sf_dir):
     return out.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score", "n_symbols", "n_phrases")
 
 
+def op5_nbest_pieces(spark, sf_dir):
+    from .pieces import segment
+
+    return segment(spark, table(spark, sf_dir, "documents"))
+
+
 def op6_sorted_projections(spark, sf_dir):
     from .neardup_vectors import near_duplicates
 
@@ -67,6 +73,20 @@ def op10_co_training(spark, sf_dir):
     return out.withColumn("held_out", F.coalesce(held, F.lit(False)))
 
 
-QUERIES = {f.__name__: f for f in (op1_pfair_mix, op2_site_templates, op3_toxic_segments, op4_cross_parsing, op6_sorted_projections, op7_size_aware_join, op8_transport_stream, op9_sampled_splitters, op10_co_training)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_pfair_mix,
+        op2_site_templates,
+        op3_toxic_segments,
+        op4_cross_parsing,
+        op5_nbest_pieces,
+        op6_sorted_projections,
+        op7_size_aware_join,
+        op8_transport_stream,
+        op9_sampled_splitters,
+        op10_co_training,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}

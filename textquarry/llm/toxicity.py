@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -272,6 +273,22 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, SCHEMA)
 
 
+def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that score below ``threshold``."""
+    box = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            m = box.value
+            keep = []
+            for _, s in _doc_scores(batch.column(text_col).to_pylist(), m):
+                x = m.slope * statistic(maximal_segments(s), len(s), m) + m.bias
+                keep.append(1 / (1 + np.exp(-np.clip(x, -500, 500))) < threshold)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(
     spark: SparkSession, docs: DataFrame, labels: DataFrame, learn, train_docs: DataFrame | None = None, threshold: float = THRESHOLD
 ) -> DataFrame:
