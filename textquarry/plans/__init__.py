@@ -1 +1 @@
-
+"""Composed plans: the retrieval engine, its response contract and the answer flow."""

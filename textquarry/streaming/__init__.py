@@ -1 +1 @@
-
+"""Incremental index maintenance with Structured Streaming."""
