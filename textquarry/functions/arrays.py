@@ -26,8 +26,8 @@ def l2_normalize(v: Column) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays of distinct values; 0 where both are empty."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
+    shared = F.size(F.array_intersect(a, b))
+    return F.when(F.size(a) + F.size(b) == 0, F.lit(0.0)).otherwise(shared / (F.size(a) + F.size(b) - shared))
 
 
 def coverage(query: Column, terms: Column) -> Column:

@@ -17,29 +17,40 @@ CHILD_TARGET, CHILD_MAX = 240, 320
 OVERLAP = 40
 
 
-def split_long_paragraph(text: Column, limit: int = PIECE_LIMIT) -> Column:
-    """Pieces of at most ``limit`` tokens: whole sentences if there are several, else words."""
-    parts = sentences(text)
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    by_words = F.size(parts) <= 1
-    units = F.when(by_words, words).otherwise(parts)
-    least = F.when(by_words, F.lit(1)).otherwise(F.lit(0))
-    weighed = F.transform(units, lambda u: F.struct(u.alias("t"), F.greatest(token_count(u), least).alias("w")))
+def bind(rows: DataFrame, keep: list[str], **values: Column) -> DataFrame:
+    """``rows`` with computed columns that later expressions refer to without computing them again.
+
+    A generator of one row: unlike a projection, it is not merged into what follows.
+    """
+    return rows.select(*keep, F.inline(F.array(F.struct(*[v.alias(k) for k, v in values.items()]))))
+
+
+def split_long_paragraphs(rows: DataFrame, keep: list[str], text: str, limit: int = PIECE_LIMIT) -> DataFrame:
+    """(keep, piece, text): paragraphs in pieces of at most ``limit`` tokens, of whole sentences if there are several, else of words."""
+    line = F.col(text)
+    rows = bind(rows, [*keep, text], _parts=F.when(token_count(line) > limit, sentences(line)))
+    by_words = F.size("_parts") <= 1
+    words = F.filter(F.split(line, r"\s+"), lambda w: w != "")
+    rows = bind(rows, [*keep, text], _units=F.when(by_words, words).otherwise(F.col("_parts")), _least=F.when(by_words, 1).otherwise(0))
+    weighed = F.transform("_units", lambda u: F.struct(u.alias("t"), F.greatest(token_count(u), F.col("_least")).alias("w")))
     start = F.struct(F.lit(0).alias("size"), F.lit(0).alias("n"), F.lit("").alias("cur"), F.array().cast("array<string>").alias("out"))
 
     def step(s: Column, u: Column) -> Column:
         full = (s["n"] > 0) & (s["size"] + u["w"] > limit)
-        return F.struct(
-            F.when(full, u["w"]).otherwise(s["size"] + u["w"]).alias("size"),
-            F.when(full, F.lit(1)).otherwise(s["n"] + 1).alias("n"),
-            F.when(full | (s["n"] == 0), u["t"]).otherwise(F.concat(s["cur"], F.lit(" "), u["t"])).alias("cur"),
-            F.when(full, F.concat(s["out"], F.array(s["cur"]))).otherwise(s["out"]).alias("out"),
+        added = F.struct(
+            (s["size"] + u["w"]).alias("size"),
+            (s["n"] + 1).alias("n"),
+            F.when(s["n"] == 0, u["t"]).otherwise(F.concat(s["cur"], F.lit(" "), u["t"])).alias("cur"),
+            s["out"].alias("out"),
         )
+        opened = F.struct(u["w"].alias("size"), F.lit(1).alias("n"), u["t"].alias("cur"), F.concat(s["out"], F.array(s["cur"])).alias("out"))
+        return F.when(full, opened).otherwise(added)
 
     def finish(s: Column) -> Column:
         return F.when(s["n"] > 0, F.concat(s["out"], F.array(s["cur"]))).otherwise(s["out"])
 
-    return F.when(token_count(text) <= limit, F.array(text)).otherwise(F.aggregate(weighed, start, step, finish))
+    pieces = F.when(F.col("_units").isNull(), F.array(line)).otherwise(F.aggregate(weighed, start, step, finish))
+    return rows.select(*keep, F.posexplode(pieces).alias("piece", text))
 
 
 def page_segments(pages: DataFrame) -> DataFrame:
@@ -50,8 +61,8 @@ def page_segments(pages: DataFrame) -> DataFrame:
     keep = [c for c in pages.columns if c != "display_text"]
     paras = pages.select(*keep, F.posexplode(lines(F.col("display_text"))).alias("para", "line"))
     paras = paras.withColumn("line", strip(F.col("line"))).filter("line <> ''")
-    pieces = paras.select(*keep, "para", F.posexplode(split_long_paragraph(F.col("line"))).alias("piece", "text"))
-    pieces = pieces.withColumn("tokens", token_count(F.col("text"))).filter("tokens >= 2")
+    pieces = split_long_paragraphs(paras.withColumnRenamed("line", "text"), [*keep, "para"], "text")
+    pieces = bind(pieces, pieces.columns, tokens=token_count(F.col("text"))).filter("tokens >= 2")
     order = Window.partitionBy("book_id").orderBy("pdf_page", "para", "piece")
     return pieces.withColumn("seg", F.row_number().over(order))
 

@@ -65,31 +65,33 @@ def diversify(candidates: DataFrame, top_k: int = 5, penalty: float = 0.12, digi
 
     A fold over each query's candidates, of which there are at most twice ``candidate_k``.
     """
-    item = candidates.select("qid", F.struct("doc_id", "base", "terms").alias("c"))
-    id_type = candidates.schema["doc_id"].dataType.simpleString()
-    kind = f"array<struct<doc_id:{id_type},score:double,terms:array<string>>>"
-    per_query = item.groupBy("qid").agg(F.collect_list("c").alias("c"))
-    start = F.struct(F.array().cast(kind).alias("sel"), F.col("c").alias("rem"))
-
-    def value(state: Column, x: Column) -> Column:
-        nearest = F.array_max(F.transform(state["sel"], lambda o: jaccard(x["terms"], o["terms"])))
-        score = x["base"] - F.lit(penalty) * F.coalesce(nearest, F.lit(0.0))
-        return F.struct((-F.round(score, digits)).alias("neg"), (-F.round(x["base"], digits)).alias("nb"), x["doc_id"].alias("doc_id"), score.alias("score"), x["terms"].alias("terms"))
+    def entry(x: Column, red: Column) -> Column:
+        """A candidate, led by what orders it, with its similarity to the chosen so far."""
+        score = F.round(x["base"] - F.lit(penalty) * red, digits)
+        return F.struct(
+            (-score).alias("neg"), x["nb"].alias("nb"), x["doc_id"].alias("doc_id"), x["base"].alias("base"), red.alias("red"), x["terms"].alias("terms")
+        )
 
     def choose(state: Column, _: Column) -> Column:
-        best = F.array(F.array_min(F.transform(state["rem"], lambda x: value(state, x))))
-        taken = F.aggregate(
-            best,
-            state,
-            lambda s, m: F.struct(
-                F.concat(s["sel"], F.array(F.struct(m["doc_id"].alias("doc_id"), m["score"].alias("score"), m["terms"].alias("terms")))).alias("sel"),
-                F.filter(s["rem"], lambda y: y["doc_id"] != m["doc_id"]).alias("rem"),
-            ),
-        )
-        return F.when(F.size(state["rem"]) == 0, state).otherwise(taken)
+        best = F.array(F.array_min(state["rem"]))
+
+        def take(s: Column, m: Column) -> Column:
+            others = F.filter(s["rem"], lambda y: y["doc_id"] != m["doc_id"])
+            measured = F.transform(others, lambda y: F.struct(y.alias("y"), F.greatest(y["red"], jaccard(y["terms"], m["terms"])).alias("red")))
+            return F.struct(
+                F.concat(s["sel"], F.array(F.struct(m["doc_id"].alias("doc_id"), (-m["neg"]).alias("score")))).alias("sel"),
+                F.transform(measured, lambda z: entry(z["y"], z["red"])).alias("rem"),
+            )
+
+        # a fold over the one best candidate gives it a name inside the expression
+        return F.when(F.size(state["rem"]) == 0, state).otherwise(F.aggregate(best, state, take))
 
+    id_type = candidates.schema["doc_id"].dataType.simpleString()
+    first = F.struct((-F.round("base", digits)).alias("nb"), "doc_id", "base", "terms")
+    per_query = candidates.select("qid", entry(first, F.lit(0.0)).alias("c")).groupBy("qid").agg(F.collect_list("c").alias("c"))
+    start = F.struct(F.array().cast(f"array<struct<doc_id:{id_type},score:double>>").alias("sel"), F.col("c").alias("rem"))
     chosen = F.aggregate(F.sequence(F.lit(1), F.lit(top_k)), start, choose, lambda s: s["sel"])
-    out = per_query.select("qid", F.posexplode(F.transform(chosen, lambda x: F.struct(x["doc_id"].alias("doc_id"), x["score"].alias("score")))).alias("pos", "x"))
+    out = per_query.select("qid", F.posexplode(chosen).alias("pos", "x"))
     return out.select("qid", F.col("x.doc_id").alias("doc_id"), (F.col("pos") + 1).alias("rank"), F.round("x.score", 8).alias("diversified"))
 
 

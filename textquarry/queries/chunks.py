@@ -82,7 +82,7 @@ def split_long_paragraph(spark, sf_dir):
 
     paras = documents(spark, sf_dir).select("doc_id", F.posexplode(lines(normalize_display(F.col("text")))).alias("para", "line"))
     paras = paras.withColumn("line", strip(F.col("line"))).filter(token_count(F.col("line")) > chunking.PIECE_LIMIT)
-    return paras.select("doc_id", "para", F.posexplode(chunking.split_long_paragraph(F.col("line"))).alias("piece", "text"))
+    return chunking.split_long_paragraphs(paras.withColumnRenamed("line", "text"), ["doc_id", "para"], "text")
 
 
 @query(f"with recursive {SEGMENTS}, {PACKED} select {BOOK} as book_id, seg, parent_no, child_group from csegs")

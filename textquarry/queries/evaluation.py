@@ -125,7 +125,8 @@ def chunk_engine(spark, sf_dir) -> RetrievalEngine:
     from ..plans.engine import engine_over_chunks
 
     par, chi = chunking.build_chunks(pages(spark, sf_dir))
-    return engine_over_chunks(chi, par)
+    # chunk rows feed the index, the statistics and the results
+    return engine_over_chunks(chi.persist(), par.persist())
 
 
 @query()
