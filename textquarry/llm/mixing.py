@@ -17,7 +17,7 @@ from bisect import bisect_left
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, partitions_for
+from .common import Scratch, fresh, partitions_for
 
 BLOCK_ROWS = 8
 PERIOD = 1000
@@ -170,9 +170,10 @@ def in_mixed_order(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     Rows that share an id are placed together, at the first of their places.
     """
     scratch = Scratch(spark, "mixed-order")
-    places = mix(spark, docs, id_col=id_col, **options).groupBy("doc_id").agg(F.min("position").alias("_position"))
-    places = scratch.save(places.withColumnRenamed("doc_id", "_id"), "places")
+    key, place = fresh(docs, "_id"), fresh(docs, "_place")
+    places = mix(spark, docs, id_col=id_col, **options).groupBy("doc_id").agg(F.min("position").alias(place))
+    places = scratch.save(places.withColumnRenamed("doc_id", key), "places")
     if places.count() <= BROADCAST_IDS:
         places = F.broadcast(places)
-    joined = docs.join(places, F.col(id_col).eqNullSafe(F.col("_id")), "left")
-    return joined.orderBy("_position").select(*[docs[c] for c in docs.columns])
+    joined = docs.join(places, docs[id_col].eqNullSafe(places[key]), "left")
+    return joined.orderBy(place).drop(key, place)

@@ -122,7 +122,8 @@ def _sample(docs: DataFrame, labels: DataFrame, learn, id_col: str, text_col: st
         keep = keep | ((F.col("_y") == y) & (u < SAMPLE_PER_CLASS / max(n, 1)))
     picked = marked.filter(keep)
     # at most 2 x SAMPLE_PER_CLASS rows of two integers
-    return docs.join(F.broadcast(picked), docs[id_col] == picked["_id"]).select("_id", F.col(text_col).alias("_text"), "_y")
+    texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
+    return texts.join(F.broadcast(picked), F.col("_doc") == F.col("_id")).select("_id", "_text", "_y")
 
 
 def _count(batches):
