@@ -13,9 +13,13 @@ def test_build_search_and_evaluate(spark, tmp_path, capsys):
     assert built["book_count"] == 1 and built["pages"] == 2 and built["chunks"] == 2
     cli.main(["search", "پیوند آب", "--index", out, "--book", "C110210", "--top-k", "1"])
     assert json.loads(capsys.readouterr().out)[0]["pdf_pages"] == [12]
-    cli.main(["retrieve", "پیوند آب", "--index", out])
+    cli.main(["retrieve", "پیوند آب", "--index", out, "--mode", "bm25"])
     assert json.loads(capsys.readouterr().out)["llm_context"]["passages"][0]["parent_id"] == "C110210:parent-0001"
     q = {"id": "q1", "book_id": "C110210", "question": "پیوند آب", "relevant_pdf_pages": [12]}
     (tmp_path / "q.jsonl").write_text(json.dumps(q, ensure_ascii=False))
     cli.main(["evaluate", "--index", out, "--questions", str(tmp_path / "q.jsonl")])
     assert json.loads(capsys.readouterr().out)[0]["recall_at_1"] == 1.0
+    cli.main(["evaluate-retrieval", "--index", out, "--questions", str(tmp_path / "q.jsonl"), "--mode", "bm25"])
+    assert json.loads(capsys.readouterr().out)[0]["mrr_at_10"] == 1.0
+    cli.main(["benchmark", "--index", out, "--questions", str(tmp_path / "q.jsonl"), "--targets", "20,240"])
+    assert [r["child_target"] for r in json.loads(capsys.readouterr().out)] == [20, 240]
