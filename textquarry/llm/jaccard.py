@@ -15,9 +15,12 @@ The result is the connected components of the links.  Within a list every set is
 compared with one hub (a linear number of pairs), in a few rounds with other hubs; then
 all pairs of a list whose members are still in different components are compared.  Pairs
 inside a component need no comparison, so groups of copies cost a linear number of
-pairs and no link between components is lost.  A pair is compared on listed prefixes
-first: the shared part of two prefixes bounds the overlap from above; what passes is
-compared on whole sets.
+pairs and no link between components is lost.
+
+Two exact bounds spare most comparisons of whole sets.  Every set has a parity bitmap:
+each shingle flips one of 512 bits, so that two sets differ in at least as many shingles
+as their bitmaps differ in bits.  And the shared part of two listed prefixes bounds the
+overlap from above.
 
 Equal sets are one node.  Shingles are 62-bit hashes of the words, so that two of a
 pair's thousand shingles fall together with a chance of about 1e-13.
@@ -33,7 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, union_all
+from .common import Scratch, components, fresh, slices, union_all
 from .textnum import BLANKS, mix64, shingles, words_by_doc
 
 WORDS = 5
@@ -41,7 +44,8 @@ PERCENT = 80
 #: A shingle listed by more sets than this comes last in the order.
 HOT = 48
 MAX_BOUNDARY = 12
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
+BITMAP_WORDS = 8
 BROADCAST_IDS = 500_000
 LOWEST = -(2**63)
 HOT_BIT = 1 << 62
@@ -68,18 +72,25 @@ def _sets(words: int, percent: int):
     """(key, n, sid, prefix) of each row; sid names the set."""
 
     def run(batches):
-        for pdf in batches:
-            n, sid, pre = [], [], []
+        for pdf in slices(batches):
+            n, sid, pre, bits = [], [], [], []
             for _, w in words_by_doc(pdf["text"].tolist(), BLANKS):
                 h = set_of(w, words)
                 n.append(len(h))
+                bits.append(parity_bitmap(h))
                 sid.append(digest(h) if len(h) else None)
-                pre.append(h[: prefix_length(len(h), percent)] if len(h) else h)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].array, "key": pdf["key"].array, "n": n, "sid": pd.array(sid, "Int64"), "pre": pre})
+                pre.append(h[: prefix_length(len(h), percent)].copy() if len(h) else h)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].array, "key": pdf["key"].array, "n": n, "sid": pd.array(sid, "Int64"), "bits": bits, "pre": pre})
 
     return run
 
 
+def parity_bitmap(h: np.ndarray) -> np.ndarray:
+    """Bit b of the bitmap: whether an odd number of shingles falls on b."""
+    odd = (np.bincount(h % (64 * BITMAP_WORDS), minlength=64 * BITMAP_WORDS) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
 def set_of(words: np.ndarray, n: int = WORDS) -> np.ndarray:
     """Sorted distinct shingles as 62-bit numbers."""
     return np.unique(shingles(words, n) >> np.uint64(2)).astype(np.int64)
@@ -92,10 +103,16 @@ def digest(h: np.ndarray) -> int:
 
 
 def _whole(words: int):
+    """(sid, h) for rows whose set is the wanted one: its first ``length`` shingles (null: all)."""
+
     def run(batches):
-        for pdf in batches:
-            rows = [(digest(h), h) for _, w in words_by_doc(pdf["text"].tolist(), BLANKS) if len(h := set_of(w, words))]
-            yield pd.DataFrame({"sid": [r[0] for r in rows], "h": [r[1] for r in rows]})
+        for pdf in slices(batches):
+            rows = []
+            for (_, w), sid, length in zip(words_by_doc(pdf["text"].tolist(), BLANKS), pdf["sid"], pdf["length"]):
+                h = set_of(w, words)
+                if len(h) and digest(h) == sid:
+                    rows.append((sid, h if length != length or length is None else h[: int(length)]))
+            yield pd.DataFrame({"sid": pd.array([r[0] for r in rows], "Int64"), "h": [r[1] for r in rows]})
 
     return run
 
@@ -131,26 +148,34 @@ class Join:
         )
 
     def fetch(self, wanted: DataFrame, name: str) -> DataFrame:
-        """Whole sets (sid, h) of ``wanted`` (sid, key), read again from the texts."""
-        wanted = self.scratch.save(wanted, f"want-{name}")
-        keys = wanted.select("key").distinct()
-        if wanted.count() <= BROADCAST_IDS:
-            keys = F.broadcast(keys)
-        got = self.docs.join(keys, "key", "left_semi").select("text").mapInPandas(_whole(self.words), "sid long, h array<long>")
-        got = got.join(wanted.select("sid"), "sid", "left_semi").groupBy("sid").agg(F.first("h").alias("h"))
-        return self.scratch.save(got, name)
+        """Sets (sid, h) of ``wanted`` (sid, key, and length if not whole), read again from the texts.
+
+        Texts stay where they are while the list of wanted sets is small enough to send.
+        """
+        if "length" not in wanted.columns:
+            wanted = wanted.withColumn("length", F.lit(None).cast("int"))
+        wanted = self.scratch.save(wanted.select("sid", "key", "length"), f"want-{name}")
+        size = wanted.count()
+        other = F.broadcast(wanted) if size <= BROADCAST_IDS else wanted
+        got = self.docs.join(other, "key").select("text", "sid", "length").mapInPandas(_whole(self.words), "sid long, h array<long>")
+        got = self.scratch.save(got, name)
+        if got.count() > size:  # rows that repeat both id and text
+            got = self.scratch.save(got.groupBy("sid").agg(F.first("h").alias("h")), f"{name}-once")
+        return got
 
     def linked(self, inter: Column, a: Column, b: Column) -> Column:
         return inter * (100 + self.percent) >= (a + b) * self.percent
 
     def run(self) -> DataFrame:
         save, pct = self.scratch.save, self.percent
-        ids = save(self.docs.mapInPandas(_sets(self.words, pct), "doc_id long, key long, n int, sid long, pre array<long>"), "ids")
-        reps = ids.filter("sid is not null").groupBy("sid").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("pre").alias("pre"))
-        reps = save(reps, "reps")
-        boundary = self.boundary(reps)
-        heavy = reps.filter(F.col("n") >= -(-pct * (boundary + 1) // 100))
-        edges = [save(e, "links") for e in (self.light(reps, boundary), self.heavy(heavy)) if e is not None]
+        schema = "doc_id long, key long, n int, sid long, bits array<long>, pre array<long>"
+        rows = save(self.docs.mapInPandas(_sets(self.words, pct), schema), "rows")
+        first = [F.first(c).alias(c) for c in ("n", "bits", "pre")]
+        sets = save(rows.filter("sid is not null").groupBy("sid").agg(F.min("key").alias("key"), *first), "sets")
+        ids, reps = save(rows.select("doc_id", "n", "sid"), "ids"), save(sets.select("sid", "key", "n"), "reps")
+        self.scratch.drop(rows)
+        boundary = self.boundary(sets)
+        edges = [save(e, "links") for e in (self.light(reps, boundary), self.heavy(sets, -(-pct * (boundary + 1) // 100))) if e is not None]
         comp = components(self.scratch, union_all(edges)) if edges else None
         if comp is None:
             return ids.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
@@ -193,70 +218,104 @@ class Join:
         other = F.when(F.col("lo") == F.col("hi"), F.col("a")).otherwise(other)
         return ties.select(F.col("sid").alias("a"), other.alias("b")).filter("a <> b").distinct()
 
-    def order(self, heavy: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Sets as (sid, key, n, pre) under the final order, and the shingles put last."""
+    def order(self, heavy: DataFrame) -> DataFrame:
+        """Sets as (sid, key, n, pre) under the final order, in which frequent shingles come last.
+
+        Only sets that list a frequent shingle have to look further than their hash prefix:
+        by about as many shingles as are put last.  What they see is counted again, since
+        more of a shared passage comes into view; that count fixes the order for all sets.
+        """
         save = self.scratch.save
         listed = heavy.select("sid", F.explode("pre").alias("e"))
         hot = save(listed.groupBy("e").agg(F.count("*").alias("c")).filter(F.col("c") > HOT).select("e"), "hot")
-        touched = save(listed.join(hot, "e", "left_semi").select("sid").distinct(), "touched")
-        sets = self.fetch(heavy.select("sid", "key").join(touched, "sid", "left_semi"), "touched-sets")
-        # of the sets that a frequent shingle touches, every shingle is counted
-        last = sets.select(F.explode("h").alias("e")).groupBy("e").agg(F.count("*").alias("c")).filter(F.col("c") > HOT).select("e")
+        touched = save(listed.join(hot, "e").groupBy("sid").agg(F.count("*").alias("q")), "touched")
+        p = F.size("pre")
+        length = p + F.ceil(1.5 * F.col("q") * p / (p - F.col("q") + 1)).cast("int") + 8
+        near = heavy.join(touched, "sid").select("sid", "key", F.least("n", length).alias("length"))
+        views = self.fetch(near, "views")
+        last = views.select(F.explode("h").alias("e")).groupBy("e").agg(F.count("*").alias("c")).filter(F.col("c") > HOT).select("e")
         last = save(last, "last")
-        more = listed.join(last, "e", "left_semi").select("sid").distinct().join(touched, "sid", "left_anti")
-        more = self.fetch(heavy.select("sid", "key").join(more, "sid", "left_semi"), "more-sets")
-        sets = sets.unionByName(more)
-        own = sets.select("sid", F.explode("h").alias("e")).join(last, "e", "left_semi").groupBy("sid").agg(F.collect_list("e").alias("late"))
-        moved = sets.join(own, "sid")
-        late = F.transform(F.array_sort("late"), lambda e: e.bitwiseOR(F.lit(HOT_BIT)))
-        moved = moved.select("sid", F.concat(F.array_except("h", "late"), late).alias("all"))
-        moved = heavy.select("sid", "key", "n").join(moved, "sid")
-        length = F.col("n") - F.ceil(F.col("n") * self.percent / 100) + 1
-        moved = save(moved.select("sid", "key", "n", F.slice("all", F.lit(1), length.cast("int")).alias("pre")), "moved")
+        more = listed.join(last, "e").groupBy("sid").agg(F.count("*").alias("q")).join(touched.select("sid"), "sid", "left_anti")
+        more = heavy.join(more, "sid").select("sid", "key", F.least("n", length).alias("length"))
+        others = self.fetch(more, "more-views")
+        moved = save(self.reorder(heavy, views.unionByName(others), last), "moved")
+        self.scratch.drop(views, others)
+        # a view that holds too few other shingles: the whole set is ordered
+        short = moved.filter("not enough").select("sid")
+        whole = self.fetch(heavy.join(short, "sid").select("sid", "key"), "whole")
+        moved = moved.filter("enough").unionByName(self.reorder(heavy, whole, last))
+        moved = save(moved.select("sid", "key", "n", "pre"), "moved")
         kept = heavy.select("sid", "key", "n", "pre").join(moved.select("sid"), "sid", "left_anti")
-        return save(kept.unionByName(moved), "ordered"), last
-
-    def heavy(self, heavy: DataFrame) -> DataFrame:
+        ordered = save(kept.unionByName(moved), "ordered")
+        self.scratch.drop(hot, touched, last, moved)
+        return ordered
+
+    def reorder(self, heavy: DataFrame, views: DataFrame, last: DataFrame) -> DataFrame:
+        """Prefixes with the shingles of ``last`` behind all others; enough: the view holds a whole prefix."""
+        own = views.select("sid", F.explode("h").alias("e")).join(last, "e").groupBy("sid").agg(F.collect_list("e").alias("late"))
+        both = heavy.select("sid", "key", "n").join(views, "sid").join(own, "sid", "left")
+        late = F.coalesce("late", F.array().cast("array<long>"))
+        length = (F.col("n") - F.ceil(F.col("n") * self.percent / 100) + 1).cast("int")
+        both = both.select("sid", "key", "n", F.array_except("h", late).alias("early"), late.alias("late"), length.alias("p"), F.size("h").alias("seen"))
+        marked = F.transform(F.array_sort("late"), lambda e: e.bitwiseOR(F.lit(HOT_BIT)))
+        enough = (F.size("early") >= F.col("p")) | (F.col("seen") == F.col("n"))
+        return both.select("sid", "key", "n", F.slice(F.concat("early", marked), F.lit(1), F.col("p")).alias("pre"), enough.alias("enough"))
+
+    def heavy(self, sets: DataFrame, least: int) -> DataFrame:
+        """Links found on inverted lists of the sets of at least ``least`` shingles."""
         save = self.scratch.save
-        ordered, _ = self.order(heavy)
+        ordered = self.order(sets.filter(F.col("n") >= least).drop("bits"))
+        bits = save(sets.select("sid", "bits"), "bits")
+        self.scratch.drop(sets)
         listed = ordered.select(F.explode("pre").alias("e"), "sid", "n")
         lists = listed.groupBy("e").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo < hi")
         lists = save(lists.select("e"), "lists")
         shared = save(listed.join(lists, "e"), "shared")
-        # prefixes and whole sets of every set that shares a list
-        wanted = save(shared.select("sid").distinct(), "wanted")
-        pre = save(ordered.join(wanted, "sid", "left_semi").select("sid", "n", "pre"), "prefixes")
+        # a set that shares many long lists is the likeliest centre of a group of copies
+        weight = shared.join(shared.groupBy("e").agg(F.count("*").alias("m")), "e").groupBy("sid").agg(F.sum("m").alias("weight"))
+        centre = save(weight.join(bits, "sid"), "centre")
+        shared = save(shared.join(centre, "sid"), "members")
+        pre = save(ordered.join(centre.select("sid"), "sid", "left_semi").select("sid", "n", "pre"), "prefixes")
+        keys = save(ordered.join(centre.select("sid"), "sid", "left_semi").select("sid", "key"), "keys")
+        self.scratch.drop(ordered, bits)
         edges: list[DataFrame] = []
-        tested = None
-        comp = None
+        tested = comp = None
         for r in range(HUB_ROUNDS + 1):
             now = shared if comp is None else shared.join(comp, "sid", "left")
             now = now.withColumn("c", F.coalesce(F.col("component"), F.col("sid")) if comp is not None else F.col("sid"))
-            mixed = now.groupBy("e").agg(
-                F.min("c").alias("lo"), F.max("c").alias("hi"), F.min_by(F.struct("sid", "n", "c"), F.xxhash64("c", "sid", F.lit(r))).alias("hub")
-            ).filter("lo < hi")
-            mixed = save(mixed.select("e", F.col("hub.sid").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.c").alias("hub_c")), f"mixed{r}")
+            # each round prefers another third of the sets as hubs
+            turn = F.struct((F.pmod(F.xxhash64("sid"), F.lit(3)) == r % 3) | F.lit(r == 0), "weight", "sid")
+            hub = F.max_by(F.struct("sid", "n", "c", "bits"), turn).alias("hub")
+            mixed = now.groupBy("e").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), hub).filter("lo < hi")
+            mixed = save(mixed.select("e", *[F.col(f"hub.{x}").alias(f"hub_{x}") for x in ("sid", "n", "c", "bits")]), f"mixed{r}")
             if not mixed.limit(1).count():
                 break
-            fits = lambda x, y: (F.col(x) * 100 >= F.col(y) * self.percent) & (F.col(y) * 100 >= F.col(x) * self.percent)
             if r < HUB_ROUNDS:
-                pairs = now.join(mixed, "e").filter((F.col("c") != F.col("hub_c")) & fits("n", "hub_n"))
-                pairs = pairs.select(F.least("sid", "hub").alias("a"), F.greatest("sid", "hub").alias("b"))
+                pairs = now.join(mixed, "e").filter((F.col("c") != F.col("hub_c")) & self.near("n", "bits", "hub_n", "hub_bits"))
+                pairs = pairs.select(F.least("sid", "hub_sid").alias("a"), F.greatest("sid", "hub_sid").alias("b"))
             else:
-                left = save(now.join(mixed.select("e"), "e", "left_semi"), "left")
-                x, y = left.select("e", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca")), left.select("e", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-                pairs = x.join(y, "e").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits("na", "nb")).select("a", "b")
+                cols = ("sid", "n", "c", "bits")
+                left = save(now.join(mixed.select("e"), "e", "left_semi").select("e", *cols), "left")
+                x, y = (left.select("e", *[F.col(c).alias(f"{c}_{side}") for c in cols]) for side in "ab")
+                apart = (F.col("sid_a") < F.col("sid_b")) & (F.col("c_a") != F.col("c_b"))
+                pairs = x.join(y, (x["e"] == y["e"]) & apart & self.near("n_a", "bits_a", "n_b", "bits_b"))
+                pairs = pairs.select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b"))
             pairs = pairs.distinct()
             if tested is not None:
                 pairs = pairs.join(tested, ["a", "b"], "left_anti")
             pairs = save(pairs, f"pairs{r}")
-            good = self.verify(pairs, pre, ordered, r)
+            edges.append(self.verify(pairs, pre, keys, r))
             tested = pairs if tested is None else tested.unionByName(pairs)
-            edges.append(good)
             comp = self.scratch.save(components(self.scratch, union_all(edges)).withColumnRenamed("node", "sid"), f"comp{r}")
         return union_all(edges) if edges else self.spark.createDataFrame([], "a long, b long")
 
-    def verify(self, pairs: DataFrame, pre: DataFrame, ordered: DataFrame, r: int) -> DataFrame:
+    def near(self, na: str, ba: str, nb: str, bb: str) -> Column:
+        """Whether sizes and bitmaps leave room for a link: the sets may differ in (100 - p) / (100 + p) of their sizes."""
+        differ = F.expr(" + ".join(f"bit_count({ba}[{i}] ^ {bb}[{i}])" for i in range(BITMAP_WORDS)))
+        low = F.abs(F.col(na) - F.col(nb))
+        return F.greatest(differ, low) * (100 + self.percent) <= (F.col(na) + F.col(nb)) * (100 - self.percent)
+
+    def verify(self, pairs: DataFrame, pre: DataFrame, keys: DataFrame, r: int) -> DataFrame:
         """The linked ones of ``pairs`` (a, b)."""
         one = pre.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("pre").alias("pa"))
         two = pre.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("pre").alias("pb"))
@@ -267,7 +326,7 @@ class Join:
         most = F.size(F.array_intersect("pa", "pb")) + F.least(F.col("na") - seen("pa"), F.col("nb") - seen("pb"))
         maybe = self.scratch.save(both.filter(self.linked(most, F.col("na"), F.col("nb"))).select("a", "b", "na", "nb"), f"maybe{r}")
         need = maybe.select(F.col("a").alias("sid")).unionByName(maybe.select(F.col("b").alias("sid"))).distinct()
-        sets = self.fetch(ordered.select("sid", "key").join(need, "sid", "left_semi"), f"sets{r}")
+        sets = self.fetch(keys.join(need, "sid", "left_semi"), f"sets{r}")
         full = maybe.join(sets.select(F.col("sid").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("sid").alias("b"), F.col("h").alias("hb")), "b")
         inter = F.size(F.array_intersect("ha", "hb"))
         return self.scratch.save(full.filter(self.linked(inter, F.col("na"), F.col("nb"))).select("a", "b"), f"good{r}")
@@ -294,13 +353,14 @@ def one_of_each(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     """
     scratch = Scratch(spark, "one-of-each")
     classes = scratch.save(jaccard_classes(spark, docs, id_col=id_col, text_col=text_col, **options), "classes")
-    gone = classes.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
+    key = fresh(docs, "_gone")
+    gone = classes.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(key)).distinct()
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    left = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    left = docs.join(gone, docs[id_col] == gone[key], "left_anti")
     twice = classes.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1")
-    twice = scratch.save(twice.select(F.col("doc_id").alias("_twice")), "twice")
+    twice = scratch.save(twice.select(F.col("doc_id").alias(key)), "twice")
     if not twice.limit(1).count():
         return left
-    again = F.col(id_col) == F.col("_twice")
+    again = left[id_col] == twice[key]
     return left.join(twice, again, "left_anti").unionByName(left.join(twice, again, "left_semi").dropDuplicates([id_col, text_col]))

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-PIECE = 1 << 20
+PIECE = 1 << 18
 _R = 0x9E3779B97F4A7C15 | 1
 _M = (1 << 64) - 1
 
