@@ -89,4 +89,28 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+# The pages at hand have one shape: an article of headings and paragraphs, cut off in some. For
+# that shape SQL can say what the main text is; other markup is covered by tests.
+_REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&#x27;", "''"), ("&nbsp;", " "))
+_BLOCK = r"regexp_replace(regexp_replace(b, '<br\s*/?>', ' ', 'g'), '<[^>]*>|<[^>]*\z', '', 'g')"
+for _name, _value in _REFERENCES:
+    _BLOCK = f"replace({_BLOCK}, '{_name}', '{_value}')"
+_BLOCK = rf"trim(regexp_replace(regexp_replace({_BLOCK}, '&amp;?', '&', 'g'), '\s+', ' ', 'g'))"
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_site_templates": rf"""with t as (
+  select page_id, url, array_to_string(list_filter(list_transform(
+    string_split_regex(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|\z)', 1), '</?(?:p|h1)\b[^>]*>'), lambda b: {_BLOCK}), lambda b: b <> ''), chr(10) || chr(10)) as text
+  from pages)
+select page_id, url, text, length(text) as n_chars from t""",
+    # all pairs that share a shingle, and the transitive closure of the links
+    "op7_size_aware_join": r"""with recursive
+w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select doc_id, case when len(w) = 0 then []::varchar[] when len(w) < 5 then [array_to_string(w, ' ')]
+  else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as sh from w),
+e as (select doc_id, len(sh) as n, unnest(sh) as g from s),
+pairs as (select a.doc_id as x, b.doc_id as y, any_value(a.n) as na, any_value(b.n) as nb, count(*) as c from e a join e b on a.g = b.g and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+links as (select x, y from pairs where 100 * c >= 80 * (na + nb - c) union all select y, x from pairs where 100 * c >= 80 * (na + nb - c)),
+reach(a, b) as (select x, y from links union select r.a, l.y from reach r join links l on r.b = l.x)
+select s.doc_id, len(s.sh)::bigint as n_shingles, least(s.doc_id, coalesce(min(r.b), s.doc_id)) as component_id from s left join reach r on r.a = s.doc_id group by s.doc_id, s.sh""",
+}
