@@ -13,7 +13,7 @@ POINTS = UNIT
 
 
 def _index(spark, sf_dir):
-    return bm25.build(documents(spark, sf_dir), "text", "doc_id", "source")
+    return bm25.build(documents(spark, sf_dir), "text", "doc_id", "source").persist()
 
 
 def _vectors(spark, sf_dir):
