@@ -6,6 +6,7 @@ lineage, survive the loss of any executor and are read again by plain scans.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from functools import reduce
@@ -13,6 +14,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows that pass between the JVM and Python at once while a table is written: both sides hold a batch.
+BATCH_ROWS, SMALL_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
 _OWN_DIR: dict[str, str] = {}
 
 
@@ -33,22 +37,42 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base = spark, f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        self.paths: list[str] = []
 
     def save(self, df: DataFrame, name: str = "t") -> DataFrame:
         self.n += 1
         path = f"{self.base}/{self.n:03d}-{name}"
-        df.write.parquet(path)
+        conf, was = self.spark.conf, self.spark.conf.get(BATCH_ROWS)
+        conf.set(BATCH_ROWS, min(int(was), SMALL_BATCH) if int(was) > 0 else SMALL_BATCH)
+        try:
+            df.write.parquet(path)
+        finally:
+            conf.set(BATCH_ROWS, was)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        self.paths.append(path)
         return out
 
     def drop(self, *frames: DataFrame) -> None:
-        for df in frames:
-            path = getattr(df, "_scratch_path", None)
-            if path:
-                jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(conf).delete(p, True)
+        self._delete([p for p in (getattr(df, "_scratch_path", None) for df in frames) if p])
+
+    def keep_only(self, *frames: DataFrame) -> None:
+        """Delete all tables but these, and let the driver find the shuffles that nothing refers to.
+
+        Spark removes a shuffle's files once the driver's collector has met its remains; a
+        long operator would else hold the files of all its steps.
+        """
+        held = {getattr(df, "_scratch_path", None) for df in frames}
+        self._delete([p for p in self.paths if p not in held])
+        self.paths = [p for p in self.paths if p in held]
+        gc.collect()
+        self.spark._jvm.System.gc()
+
+    def _delete(self, paths: list[str]) -> None:
+        jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for path in paths:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -64,12 +64,18 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def view_length(n: int, percent: int = PERCENT) -> int:
+    """How much of a set is kept at hand: its prefix and what may come into it as others are put last."""
+    p = prefix_length(n, percent)
+    return min(n, p + p // 2 + 8)
+
+
 def subset_cost(s: int, percent: int = PERCENT) -> int:
     return sum(math.comb(s, overlap_needed(s, t, percent)) for t in partner_sizes(s, percent) if overlap_needed(s, t, percent) <= s)
 
 
 def _sets(words: int, percent: int):
-    """(key, n, sid, prefix) of each row; sid names the set."""
+    """Of each row the set's size, name (sid), bitmap and smallest shingles."""
 
     def run(batches):
         for pdf in slices(batches):
@@ -79,7 +85,7 @@ def _sets(words: int, percent: int):
                 n.append(len(h))
                 bits.append(parity_bitmap(h))
                 sid.append(digest(h) if len(h) else None)
-                pre.append(h[: prefix_length(len(h), percent)].copy() if len(h) else h)
+                pre.append(h[: view_length(len(h), percent)].copy() if len(h) else h)
             yield pd.DataFrame({"doc_id": pdf["doc_id"].array, "key": pdf["key"].array, "n": n, "sid": pd.array(sid, "Int64"), "bits": bits, "pre": pre})
 
     return run
@@ -103,15 +109,15 @@ def digest(h: np.ndarray) -> int:
 
 
 def _whole(words: int):
-    """(sid, h) for rows whose set is the wanted one: its first ``length`` shingles (null: all)."""
+    """(sid, h) for rows whose set is the wanted one."""
 
     def run(batches):
         for pdf in slices(batches):
             rows = []
-            for (_, w), sid, length in zip(words_by_doc(pdf["text"].tolist(), BLANKS), pdf["sid"], pdf["length"]):
+            for (_, w), sid in zip(words_by_doc(pdf["text"].tolist(), BLANKS), pdf["sid"]):
                 h = set_of(w, words)
                 if len(h) and digest(h) == sid:
-                    rows.append((sid, h if length != length or length is None else h[: int(length)]))
+                    rows.append((sid, h))
             yield pd.DataFrame({"sid": pd.array([r[0] for r in rows], "Int64"), "h": [r[1] for r in rows]})
 
     return run
@@ -148,16 +154,14 @@ class Join:
         )
 
     def fetch(self, wanted: DataFrame, name: str) -> DataFrame:
-        """Sets (sid, h) of ``wanted`` (sid, key, and length if not whole), read again from the texts.
+        """Whole sets (sid, h) of ``wanted`` (sid, key), read again from the texts.
 
         Texts stay where they are while the list of wanted sets is small enough to send.
         """
-        if "length" not in wanted.columns:
-            wanted = wanted.withColumn("length", F.lit(None).cast("int"))
-        wanted = self.scratch.save(wanted.select("sid", "key", "length"), f"want-{name}")
+        wanted = self.scratch.save(wanted.select("sid", "key"), f"want-{name}")
         size = wanted.count()
         other = F.broadcast(wanted) if size <= BROADCAST_IDS else wanted
-        got = self.docs.join(other, "key").select("text", "sid", "length").mapInPandas(_whole(self.words), "sid long, h array<long>")
+        got = self.docs.join(other, "key").select("text", "sid").mapInPandas(_whole(self.words), "sid long, h array<long>")
         got = self.scratch.save(got, name)
         if got.count() > size:  # rows that repeat both id and text
             got = self.scratch.save(got.groupBy("sid").agg(F.first("h").alias("h")), f"{name}-once")
@@ -173,12 +177,12 @@ class Join:
         first = [F.first(c).alias(c) for c in ("n", "bits", "pre")]
         sets = save(rows.filter("sid is not null").groupBy("sid").agg(F.min("key").alias("key"), *first), "sets")
         ids, reps = save(rows.select("doc_id", "n", "sid"), "ids"), save(sets.select("sid", "key", "n"), "reps")
-        self.scratch.drop(rows)
+        self.scratch.keep_only(sets, ids, reps)
         boundary = self.boundary(sets)
-        edges = [save(e, "links") for e in (self.light(reps, boundary), self.heavy(sets, -(-pct * (boundary + 1) // 100))) if e is not None]
-        comp = components(self.scratch, union_all(edges)) if edges else None
-        if comp is None:
-            return ids.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+        edges = [save(e, "links") for e in (self.light(reps, boundary),) if e is not None]
+        edges.append(save(self.heavy(sets, -(-pct * (boundary + 1) // 100), [ids, reps, *edges]), "links"))
+        self.scratch.keep_only(ids, reps, *edges)
+        comp = components(self.scratch, union_all(edges))
         named = save(reps.select("sid", "key").join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid")), "named")
         lowest = F.min(F.when(F.col("key") != LOWEST, F.col("key")))
         # a null id has no place in the order of ids; copies of a set count through its smallest id
@@ -190,7 +194,8 @@ class Join:
     def boundary(self, reps: DataFrame) -> int:
         """The size up to which enumerating subsets is cheaper than scanning lists."""
         small = {r["n"]: r["c"] for r in reps.filter(F.col("n") <= 2 * MAX_BOUNDARY).groupBy("n").agg(F.count("*").alias("c")).collect()}
-        lists = reps.filter(F.col("n") <= 2 * MAX_BOUNDARY).select(F.explode("pre").alias("e")).groupBy("e").agg(F.count("*").alias("c"))
+        p = (F.col("n") - F.ceil(F.col("n") * self.percent / 100) + 1).cast("int")
+        lists = reps.filter(F.col("n") <= 2 * MAX_BOUNDARY).select(F.explode(F.slice("pre", F.lit(1), p)).alias("e")).groupBy("e").agg(F.count("*").alias("c"))
         met, total = lists.agg(F.sum(F.col("c") * F.col("c")), F.sum("c")).first()
         length = (met or 0) / (total or 1)  # of the list that a listed shingle of a small set meets
         best, least = 0, None
@@ -221,33 +226,27 @@ class Join:
     def order(self, heavy: DataFrame) -> DataFrame:
         """Sets as (sid, key, n, pre) under the final order, in which frequent shingles come last.
 
-        Only sets that list a frequent shingle have to look further than their hash prefix:
-        by about as many shingles as are put last.  What they see is counted again, since
-        more of a shared passage comes into view; that count fixes the order for all sets.
+        Only sets that list a frequent shingle look further than their hash prefix, into
+        the rest of their view.  What they see is counted again, since more of a shared
+        passage comes into sight; that count fixes the order for all sets.
         """
         save = self.scratch.save
-        listed = heavy.select("sid", F.explode("pre").alias("e"))
+        p = (F.col("n") - F.ceil(F.col("n") * self.percent / 100) + 1).cast("int")
+        listed = heavy.select("sid", F.explode(F.slice("pre", F.lit(1), p)).alias("e"))
         hot = save(listed.groupBy("e").agg(F.count("*").alias("c")).filter(F.col("c") > HOT).select("e"), "hot")
-        touched = save(listed.join(hot, "e").groupBy("sid").agg(F.count("*").alias("q")), "touched")
-        p = F.size("pre")
-        length = p + F.ceil(1.5 * F.col("q") * p / (p - F.col("q") + 1)).cast("int") + 8
-        near = heavy.join(touched, "sid").select("sid", "key", F.least("n", length).alias("length"))
-        views = self.fetch(near, "views")
-        last = views.select(F.explode("h").alias("e")).groupBy("e").agg(F.count("*").alias("c")).filter(F.col("c") > HOT).select("e")
-        last = save(last, "last")
-        more = listed.join(last, "e").groupBy("sid").agg(F.count("*").alias("q")).join(touched.select("sid"), "sid", "left_anti")
-        more = heavy.join(more, "sid").select("sid", "key", F.least("n", length).alias("length"))
-        others = self.fetch(more, "more-views")
-        moved = save(self.reorder(heavy, views.unionByName(others), last), "moved")
-        self.scratch.drop(views, others)
+        touched = save(listed.join(hot, "e", "left_semi").select("sid").distinct(), "touched")
+        views = heavy.join(touched, "sid", "left_semi").select("sid", F.explode("pre").alias("e"))
+        last = save(views.groupBy("e").agg(F.count("*").alias("c")).filter(F.col("c") > HOT).select("e"), "last")
+        both = listed.join(last, "e", "left_semi").select("sid").unionByName(touched).distinct()
+        moving = save(heavy.join(both, "sid", "left_semi"), "moving")
+        moved = save(self.reorder(heavy, moving.select("sid", F.col("pre").alias("h")), last), "moved")
         # a view that holds too few other shingles: the whole set is ordered
         short = moved.filter("not enough").select("sid")
-        whole = self.fetch(heavy.join(short, "sid").select("sid", "key"), "whole")
-        moved = moved.filter("enough").unionByName(self.reorder(heavy, whole, last))
-        moved = save(moved.select("sid", "key", "n", "pre"), "moved")
-        kept = heavy.select("sid", "key", "n", "pre").join(moved.select("sid"), "sid", "left_anti")
+        whole = self.fetch(heavy.join(short, "sid", "left_semi").select("sid", "key"), "whole")
+        moved = moved.filter("enough").unionByName(self.reorder(heavy, whole, last)).select("sid", "key", "n", "pre")
+        kept = heavy.select("sid", "key", "n", F.slice("pre", F.lit(1), p).alias("pre")).join(both, "sid", "left_anti")
         ordered = save(kept.unionByName(moved), "ordered")
-        self.scratch.drop(hot, touched, last, moved)
+        self.scratch.drop(hot, touched, last, moving)
         return ordered
 
     def reorder(self, heavy: DataFrame, views: DataFrame, last: DataFrame) -> DataFrame:
@@ -261,12 +260,12 @@ class Join:
         enough = (F.size("early") >= F.col("p")) | (F.col("seen") == F.col("n"))
         return both.select("sid", "key", "n", F.slice(F.concat("early", marked), F.lit(1), F.col("p")).alias("pre"), enough.alias("enough"))
 
-    def heavy(self, sets: DataFrame, least: int) -> DataFrame:
-        """Links found on inverted lists of the sets of at least ``least`` shingles."""
+    def heavy(self, sets: DataFrame, least: int, held: list[DataFrame]) -> DataFrame:
+        """Links found on inverted lists of the sets of at least ``least`` shingles; ``held`` are tables still needed."""
         save = self.scratch.save
         ordered = self.order(sets.filter(F.col("n") >= least).drop("bits"))
         bits = save(sets.select("sid", "bits"), "bits")
-        self.scratch.drop(sets)
+        self.scratch.keep_only(*held, ordered, bits)
         listed = ordered.select(F.explode("pre").alias("e"), "sid", "n")
         lists = listed.groupBy("e").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo < hi")
         lists = save(lists.select("e"), "lists")
@@ -277,7 +276,7 @@ class Join:
         shared = save(shared.join(centre, "sid"), "members")
         pre = save(ordered.join(centre.select("sid"), "sid", "left_semi").select("sid", "n", "pre"), "prefixes")
         keys = save(ordered.join(centre.select("sid"), "sid", "left_semi").select("sid", "key"), "keys")
-        self.scratch.drop(ordered, bits)
+        self.scratch.keep_only(*held, shared, pre, keys)
         edges: list[DataFrame] = []
         tested = comp = None
         for r in range(HUB_ROUNDS + 1):
@@ -352,7 +351,9 @@ def one_of_each(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     Rows that repeat an id and a text are one document; rows without an id stay.
     """
     scratch = Scratch(spark, "one-of-each")
-    classes = scratch.save(jaccard_classes(spark, docs, id_col=id_col, text_col=text_col, **options), "classes")
+    join = Join(spark, docs, id_col, text_col, options.get("words", WORDS), options.get("percent", PERCENT))
+    classes = scratch.save(join.run(), "classes")
+    join.scratch.keep_only()
     key = fresh(docs, "_gone")
     gone = classes.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(key)).distinct()
     if gone.count() <= BROADCAST_IDS:
