@@ -38,6 +38,8 @@ LEVELS = (None, 5, 4)
 THRESHOLD = 0.7
 #: A statistic beyond this (chance below 1e-5) adds nothing to the calibration.
 CERTAIN = 12.0
+#: Rows of a batch that are worked on at once.
+SLICE = 1000
 
 SCHEMA = "doc_id long, score double, n_tokens int, passages array<struct<first:int,last:int,score:double>>"
 
@@ -279,13 +281,14 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text
     box = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
-            m = box.value
-            keep = []
-            for _, s in _doc_scores(batch.column(text_col).to_pylist(), m):
-                x = m.slope * statistic(maximal_segments(s), len(s), m) + m.bias
-                keep.append(1 / (1 + np.exp(-np.clip(x, -500, 500))) < threshold)
-            yield batch.filter(pa.array(keep, pa.bool_()))
+        m = box.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                batch, keep = whole.slice(at, SLICE), []
+                for _, s in _doc_scores(batch.column(text_col).to_pylist(), m):
+                    x = m.slope * statistic(maximal_segments(s), len(s), m) + m.bias
+                    keep.append(1 / (1 + np.exp(-np.clip(x, -500, 500))) < threshold)
+                yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
