@@ -8,6 +8,7 @@ Parquet and read again as the next stage's docs.  All but the last return the co
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,28 +16,48 @@ from textquarry.llm import jaccard, mixing, pieces, quality, toxicity
 from textquarry.llm.common import Scratch, crc_bucket, table
 
 
+#: Rows of documents that pass between the JVM and Python at once.
+BATCH_ROWS = 1000
+
+
+def small_batches(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Run a stage with small Arrow batches: whole texts are wide, and both sides of a task hold a batch."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@small_batches
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score reaches the threshold go; labels of every third id are left for testing."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), crc_bucket("doc_id", 3) != 1)
     return toxicity.keep_clean(docs, model)
 
 
+@small_batches
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier holds for poor go."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"), crc_bucket("doc_id", 5) != 0)
     return quality.keep_good(docs, model)
 
 
+@small_batches
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by shingle similarity, the smallest id stays."""
     return jaccard.one_of_each(spark, docs)
 
 
+@small_batches
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows in the order of the Pfair schedule; written files follow it."""
     return mixing.in_mixed_order(spark, docs)
 
 
+@small_batches
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids and the best segmentations of every document."""
     return pieces.segment(spark, docs)
