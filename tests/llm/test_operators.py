@@ -135,6 +135,35 @@ def test_vectors_against_brute_force(spark):
         assert all(r.n_links == 0 and r.component_id == r.vec_id for r in got if r.vec_id is not None and r.vec_id > 9000)
 
 
+def skewed(background, n, pairs, dim=64, seed=5):
+    """Vectors with a common direction, and pairs of them at cosine 0.955."""
+    rng = np.random.default_rng(seed)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    x = unit(np.sqrt(background) * unit(rng.standard_normal(dim)) + np.sqrt(1 - background) * unit(rng.standard_normal((n, dim))))
+    w = rng.standard_normal((pairs, dim))
+    w = unit(w - (w * x[:pairs]).sum(1, keepdims=True) * x[:pairs])
+    return np.concatenate([x, 0.955 * x[:pairs] + np.sqrt(1 - 0.955**2) * w])
+
+
+def test_skewed_vectors_keep_their_pairs(spark):
+    for background, block in ((0.9, 16), (0.5, 64)):  # all pairs; passes
+        x = skewed(background, 5000, 150)
+        df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+        got = {r.vec_id: r.n_links for r in neardup_vectors.near_duplicates(spark, df, block=block).collect()}
+        hit = (x @ x.T >= 0.95).sum(1) - 1
+        assert hit.sum() >= 300 and sum(got.values()) >= 0.99 * hit.sum() and all(got[i] <= n for i, n in enumerate(hit))
+
+
+def test_passes_follow_from_density():
+    n, block = 1_000_000, 1024
+    radius = lambda background: np.full(8, np.sqrt(1 - background))
+    even, dense = np.full((8, 4), 10), np.full((8, 4), 14)
+    few = neardup_vectors.passes_for(even, radius(0.0), n, block=block)
+    assert few < neardup_vectors.passes_for(dense, radius(0.0), n, block=block) < neardup_vectors.passes_for(dense, radius(0.5), n, block=block)
+    assert neardup_vectors.passes_for(even, radius(0.8), n, block=block) > 24  # no cap below what is needed
+    assert neardup_vectors.passes_for(np.full((8, 4), 48), radius(0.8), n, block=block) is None
+
+
 def test_shards_are_near_equal_and_gapless(spark):
     rng = np.random.default_rng(0)
     rows = [(int(i), sentence(i, int(rng.integers(1, 60))), "en", "a") for i in range(1500)] + [(7, "x" * 500, "en", "a")] * 400 + [(None, None, None, None)] * 5
