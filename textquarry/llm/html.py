@@ -9,6 +9,7 @@
 
 Prose directly inside an ``<article>`` or ``<main>`` is never taken for template:
 articles of one site quote the same passages and come in copies, and those are content.
+What lies outside goes by the same rules as all else.
 """
 
 from __future__ import annotations
@@ -173,7 +174,6 @@ def deletable(nodes: list[Node]) -> set[int]:
 
 def main_text(nodes: list[Node], template: set[int]) -> str:
     """Blocks in page order, joined by an empty line."""
-    only_main = any(x.main and not x.drop for x in nodes)
     blocks: list[str] = []
     pend: list[str] = []
 
@@ -191,8 +191,7 @@ def main_text(nodes: list[Node], template: set[int]) -> str:
             todo.append((i, k + 1))
             c = x.content[k]
             if isinstance(c, str):
-                if x.main or not only_main:
-                    pend.append(c)
+                pend.append(c)
                 continue
             y = nodes[c]
             block = y.tag in BLOCK
