@@ -11,6 +11,34 @@ def texts(spark, pages):
     return [r.text for r in out.orderBy("page_id").collect()]
 
 
+def plain(page):
+    return html.main_text(html.parse(page), set())
+
+
 def test_text_outside_an_article_goes_by_counts(spark):
     pages = [f"<body><div>Join the club</div><div class='body'>{STORY} {i}</div><article><p>Teaser {i}</p></article><div>All rights</div></body>" for i in range(12)]
     assert texts(spark, pages) == [f"{STORY} {i}\n\nTeaser {i}" for i in range(12)]
+
+
+def test_inline_elements_are_part_of_their_block(spark):
+    pages = [f"<article><p>{STORY} {i}: CO<sub>2</sub></p></article>" for i in range(12)]
+    pages += [f"<div><p>{STORY} {i} is <em>not</em> here <a href='/'>link</a></p></div>" for i in range(20, 32)]
+    assert texts(spark, pages) == [f"{STORY} {i}: CO2" for i in range(12)] + [f"{STORY} {i} is not here link" for i in range(20, 32)]
+
+
+def test_only_what_most_pages_have_is_template(spark):
+    quoted = "<p>Nine pages of a hundred quote this</p>"
+    pages = [f"<div>{quoted if i < 9 else ''}<p>{STORY} {i}</p></div>" for i in range(100)]
+    got = texts(spark, pages)
+    assert all(t.startswith("Nine pages") for t in got[:9]) and got[50] == f"{STORY} 50"
+    same = "<div><p>One body in many copies</p></div>"  # copies of a page count once
+    assert texts(spark, [same] * 30 + [f"<div><p>{STORY} {i}</p></div>" for i in range(9)])[:30] == ["One body in many copies"] * 30
+
+
+def test_layout_words_do_not_take_the_main_text():
+    assert plain(f"<body><article class='post comments-open'><p>{STORY}</p></article></body>") == STORY
+    assert plain(f"<body><div class='content has-sidebar'><p>{STORY}</p></div><div class='sidebar'>links</div></body>") == STORY
+    assert plain(f"<body><div class='widget'><article><p>{STORY}</p></article></div><div class='ad-slot'>buy</div></body>") == STORY
+    posts = "".join(f"<article class='post comments-open'><p>{STORY} {i}</p></article>" for i in range(4))
+    assert plain(f"<body>{posts}</body>").count(STORY) == 4
+    assert plain(f"<body><article><p>Short</p></article><div class='ad'>{STORY}</div><div class='related-posts'><article>card</article></div></body>") == "Short"

@@ -2,14 +2,16 @@
 
 1. Every page is parsed into elements; each element's subtree (tag, text and children)
    is hashed.
-2. Spark counts on how many pages of a host each subtree occurs.
-3. Subtrees that recur across many pages of their host are its template and are cut
-   out, as are elements that say themselves that they are not content (navigation,
-   footers, adverts, forms, scripts ...).
+2. Spark counts on how many different pages of a host each block's subtree occurs.
+3. Blocks that recur on most pages of their host are its template and are cut out, as
+   are elements that say themselves that they are not content (navigation, footers,
+   adverts, forms, scripts ...), unless only by their class and they hold the main text.
+
+What lies outside ``<article>`` or ``<main>`` goes by the same rules as all else.  Inline
+elements are part of their block.  Copies of a whole page count as one page.
 
 Prose directly inside an ``<article>`` or ``<main>`` is never taken for template:
 articles of one site quote the same passages and come in copies, and those are content.
-What lies outside goes by the same rules as all else.
 """
 
 from __future__ import annotations
@@ -25,9 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-#: A subtree is template if it is on at least so many pages of its host, and on this share of them.
+#: A block is template if it is on at least so many different pages of its host, and on this share of them.
 MIN_PAGES = 8
-MIN_SHARE = 0.01
+MIN_SHARE = 0.5
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe svg canvas object textarea title math noembed noframes xmp".split())
@@ -46,6 +48,8 @@ MARKS = frozenset(
     "toolbar alert pagination pager skip tracking complementary contentinfo search".split()
 )
 OUTSIDE_MARKS = frozenset("header masthead topbar".split())
+#: Words that make a class name tell of a state (has-sidebar, comments-open), not of what the element is.
+STATES = frozenset("has no not with without is open opened closed enabled disabled on off left right".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?/][^a-zA-Z>][^>]*(?:>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -69,35 +73,75 @@ class Node:
     tag: str
     parent: int
     main: bool
-    drop: bool
+    why: int
+    drop: bool = False
     content: list = field(default_factory=list)  # text, or the index of a child
     digest: int = 0
 
 
-def _unwanted(tag: str, attrs: str, in_main: bool) -> bool:
+#: Why an element may be unwanted: for its tag or because it is hidden; for a class, id or role; for a part of one.
+TAG, NAME, PART = 3, 2, 1
+
+
+def _unwanted(tag: str, attrs: str, in_main: bool) -> int:
     if tag in DROP or (tag == "header" and not in_main):
-        return True
+        return TAG
     if not attrs or tag in ("html", "body"):
-        return False
+        return 0
+    why = 0
+    main = tag in ("article", "main")
     for m in _ATTR.finditer(attrs):
         name = m[1].lower()
         value = (m[2] or m[3] or m[4] or "").lower()
         if name in ("class", "id", "role"):
-            words = set(_WORDS.split(value))
-            if words & MARKS and not (tag in ("article", "main") and name == "id"):
-                return True
-            if not in_main and words & OUTSIDE_MARKS:
-                return True
+            marks = MARKS if in_main else MARKS | OUTSIDE_MARKS
+            if main and name == "id":
+                continue
+            for whole in value.split():
+                words = set(_WORDS.split(whole))
+                if whole in marks:
+                    why = max(why, NAME)
+                elif words & marks and not words & STATES and not main:
+                    why = max(why, PART)
         elif name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+            return TAG
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            return TAG
+    return why
+
+
+def drop_unwanted(nodes: list[Node]) -> None:
+    """Mark what goes by its own account; a class name alone does not take the page's main text.
+
+    That is most of the text in ``<article>`` and ``<main>``, or of all text where there are
+    none; a mere part of a name does not take most of all text either.
+    """
+    gone = [False] * len(nodes)
+    size, inner = [0] * len(nodes), [0] * len(nodes)  # text in an element, and what of it is in article or main
+    some = False
+    for i, x in enumerate(nodes):
+        gone[i] = x.why == TAG or (i > 0 and gone[x.parent])
+        some |= x.main and not gone[i]
+    for i in range(len(nodes) - 1, -1, -1):
+        x = nodes[i]
+        if gone[i]:
+            continue
+        own = sum(len("".join(c.split())) for c in x.content if isinstance(c, str))
+        size[i] += own
+        inner[i] += own if x.main else 0
+        if i:
+            size[x.parent] += size[i]
+            inner[x.parent] += inner[i]
+    for i, x in enumerate(nodes):
+        most = 2 * size[i] > size[0]
+        holds = 2 * inner[i] > inner[0] if some else most
+        named = (x.why == NAME and not holds) or (x.why == PART and not holds and not most)
+        x.drop = gone[i] or named or (i > 0 and nodes[x.parent].drop)
 
 
 def parse(page: str) -> list[Node]:
     """Elements in page order; node 0 is the root. Unclosed and misnested markup is mended."""
-    nodes = [Node("", -1, False, False)]
+    nodes = [Node("", -1, False, 0)]
     stack = [0]
     at, n = 0, len(page)
 
@@ -150,7 +194,7 @@ def parse(page: str) -> list[Node]:
         up = nodes[stack[-1]]
         attrs = m[3] or ""
         main = up.main or tag in ("article", "main") or ("main" in attrs and bool(re.search(r"role\s*=\s*[\"']?main", attrs)))
-        nodes.append(Node(tag, stack[-1], main, up.drop or _unwanted(tag, attrs, up.main)))
+        nodes.append(Node(tag, stack[-1], main, _unwanted(tag, attrs, up.main)))
         up.content.append(len(nodes) - 1)
         if tag in VOID or attrs.endswith("/"):
             continue
@@ -160,16 +204,18 @@ def parse(page: str) -> list[Node]:
             continue
         stack.append(len(nodes) - 1)
     close(0)
+    drop_unwanted(nodes)
     return nodes
 
 
 def deletable(nodes: list[Node]) -> set[int]:
-    """Hashes of the subtrees that may be template: all with content but prose in the main part and the outermost frame."""
-    return {
-        x.digest
-        for x in nodes[1:]
-        if x.content and x.tag not in ("html", "body", "head", "article", "main") and not (x.main and x.tag in PROSE)
-    }
+    """Hashes of the subtrees that may be template: blocks with content."""
+    return {x.digest for x in nodes[1:] if x.content and removable(x)}
+
+
+def removable(x: Node) -> bool:
+    """Blocks, but not prose in the main part and the outermost frame."""
+    return x.tag in BLOCK and x.tag not in ("html", "body", "head", "article", "main") and not (x.main and x.tag in PROSE)
 
 
 def main_text(nodes: list[Node], template: set[int]) -> str:
@@ -197,8 +243,7 @@ def main_text(nodes: list[Node], template: set[int]) -> str:
             block = y.tag in BLOCK
             if y.tag in ("br", "td", "th", "img"):
                 pend.append(" ")
-            protected = y.tag in ("html", "body", "article", "main") or (y.main and y.tag in PROSE)
-            if y.drop or (y.digest in template and not protected):
+            if y.drop or (y.digest in template and removable(y)):
                 if block:
                     flush()
                 continue
@@ -211,11 +256,16 @@ def main_text(nodes: list[Node], template: set[int]) -> str:
     return "\n\n".join(blocks)
 
 
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
 def _subtrees(batches):
     for pdf in batches:
         hosts = [host_of(u) for u in pdf["url"]]
-        found = [sorted(h - (1 << 64) if h >> 63 else h for h in deletable(parse(p))) if isinstance(p, str) else [] for p in pdf["html"]]
-        yield pd.DataFrame({"page_id": pdf["page_id"].array, "host": hosts, "subtree": found})
+        trees = [parse(p if isinstance(p, str) else "") for p in pdf["html"]]
+        found = [sorted(_signed(h) for h in deletable(t)) for t in trees]
+        yield pd.DataFrame({"page_id": pdf["page_id"].array, "host": hosts, "whole": [_signed(t[0].digest) for t in trees], "subtree": found})
 
 
 def _texts(batches):
@@ -238,10 +288,11 @@ def extract(
     """
     scratch = Scratch(spark, "html")
     src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    found = scratch.save(src.mapInPandas(_subtrees, "page_id long, host string, subtree array<long>"), "subtrees")
-    sizes = found.groupBy("host").agg(F.count("*").alias("pages"))
+    found = scratch.save(src.mapInPandas(_subtrees, "page_id long, host string, whole long, subtree array<long>"), "subtrees")
+    once = found.groupBy("host", "whole").agg(F.first("subtree").alias("subtree"))
+    sizes = once.groupBy("host").agg(F.count("*").alias("pages"))
+    counts = once.select("host", F.explode("subtree").alias("subtree")).groupBy("host", "subtree").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
     each = found.select("page_id", "host", F.explode("subtree").alias("subtree"))
-    counts = each.groupBy("host", "subtree").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
     template = counts.join(sizes, "host").filter(F.col("n") >= min_share * F.col("pages")).select("host", "subtree")
     template = scratch.save(template, "template")
     hits = each.join(template, ["host", "subtree"]).groupBy("page_id", "host").agg(F.collect_set("subtree").alias("hits"))
