@@ -79,6 +79,16 @@ def test_jaccard_against_brute_force(spark, odd):
             jaccard.HOT = was
 
 
+def test_copies_of_a_row_without_id_stay_together(spark):
+    near = sentence(3, 80).split()
+    rows = [(None, sentence(2, 80)), (5, sentence(2, 80)), (7, sentence(2, 80)), (None, " ".join(near)), (9, " ".join(near)), (8, " ".join(near[:79] + ["x"])), (None, "no id at all here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard.jaccard_classes(spark, df).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_classes(rows)
+    assert sorted(r.component_id for r in got if r.doc_id in (5, 7, 8, 9)) == [5, 5, 8, 8]
+    assert sorted(r.doc_id for r in jaccard.one_of_each(spark, df).collect() if r.doc_id is not None) == [5, 8]
+
+
 def test_one_of_each_group_stays(spark, odd):
     left = jaccard.one_of_each(spark, odd)
     assert left.columns == odd.columns

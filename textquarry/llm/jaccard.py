@@ -175,18 +175,20 @@ class Join:
         schema = "doc_id long, key long, n int, sid long, bits array<long>, pre array<long>"
         rows = save(self.docs.mapInPandas(_sets(self.words, pct), schema), "rows")
         first = [F.first(c).alias(c) for c in ("n", "bits", "pre")]
-        sets = save(rows.filter("sid is not null").groupBy("sid").agg(F.min("key").alias("key"), *first), "sets")
-        ids, reps = save(rows.select("doc_id", "n", "sid"), "ids"), save(sets.select("sid", "key", "n"), "reps")
+        # a set is read again under its smallest id, which also names it; LOWEST stands for copies that all lack one
+        own = F.min(F.when(F.col("doc_id").isNotNull(), F.col("key")))
+        key = [own.alias("own"), F.coalesce(own, F.lit(LOWEST)).alias("key")]
+        sets = save(rows.filter("sid is not null").groupBy("sid").agg(*key, *first), "sets")
+        ids, reps = save(rows.select("doc_id", "n", "sid"), "ids"), save(sets.select("sid", "own", "key", "n"), "reps")
         self.scratch.keep_only(sets, ids, reps)
         boundary = self.boundary(sets)
         edges = [save(e, "links") for e in (self.light(reps, boundary),) if e is not None]
         edges.append(save(self.heavy(sets, -(-pct * (boundary + 1) // 100), [ids, reps, *edges]), "links"))
         self.scratch.keep_only(ids, reps, *edges)
         comp = components(self.scratch, union_all(edges))
-        named = save(reps.select("sid", "key").join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid")), "named")
-        lowest = F.min(F.when(F.col("key") != LOWEST, F.col("key")))
+        named = save(reps.select("sid", "own").join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid")), "named")
         # a null id has no place in the order of ids; copies of a set count through its smallest id
-        names = named.groupBy("component").agg(lowest.alias("component_id"))
+        names = named.groupBy("component").agg(F.min("own").alias("component_id"))
         named = save(named.join(names, "component").select("sid", "component_id"), "names")
         out = ids.select("doc_id", "n", "sid").join(named, "sid", "left")
         return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
