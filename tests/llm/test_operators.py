@@ -95,6 +95,14 @@ def test_one_of_each_group_stays(spark, odd):
     assert sorted(r.doc_id for r in left.collect() if r.doc_id is not None) == [1, 2, 3, 4, 7, 8, 10]
 
 
+def test_clashing_ids_lose_only_the_row_with_a_smaller_copy(spark):
+    a, b = sentence(4, 60), sentence(5, 60)
+    df = docs(spark, [(i, t, "en", "a") for i, t in ((5, a), (5, b), (3, b), (8, a), (5, None), (6, sentence(6, 60)), (6, sentence(6, 60)))])
+    left = jaccard.one_of_each(spark, df)
+    assert left.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([(3, b), (5, a), (5, None), (6, sentence(6, 60))], key=str)
+
+
 def test_overlap_bounds():
     for s in range(1, 40):
         for t in jaccard.partner_sizes(s):

@@ -108,6 +108,17 @@ def digest(h: np.ndarray) -> int:
     return int(both.astype(np.int64)[0])
 
 
+def set_names(words: int):
+    """Column function from texts to the names of their sets; null for empty ones."""
+
+    @F.pandas_udf("long")
+    def run(texts: pd.Series) -> pd.Series:
+        sets = (set_of(w, words) for _, w in words_by_doc(texts.tolist(), BLANKS))
+        return pd.Series([digest(h) if len(h) else None for h in sets], dtype="Int64")
+
+    return run
+
+
 def _whole(words: int):
     """(sid, h) for rows whose set is the wanted one."""
 
@@ -170,7 +181,8 @@ class Join:
     def linked(self, inter: Column, a: Column, b: Column) -> Column:
         return inter * (100 + self.percent) >= (a + b) * self.percent
 
-    def run(self) -> DataFrame:
+    def run(self, *more: str) -> DataFrame:
+        """doc_id, n_shingles and component_id; ``more`` may name sid."""
         save, pct = self.scratch.save, self.percent
         schema = "doc_id long, key long, n int, sid long, bits array<long>, pre array<long>"
         rows = save(self.docs.mapInPandas(_sets(self.words, pct), schema), "rows")
@@ -191,7 +203,7 @@ class Join:
         names = named.groupBy("component").agg(F.min("own").alias("component_id"))
         named = save(named.join(names, "component").select("sid", "component_id"), "names")
         out = ids.select("doc_id", "n", "sid").join(named, "sid", "left")
-        return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *more)
 
     def boundary(self, reps: DataFrame) -> int:
         """The size up to which enumerating subsets is cheaper than scanning lists."""
@@ -354,16 +366,22 @@ def one_of_each(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     """
     scratch = Scratch(spark, "one-of-each")
     join = Join(spark, docs, id_col, text_col, options.get("words", WORDS), options.get("percent", PERCENT))
-    classes = scratch.save(join.run(), "classes")
+    classes = scratch.save(join.run("sid"), "classes")
     join.scratch.keep_only()
-    key = fresh(docs, "_gone")
-    gone = classes.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(key)).distinct()
+    key, name, own = fresh(docs, "_gone"), fresh(docs, "_lost_set"), fresh(docs, "_own_set")
+    lost = classes.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(key), F.col("sid").alias(name))
+    gone = lost.select(key).distinct()
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    left = docs.join(gone, docs[id_col] == gone[key], "left_anti")
     twice = classes.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1")
     twice = scratch.save(twice.select(F.col("doc_id").alias(key)), "twice")
     if not twice.limit(1).count():
-        return left
-    again = left[id_col] == twice[key]
-    return left.join(twice, again, "left_anti").unionByName(left.join(twice, again, "left_semi").dropDuplicates([id_col, text_col]))
+        return docs.join(gone, docs[id_col] == gone[key], "left_anti")
+    # rows that share an id: only those go whose own set has a smaller id
+    again = docs[id_col] == twice[key]
+    left = docs.join(twice, again, "left_anti")
+    left = left.join(gone, left[id_col] == gone[key], "left_anti")
+    clash = docs.join(twice, again, "left_semi").withColumn(own, set_names(join.words)(text_col))
+    lost = scratch.save(lost.join(twice, key, "left_semi").distinct(), "lost")
+    clash = clash.join(lost, (clash[id_col] == lost[key]) & (clash[own] == lost[name]), "left_anti")
+    return left.unionByName(clash.drop(own).dropDuplicates([id_col, text_col]))
