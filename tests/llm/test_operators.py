@@ -226,6 +226,20 @@ def test_language_of_whole_texts(spark, odd):
     assert all(out[i].lang_pred == "und" and out[i].score == 0 for i in (500, 501, 502))
 
 
+def test_language_is_learned_from_all_of_a_text(spark):
+    head = sentence(0, 2000)  # a header in another language, longer than what is learned of a text
+    french = lambda i, n: sentence(i, n).replace("th", "ç").replace("o", "é")
+    rows = [(i, sentence(i, 200), "en", "a") for i in range(20)] + [(100 + i, head + " " + french(i, 8000), "fr", "a") for i in range(20)]
+    model = language.fit(docs(spark, rows), F.lit(True))
+    out = {r.doc_id: r for r in language.predict(docs(spark, [(1, sentence(77), None, "a"), (2, french(78, 40), None, "a")]), model).collect()}
+    assert (out[1].lang_pred, out[2].lang_pred) == ("en", "fr") and ord("ç") in model.alphabet
+
+
+def test_too_many_languages_are_refused(spark):
+    with pytest.raises(ValueError):
+        language.fit(docs(spark, [(i, "text", f"l{i}", "a") for i in range(201)]), F.lit(True))
+
+
 def labelled(spark, bad):
     rows = [(i, bad(i) if i % 3 == 0 else sentence(i, 60), "en", f"src{i % 3}") for i in range(300)] + [(900, None, None, None), (901, "", "en", "x")]
     labels = spark.createDataFrame([(i, int(i % 3 != 0), int(i % 3 == 0)) for i in range(300)], "doc_id long, quality int, toxic int")

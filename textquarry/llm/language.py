@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 TRAIN_DOCS = 48
 TRAIN_CHARS = 24_000
 CHARS_PER_DOC = 2_000
+#: More languages than this are refused: each has a table of its own in every worker.
 MAX_LANGUAGES = 200
 WINDOW = 1024
 #: Windows advanced together.
@@ -158,22 +159,32 @@ def parse(texts: list, m: Model) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(docs: DataFrame, learn: Column, id_col="doc_id", text_col="text", lang_col="lang") -> Model:
-    """Automata of labelled rows for which ``learn`` holds: a bounded sample by hash of the id."""
+    """Automata of labelled rows for which ``learn`` holds: a bounded sample by hash of the id.
+
+    Of a sampled text, a window that starts at a place chosen by hash is learned.
+    """
     u = F.pmod(F.xxhash64(F.col(id_col), F.lit(29)), F.lit(1 << 30))
     known = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     known = known.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("_text"), u.alias("_u"))
-    sizes = known.groupBy("_lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_lang").limit(MAX_LANGUAGES).collect()
+    sizes = known.groupBy("_lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_lang").limit(MAX_LANGUAGES + 1).collect()
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} values of {lang_col} to learn")
     keep = F.lit(False)
     for r in sizes:  # before any shuffle, about four times the documents that are wanted
         keep = keep | ((F.col("_lang") == r["_lang"]) & (F.col("_u") < int(min(1.0, 4 * TRAIN_DOCS / r["n"]) * (1 << 30))))
     nth = F.row_number().over(Window.partitionBy("_lang").orderBy("_u", "_id"))
-    rows = known.filter(keep).select("_lang", "_u", "_id", F.substring("_text", 1, 4 * CHARS_PER_DOC).alias("_text"))
+    turn = F.pmod(F.xxhash64("_id", F.lit(31)), F.lit(1 << 30))
+    first = turn % (F.greatest(F.length("_text") - 4 * CHARS_PER_DOC, F.lit(0)) + 1) + 1
+    window = F.col("_text").substr(first.cast("int"), F.lit(4 * CHARS_PER_DOC))
+    rows = known.filter(keep).select("_lang", "_u", "_id", turn.alias("_turn"), window.alias("_text"))
     rows = rows.withColumn("nth", nth).filter(F.col("nth") <= TRAIN_DOCS).orderBy("_lang", "nth").collect()
     texts: dict[str, list[np.ndarray]] = {}
     for r in rows:
         got = texts.setdefault(r["_lang"], [])
         if sum(map(len, got)) < TRAIN_CHARS:
-            got.append(symbols(r["_text"])[:CHARS_PER_DOC])
+            part = symbols(r["_text"])
+            at = r["_turn"] % (max(len(part) - CHARS_PER_DOC, 0) + 1)
+            got.append(part[at : at + CHARS_PER_DOC])
     texts = {k: v for k, v in texts.items() if sum(map(len, v))}
     langs = sorted(texts)
     joined = {k: np.concatenate(texts[k])[:TRAIN_CHARS] for k in langs}
