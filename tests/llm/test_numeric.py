@@ -79,28 +79,37 @@ def test_symbols_keep_letters_only():
     assert len(language.symbols("12 !")) == len(language.symbols(None)) == len(language.symbols("")) == 0
 
 
-@pytest.mark.parametrize("weights", [{"a": 1.0}, {"a": 1, "b": 1, "c": 5}, {f"s{i}": i + 0.3 for i in range(17)}])
+@pytest.mark.parametrize(
+    "weights", [{"a": 1.0}, {"a": 1, "b": 1, "c": 5}, {f"s{i:02}": i + 0.3 for i in range(17)}, {"a": 2000, "b": 1, "c": 1}, {"a": 0.1, "b": 0.2, "c": 1e-3}]
+)
 def test_pfair_windows_and_lag(weights):
-    parts = mixing.quantize(weights, 200)
-    period = sum(parts.values())
-    slots = mixing.edf_period(parts)
-    assert sorted(t for v in slots.values() for t in v) == list(range(period))
-    for s, at in slots.items():
-        for k, t in enumerate(at):
-            assert k * period // parts[s] <= t < -(-(k + 1) * period // parts[s])
-        got = np.cumsum(np.isin(np.arange(period), at))
-        assert (np.abs(got - np.arange(1, period + 1) * parts[s] / period) < 1).all()
-
-
-def test_phases_place_every_block_once():
-    plan = mixing.phases({"a": 700, "b": 40, "c": 3, "d": 0}, {"a": 1.0, "b": 2.0, "c": 0.5, "d": 1.0}, 100)
-    used, slots = {}, []
-    for r in plan:
-        for b in range(r["lo"], r["hi"]):
-            k = b - r["lo"]
-            slots.append(r["at"] + k // r["parts"] * r["period"] + r["slots"][k % r["parts"]])
-        used[r["src"]] = used.get(r["src"], 0) + r["hi"] - r["lo"]
-    assert used == {"a": 700, "b": 40, "c": 3} and sorted(slots) == list(range(743))
+    w = mixing.whole_weights(weights)
+    assert all(abs(w[s] * sum(weights.values()) / (weights[s] * sum(w.values())) - 1) < 1e-9 for s in w)
+    total = sum(w.values())
+    plan = mixing.edf(dict.fromkeys(w, 500), w)
+    assert sorted((s, k) for s, k, *_ in plan) == sorted((s, k) for s in w for k in range(500))
+    done = dict.fromkeys(w, 0)
+    for n, (s, k, release, slot, due) in enumerate(plan):
+        assert k == done[s] and release == k * total // w[s] <= slot < due == -(-(k + 1) * total // w[s])
+        done[s] += 1
+        if max(done.values()) < 500:  # nothing is used up yet: no slot is skipped
+            assert slot == n
+        if n + 1 < len(plan):  # against the target itself, at the next slot's clock
+            clock = plan[n + 1][3]
+            assert all(abs(done[x] * total - clock * w[x]) < total for x in w if done[x] < 500)
+
+
+def test_schedules_of_odd_weights():
+    plan = mixing.edf({"a": 700, "b": 40, "c": 3, "d": 0, "e": 5, "f": 4}, mixing.whole_weights({"a": 1.0, "b": 2.0, "c": 0.5, "d": 1.0, "e": 0, "f": 0.0}))
+    assert len(plan) == 752 and [r[0] for r in plan[743:]] == list("efefefefe")
+    assert [r[0] for r in mixing.edf({"a": 2, "b": 2}, {"a": 0, "b": 0})] == list("abab")
+    tiny = mixing.edf({"a": 3, "b": 3}, mixing.whole_weights({"a": 1, "b": 1.1e-6}))
+    assert [r[0] for r in tiny] == ["a", "a", "a", "b", "b", "b"] and tiny[3][2:] == (0, 3, -(-(10**7 + 11) // 11))
+    many = mixing.edf({f"s{i}": 1 + i % 7 for i in range(10_000)}, {f"s{i}": 1 + i % 97 for i in range(10_000)})
+    assert len(many) == sum(1 + i % 7 for i in range(10_000))
+    for bad in (-1.0, float("nan"), float("inf")):
+        with pytest.raises(ValueError):
+            mixing.whole_weights({"a": 1, "b": bad})
 
 
 @pytest.mark.parametrize("n", [64, 128, 184, 320, 5504, transport.UNIT - 2, transport.UNIT, transport.UNIT + 64, 9 * transport.UNIT + 1])

@@ -197,17 +197,29 @@ def test_shards_are_near_equal_and_gapless(spark):
     assert {(r.doc_id, r.size, r.text_crc32) for r in out} == {(i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in texts}
 
 
-def test_mixture_keeps_windows_and_all_rows(spark, odd):
+def test_mixture_keeps_windows_and_all_rows(spark, odd, tmp_path):
     rows = [(i, "t", "en", "abcd"[min(3, i % 7)]) for i in range(3000)] + [(None, None, None, None)] * 3
     out = mixing.mix(spark, docs(spark, rows), block_rows=4).collect()
     assert len(out) == 3003 and len({r.position for r in out}) == 3003
     assert all(r.release <= r.slot < r.deadline for r in out)
-    slots = {(r.source, r.phase, r.block): r.slot for r in out}
-    assert sorted(slots.values()) == list(range(len(slots)))
+    slots = {(r.source, r.block): r.slot for r in out}
+    assert len(set(slots.values())) == len(slots)
+    order = sorted({(r.position // 4, r.slot) for r in out})
+    assert [p for p, _ in order] == list(range(len(slots))) and sorted(s for _, s in order) == [s for _, s in order]
+    some = {"a": 0, "b": 1e-6, "c": 3, "d": 1, None: 2}
+    last = [r.source for r in sorted(mixing.mix(spark, docs(spark, rows), weights=some).collect(), key=lambda r: r.position)]
+    assert last.index("a") == 3003 - last.count("a")
     with pytest.raises(ValueError):
         mixing.mix(spark, odd, weights={"a": 1.0}).count()
     ordered = mixing.in_mixed_order(spark, docs(spark, rows))
     assert ordered.columns == docs(spark, rows).columns and ordered.count() == 3003
+    place = {r.doc_id: r.position for r in mixing.mix(spark, docs(spark, rows)).collect()}
+    path = f"{tmp_path}/mixed"
+    ordered.write.parquet(path)
+    back = mixing.stored_place(spark.read.parquet(path)).collect()
+    back = [r.doc_id for r in sorted(back, key=lambda r: (r.mix_part, r.mix_row))]
+    assert [place[i] for i in back if i is not None] == sorted(place[i] for i in back if i is not None)
+    assert mixing.stored_place(docs(spark, rows)).filter("mix_part is not null").count() == 0
 
 
 def test_media_keep_texts(spark, odd):

@@ -1,87 +1,84 @@
 """Interleaving sources to target weights by proportionate-fair (Pfair) scheduling.
 
-Documents of a source form blocks of ``block_rows``.  With weight w, block k (from 1)
-is released at floor((k-1)/w) and due at ceil(k/w); earliest deadline first among the
-released blocks keeps every source within one block of its ideal share at all times
-(Baruah et al., 1996; on one processor plain EDF suffices).  Weights are multiples of
-1/period, so the schedule repeats and only one period is ever simulated.  When a source
-is used up, the others share its weight and a new phase starts, so that every document
-gets exactly one place.
+Documents of a source form blocks.  With weight w, a share of all weights, block k (from
+0) is released at floor(k/w) and due at ceil((k+1)/w) on a clock that counts blocks;
+earliest deadline first among the released blocks keeps every source within one block of
+its target at all times (Baruah et al., 1996; one block at a time needs no more than plain
+EDF).  Weights are exact rationals, nothing is rounded.  When a source is used up its
+windows stay empty: the clock skips to the next release, so that the others go on in
+their own proportions, each within one block.  Every document gets exactly one place.
+
+The schedule holds a row for each block, not for each document: blocks grow with the
+corpus so that there are at most ``MAX_BLOCKS`` of them and one for each source.
 """
 
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_left
+from fractions import Fraction
+from math import gcd, lcm
 
+import numpy as np
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, fresh, partitions_for
 
 BLOCK_ROWS = 8
-PERIOD = 1000
+MAX_BLOCKS = 1 << 20
+MAX_SOURCES = 100_000
 ROWS_PER_BUCKET = 20_000
-SMALL_TABLE_BYTES = 8 << 20
+#: A schedule of so many blocks (24 bytes each) is broadcast; a longer one is joined by its key.
+BROADCAST_BLOCKS = 1 << 17
 BROADCAST_IDS = 500_000
 
 
-def quantize(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Whole parts of ``period`` by largest remainders, at least one for each source."""
-    period = max(period, 10 * len(weights))
-    total = sum(weights.values())
-    exact = {s: period * w / total for s, w in weights.items()}
-    parts = {s: max(1, int(x)) for s, x in exact.items()}
-    order = sorted(weights, key=lambda s: (-(exact[s] - int(exact[s])), s))
-    while (gap := period - sum(parts.values())) != 0:
-        if gap > 0:
-            for s in order[:gap]:
-                parts[s] += 1
-        else:
-            for s in sorted(parts, key=lambda s: (exact[s] - parts[s], s))[:-gap]:
-                parts[s] -= parts[s] > 1
-    return parts
-
-
-def edf_period(parts: dict[str, int]) -> dict[str, list[int]]:
-    """Slots of one period for each source: released blocks by earliest deadline."""
-    period = sum(parts.values())
-    waiting = [(0, s, 1) for s in sorted(parts)]
-    heapq.heapify(waiting)
-    ready: list[tuple[int, str, int]] = []
-    slots: dict[str, list[int]] = {s: [] for s in parts}
-    for t in range(period):
-        while waiting and waiting[0][0] <= t:
-            _, s, k = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-k * period // parts[s]), s, k))
-        due, s, k = heapq.heappop(ready)
-        slots[s].append(t)
-        if k < parts[s]:
-            heapq.heappush(waiting, (max(t + 1, k * period // parts[s]), s, k + 1))
-    return slots
-
-
-def phases(blocks: dict[str, int], weights: dict[str, float], period: int = PERIOD) -> list[dict]:
-    """One row for each (phase, source): its blocks, first slot, parts and slots of a period."""
-    left = {s: n for s, n in blocks.items() if n > 0}
-    done = dict.fromkeys(left, 0)
-    at, rows, phase = 0, [], 0
-    while left:
-        parts = quantize({s: weights[s] for s in left}, period)
-        size = sum(parts.values())
-        slots = edf_period(parts)
-        last = min((n - 1) // parts[s] * size + slots[s][(n - 1) % parts[s]] + 1 for s, n in left.items())
-        for s in list(left):
-            used = last // size * parts[s] + bisect_left(slots[s], last % size)
-            rows.append(
-                {"src": s, "phase": phase, "lo": done[s], "hi": done[s] + used, "at": at, "parts": parts[s], "period": size, "slots": slots[s]}
-            )
-            done[s] += used
-            left[s] -= used
-            if not left[s]:
-                del left[s]
-        at, phase = at + last, phase + 1
-    return rows
+def whole_weights(weights: dict[str, float]) -> dict[str, int]:
+    """The same proportions in whole numbers: a float stands for the decimal number it is written as."""
+    exact = {}
+    for s, w in weights.items():
+        try:
+            exact[s] = Fraction(w) if isinstance(w, (int, Fraction)) else Fraction(repr(float(w)))
+        except ValueError:
+            raise ValueError(f"the target weight of {s} is {w}") from None
+        if exact[s] < 0:
+            raise ValueError(f"the target weight of {s} is {w}")
+    scale = lcm(*(x.denominator for x in exact.values()))
+    out = {s: int(x * scale) for s, x in exact.items()}
+    shared = gcd(*out.values())
+    return {s: x // max(shared, 1) for s, x in out.items()}
+
+
+def edf(blocks: dict[str, int], weights: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
+    """(source, block, release, slot, deadline) in the order of the mixture.
+
+    The earliest deadline among released blocks runs, then the smaller name.  Sources of
+    weight 0 follow when all others are used up, in equal shares.
+    """
+    out: list[tuple[str, int, int, int, int]] = []
+    clock = 0
+    first = {s: n for s, n in blocks.items() if n > 0 and weights[s] > 0}
+    last = {s: n for s, n in blocks.items() if n > 0 and not weights[s]}
+    for group, weight in ((first, weights), (last, dict.fromkeys(last, 1))):
+        total, start = sum(weight[s] for s in group), clock
+        waiting = [(start, s, 0) for s in sorted(group)]
+        heapq.heapify(waiting)
+        ready: list[tuple[int, str, int, int]] = []
+        while waiting or ready:
+            if not ready and waiting[0][0] > clock:
+                clock = waiting[0][0]
+            while waiting and waiting[0][0] <= clock:
+                release, s, k = heapq.heappop(waiting)
+                heapq.heappush(ready, (start - (-(k + 1) * total // weight[s]), s, k, release))
+            due, s, k, release = heapq.heappop(ready)
+            out.append((s, k, release, clock, due))
+            clock += 1
+            if k + 1 < group[s]:
+                # a block waits for the one before it even where their windows overlap
+                heapq.heappush(waiting, (start + (k + 1) * total // weight[s], s, k + 1))
+    return out
 
 
 def mix(
@@ -89,19 +86,21 @@ def mix(
     docs: DataFrame,
     weights: dict[str | None, float] | None = None,
     block_rows: int = BLOCK_ROWS,
-    period: int = PERIOD,
     temperature: float = 0.5,
     id_col: str = "doc_id",
     source_col: str = "source",
 ) -> DataFrame:
-    """A place in the mixture for every row: doc_id, source, phase, block, release, slot, deadline, position.
+    """A place in the mixture for every row: doc_id, source, block, release, slot, deadline, position.
 
     ``weights`` gives a target weight for each source; without it a source weighs its
-    number of rows to the power ``temperature``.  Sources missing from ``weights``
-    raise ValueError.  A null source is a source of its own.  Within a source rows are
-    dealt to blocks in the order of a hash of the id.  Repeated rows each get a place.
-    ``release <= slot < deadline`` holds within each phase.  An empty table gives an
-    empty result.  The number of sources is collected and must stay below 100,000.
+    number of rows to the power ``temperature``, to the nearest whole number.  Sources
+    missing from ``weights``, negative and non-finite weights raise ValueError; sources of
+    weight 0 come last.  A null source is a source of its own.  Blocks have ``block_rows``
+    rows, or as many as keep their number below MAX_BLOCKS.  Within a source rows are dealt
+    to blocks in the order of a hash of the id.  Repeated rows each get a place.
+    ``release <= slot < deadline`` holds for every block, ``position`` numbers the rows of
+    the mixture, with gaps after blocks that are not full.  An empty table gives an empty
+    result.  The number of sources is collected and must stay below MAX_SOURCES.
     """
     scratch = Scratch(spark, "mixing")
     base = scratch.save(
@@ -114,16 +113,18 @@ def mix(
         ),
         "base",
     )
-    counts = {r["src"]: r["n"] for r in base.groupBy("src").agg(F.count("*").alias("n")).limit(100_000).collect()}
-    if len(counts) >= 100_000:
+    counts = {r["src"]: r["n"] for r in base.groupBy("src").agg(F.count("*").alias("n")).limit(MAX_SOURCES).collect()}
+    if len(counts) >= MAX_SOURCES:
         raise ValueError("too many sources for a target weight each")
     if weights is None:
-        targets = {s: n**temperature for s, n in counts.items()}
+        targets = {s: max(1, round(n**temperature)) for s, n in counts.items()}
     else:
         given = {("null" if s is None else f"s:{s}"): w for s, w in weights.items()}
         if missing := sorted(set(counts) - set(given)):
             raise ValueError(f"no target weight for {missing}")
         targets = {s: given[s] for s in counts}
+    targets = whole_weights(targets)
+    block_rows = max(block_rows, -(-sum(counts.values()) // MAX_BLOCKS))
 
     # place within the source: buckets of a hash are counted, then numbered inside
     buckets = partitions_for(max(counts.values(), default=0), ROWS_PER_BUCKET, 16)
@@ -137,31 +138,20 @@ def mix(
     inside = Window.partitionBy("src", "bucket").orderBy("h", "doc_id", "rid")
     ranked = base.withColumn("rn", F.row_number().over(inside)).join(sizes, ["src", "bucket"])
     nth = F.col("before") + F.col("rn") - 1
-    ranked = ranked.select(
-        "doc_id", "source", "src", F.floor(nth / block_rows).alias("block"), F.pmod(nth, F.lit(block_rows)).alias("inner")
-    )
-
-    plan = phases({s: -(-n // block_rows) for s, n in counts.items()}, targets, period)
-    schema = "src string, phase int, lo long, hi long, at long, parts int, period int, slots array<int>"
-    table = spark.createDataFrame([tuple(r.values()) for r in plan], schema)
-    if sum(4 * len(r["slots"]) + 64 for r in plan) <= SMALL_TABLE_BYTES:
-        table = F.broadcast(table)
-    joined = ranked.alias("r").join(table.alias("p"), (F.col("r.src") == F.col("p.src")) & F.expr("block >= lo and block < hi"))
-    k = F.col("block") - F.col("lo")
-    cycle = F.floor(k / F.col("parts"))
-    slot = F.col("at") + cycle * F.col("period") + F.get("slots", F.pmod(k, F.col("parts")).cast("int"))
-    release = F.col("at") + F.floor(k * F.col("period") / F.col("parts"))
-    due = F.col("at") + F.ceil((k + 1) * F.col("period") / F.col("parts"))
-    return joined.select(
-        "doc_id",
-        "source",
-        "phase",
-        "block",
-        release.alias("release"),
-        slot.alias("slot"),
-        due.alias("deadline"),
-        (slot * block_rows + F.col("inner")).alias("position"),
-    )
+    ranked = ranked.select("doc_id", "source", "src", F.floor(nth / block_rows).alias("block"), F.pmod(nth, F.lit(block_rows)).alias("inner"))
+
+    plan = edf({s: -(-n // block_rows) for s, n in counts.items()}, targets)
+    if plan and max(r[4] for r in plan) >= 1 << 62:
+        raise ValueError("target weights too far apart for a clock of 62 bits")
+    names = ("src", "block", "release", "slot", "deadline")
+    columns = list(zip(*plan)) or [()] * 5
+    arrays = [pa.array(columns[0], pa.string()), *(pa.array(np.array(c, np.int64)) for c in columns[1:])]
+    schedule = spark.createDataFrame(pa.table([*arrays, pa.array(np.arange(len(plan)))], [*names, "turn"]))
+    schedule = scratch.save(schedule, "schedule")
+    if len(plan) <= BROADCAST_BLOCKS:
+        schedule = F.broadcast(schedule)
+    out = ranked.join(schedule, ["src", "block"])
+    return out.select("doc_id", "source", "block", "release", "slot", "deadline", (F.col("turn") * block_rows + F.col("inner")).alias("position"))
 
 
 def in_mixed_order(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
@@ -177,3 +167,19 @@ def in_mixed_order(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
         places = F.broadcast(places)
     joined = docs.join(places, docs[id_col].eqNullSafe(places[key]), "left")
     return joined.orderBy(place).drop(key, place)
+
+
+def stored_place(docs: DataFrame) -> DataFrame:
+    """``docs`` with mix_part and mix_row, the file and the row of it where a table written in order holds the row.
+
+    Files are read back in any order, the largest first; these two columns give the order
+    in which they were written.  Both are null for tables that aren't read from files.
+    """
+    part, row = F.lit(None).cast("long"), F.lit(None).cast("long")
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:
+        return docs.withColumns({fresh(docs, "mix_part"): part, fresh(docs, "mix_row"): row})
+    found = [F.regexp_extract("_metadata.file_name", rx, 1).cast("long") for rx in (r"^part-(\d+)-", r"-c(\d+)\.")]
+    part = F.coalesce(found[0], F.lit(0)) * (1 << 20) + F.coalesce(found[1], F.lit(0))
+    return docs.withColumns({fresh(docs, "mix_part"): part, fresh(docs, "mix_row"): F.col("_metadata.row_index")})

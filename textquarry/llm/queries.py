@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, table
+from .common import Scratch, crc_bucket, table
 
 
 def op1_pfair_mix(spark, sf_dir):
@@ -24,6 +24,7 @@ def op3_toxic_segments(spark, sf_dir):
 
     held = crc_bucket("doc_id", 3) == 1
     out = toxicity(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held)
+    out = Scratch(spark, "toxicity").save(out, "scores")  # written with small batches of texts
     return out.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", "predicted", "n_tokens", F.size("passages").alias("n_passages"))
 
 

@@ -1,9 +1,13 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
-Model.  A token's log-odds compares how often toxic and clean training documents
-contain it, under an informative Dirichlet prior: a word's prior share is the posterior
-share of its 5-byte prefix, that one's of its 4-byte prefix, whose prior is even odds.
-Rare and unseen inflections so inherit what their stem shows, and noise shrinks to 0.
+Model.  Of every word and of its 5-byte and 4-byte prefixes, toxic and clean training
+documents are counted.  A word is either indifferent or toxic: its share of toxic
+documents has one of two Beta (two-class Dirichlet) priors, one tight around the share
+among all documents, one near 1.  How many words are toxic is fitted over all counts,
+from a prior share of them; what is left of a prefix's counts without the word's own
+shifts the word's prior.  The log-odds of the mean share is the word's score, so that a
+single toxic document proves little, whatever the sample's size, and unseen inflections
+inherit what their stem shows.
 
 Scan.  All maximal scoring segments of a text are found in linear time (Ruzzo and
 Tompa, 1999).  Runs of tokens between two positive ones enter as one sum.
@@ -13,12 +17,14 @@ E = K n exp(-lambda S) (Karlin and Altschul, 1990).  lambda solves
 sum p(s) exp(lambda s) = 1 over clean tokens, K is fitted on clean documents.  A
 document's statistic is the sum of max(0, lambda S - ln K n) over its segments (or that
 of the best one where none is significant), and a one-dimensional logistic fit on the
-training sample turns it into a chance.
+training sample turns it into a chance.  Training documents are measured with scores
+from which their own count is taken, as new documents would be.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from math import lgamma
 
 import numpy as np
 import pandas as pd
@@ -26,14 +32,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import slices, width
 from .textnum import NON_WORD, Words, word_runs
 
-#: Bound of the training sample, documents of each class, and of the fitted table.
+#: Bound of the training sample, documents of each class.
 SAMPLE_PER_CLASS = 6000
-MAX_FEATURES = 200_000
-KAPPA = 2.0
+#: Prior of a toxic word's share of toxic documents, and weight of the prior of others.
+TOXIC_PRIOR, OTHER_WEIGHT = (8.0, 1.0), 100.0
+#: Toxic among all words, and how many words this guess weighs as much as.
+TOXIC_SHARE, SHARE_WEIGHT = 0.002, 10_000.0
+#: Weight of the longer prefix's chance in the prior of a word.
+INHERIT = 0.5
 DRIFT = 0.5
-MIN_SUPPORT = 3
 LEVELS = (None, 5, 4)
 THRESHOLD = 0.7
 #: A statistic beyond this (chance below 1e-5) adds nothing to the calibration.
@@ -46,27 +56,36 @@ SCHEMA = "doc_id long, score double, n_tokens int, passages array<struct<first:i
 
 @dataclass
 class Model:
+    """Scores by level; ``less`` has those without one toxic (1) or clean (0) document of their count."""
+
     keys: list[np.ndarray]
     odds: list[np.ndarray]
+    less: dict[int, list[np.ndarray]] = field(default_factory=dict)
     lam: float = 1.0
     log_k: float = 0.0
     slope: float = 1.0
     bias: float = 0.0
 
-    def token_scores(self, w: Words) -> np.ndarray:
-        """Log-odds less the drift: of the word if known, else of its longest known prefix."""
+    def token_scores(self, w: Words, label: np.ndarray | None = None) -> np.ndarray:
+        """Log-odds less the drift: of the word if known, else of its longest known prefix.
+
+        ``label``: the class of each text, where the texts are those the model was fitted on.
+        """
         out = np.zeros(len(w.hash))
         open_ = np.ones(len(out), bool)
-        for keys, odds, n in zip(self.keys, self.odds, LEVELS):
+        for level, (keys, odds, n) in enumerate(zip(self.keys, self.odds, LEVELS)):
             if not len(keys):
                 continue
             h = w.hash if n is None else w.prefix(n)
             at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
             hit = open_ & (keys[at] == h)
-            out[hit] = odds[at[hit]]
+            out[hit] = odds[at[hit]] if label is None else np.where(label[w.doc[hit]] > 0, self.less[1][level][at[hit]], self.less[0][level][at[hit]])
             open_ &= ~hit
         return out - DRIFT
 
+    def chance(self, statistic: float) -> float:
+        return float(1 / (1 + np.exp(-np.clip(self.slope * statistic + self.bias, -500, 500))))
+
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments as (first, last, sum), in linear time."""
@@ -98,23 +117,25 @@ def statistic(segments: list[tuple[int, int, float]], n: int, m: Model) -> float
     return min(float(sum(good)), CERTAIN) if good else float(max(x))
 
 
-def _doc_scores(texts, m: Model):
-    """(index, token scores) of every text, long ones put together from their pieces."""
-    held: dict[int, list] = {}
+def _doc_scores(texts, m: Model, label: np.ndarray | None = None):
+    """Token scores of every text in order; each is let go of once the words of the next one begin."""
+    held: list[np.ndarray] = []
+    at, none = 0, np.zeros(0)
     for w in word_runs(texts, NON_WORD):
-        s = m.token_scores(w)
+        s = m.token_scores(w, label)
         cuts = np.flatnonzero(np.diff(w.doc)) + 1
-        first = np.concatenate(([0], cuts)) if len(s) else []
-        last = np.concatenate((cuts, [len(s)])) if len(s) else []
-        for a, b in zip(first, last):
-            held.setdefault(int(w.doc[a]), []).append(s[a:b])
-    none = np.zeros(0)
-    for i in range(len(texts)):
-        yield i, np.concatenate(held[i]) if i in held else none
+        for a, b in zip(np.concatenate(([0], cuts)), np.concatenate((cuts, [len(s)]))) if len(s) else ():
+            while at < w.doc[a]:
+                yield np.concatenate(held) if held else none
+                held, at = [], at + 1
+            held.append(s[a:b])
+    while at < len(texts):
+        yield np.concatenate(held) if held else none
+        held, at = [], at + 1
 
 
 def _sample(docs: DataFrame, labels: DataFrame, learn, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """At most about SAMPLE_PER_CLASS labelled rows of each class, by hash of the id."""
+    """At most about SAMPLE_PER_CLASS labelled rows of each class, by hash of the id; equal texts of a class count once."""
     marked = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & learn)
     marked = marked.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_y"))
     sizes = {r["_y"]: r["n"] for r in marked.groupBy("_y").agg(F.count("*").alias("n")).collect()}
@@ -125,111 +146,167 @@ def _sample(docs: DataFrame, labels: DataFrame, learn, id_col: str, text_col: st
     picked = marked.filter(keep)
     # at most 2 x SAMPLE_PER_CLASS rows of two integers
     texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
-    return texts.join(F.broadcast(picked), F.col("_doc") == F.col("_id")).select("_id", "_text", "_y")
+    rows = texts.filter("_text is not null").join(F.broadcast(picked), F.col("_doc") == F.col("_id"))
+    return rows.groupBy("_y", F.xxhash64("_text").alias("_h"), F.crc32("_text").alias("_c")).agg(F.first("_text").alias("_text")).select("_text", "_y")
 
 
 def _count(batches):
-    """Of each feature, how many toxic and clean documents hold it: a partial sum for each batch."""
-    for pdf in batches:
-        texts, y = pdf["_text"].tolist(), pdf["_y"].to_numpy()
-        rows = []
-        for level, n in enumerate(LEVELS):
-            pairs = []
-            for w in word_runs(texts, NON_WORD):
-                h = w.hash if n is None else w.prefix(n)
-                pairs.append(np.unique(np.stack([h, w.doc.astype(np.uint64)]), axis=1) if len(h) else np.zeros((2, 0), np.uint64))
-            both = np.unique(np.concatenate(pairs, axis=1), axis=1) if pairs else np.zeros((2, 0), np.uint64)
-            tox = y[both[1].astype(np.int64)].astype(np.int64)
-            keys, inv = np.unique(both[0], return_inverse=True)
-            parent = np.zeros(len(keys), np.uint64)
-            if level + 1 < len(LEVELS):
-                up: dict = {}
-                for w in word_runs(texts, NON_WORD):
-                    h = w.hash if n is None else w.prefix(n)
-                    k, at = np.unique(h, return_index=True)
-                    up.update(zip(k.tolist(), w.prefix(LEVELS[level + 1])[at].tolist()))
-                parent = np.array([up[k] for k in keys.tolist()], np.uint64)
-            rows.append(
-                pd.DataFrame(
-                    {
-                        "level": np.full(len(keys), level, np.int32),
-                        "key": keys.view(np.int64),
-                        "parent": parent.view(np.int64),
-                        "a": np.bincount(inv, tox, len(keys)).astype(np.int64),
-                        "b": np.bincount(inv, 1 - tox, len(keys)).astype(np.int64),
-                    }
-                )
+    """Of each feature, how many toxic and clean documents hold it: a partial sum for each slice."""
+    for pdf in slices(batches, SLICE // 4):
+        y = pdf["_y"].to_numpy()
+        runs: list[list[np.ndarray]] = [[] for _ in LEVELS]
+        for w in word_runs(pdf["_text"].tolist(), NON_WORD):
+            forms = [w.hash if n is None else w.prefix(n) for n in LEVELS] + [np.zeros(len(w.hash), np.uint64)]
+            for level, run in enumerate(runs):
+                run.append(np.stack([forms[level], w.doc.astype(np.uint64), forms[level + 1]]))
+        for level, run in enumerate(runs):
+            h, doc, up = np.concatenate(run, axis=1)
+            order = np.lexsort((doc, h))
+            h, doc, up = h[order], doc[order].astype(np.int64), up[order]
+            once = np.ones(len(h), bool)
+            once[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+            keys, first, inv = np.unique(h[once], return_index=True, return_inverse=True)
+            toxic = y[doc[once]].astype(float)
+            yield pd.DataFrame(
+                {
+                    "level": np.full(len(keys), level, np.int32),
+                    "key": keys.view(np.int64),
+                    "parent": up[once][first].view(np.int64),
+                    "a": np.bincount(inv, toxic, len(keys)).astype(np.int64),
+                    "b": np.bincount(inv, 1 - toxic, len(keys)).astype(np.int64),
+                }
             )
-        yield pd.concat(rows)
+
+
+def _ln_beta_ratio(a: np.ndarray, b: np.ndarray, alpha: float, beta: float) -> np.ndarray:
+    """ln B(alpha + a, beta + b) / B(alpha, beta), elementwise over distinct pairs."""
+    got = {}
+    for x, y in set(zip(a.tolist(), b.tolist())):
+        got[x, y] = lgamma(alpha + x) + lgamma(beta + y) - lgamma(alpha + beta + x + y) - lgamma(alpha) - lgamma(beta) + lgamma(alpha + beta)
+    return np.array([got[k] for k in zip(a.tolist(), b.tolist())])
+
+
+def toxic_chance(a: np.ndarray, b: np.ndarray, p: float, prior: np.ndarray | float) -> np.ndarray:
+    """Chance that a word in a toxic and b clean documents is toxic, where the share p of documents is."""
+    other = _ln_beta_ratio(a, b, OTHER_WEIGHT * p, OTHER_WEIGHT * (1 - p))
+    ratio = np.exp(np.clip(_ln_beta_ratio(a, b, *TOXIC_PRIOR) - other, -700, 500))
+    return prior * ratio / (prior * ratio + 1 - prior)
+
+
+def log_odds(a: np.ndarray, b: np.ndarray, p: float, chance: np.ndarray) -> np.ndarray:
+    """Log-odds of the mean share of toxic documents, less those of all documents."""
+    toxic = (a + TOXIC_PRIOR[0]) / (a + b + sum(TOXIC_PRIOR))
+    other = (a + OTHER_WEIGHT * p) / (a + b + OTHER_WEIGHT)
+    share = chance * toxic + (1 - chance) * other
+    return np.log(share / (1 - share)) - np.log(p / (1 - p))
+
+
+def fit_share(a: np.ndarray, b: np.ndarray, n: np.ndarray, p: float) -> float:
+    """Share of toxic words among n words for each pair of counts, by expectation and maximisation."""
+    share = TOXIC_SHARE
+    for _ in range(30):
+        got = float((n * toxic_chance(a, b, p, share)).sum())
+        share = (got + SHARE_WEIGHT * TOXIC_SHARE) / (float(n.sum()) + SHARE_WEIGHT)
+    return min(share, 0.5)
+
+
+def feature_scores(top: pd.DataFrame, shares: list[float], p: float) -> Model:
+    """Scores of features (level, key, parent, a, b); a parent that isn't listed is held for indifferent."""
+    levels = [top[top.level == level].sort_values("key") for level in range(len(LEVELS))]
+    tables = [(t["key"].to_numpy(np.int64), t["a"].to_numpy(np.int64), t["b"].to_numpy(np.int64), t["parent"].to_numpy(np.int64)) for t in levels]
+
+    def scores(level: int, da: int, db: int) -> np.ndarray:
+        _, a, b, parent = tables[level]
+        a, b = np.maximum(a - da, 0), np.maximum(b - db, 0)
+        prior = np.full(len(a), shares[level])
+        if level + 1 < len(LEVELS) and len(a):
+            key, ua, ub, _ = tables[level + 1]
+            above = np.zeros(len(a))
+            if len(key):
+                at = np.minimum(np.searchsorted(key, parent), len(key) - 1)
+                known = key[at] == parent
+                # what the prefix shows without this word
+                rest = np.maximum(ua[at] - tables[level][1], 0), np.maximum(ub[at] - tables[level][2], 0)
+                above = np.where(known, toxic_chance(*rest, p, shares[level + 1]), 0.0)
+            prior = (1 - INHERIT) * prior + INHERIT * above
+        return log_odds(a, b, p, toxic_chance(a, b, p, prior))
+
+    out = Model([], [], {0: [], 1: []})
+    for level, (key, _, _, parent) in enumerate(tables):
+        odds = scores(level, 0, 0)
+        keep = odds > DRIFT
+        if level + 1 < len(LEVELS):  # an indifferent word must not pass for its toxic prefix
+            keep |= np.isin(parent, tables[level + 1][0][scores(level + 1, 0, 0) > DRIFT])
+        order = np.argsort(key[keep].view(np.uint64))
+        out.keys.append(key[keep].view(np.uint64)[order])
+        out.odds.append(odds[keep][order])
+        for y in (0, 1):
+            out.less[y].append(scores(level, y, 1 - y)[keep][order])
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn, id_col="doc_id", text_col="text", label_col="toxic") -> Model:
     """Fit on a bounded sample of the labelled rows for which ``learn`` (over ``labels``) holds."""
-    rows = _sample(docs, labels, learn, id_col, text_col, label_col)
-    counts = rows.repartition(16).mapInPandas(_count, "level int, key long, parent long, a long, b long")
-    counts = counts.groupBy("level", "key").agg(F.first("parent").alias("parent"), F.sum("a").alias("a"), F.sum("b").alias("b"))
-    counts = counts.filter(F.col("a") + F.col("b") >= MIN_SUPPORT)
+    spark = docs.sparkSession
+    rows = _sample(docs, labels, learn, id_col, text_col, label_col).repartition(width(spark))
     sizes = {r["_y"]: r["n"] for r in rows.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
-    empty = [np.zeros(0, np.uint64)] * len(LEVELS)
     if not n1 or not n0:
+        empty = [np.zeros(0, np.uint64)] * len(LEVELS)
         return Model(empty, [np.zeros(0)] * len(LEVELS), bias=-3.0 if not n1 else 3.0, slope=0.0)
-    # only features that lean one way are worth sending; the rest score as their prefix or 0
-    wa, wb = (n1 + n0) / (2 * n1), (n1 + n0) / (2 * n0)
-    z = (F.col("a") * wa - F.col("b") * wb) / F.sqrt(F.col("a") * wa * wa + F.col("b") * wb * wb)
-    top = counts.withColumn("z", F.abs(z)).filter(F.col("z") >= min((3 + n1 / 50) ** 0.5, 3.5)).orderBy(F.desc("z"), "level", "key").limit(MAX_FEATURES).toPandas()
-    top = top.sort_values(["level", "key"])
-    share: dict[tuple[int, int], float] = {}
-    for level in reversed(range(len(LEVELS))):
-        for r in top[top.level == level].itertuples():
-            prior = share.get((level + 1, r.parent), 0.5)
-            share[level, r.key] = (r.a * wa + KAPPA * prior) / (r.a * wa + r.b * wb + KAPPA)
-    keys, odds = [], []
+    p = n1 / (n1 + n0)
+    counts = rows.mapInPandas(_count, "level int, key long, parent long, a long, b long")
+    counts = counts.groupBy("level", "key").agg(F.first("parent").alias("parent"), F.sum("a").alias("a"), F.sum("b").alias("b"))
+    counts = counts.persist()
+    hist = counts.groupBy("level", "a", "b").agg(F.count("*").alias("n")).toPandas()
+    # features of the bounded sample that are commoner in toxic documents, or whose prefix is
+    lean = counts.filter(F.col("a") * n0 > F.col("b") * n1)
+    above = lean.filter("level > 0").select((F.col("level") - 1).alias("level"), F.col("key").alias("parent"))
+    under = counts.join(above, ["level", "parent"], "left_semi").filter(F.col("a") * n0 <= F.col("b") * n1)
+    top = lean.unionByName(under.select(*lean.columns)).toPandas()
+    counts.unpersist()
+    shares = []
     for level in range(len(LEVELS)):
-        k = np.array([key for lv, key in share if lv == level], np.int64).view(np.uint64)
-        v = np.array([share[lv, key] for lv, key in share if lv == level])
-        order = np.argsort(k)
-        keys.append(k[order])
-        odds.append(np.log(v / (1 - v))[order] if len(v) else v)
-    m = Model(keys, odds)
+        part = hist[hist.level == level]
+        shares.append(fit_share(part.a.to_numpy(np.int64), part.b.to_numpy(np.int64), part.n.to_numpy(float), p) if len(part) else TOXIC_SHARE)
+    m = feature_scores(top, shares, p)
 
-    # token histogram of clean documents, then (best sum, length, label) of every sampled document
-    box = docs.sparkSession.sparkContext.broadcast(m)
+    # token histogram of clean documents, then (segment sums, length, label) of every sampled document
+    box = spark.sparkContext.broadcast(m)
 
     def measure(batches):
-        for pdf in batches:
-            out = []
-            texts = pdf["_text"].tolist()
-            for i, s in _doc_scores(texts, box.value):
-                segs = sorted((x for _, _, x in maximal_segments(s)), reverse=True)[:50]
+        for pdf in slices(batches, SLICE):
+            label, out = pdf["_y"].to_numpy(), []
+            for i, s in enumerate(_doc_scores(pdf["_text"].tolist(), box.value, label)):
+                segs = [x for _, _, x in maximal_segments(s)]
                 hist = np.bincount(np.clip(np.round((s + 10) * 10), 0, 200).astype(int), minlength=201)
-                out.append((int(pdf["_y"].iloc[i]), len(s), segs, hist.tolist()))
+                out.append((int(label[i]), len(s), segs, hist.tolist()))
             yield pd.DataFrame(out, columns=["y", "n", "segs", "hist"])
 
-    # 2 x SAMPLE_PER_CLASS rows of about a kilobyte at most
-    seen = rows.repartition(16).mapInPandas(measure, "y int, n int, segs array<double>, hist array<int>").toPandas()
+    # 2 x SAMPLE_PER_CLASS rows of about a kilobyte
+    seen = rows.mapInPandas(measure, "y int, n int, segs array<double>, hist array<int>").toPandas()
     clean = seen[seen.y == 0]
     hist = np.stack(clean["hist"].tolist()).sum(0).astype(float) if len(clean) else np.ones(201)
     at = (np.arange(201) - 100) / 10
     hist = hist + np.where(at > 0, 1e-9 * hist.sum() + 1e-3, 0)
-    p = hist / hist.sum()
+    q = hist / hist.sum()
     lo, hi = 1e-3, 20.0
     for _ in range(80):
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if (p * np.exp(np.minimum(mid * at, 700))).sum() < 1 else (lo, mid)
+        lo, hi = (mid, hi) if (q * np.exp(np.minimum(mid * at, 700))).sum() < 1 else (lo, mid)
     m.lam = lo
-    m.log_k = 0.0
-    best = [(s[0] if len(s) else 0.0) for s in clean.segs]
+    best = [max(s, default=0.0) for s in clean.segs]
     ratio = np.array([np.exp(-m.lam * b) * max(n, 1) for b, n in zip(best, clean.n)])
     m.log_k = float(-np.log(max(ratio.mean(), 1e-12))) if len(ratio) else 0.0
     x = np.array([statistic([(0, 0, s) for s in segs], n, m) for segs, n in zip(seen.segs, seen.n)])
     y = seen.y.to_numpy(float)
     # labels hold some errors: rows that a first fit flatly contradicts don't shape the second
     m.slope, m.bias = _logistic(x, y)
-    p = 1 / (1 + np.exp(-np.clip(m.slope * x + m.bias, -30, 30)))
-    fair = np.abs(p - y) < 0.9
+    chance = 1 / (1 + np.exp(-np.clip(m.slope * x + m.bias, -30, 30)))
+    fair = np.abs(chance - y) < 0.9
     if len(set(y[fair])) == 2:
         m.slope, m.bias = _logistic(x[fair], y[fair])
+    m.less = {}
     return m
 
 
@@ -260,15 +337,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     box = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for pdf in batches:
-            m = box.value
+        m = box.value
+        for pdf in slices(batches, SLICE):
             out = []
-            for i, s in _doc_scores(pdf["text"].tolist(), m):
+            for s in _doc_scores(pdf["text"].tolist(), m):
                 segs = maximal_segments(s)
-                x = statistic(segs, len(s), m)
                 level = m.log_k + np.log(max(len(s), 1))
                 good = [(a, b, float(v)) for a, b, v in segs if m.lam * v > level]
-                out.append((1 / (1 + np.exp(-np.clip(m.slope * x + m.bias, -500, 500))), len(s), good))
+                out.append((m.chance(statistic(segs, len(s), m)), len(s), good))
             part = pd.DataFrame(out, columns=["score", "n_tokens", "passages"])
             part.insert(0, "doc_id", pdf["doc_id"].array)
             yield part
@@ -284,11 +360,9 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text
         m = box.value
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
-                batch, keep = whole.slice(at, SLICE), []
-                for _, s in _doc_scores(batch.column(text_col).to_pylist(), m):
-                    x = m.slope * statistic(maximal_segments(s), len(s), m) + m.bias
-                    keep.append(1 / (1 + np.exp(-np.clip(x, -500, 500))) < threshold)
-                yield batch.filter(pa.array(keep, pa.bool_()))
+                batch = whole.slice(at, SLICE)
+                scored = (m.chance(statistic(maximal_segments(s), len(s), m)) for s in _doc_scores(batch.column(text_col).to_pylist(), m))
+                yield batch.filter(pa.array([x < threshold for x in scored], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
