@@ -3,12 +3,17 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its rows are written as
 Parquet and read again as the next stage's docs.  All but the last return the columns of
 ``documents`` unchanged.
+
+Nulls, empty and repeated rows pass through every stage as rows like others: a null or
+empty text is neither toxic nor a copy of anything, its quality is judged by what is left
+of it, it has a place in the mixture and no pieces.  Rows that repeat id and text are one
+document to the stage on near duplicates.  Further columns stay as they are.  An empty
+table gives empty results.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,51 +21,32 @@ from textquarry.llm import jaccard, mixing, pieces, quality, toxicity
 from textquarry.llm.common import Scratch, crc_bucket, table
 
 
-#: Rows of documents that pass between the JVM and Python at once.
-BATCH_ROWS = 1000
-
-
-def small_batches(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """Run a stage with small Arrow batches: whole texts are wide, and both sides of a task hold a batch."""
-
-    @wraps(stage)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-        return stage(spark, docs, sf_dir)
-
-    return run_stage
-
-
-@small_batches
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score reaches the threshold go; labels of every third id are left for testing."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), crc_bucket("doc_id", 3) != 1)
-    return toxicity.keep_clean(docs, model)
+    # whole texts go through Python: the scratch table is written with small batches
+    return Scratch(spark, "toxicity").save(toxicity.keep_clean(docs, model), "clean")
 
 
-@small_batches
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier holds for poor go."""
+    """Documents that the co-trained classifier holds for poor go; labels of every fifth id are left for testing."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"), crc_bucket("doc_id", 5) != 0)
-    return quality.keep_good(docs, model)
+    return Scratch(spark, "quality").save(quality.keep_good(docs, model), "good")
 
 
-@small_batches
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by shingle similarity, the smallest id stays."""
     return jaccard.one_of_each(spark, docs)
 
 
-@small_batches
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows in the order of the Pfair schedule; written files follow it."""
     return mixing.in_mixed_order(spark, docs)
 
 
-@small_batches
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids and the best segmentations of every document."""
-    return pieces.segment(spark, docs)
+    """Piece ids and the best segmentations of every document, with its place in the mixture (mix_part, mix_row)."""
+    return Scratch(spark, "pieces").save(pieces.segment(spark, mixing.stored_place(docs)), "pieces")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -79,6 +65,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        before, docs = docs, scratch.save(stage(spark, docs, sf_dir), name)
-        scratch.drop(before)
+        before, found = docs, stage(spark, docs, sf_dir)
+        docs = scratch.save(found, name)
+        scratch.drop(before, found)
     return STAGES[-1][1](spark, docs, sf_dir)

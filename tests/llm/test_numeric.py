@@ -1,7 +1,9 @@
 """The array kernels against plain brute force; no Spark session needed."""
 
+import math
 import os
 import random
+import time
 
 import numpy as np
 import pytest
@@ -165,6 +167,49 @@ def test_nbest_scores_and_round_trip(lattice):
         for text, (ids, score, best) in zip(texts, lattice.encode(texts, n)):
             assert lattice.decode(ids.tolist()) == (text or "")
             assert [b[0] for b in best] == (_nbest(lattice, text, n) if text else [0]) and best[0][0] == score
+            paths = [detour(ids.tolist(), changes) for _, _, changes in best]
+            assert len(set(map(tuple, paths))) == len(paths) and all(lattice.decode(p) == (text or "") for p in paths)
+            byte = set(lattice.byte_ids)
+            for p, (total, size, _) in zip(paths, best):
+                assert len(p) == size
+                if not byte & set(p):
+                    assert sum(lattice.v.scores[i] for i in p) == total
+
+
+def detour(ids, changes):
+    out, upto = [], 0
+    for at, drop, new in changes:
+        out += ids[upto:at] + new
+        upto = at + drop
+    return out + ids[upto:]
+
+
+@pytest.mark.parametrize("unit", ["-", "a", "=", "ab", "\u2581", " ", "日", "-=", "aGVsbG8"])
+def test_long_unbroken_texts_take_seconds(lattice, unit):
+    text = unit * (100_000 // len(unit))
+    began = time.time()
+    (ids, _, best), *_ = lattice.encode([text], 4)
+    lattice.clear()
+    assert time.time() - began < 20 and lattice.decode(ids.tolist()) == text and 1 <= len(best) <= 4
+    short = unit * (60 // len(unit))
+    (_, _, best), *_ = lattice.encode([short], 4)
+    assert [b[0] for b in best] == _nbest(lattice, short, 4)
+
+
+def test_chunks_that_share_a_key_are_told_apart(lattice):
+    texts = [" stone", " water"]
+    first = [x[0].tolist() for x in lattice.encode(texts, 1)]
+    lattice.clear()
+    list(lattice.encode(texts[:1], 1))
+    lattice.cps[-1] ^= 1  # what is kept under the key is another chunk now
+    assert [x[0].tolist() for x in lattice.encode(texts, 1)] == first and lattice.clash
+    lattice.clear()
+
+
+def test_scores_of_ranks_follow_zipf():
+    given = pieces.log_probabilities([-float(i) for i in range(1000)])
+    assert given == sorted(given, reverse=True) and abs(sum(math.exp(x / pieces.UNIT) for x in given) - 1) < 1e-4
+    assert pieces.log_probabilities([-1.5, -2.0]) == [-1_500_000, -2_000_000]
 
 
 def test_very_long_text_in_parts(lattice):

@@ -300,3 +300,7 @@ def test_pieces_of_odd_rows(spark, odd):
     assert all(r.roundtrip for r in rows.values()) and rows[1].n_tokens == 0 and len(rows[8].nbest) == 3
     back = {r.doc_id: r.text for r in pieces.decode_ids(spark, out).collect()}
     assert back[7] == "one two three" and back[1] == ""
+    every = out.withColumn("x", F.explode("nbest")).select("doc_id", pieces.detoured("ids", "x.detours").alias("ids"), "x.n_tokens")
+    assert every.filter(F.size("ids") != F.col("n_tokens")).count() == 0
+    texts = {r.doc_id: r.text or "" for r in odd.collect()}
+    assert all(r.text == texts[r.doc_id] for r in pieces.decode_ids(spark, every).collect())

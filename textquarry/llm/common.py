@@ -17,14 +17,19 @@ from pyspark.sql import functions as F
 #: Rows that pass between the JVM and Python at once while a table is written: both sides hold a batch.
 BATCH_ROWS, SMALL_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
+#: Rounds grow with the logarithm of a component's size; more than these would be an error.
+MAX_ROUNDS = 200
+
 _OWN_DIR: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of this session; a local one only where none is configured."""
+    """The shared folder of this session; a local one only where none is configured and all tasks run in the driver."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIR:
         _OWN_DIR[app] = "file://" + tempfile.mkdtemp(prefix="textquarry-")
@@ -122,7 +127,7 @@ def components(scratch: Scratch, edges: DataFrame, a: str = "a", b: str = "b") -
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "edges"
     )
     last = None
-    for _ in range(60):
+    for _ in range(MAX_ROUNDS):
         # large star: every neighbour above u is tied to the smallest vertex of u's surroundings
         both = cur.select("u", "v").unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -144,6 +149,8 @@ def components(scratch: Scratch, edges: DataFrame, a: str = "a", b: str = "b") -
         if mark == last:
             break
         last = mark
+    else:
+        raise RuntimeError(f"components are not settled after {MAX_ROUNDS} rounds")
     members = cur.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return members.unionByName(cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 

@@ -10,30 +10,43 @@ every path has a node, so the lattice falls into independent chunks, mostly word
 the second-best path of a chunk is one detour off its best path, so that forward scores
 give its loss directly: among all chunks of a text only the N-1 with the smallest losses
 can differ from the best in any of the text's N best paths.  The forward pass runs on
-arrays over all new chunks of a length; A-star runs on the few that can matter.
-
-Scores are the integers of the model file (BPE merge ranks), sums are exact, and ties
+arrays over all new chunks of a run; A-star runs on the few that can matter.  Of equal
+candidates A-star follows the one nearest to the start, and a node's edges enter the
+queue one by one, so that a long chunk of ties costs a queue of its length, no more.
+
+Scores.  A unigram model's file holds log-probabilities, which are taken as they are.  A
+BPE model's file holds merge ranks; sums of ranks say nothing about a segmentation, so a
+rank becomes the log-probability that Zipf's law (with Mandelbrot's offset) gives to it.
+Nothing is trained.  Scores are kept in whole millionths, so that sums are exact; ties
 prefer the longer last piece, then the earlier chunk.
+
+The other N-1 segmentations are given by their detours from the best one: at a place of
+its ids, so many ids are dropped for others.  ``detoured`` puts them together.
 """
 
 from __future__ import annotations
 
 import heapq
-import zlib
+import math
 from dataclasses import dataclass
 from hashlib import sha256
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 4
 RUN = 1 << 18
 ARRAY_LENGTH = 24  # longer chunks are solved one by one
-CACHE = 400_000
-UNKNOWN_PENALTY = 10
+#: Chunks and alternative paths that a task keeps; it lets go of all of them when it ends.
+CACHE, PATHS = 200_000, 4000
+#: Rows of a batch that are worked on at once.
+SLICE = 500
+#: Scores are millionths of a natural logarithm; Mandelbrot's offset; what an unknown character loses more than the rarest piece.
+UNIT, OFFSET, UNKNOWN_PENALTY = 1_000_000, 2.7, 10.0
 SPACE = 0x2581
 #: Stands for a literal U+2581 of a text: a code point that no valid text holds.
 LITERAL = 0xDFFF
@@ -42,14 +55,15 @@ FAR = 1 << 60
 _R = np.uint64(0x9E3779B97F4A7C15)
 _RINV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
-SCHEMA = (
-    "doc_id long, n_tokens int, score long, ids array<int>, nbest array<struct<score:long,n_tokens:int,ids_crc32:long>>, roundtrip boolean"
-)
+DETOURS = "array<struct<at:int,drop:int,ids:array<int>>>"
+SCHEMA = f"doc_id long, n_tokens int, score long, ids array<int>, nbest array<struct<score:long,n_tokens:int,detours:{DETOURS}>>, roundtrip boolean"
+_IDS = pa.list_(pa.int32())
+_NBEST = pa.list_(pa.struct([("score", pa.int64()), ("n_tokens", pa.int32()), ("detours", pa.list_(pa.struct([("at", pa.int32()), ("drop", pa.int32()), ("ids", _IDS)])))]))
 
 
 @dataclass
 class Vocabulary:
-    """Pieces, integer scores and byte ids of a model with byte fallback."""
+    """Pieces, scores in millionths and kinds of a model with byte fallback."""
 
     pieces: list[str]
     scores: list[int]
@@ -63,10 +77,21 @@ class Vocabulary:
         sp = SentencePieceProcessor(model_file=path)
         every = range(sp.get_piece_size())
         kind = lambda i: "b" if sp.is_byte(i) else "c" if sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) else "n"
-        pieces, scores, kinds = [sp.id_to_piece(i) for i in every], [round(sp.get_score(i)) for i in every], "".join(map(kind, every))
+        pieces, kinds, given = [sp.id_to_piece(i) for i in every], "".join(map(kind, every)), [sp.get_score(i) for i in every]
+        scores = log_probabilities([x for x, k in zip(given, kinds) if k == "n"])
+        at = iter(scores)
+        scores = [next(at) if k == "n" else 0 for k in kinds]
         return Vocabulary(pieces, scores, kinds, sha256(repr((pieces, scores, kinds)).encode()).hexdigest())
 
 
+def log_probabilities(given: list[float]) -> list[int]:
+    """Scores of the normal pieces in millionths: the file's own, or where they are merge ranks, Zipf's of the place in the file."""
+    if any(x != int(x) for x in given):
+        return [round(UNIT * x) for x in given]
+    total = math.log(sum(1 / (r + OFFSET) for r in range(1, len(given) + 1)))
+    return [-round(UNIT * (math.log(r + OFFSET) + total)) for r in range(1, len(given) + 1)]
+
+
 class Lattice:
     """Tables made from a vocabulary, and the chunks solved so far in this process."""
 
@@ -79,7 +104,8 @@ class Lattice:
                 self.byte_ids[int(v.pieces[i][1:-1], 16)] = i
         self.id_of = {v.pieces[i]: i for i in normal}
         self.longest = max((len(p) for p in self.id_of), default=1)
-        self.unknown = min((v.scores[i] for i in normal), default=0) - UNKNOWN_PENALTY
+        self.size_of = [len(p) for p in v.pieces]
+        self.unknown = min((v.scores[i] for i in normal), default=0) - round(UNIT * UNKNOWN_PENALTY)
         alphabet = sorted({ord(c) for p in self.id_of for c in p})
         self.sym_of = np.zeros(0x110000, np.uint16)
         self.sym_of[alphabet] = np.arange(1, len(alphabet) + 1)
@@ -98,7 +124,10 @@ class Lattice:
             by_length.setdefault(len(p), []).append((int((s * up[: len(p)]).sum()), v.scores[i], i))
         for length, rows in by_length.items():
             rows.sort()
-            self.tables[length] = (np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int32))
+            keys = np.array([r[0] for r in rows], np.uint64)
+            sieve = np.zeros(1 << 16, bool)  # most strings are no piece: their hash says so at once
+            sieve[(keys >> np.uint64(48)).astype(np.intp)] = True
+            self.tables[length] = (keys, np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int32), sieve)
         self.raw = [bytes([int(p[1:-1], 16)]) if k == "b" else p.replace(chr(SPACE), " ").encode() if k == "n" else b"" for p, k in zip(v.pieces, v.kinds)]
         self._big_up = self._powers(2 * RUN + 4)
         self._big_down = np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(2 * RUN + 3, _RINV, np.uint64))))
@@ -117,12 +146,19 @@ class Lattice:
         self.rows = np.zeros(0, np.int64)
         self.score = np.zeros(0, np.int64)
         self.loss = np.zeros(0, np.int64)
-        self.first = np.zeros(0, np.int64)
-        self.count = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.int32)
-        self.text: list[str] = []
+        self.first, self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.begin, self.size, self.cps = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)  # the chunks themselves
+        self.clash: dict[bytes, int] = {}  # chunks whose key another one has
         self.paths: dict[int, list] = {}
 
+    def _matches(self, h: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes are pieces of this length, and their places in its table."""
+        keys, _, _, sieve = self.tables[length]
+        maybe = np.flatnonzero(sieve[(h >> np.uint64(48)).astype(np.intp)])
+        at = np.minimum(np.searchsorted(keys, h[maybe]), len(keys) - 1)
+        hit = keys[at] == h[maybe]
+        return maybe[hit], at[hit]
+
     # -- chunks -----------------------------------------------------------------
 
     def chunks(self, cps: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -151,83 +187,94 @@ class Lattice:
             new = np.flatnonzero(~known)
             _, one = np.unique(key[new], return_index=True)
             one = new[one]
-            self.solve(key[one], start[one], end[one], cps, sym)
+            rows = self.solve(start[one], end[one], cps, sym)
+            place = np.searchsorted(self.keys, key[one])
+            self.keys, self.rows = np.insert(self.keys, place, key[one]), np.insert(self.rows, place, rows)
             at = np.searchsorted(self.keys, key)
-        return start, self.rows[at]
-
-    def solve(self, keys: np.ndarray, start: np.ndarray, end: np.ndarray, cps: np.ndarray, sym: np.ndarray) -> None:
-        """Best path, its score and the loss of the second best for new chunks; adds them to the cache."""
-        n = len(keys)
+        return start, self._same(self.rows[at], start, end, cps, sym)
+
+    def _same(self, rows: np.ndarray, start: np.ndarray, end: np.ndarray, cps: np.ndarray, sym: np.ndarray) -> np.ndarray:
+        """``rows``, but rows of their own for chunks that only share a key with the chunk found."""
+        size = end - start
+        wrong = self.size[rows] != size
+        at = np.minimum(np.repeat(self.begin[rows] - start, size) + np.arange(len(cps)), len(self.cps) - 1)
+        wrong[np.searchsorted(start, np.flatnonzero(self.cps[at] != cps), "right") - 1] = True
+        for k in np.flatnonzero(wrong).tolist():
+            name = cps[start[k] : end[k]].tobytes()
+            if name not in self.clash:
+                self.clash[name] = int(self.solve(start[k : k + 1], end[k : k + 1], cps, sym)[0])
+            rows[k] = self.clash[name]
+        return rows
+
+    def solve(self, start: np.ndarray, end: np.ndarray, cps: np.ndarray, sym: np.ndarray) -> np.ndarray:
+        """Best path, its score and the loss of the second best for new chunks; their rows in the cache."""
+        n = len(start)
         base = len(self.score)
         score, loss, count = np.zeros(n, np.int64), np.full(n, FAR), np.zeros(n, np.int64)
         ids: list = [None] * n
         length = end - start
-        for size in np.unique(length).tolist():
-            who = np.flatnonzero(length == size)
-            if size == 1:
-                s = sym[start[who]]
-                for i in who[s == 0].tolist():
-                    got = self.bytes_of(int(cps[start[i]]))
-                    score[i], count[i], ids[i] = self.unknown, len(got), got
-                who = who[s != 0]
-            if size > ARRAY_LENGTH:
-                for i in who.tolist():
-                    best = self.search("".join(map(chr, cps[start[i] : end[i]].tolist())), 2)
-                    score[i], ids[i] = best[0]
-                    loss[i] = score[i] - best[1][0] if len(best) > 1 else FAR
-                    count[i] = len(ids[i])
-            elif len(who):
-                self._forward(sym[start[who][:, None] + np.arange(size)].astype(np.uint64), who, score, loss, count, ids)
-        flat = np.array([x for part in ids for x in part], np.int32)
+        single = np.flatnonzero((length == 1) & (sym[start] == 0))
+        for i in single.tolist():
+            ids[i] = self.bytes_of(int(cps[start[i]]))
+            score[i], count[i] = self.unknown, len(ids[i])
+        for i in np.flatnonzero(length > ARRAY_LENGTH).tolist():
+            best = self.search(cps[start[i] : end[i]], 2)
+            score[i], ids[i] = best[0]
+            loss[i] = score[i] - best[1][0] if len(best) > 1 else FAR
+            count[i] = len(ids[i])
+        who = np.flatnonzero((length <= ARRAY_LENGTH) & ~((length == 1) & (sym[start] == 0)))
+        if len(who):
+            who = who[np.argsort(-length[who], kind="stable")]
+            self._forward(start[who], length[who], sym, who, score, loss, count, ids)
+        flat = np.fromiter((x for part in ids for x in part), np.int32, int(count.sum()))
         self.first = np.append(self.first, len(self.ids) + np.cumsum(count) - count)
         self.ids = np.append(self.ids, flat)
         self.score, self.loss, self.count = np.append(self.score, score), np.append(self.loss, loss), np.append(self.count, count)
-        text = "".join(map(chr, cps.tolist())) if n > len(cps) // 64 else None
-        self.text += [text[a:b] if text is not None else "".join(map(chr, cps[a:b].tolist())) for a, b in zip(start.tolist(), end.tolist())]
-        merged = np.concatenate([self.keys, keys])
-        order = np.argsort(merged, kind="stable")
-        self.rows = np.concatenate([self.rows, base + np.arange(n)])[order]
-        self.keys = merged[order]
-
-    def _forward(self, s: np.ndarray, who, score, loss, count, ids) -> None:
-        """Viterbi over all chunks of one length at once: s [chunks, symbols]."""
-        m, size = s.shape
-        up = self._powers(size)
-        run = np.zeros((m, size + 1), np.uint64)
-        np.cumsum(s * up, axis=1, out=run[:, 1:])
-        best = np.full((m, size + 1), NONE, np.int64)
-        second = np.full((m, size + 1), NONE, np.int64)
-        back = np.zeros((m, size + 1), np.int8)
-        piece = np.zeros((m, size + 1), np.int32)
-        best[:, 0] = 0
+        before = np.cumsum(length) - length
+        self.begin, self.size = np.append(self.begin, len(self.cps) + before), np.append(self.size, length)
+        self.cps = np.append(self.cps, cps[np.repeat(start - before, length) + np.arange(int(length.sum()))])
+        return base + np.arange(n)
+
+    def _forward(self, start, length, sym, who, score, loss, count, ids) -> None:
+        """Viterbi over all chunks at once, sorted by falling length: those that reach position j come first."""
+        m, size = len(start), int(length[0])
+        s = np.zeros((size, m), np.uint64)
+        live = np.searchsorted(-length, -np.arange(size + 1), "right")  # chunks of at least so many symbols
+        for j in range(size):
+            s[j, : live[j + 1]] = sym[start[: live[j + 1]] + j]
+        run = np.zeros((size + 1, m), np.uint64)
+        np.cumsum(s * self._powers(size)[:, None], axis=0, out=run[1:])
+        best, second = (np.full((size + 1, m), NONE, np.int64) for _ in range(2))
+        back, piece = np.zeros((size + 1, m), np.int8), np.zeros((size + 1, m), np.int32)
+        best[0] = 0
         downs = [np.uint64(pow(int(_RINV), i, 1 << 64)) for i in range(size)]
         for j in range(1, size + 1):
+            k = live[j]
             for i in range(max(0, j - self.longest), j):
                 if j - i not in self.tables:
                     continue
-                keys, scores, numbers = self.tables[j - i]
-                h = (run[:, j] - run[:, i]) * downs[i]
-                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                hit = (keys[at] == h) & (best[:, i] > NONE)
-                at, rows = at[hit], np.flatnonzero(hit)
+                rows, at = self._matches((run[j, :k] - run[i, :k]) * downs[i], j - i)
                 if not len(rows):
                     continue
-                c = best[rows, i] + scores[at]
-                old = best[rows, j]
-                up_ = c > old
-                second[rows, j] = np.where(up_, old, np.maximum(second[rows, j], c))
-                rows, at = rows[up_], at[up_]
-                best[rows, j], back[rows, j], piece[rows, j] = c[up_], i, numbers[at]
-        score[who] = best[:, size]
-        at, gap, rows = np.full(m, size), np.full(m, FAR), np.arange(m)
+                _, scores, numbers, _ = self.tables[j - i]
+                c = best[i, rows] + scores[at]
+                c[best[i, rows] == NONE] = NONE
+                old = best[j, rows]
+                up = c > old
+                second[j, rows] = np.where(up, old, np.maximum(second[j, rows], c))
+                rows, at = rows[up], at[up]
+                best[j, rows], back[j, rows], piece[j, rows] = c[up], i, numbers[at]
+        rows = np.arange(m)
+        score[who] = best[length, rows]
+        at, gap = length.copy(), np.full(m, FAR)
         out: list[list[int]] = [[] for _ in range(m)]
         while len(rows):
             j = at[rows]
-            alt = second[rows, j]
-            gap[rows] = np.minimum(gap[rows], np.where(alt > NONE, best[rows, j] - alt, FAR))
-            for r, p in zip(rows.tolist(), piece[rows, j].tolist()):
+            alt = second[j, rows]
+            gap[rows] = np.minimum(gap[rows], np.where(alt > NONE, best[j, rows] - alt, FAR))
+            for r, p in zip(rows.tolist(), piece[j, rows].tolist()):
                 out[r].append(p)
-            at[rows] = back[rows, j]
+            at[rows] = back[j, rows]
             rows = rows[at[rows] > 0]
         loss[who] = gap
         for i, path in zip(who.tolist(), out):
@@ -237,44 +284,78 @@ class Lattice:
 
     # -- A-star -----------------------------------------------------------------
 
-    def search(self, chunk: str, n: int) -> list[tuple[int, list[int]]]:
+    def edges(self, cps: np.ndarray) -> tuple[list[int], list[int]]:
+        """Pieces by the position where they end, the longest first (-1: an unknown character), and where each position's begin."""
+        size = len(cps)
+        sym = self.sym_of[cps].astype(np.uint64)
+        run = np.zeros(size + 1, np.uint64)
+        np.cumsum(sym * self._powers(size), out=run[1:])
+        down = np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(size, _RINV, np.uint64))))
+        ends, pieces = [np.flatnonzero(sym == 0) + 1], [np.full(int((sym == 0).sum()), -1)]
+        lengths = [np.ones(len(ends[0]), np.int64)]
+        for length in self.tables:
+            if length <= size:
+                at, found = self._matches((run[length:] - run[:-length]) * down[: size - length + 1], length)
+                ends.append(at + length)
+                pieces.append(self.tables[length][2][found])
+                lengths.append(np.full(len(at), length))
+        end, piece = np.concatenate(ends), np.concatenate(pieces)
+        order = np.lexsort((-np.concatenate(lengths), end))
+        return piece[order].tolist(), np.searchsorted(end[order], np.arange(size + 2)).tolist()
+
+    def search(self, cps: np.ndarray, n: int) -> list[tuple[int, list[int]]]:
         """The n best paths of one chunk: forward Viterbi, then A-star from its end."""
-        size = len(chunk)
-        into: list[list[tuple[int, int, list[int]]]] = [[] for _ in range(size + 1)]
+        size = len(cps)
+        pieces, first = self.edges(cps)
+        scores, sizes, unknown = self.v.scores, self.size_of, self.unknown
         best = [NONE] * (size + 1)
         best[0] = 0
         for j in range(1, size + 1):
-            for i in range(max(0, j - self.longest), j):
-                p = self.id_of.get(chunk[i:j])
-                if p is not None and best[i] > NONE:
-                    into[j].append((i, self.v.scores[p], [p]))
-            if not self.sym_of[ord(chunk[j - 1])]:
-                into[j].append((j - 1, self.unknown, self.bytes_of(ord(chunk[j - 1]))))
-            best[j] = max((best[i] + s for i, s, _ in into[j]), default=NONE)
-        heap = [(-best[size], 0, size, 0, None)]
-        found, turn = [], 0
+            top = NONE
+            for p in pieces[first[j] : first[j + 1]]:
+                c = best[j - sizes[p]] + scores[p] if p >= 0 else best[j - 1] + unknown
+                if c > top:
+                    top = c
+            best[j] = top
+
+        def options(j: int) -> list[tuple[int, int, int]]:
+            """(-score of the best path over this edge, its start, its piece), the best first, then the longest."""
+            here = ((j - sizes[p], scores[p], p) if p >= 0 else (j - 1, unknown, p) for p in pieces[first[j] : first[j + 1]])
+            return sorted((-best[i] - s, i, p) for i, s, p in here if best[i] > NONE)
+
+        heap, found, turn = [], [], 0
+
+        def push(gained: int, tail, choices: list, k: int) -> None:
+            nonlocal turn
+            turn += 1
+            heapq.heappush(heap, (choices[k][0] - gained, choices[k][1], turn, gained, tail, choices, k))
+
+        if best[size] > NONE:
+            push(0, None, options(size), 0)
         while heap and len(found) < n:
-            _, _, j, gained, tail = heapq.heappop(heap)
-            if not j:
-                path: list[int] = []
-                while tail is not None:
-                    path += tail[0]
-                    tail = tail[1]
-                found.append((gained, path))
+            cost, i, _, gained, tail, choices, k = heapq.heappop(heap)
+            if k + 1 < len(choices):
+                push(gained, tail, choices, k + 1)
+            p = choices[k][2]
+            tail = (p if p >= 0 else ~int(cps[i]), tail)
+            if i:
+                push(-cost - best[i], tail, options(i), 0)
                 continue
-            for i, s, p in into[j]:  # longer last pieces first
-                turn += 1
-                heapq.heappush(heap, (-(best[i] + gained + s), turn, i, gained + s, (p, tail)))
+            path: list[int] = []
+            while tail is not None:
+                path += [tail[0]] if tail[0] >= 0 else self.bytes_of(~tail[0])
+                tail = tail[1]
+            found.append((-cost, path))
         return found
 
     def alternatives(self, row: int, n: int) -> list[tuple[int, list[int]]]:
         """(loss, ids) of the n best paths of a cached chunk, the best first."""
         got = self.paths.get(row)
         if got is None or len(got) < n:
-            if len(self.paths) > 50_000:
+            if len(self.paths) > PATHS:
                 self.paths.clear()
-            paths = self.search(self.text[row], n)
-            a = int(self.first[row])
+            begin, a = int(self.begin[row]), int(self.first[row])
+            paths = self.search(self.cps[begin : begin + int(self.size[row])], n)
             own = self.ids[a : a + int(self.count[row])].tolist()
             # the forward pass has named the best path; among equals it stays first
             rest = [p for p in paths if p[1] != own]
@@ -345,13 +426,13 @@ class Lattice:
     def paths_of(self, rows: np.ndarray, n: int):
         """Ids, score and n-best list of a text given its chunks."""
         if not len(rows):
-            return np.zeros(0, np.int32), 0, [(0, 0, 0)]
+            return np.zeros(0, np.int32), 0, [(0, 0, [])]
         count, first = self.count[rows], self.first[rows]
         ends = np.cumsum(count)
         take = np.repeat(first - (ends - count), count) + np.arange(int(ends[-1]))
         ids = self.ids[take]
         score = int(self.score[rows].sum())
-        out = [(score, len(ids), zlib.crc32(ids.tobytes()))]
+        out = [(score, len(ids), [])]
         loss = self.loss[rows]
         k = n - 1
         if k <= 0:
@@ -369,13 +450,8 @@ class Lattice:
         while heap and len(out) < n:
             total, pick = heapq.heappop(heap)
             if any(pick):
-                parts, last = [], 0
-                for i, o, c in zip(at.tolist(), options, pick):
-                    if c:
-                        parts += [ids[last : int(ends[i] - count[i])], np.array(o[c][1], np.int32)]
-                        last = int(ends[i])
-                path = np.concatenate([*parts, ids[last:]])
-                out.append((score - total, len(path), zlib.crc32(path.tobytes())))
+                changes = [(int(ends[i] - count[i]), int(count[i]), o[c][1]) for i, o, c in zip(at.tolist(), options, pick) if c]
+                out.append((score - total, len(ids) + sum(len(new) - drop for _, drop, new in changes), changes))
             for q, o in enumerate(options):
                 if pick[q] + 1 < len(o):
                     nxt = (*pick[:q], pick[q] + 1, *pick[q + 1 :])
@@ -389,7 +465,7 @@ class Lattice:
         return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
 
 
-#: Lattices of this worker process by their vocabulary, so that a cache outlives a task.
+#: The tables of this worker process by their vocabulary; chunks are let go of at the end of each task.
 _held: dict[str, Lattice] = {}
 
 
@@ -398,27 +474,47 @@ def segment(
 ) -> DataFrame:
     """Best ids, score and the ``n_best`` best segmentations of every row's text.
 
-    Null and empty texts have no ids and one empty segmentation of score 0.  Texts with
-    fewer than ``n_best`` segmentations list all they have.  ``roundtrip`` says that
-    decoding the best ids gives the text back.  Repeated rows are each encoded.
+    ``nbest`` lists score, number of tokens and detours of each segmentation, the best one
+    (without a detour) first.  Null and empty texts have no ids and one empty segmentation
+    of score 0.  Texts with fewer than ``n_best`` segmentations list all they have.
+    ``roundtrip`` says that decoding the best ids gives the text back.  Repeated rows are
+    each encoded.  Other columns are ignored, but mix_part and mix_row are passed on.
     """
     box = spark.sparkContext.broadcast(Vocabulary.load(model_path))  # 32,000 pieces
+    passed = [c for c in ("mix_part", "mix_row") if c in docs.columns]
 
     def run(batches):
         lattice = _held.get(box.value.digest) or _held.setdefault(box.value.digest, Lattice(box.value))
-        for pdf in batches:
-            for at in range(0, len(pdf), 500):
-                part = pdf.iloc[at : at + 500]
-                texts = part["text"].tolist()
-                rows = []
-                for text, (ids, score, best) in zip(texts, lattice.encode(texts, n_best)):
-                    rows.append((len(ids), score, ids, best, lattice.decode(ids.tolist()) == (text if isinstance(text, str) else "")))
-                out = pd.DataFrame(rows, columns=["n_tokens", "score", "ids", "nbest", "roundtrip"])
-                out.insert(0, "doc_id", part["doc_id"].array)
-                yield out
-
-    cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return cols.mapInPandas(run, SCHEMA)
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, SLICE):
+                    part = batch.slice(at, SLICE)
+                    texts = part.column("text").to_pylist()
+                    got = list(lattice.encode(texts, n_best))
+                    sizes = [len(x[0]) for x in got]
+                    ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(np.concatenate([x[0] for x in got]), pa.int32()))
+                    nbest = pa.array([[{"score": s, "n_tokens": n, "detours": [{"at": a, "drop": d, "ids": new} for a, d, new in c]} for s, n, c in x[2]] for x in got], _NBEST)
+                    same = pa.array([lattice.decode(x[0].tolist()) == (t or "") for x, t in zip(got, texts)], pa.bool_())
+                    columns = [part.column("doc_id"), pa.array(sizes, pa.int32()), pa.array([x[1] for x in got], pa.int64()), ids, nbest, same]
+                    yield pa.RecordBatch.from_arrays(columns + [part.column(c) for c in passed], ["doc_id", "n_tokens", "score", "ids", "nbest", "roundtrip", *passed])
+        finally:
+            lattice.clear()
+
+    cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).cast("long").alias(c) for c in passed])
+    return cols.mapInArrow(run, ", ".join([SCHEMA, *[f"{c} long" for c in passed]]))
+
+
+def detoured(ids: Column | str, detours: Column | str) -> Column:
+    """The ids of a segmentation: those of the best one with its detours taken."""
+    ids, detours = (F.col(c) if isinstance(c, str) else c for c in (ids, detours))
+    start = F.struct(F.lit(0).alias("upto"), F.array().cast("array<int>").alias("out"))
+
+    def take(acc: Column, d: Column) -> Column:
+        out = F.concat(acc["out"], F.slice(ids, acc["upto"] + 1, d["at"] - acc["upto"]), d["ids"])
+        return F.struct((d["at"] + d["drop"]).alias("upto"), out.alias("out"))
+
+    rest = lambda acc: F.concat(acc["out"], F.slice(ids, acc["upto"] + 1, F.greatest(F.size(ids) - acc["upto"], F.lit(0))))
+    return F.aggregate(detours, start, take, rest)
 
 
 def decode_ids(spark: SparkSession, encoded: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:

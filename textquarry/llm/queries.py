@@ -39,7 +39,7 @@ def op4_cross_parsing(spark, sf_dir):
 def op5_nbest_pieces(spark, sf_dir):
     from .pieces import segment
 
-    return segment(spark, table(spark, sf_dir, "documents"))
+    return Scratch(spark, "pieces").save(segment(spark, table(spark, sf_dir, "documents")), "pieces")
 
 
 def op6_sorted_projections(spark, sf_dir):
