@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, width
+from .common import Scratch, slices, width
 from .textnum import NON_WORD, Words, word_runs
 
 #: Bound of the training sample, documents of each class.
@@ -210,38 +210,64 @@ def fit_share(a: np.ndarray, b: np.ndarray, n: np.ndarray, p: float) -> float:
     return min(share, 0.5)
 
 
-def feature_scores(top: pd.DataFrame, shares: list[float], p: float) -> Model:
-    """Scores of features (level, key, parent, a, b); a parent that isn't listed is held for indifferent."""
-    levels = [top[top.level == level].sort_values("key") for level in range(len(LEVELS))]
-    tables = [(t["key"].to_numpy(np.int64), t["a"].to_numpy(np.int64), t["b"].to_numpy(np.int64), t["parent"].to_numpy(np.int64)) for t in levels]
-
-    def scores(level: int, da: int, db: int) -> np.ndarray:
-        _, a, b, parent = tables[level]
-        a, b = np.maximum(a - da, 0), np.maximum(b - db, 0)
-        prior = np.full(len(a), shares[level])
-        if level + 1 < len(LEVELS) and len(a):
-            key, ua, ub, _ = tables[level + 1]
-            above = np.zeros(len(a))
-            if len(key):
-                at = np.minimum(np.searchsorted(key, parent), len(key) - 1)
-                known = key[at] == parent
+@dataclass
+class Level:
+    """Features of one length that score: key, toxic and clean documents, prefix, sorted by key; share of toxic ones."""
+
+    key: np.ndarray
+    a: np.ndarray
+    b: np.ndarray
+    parent: np.ndarray
+    share: float
+
+    def scores(self, above: "Level | None", p: float, da: int = 0, db: int = 0) -> np.ndarray:
+        """Log-odds with da toxic and db clean documents less; ``above`` are the scoring prefixes."""
+        a, b = np.maximum(self.a - da, 0), np.maximum(self.b - db, 0)
+        prior = np.full(len(a), self.share)
+        if above is not None:
+            chance = np.zeros(len(a))
+            if len(above.key):
+                at = np.minimum(np.searchsorted(above.key, self.parent), len(above.key) - 1)
+                known = np.flatnonzero(above.key[at] == self.parent)
+                at = at[known]
                 # what the prefix shows without this word
-                rest = np.maximum(ua[at] - tables[level][1], 0), np.maximum(ub[at] - tables[level][2], 0)
-                above = np.where(known, toxic_chance(*rest, p, shares[level + 1]), 0.0)
-            prior = (1 - INHERIT) * prior + INHERIT * above
+                rest = np.maximum(above.a[at] - self.a[known], 0), np.maximum(above.b[at] - self.b[known], 0)
+                chance[known] = toxic_chance(*rest, p, above.share)
+            prior = (1 - INHERIT) * prior + INHERIT * chance
         return log_odds(a, b, p, toxic_chance(a, b, p, prior))
 
-    out = Model([], [], {0: [], 1: []})
-    for level, (key, _, _, parent) in enumerate(tables):
-        odds = scores(level, 0, 0)
-        keep = odds > DRIFT
-        if level + 1 < len(LEVELS):  # an indifferent word must not pass for its toxic prefix
-            keep |= np.isin(parent, tables[level + 1][0][scores(level + 1, 0, 0) > DRIFT])
-        order = np.argsort(key[keep].view(np.uint64))
-        out.keys.append(key[keep].view(np.uint64)[order])
-        out.odds.append(odds[keep][order])
+    def only(self, rows: np.ndarray) -> "Level":
+        return Level(self.key[rows], self.a[rows], self.b[rows], self.parent[rows], self.share)
+
+
+def scoring_features(spark: SparkSession, counts: DataFrame, p: float) -> Model:
+    """The features that score above the drift, and those of a prefix that does.
+
+    Levels are read from the shortest prefixes on.  A feature without a scoring prefix scores
+    by its counts alone, so that a table of pairs of counts tells which to read.
+    """
+    hist = counts.groupBy("level", "a", "b").agg(F.count("*").alias("n")).toPandas()
+    above, out = None, Model([], [], {0: [], 1: []})
+    for level in reversed(range(len(LEVELS))):
+        pairs = hist[hist.level == level]
+        a, b = pairs.a.to_numpy(np.int64), pairs.b.to_numpy(np.int64)
+        share = fit_share(a, b, pairs.n.to_numpy(float), p) if len(pairs) else TOXIC_SHARE
+        high = log_odds(a, b, p, toxic_chance(a, b, p, share if above is None else (1 - INHERIT) * share)) > DRIFT
+        own = counts.filter(F.col("level") == level)
+        # both sides that are sent come from the bounded sample: pairs of counts, and prefixes that score
+        some = own.join(F.broadcast(spark.createDataFrame(pa.table({"a": a[high], "b": b[high]}))), ["a", "b"], "left_semi").select("key", "a", "b", "parent")
+        if above is not None:
+            under = own.join(F.broadcast(spark.createDataFrame(pa.table({"parent": above.key}))), "parent", "left_semi")
+            some = some.unionByName(under.select("key", "a", "b", "parent")).distinct()
+        got = some.toPandas().sort_values("key")
+        table = Level(*(got[c].to_numpy(np.int64) for c in ("key", "a", "b", "parent")), share)
+        order = np.argsort(table.key.view(np.uint64))
+        odds = table.scores(above, p)
+        out.keys.insert(0, table.key.view(np.uint64)[order])
+        out.odds.insert(0, odds[order])
         for y in (0, 1):
-            out.less[y].append(scores(level, y, 1 - y)[keep][order])
+            out.less[y].insert(0, table.scores(above, p, y, 1 - y)[order])
+        above = table.only(odds > DRIFT)
     return out
 
 
@@ -257,19 +283,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn, id_col="doc_id", text_col="te
     p = n1 / (n1 + n0)
     counts = rows.mapInPandas(_count, "level int, key long, parent long, a long, b long")
     counts = counts.groupBy("level", "key").agg(F.first("parent").alias("parent"), F.sum("a").alias("a"), F.sum("b").alias("b"))
-    counts = counts.persist()
-    hist = counts.groupBy("level", "a", "b").agg(F.count("*").alias("n")).toPandas()
-    # features of the bounded sample that are commoner in toxic documents, or whose prefix is
-    lean = counts.filter(F.col("a") * n0 > F.col("b") * n1)
-    above = lean.filter("level > 0").select((F.col("level") - 1).alias("level"), F.col("key").alias("parent"))
-    under = counts.join(above, ["level", "parent"], "left_semi").filter(F.col("a") * n0 <= F.col("b") * n1)
-    top = lean.unionByName(under.select(*lean.columns)).toPandas()
-    counts.unpersist()
-    shares = []
-    for level in range(len(LEVELS)):
-        part = hist[hist.level == level]
-        shares.append(fit_share(part.a.to_numpy(np.int64), part.b.to_numpy(np.int64), part.n.to_numpy(float), p) if len(part) else TOXIC_SHARE)
-    m = feature_scores(top, shares, p)
+    scratch = Scratch(spark, "toxicity")
+    counts = scratch.save(counts, "counts")
+    m = scoring_features(spark, counts, p)
+    scratch.drop(counts)
 
     # token histogram of clean documents, then (segment sums, length, label) of every sampled document
     box = spark.sparkContext.broadcast(m)
