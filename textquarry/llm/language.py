@@ -5,10 +5,12 @@ symbol at a time, how far the text at hand still occurs in it.  A text is parsed
 greedily into longest matches; the language whose automaton needs the fewest phrases
 for the text's length is the likeliest (Ziv and Merhav, 1993).
 
-Text is lower-cased, everything but letters becomes one blank.  Automata are transition
-tables over the letters seen in training, so that many windows of text advance by one
-symbol in a few array operations.  Windows of ``WINDOW`` symbols are parsed apart and
-their phrases added, which bounds memory and leaves no part of a text out.
+Text is lower-cased, everything but letters and their marks becomes one blank.  An
+automaton's edges, at most three for each symbol it was built from whatever its alphabet,
+lie in an open hash table, so that many windows of text advance by one symbol in a few
+array operations.  Windows of ``WINDOW`` symbols are parsed apart and their phrases added,
+which bounds memory and leaves no part of a text out; a cut costs every language one
+phrase at most.
 """
 
 from __future__ import annotations
@@ -27,101 +29,144 @@ TRAIN_CHARS = 24_000
 CHARS_PER_DOC = 2_000
 #: More languages than this are refused: each has a table of its own in every worker.
 MAX_LANGUAGES = 200
-WINDOW = 1024
+WINDOW = 2048
 #: Windows advanced together.
 LANES = 4096
 SHARPNESS = 40.0
 
 _LETTER: np.ndarray | None = None
+_MARK = np.uint32(1 << 31)
+_HASH = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _letters() -> np.ndarray:
-    """For every code point, itself if it is a letter and else a blank."""
+    """For every code point itself if it is a letter, with a high bit if it is a mark on one, else a blank."""
     global _LETTER
     if _LETTER is None:
         table = np.full(0x110000, 32, np.uint32)
         for c in range(0x110000):
-            if unicodedata.category(chr(c))[0] == "L":
-                table[c] = c
+            kind = unicodedata.category(chr(c))[0]
+            if kind in "LM":
+                table[c] = c if kind == "L" else _MARK | np.uint32(c)
         _LETTER = table
     return _LETTER
 
 
 def symbols(text: str | None) -> np.ndarray:
-    """Code points of the lower-cased letters with single blanks between runs; empty without a letter."""
+    """Code points of the lower-cased letters and marks with single blanks between runs; empty without a letter."""
     if not isinstance(text, str) or not text:
         return np.zeros(0, np.uint32)
     cps = _letters()[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
     blank = cps == 32
+    if not (~blank & (cps < _MARK)).any():
+        return np.zeros(0, np.uint32)
     keep = ~blank
     keep[1:] |= ~blank[:-1]  # the first blank after a letter
-    cps = cps[keep]
-    return cps if len(cps) and (cps != 32).any() else np.zeros(0, np.uint32)
+    return cps[keep] & ~_MARK
 
 
-def suffix_automaton(s: np.ndarray, n_symbols: int) -> np.ndarray:
-    """Transition table [states, symbols] of the automaton of s; -1 where there is none."""
+@dataclass
+class Automaton:
+    """Edges in an open hash table: key state * n_symbols + symbol (-1: free), and the state an edge leads to."""
+
+    keys: np.ndarray
+    to: np.ndarray
+    first: np.ndarray  # state after each symbol from the start, -1 where there is none
+    n_symbols: int
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """States after one symbol, -1 where there is no edge."""
+        key = state * self.n_symbols + symbol
+        mask = len(self.keys) - 1
+        at = ((key.view(np.uint64) * _HASH) >> np.uint64(40)).view(np.int64) & mask
+        found = self.keys[at]
+        out = np.where(found == key, self.to[at], -1)
+        open_ = np.flatnonzero((found != key) & (found >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & mask
+            found = self.keys[at[open_]]
+            hit = found == key[open_]
+            out[open_[hit]] = self.to[at[open_[hit]]]
+            open_ = open_[~hit & (found >= 0)]
+        return out
+
+
+def suffix_automaton(s: np.ndarray, n_symbols: int) -> Automaton:
+    """The automaton of all substrings of s."""
     size = 2 * len(s) + 1
-    step = np.full((size, n_symbols), -1, np.int32)
+    step: list[dict[int, int]] = [{}]
     link, length = [-1] * size, [0] * size
-    last, used = 0, 1
+    last = 0
     for c in s.tolist():
-        cur = used
-        used += 1
+        cur = len(step)
+        step.append({})
         length[cur] = length[last] + 1
         p = last
-        while p != -1 and step[p, c] < 0:
-            step[p, c] = cur
+        while p != -1 and c not in step[p]:
+            step[p][c] = cur
             p = link[p]
         if p == -1:
             link[cur] = 0
         else:
-            q = int(step[p, c])
+            q = step[p][c]
             if length[q] == length[p] + 1:
                 link[cur] = q
             else:
-                clone = used
-                used += 1
+                clone = len(step)
+                step.append(dict(step[q]))
                 length[clone] = length[p] + 1
-                step[clone] = step[q]
                 link[clone] = link[q]
-                while p != -1 and step[p, c] == q:
-                    step[p, c] = clone
+                while p != -1 and step[p].get(c) == q:
+                    step[p][c] = clone
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    return step[:used]
+    key = np.array([i * n_symbols + c for i, edges in enumerate(step) for c in edges], np.int64)
+    to = np.array([x for edges in step for x in edges.values()], np.int32)
+    slots = 1 << max(4, (4 * len(key)).bit_length())
+    keys, values = np.full(slots, -1, np.int64), np.full(slots, -1, np.int32)
+    at = ((key.view(np.uint64) * _HASH) >> np.uint64(40)).view(np.int64) & (slots - 1)
+    left = np.arange(len(key))
+    while len(left):  # one edge takes each free slot, the others look further on
+        free = keys[at[left]] < 0
+        take, one = np.unique(at[left[free]], return_index=True)
+        won = left[free][one]
+        keys[take], values[take] = key[won], to[won]
+        left = np.setdiff1d(left, won, assume_unique=True)
+        at[left] = np.where(keys[at[left]] >= 0, (at[left] + 1) & (slots - 1), at[left])
+    first = np.full(n_symbols, -1, np.int32)
+    for c, x in step[0].items():
+        first[c] = x
+    return Automaton(keys, values, first, n_symbols)
 
 
 @dataclass
 class Model:
     langs: list[str]
     alphabet: np.ndarray  # sorted code points; symbol 0 stands for all others
-    tables: list[np.ndarray]
+    tables: list[Automaton]
 
     def encode(self, cps: np.ndarray) -> np.ndarray:
         if not len(self.alphabet):
-            return np.zeros(len(cps), np.uint16)
+            return np.zeros(len(cps), np.int32)
         at = np.minimum(np.searchsorted(self.alphabet, cps), len(self.alphabet) - 1)
-        return np.where(self.alphabet[at] == cps, at + 1, 0).astype(np.uint16)
+        return np.where(self.alphabet[at] == cps, at + 1, 0).astype(np.int32)
 
 
-def phrases(lanes: np.ndarray, lengths: np.ndarray, step: np.ndarray) -> np.ndarray:
+def phrases(lanes: np.ndarray, lengths: np.ndarray, m: Automaton) -> np.ndarray:
     """Phrases of the greedy parse of every lane [symbols, lanes]; lanes sorted by falling length."""
     n = lanes.shape[1]
-    state, count = np.zeros(n, np.int64), np.ones(n, np.int64)
-    flat, k = step.ravel(), step.shape[1]
+    state, count = np.full(n, -1), np.zeros(n, np.int64)  # -1: the next symbol starts a phrase
     live = np.searchsorted(-lengths, -np.arange(1, lanes.shape[0] + 1), "right")
     for t in range(lanes.shape[0]):
-        m = live[t]
-        c = lanes[t, :m]
-        to = flat[state[:m] * k + c]
+        k = live[t]
+        c = lanes[t, :k].astype(np.int64)
+        to = m.step(state[:k], c)
         end = np.flatnonzero(to < 0)
         if len(end):
             count[end] += 1
-            again = flat[c[end]]
-            to[end] = np.maximum(again, 0)
-        state[:m] = to
+            to[end] = m.first[c[end]]  # a symbol that the language lacks is a phrase by itself
+        state[:k] = to
     return count
 
 
@@ -135,7 +180,7 @@ def parse(texts: list, m: Model) -> tuple[np.ndarray, np.ndarray]:
     def flush():
         lengths = np.array([len(p) for p in pend])
         order = np.argsort(-lengths, kind="stable")
-        lanes = np.zeros((int(lengths.max()), len(pend)), np.uint16)
+        lanes = np.zeros((int(lengths.max()), len(pend)), np.int32)
         for j, i in enumerate(order.tolist()):
             lanes[: lengths[i], j] = pend[i]
         who = np.array(owner)[order]
