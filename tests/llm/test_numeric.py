@@ -232,20 +232,30 @@ PAGE = """<html><head><title>t</title><style>p{}</style></head><body><header>Sit
 
 
 def test_main_text_of_a_page():
-    assert html.main_text(html.parse(PAGE), set()) == "Head & line\n\nOne two three\n\nFour five"
+    assert html.main_text(html.parse(PAGE)) == "Head & line\n\nOne two three\n\nFour five"
 
 
-def test_template_subtrees_go_and_prose_stays():
+def test_blocks_know_what_they_lie_in():
     page = "<body><div>Join now</div><p>Body text</p><article><p>Quoted</p><div>Shop <i>here</i></div></article></body>"
-    nodes = html.parse(page)
-    every = html.deletable(nodes)
-    assert html.main_text(nodes, every) == "Quoted"
-    assert html.main_text(html.parse("<div>Join now</div><p>Text"), set()) == "Join now\n\nText"
+    found = html.text_blocks(html.parse(page))
+    assert [(b.text, len(b.cut), len(b.prose), b.main) for b in found] == [
+        ("Join now", 1, 0, False), ("Body text", 1, 0, False), ("Quoted", 0, 1, True), ("Shop here", 1, 0, True)
+    ]
+    again = html.text_blocks(html.parse(f"<main>{page}</main>"))
+    assert again[3].cut == found[3].cut and again[2].prose == found[2].prose
+
+
+@pytest.mark.parametrize("deep", ["<div>", "<b>", "<ul><li>", "<p><b>", "<span>x", "<div>x"])
+def test_deep_and_misnested_markup_takes_linear_time(deep):
+    began = time.time()
+    for close in ("</x>", "</p>", "</div>", "<p>", ""):
+        html.main_text(html.parse(deep * 20_000 + close * 20_000))
+    assert time.time() - began < 20
 
 
 @pytest.mark.parametrize("bad", ["", "<", "<p", "a < b", "</p></p>", "<p class='x", "<!-- open", "<script>x", "&#x41;&bogus;", "<p>a</div>b"])
 def test_broken_markup_never_fails(bad):
-    html.main_text(html.parse(bad), set())
+    html.main_text(html.parse(bad))
 
 
 def test_unit_rows_refuse_what_has_no_direction():

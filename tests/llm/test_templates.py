@@ -12,7 +12,7 @@ def texts(spark, pages):
 
 
 def plain(page):
-    return html.main_text(html.parse(page), set())
+    return html.main_text(html.parse(page))
 
 
 def test_text_outside_an_article_goes_by_counts(spark):
@@ -42,3 +42,38 @@ def test_layout_words_do_not_take_the_main_text():
     posts = "".join(f"<article class='post comments-open'><p>{STORY} {i}</p></article>" for i in range(4))
     assert plain(f"<body>{posts}</body>").count(STORY) == 4
     assert plain(f"<body><article><p>Short</p></article><div class='ad'>{STORY}</div><div class='related-posts'><article>card</article></div></body>") == "Short"
+    assert plain(f"<body><div class='layout has-sidebar'><p>{STORY}</p></div></body>") == STORY
+    assert plain(f"<body><div id='content' class='no-comments'><p>{STORY}</p></div></body>") == STORY
+    assert plain(f"<body><div class='post search-result'><p>{STORY}</p></div></body>") == STORY
+    assert plain(f"<body><form id='aspnetForm'><article><p>{STORY}</p><form>Name</form></article></form><form>Log in</form></body>") == STORY
+
+
+def test_prose_that_recurs_in_articles_goes(spark):
+    add = "<p>Subscribe to our newsletter</p>"
+    pages = [f"<article><h1>{STORY} {i}</h1><p>{STORY} told {i}</p>{add}</article>" for i in range(12)]
+    assert texts(spark, pages) == [f"{STORY} {i}\n\n{STORY} told {i}" for i in range(12)]
+    bare = [f"<body><p>{STORY} {i}</p><div class='x'>{add}</div></body>" for i in range(12)]
+    assert texts(spark, bare) == [f"{STORY} {i}" for i in range(12)]
+
+
+def test_copies_of_an_article_stay_whole(spark):
+    body = f"<h1>{STORY}</h1><p>{STORY} told</p>"
+    copies = [f"<nav>{i}</nav><article>{body}</article><div>page {i}</div>" for i in range(20)]  # the same article on other pages
+    near = [f"<article>{body}<p>Edition {i}</p></article>" for i in range(20)]  # mostly the same: no additions to an article
+    others = [f"<article><p>{STORY} {i}</p></article>" for i in range(6)]
+    got = texts(spark, copies + near + others)
+    assert got[3] == f"{STORY}\n\n{STORY} told\n\npage 3" and got[25] == f"{STORY}\n\n{STORY} told\n\nEdition 5" and got[41] == f"{STORY} 1"
+
+
+def test_reader_comments_go():
+    listed = "<ul><li>first!</li><li>nice one</li></ul>"
+    for head in ("<h2>Comments</h2>", "<h3>3 Comments</h3>", "<h2>Reader <i>comments</i> (12)</h2>", "<h4>Leave a reply</h4>"):
+        assert plain(f"<article><h1>Comments on rain</h1><p>{STORY}</p>{head}{listed}<p>me too</p></article>") == f"Comments on rain\n\n{STORY}"
+    assert plain(f"<article><p>{STORY}</p><h3>Comments</h3>{listed}<h2>More</h2><p>Text</p></article>") == f"{STORY}\n\nMore\n\nText"
+    assert plain(f"<article><h2>Comments by the author</h2><p>{STORY}</p></article>") == f"Comments by the author\n\n{STORY}"
+
+
+def test_odd_tables(spark):
+    rows = [(1, None, "<p>a  b</p>", "t", 3), (1, None, "<p>a  b</p>", "t", 3), (None, "http://x.example/", "", "u", 1), (3, "no url", None, None, 2)]
+    odd = spark.createDataFrame(rows, "page_id long, url string, html string, text string, rid int")
+    assert sorted((str(r.page_id), r.text, r.n_chars) for r in html.extract(spark, odd).collect()) == [("1", "a b", 3), ("1", "a b", 3), ("3", "", 0), ("None", "", 0)]

@@ -1,26 +1,27 @@
 """Main text of web pages by site template removal.
 
 1. Every page is parsed into elements; each element's subtree (tag, text and children)
-   is hashed.
-2. Spark counts on how many different pages of a host each block's subtree occurs.
-3. Blocks that recur on most pages of their host are its template and are cut out, as
-   are elements that say themselves that they are not content (navigation, footers,
-   adverts, forms, scripts ...), unless only by their class and they hold the main text.
-
-What lies outside ``<article>`` or ``<main>`` goes by the same rules as all else.  Inline
-elements are part of their block.  Copies of a whole page count as one page.
-
-Prose directly inside an ``<article>`` or ``<main>`` is never taken for template:
-articles of one site quote the same passages and come in copies, and those are content.
+   is hashed.  A page becomes its blocks of text, each with the hashes of the elements
+   that it lies in.
+2. Spark counts on how many pages of a host with different articles each subtree occurs.
+3. Blocks in a subtree that recurs on most of them are the host's template and are cut
+   out, inside an article too.  There, recurring prose stays if it makes up half of the
+   article or more: such a page is a copy of others, not an article with additions.
+
+Elements that say themselves that they are not content (navigation, footers, adverts,
+forms, scripts ...) go without counting, unless only by their class and they hold the main
+text, and so does what follows a heading over reader comments.  Inline elements are part
+of their block.  What lies outside ``<article>`` or ``<main>`` goes by the same rules.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,11 @@ from .common import Scratch
 #: A block is template if it is on at least so many different pages of its host, and on this share of them.
 MIN_PAGES = 8
 MIN_SHARE = 0.5
+#: Elements nested deeper than this are counted as part of the one at this depth.
+DEEP = 64
+#: Hits of so many pages, and so many template blocks, are broadcast; more are left to the planner.
+BROADCAST_PAGES, BROADCAST_BLOCKS = 200_000, 100_000
+SLICE = 200
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe svg canvas object textarea title math noembed noframes xmp".split())
@@ -51,6 +57,13 @@ OUTSIDE_MARKS = frozenset("header masthead topbar".split())
 #: Words that make a class name tell of a state (has-sidebar, comments-open), not of what the element is.
 STATES = frozenset("has no not with without is open opened closed enabled disabled on off left right".split())
 
+HEADINGS = ("h2", "h3", "h4", "h5", "h6")
+COMMENTS = re.compile(
+    r"\W*(?:\d+\s+)?(?:(?:reader|user|recent|latest|all)\s+)?(?:comments?|replies|responses|kommentare?|comentarios?|commentaires?)\W*\d*\W*"
+    r"|\W*(?:leave|post|add) a (?:comment|reply)\W*",
+    re.I,
+)
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?/][^a-zA-Z>][^>]*(?:>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"
@@ -116,6 +129,16 @@ def drop_unwanted(nodes: list[Node]) -> None:
     That is most of the text in ``<article>`` and ``<main>``, or of all text where there are
     none; a mere part of a name does not take most of all text either.
     """
+    wraps = set()  # a form or header around an article is its frame
+    for i, x in enumerate(nodes):
+        if x.tag in ("article", "main"):
+            up = x.parent
+            while up > 0 and up not in wraps:
+                wraps.add(up)
+                up = nodes[up].parent
+    for i in wraps:
+        if nodes[i].tag in ("form", "header", "fieldset", "label") and nodes[i].why == TAG:
+            nodes[i].why = 0
     gone = [False] * len(nodes)
     size, inner = [0] * len(nodes), [0] * len(nodes)  # text in an element, and what of it is in article or main
     some = False
@@ -136,18 +159,49 @@ def drop_unwanted(nodes: list[Node]) -> None:
         most = 2 * size[i] > size[0]
         holds = 2 * inner[i] > inner[0] if some else most
         named = (x.why == NAME and not holds) or (x.why == PART and not holds and not most)
-        x.drop = gone[i] or named or (i > 0 and nodes[x.parent].drop)
+        x.drop = x.drop or gone[i] or named or (i > 0 and nodes[x.parent].drop)
+
+
+def drop_comments(nodes: list[Node]) -> None:
+    """Mark headings over reader comments and their following siblings up to the next heading as high."""
+    for x in nodes:
+        rank = ""
+        for c in x.content:
+            if isinstance(c, str):
+                continue
+            y = nodes[c]
+            if rank and y.tag in ("h1", *HEADINGS) and y.tag <= rank:
+                rank = ""
+            if y.tag in HEADINGS and not rank and COMMENTS.fullmatch(" ".join(_inner(nodes, c, 80).split())):
+                rank = y.tag
+            y.drop |= bool(rank)
+
+
+def _inner(nodes: list[Node], i: int, most: int) -> str:
+    """Text of a small element; an empty one where it is longer."""
+    out, todo = "", [i]
+    while todo:
+        c = todo.pop()
+        if isinstance(c, str):
+            out += c
+        else:
+            todo += reversed(nodes[c].content)
+        if len(out) + len(todo) > most:
+            return ""
+    return out
 
 
 def parse(page: str) -> list[Node]:
     """Elements in page order; node 0 is the root. Unclosed and misnested markup is mended."""
     nodes = [Node("", -1, False, 0)]
     stack = [0]
+    open_tags: Counter = Counter()
     at, n = 0, len(page)
 
     def close(upto: int) -> None:
         while len(stack) > upto:
             node = nodes[stack.pop()]
+            open_tags[node.tag] -= 1
             h = xxhash.xxh64(node.tag)
             for c in node.content:
                 if isinstance(c, int):
@@ -173,17 +227,18 @@ def parse(page: str) -> list[Node]:
         at = m.end()
         if m[1]:
             tag = m[1].lower()
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]].tag == tag:
-                    close(k)
-                    break
+            k = len(stack) - 1
+            while open_tags[tag] > 0 and nodes[stack[k]].tag != tag:
+                k -= 1
+            if open_tags[tag] > 0:
+                close(k)
             continue
         tag = (m[2] or m[4] or "").lower()
         if not tag:
             continue
         if not page.endswith(">", 0, at):
             break  # cut off inside a tag
-        if tag in CLOSES_P or tag in ("li", "dd", "dt", "tr", "td", "th", "option"):
+        if (tag in CLOSES_P and open_tags["p"] > 0) or (tag in ("li", "dd", "dt", "tr", "td", "th", "option") and open_tags[tag] > 0):
             for k in range(len(stack) - 1, 0, -1):
                 open_ = nodes[stack[k]].tag
                 if (open_ == "p" and tag in CLOSES_P) or (open_ == tag and tag in ("li", "dd", "dt", "tr", "td", "th", "option")):
@@ -203,78 +258,110 @@ def parse(page: str) -> list[Node]:
             at = end.end() if end else n
             continue
         stack.append(len(nodes) - 1)
+        open_tags[tag] += 1
     close(0)
+    drop_comments(nodes)
     drop_unwanted(nodes)
     return nodes
 
 
-def deletable(nodes: list[Node]) -> set[int]:
-    """Hashes of the subtrees that may be template: blocks with content."""
-    return {x.digest for x in nodes[1:] if x.content and removable(x)}
+def removable(x: Node) -> bool:
+    """Blocks that may be template: those with content, but the outermost frame."""
+    return x.tag in BLOCK and bool(x.content) and x.tag not in ("html", "body", "head", "article", "main")
 
 
-def removable(x: Node) -> bool:
-    """Blocks, but not prose in the main part and the outermost frame."""
-    return x.tag in BLOCK and x.tag not in ("html", "body", "head", "article", "main") and not (x.main and x.tag in PROSE)
+@dataclass
+class Block:
+    """A block of text, the hashes of the removable elements it lies in (prose of an article apart), and whether it is in one."""
+
+    text: str
+    cut: list[int]
+    prose: list[int]
+    main: bool
 
 
-def main_text(nodes: list[Node], template: set[int]) -> str:
-    """Blocks in page order, joined by an empty line."""
-    blocks: list[str] = []
+def text_blocks(nodes: list[Node]) -> list[Block]:
+    """Blocks in page order, without what goes by its own account."""
+    blocks: list[Block] = []
     pend: list[str] = []
+    path: list[tuple[int, bool]] = []
 
-    def flush() -> None:
+    def flush(main: bool) -> None:
         text = " ".join("".join(pend).split())
         if text:
-            blocks.append(text)
+            blocks.append(Block(text, [h for h, prose in path if not prose], [h for h, prose in path if prose], main))
         pend.clear()
 
-    todo: list = [(0, 0)]
+    todo: list = [(0, 0, False)]
     while todo:
-        i, k = todo.pop()
+        i, k, named = todo.pop()
         x = nodes[i]
         if k < len(x.content):
-            todo.append((i, k + 1))
+            todo.append((i, k + 1, named))
             c = x.content[k]
             if isinstance(c, str):
                 pend.append(c)
                 continue
             y = nodes[c]
-            block = y.tag in BLOCK
             if y.tag in ("br", "td", "th", "img"):
                 pend.append(" ")
-            if y.drop or (y.digest in template and removable(y)):
-                if block:
-                    flush()
+            if y.tag in BLOCK:
+                flush(x.main)
+            if y.drop:
                 continue
-            if block:
-                flush()
-            todo.append((c, 0))
-        elif x.tag in BLOCK or i == 0:
-            flush()
-    flush()
-    return "\n\n".join(blocks)
+            counts = removable(y) and len(path) < DEEP
+            if counts:
+                path.append((_signed(y.digest), y.main and y.tag in PROSE))
+            todo.append((c, 0, counts))
+        else:
+            if x.tag in BLOCK or i == 0:
+                flush(x.main)
+            if named:
+                path.pop()
+    flush(False)
+    return blocks
+
+
+def article_key(nodes: list[Node]) -> int:
+    """Hash of the page's articles, or of all of it where there are none: copies of an article share it."""
+    h = xxhash.xxh64()
+    some = False
+    for x in nodes[1:]:
+        if x.main and not nodes[x.parent].main and not x.drop:
+            h.update(x.digest.to_bytes(8, "little"))
+            some = True
+    return _signed(h.intdigest() if some else nodes[0].digest)
+
+
+def main_text(nodes: list[Node]) -> str:
+    """The text of a page whose host has no template: its blocks joined by an empty line."""
+    return "\n\n".join(b.text for b in text_blocks(nodes))
 
 
 def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def _subtrees(batches):
-    for pdf in batches:
-        hosts = [host_of(u) for u in pdf["url"]]
-        trees = [parse(p if isinstance(p, str) else "") for p in pdf["html"]]
-        found = [sorted(_signed(h) for h in deletable(t)) for t in trees]
-        yield pd.DataFrame({"page_id": pdf["page_id"].array, "host": hosts, "whole": [_signed(t[0].digest) for t in trees], "subtree": found})
+_LONGS = pa.list_(pa.int64())
+_BLOCKS = pa.list_(pa.struct([("text", pa.string()), ("cut", _LONGS), ("prose", _LONGS), ("main", pa.bool_())]))
+PAGES = "rid long, page_id long, url string, host string, article long, subtrees array<long>, blocks array<struct<text:string,cut:array<long>,prose:array<long>,main:boolean>>"
 
 
-def _texts(batches):
-    for pdf in batches:
-        out = []
-        for page, hits in zip(pdf["html"], pdf["hits"]):
-            cut = {int(h) & (2**64 - 1) for h in hits} if hits is not None else set()
-            out.append(main_text(parse(page), cut) if isinstance(page, str) else "")
-        yield pd.DataFrame({"page_id": pdf["page_id"].array, "url": pdf["url"].array, "text": out, "n_chars": [len(t) for t in out]})
+def _pages(batches):
+    """Each page's host, article, blocks, and the hashes of all elements they lie in."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            part = batch.slice(at, SLICE)
+            hosts = [host_of(u) for u in part.column("url").to_pylist()]
+            articles, subtrees, blocks = [], [], []
+            for page in part.column("html").to_pylist():
+                nodes = parse(page or "")
+                found = text_blocks(nodes)
+                articles.append(article_key(nodes))
+                subtrees.append(sorted({h for b in found for h in (*b.cut, *b.prose)}))
+                blocks.append([vars(b) for b in found])
+            columns = [part.column("rid"), part.column("page_id"), part.column("url"), pa.array(hosts, pa.string()), pa.array(articles, pa.int64()), pa.array(subtrees, _LONGS), pa.array(blocks, _BLOCKS)]
+            yield pa.RecordBatch.from_arrays(columns, ["rid", "page_id", "url", "host", "article", "subtrees", "blocks"])
 
 
 def extract(
@@ -287,16 +374,25 @@ def extract(
     Repeated rows are each returned; other columns are ignored.
     """
     scratch = Scratch(spark, "html")
-    src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    found = scratch.save(src.mapInPandas(_subtrees, "page_id long, host string, whole long, subtree array<long>"), "subtrees")
-    once = found.groupBy("host", "whole").agg(F.first("subtree").alias("subtree"))
+    src = pages.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    found = scratch.save(src.mapInArrow(_pages, PAGES), "pages")
+
+    once = found.groupBy("host", "article").agg(F.first("subtrees").alias("subtrees"))
     sizes = once.groupBy("host").agg(F.count("*").alias("pages"))
-    counts = once.select("host", F.explode("subtree").alias("subtree")).groupBy("host", "subtree").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
-    each = found.select("page_id", "host", F.explode("subtree").alias("subtree"))
-    template = counts.join(sizes, "host").filter(F.col("n") >= min_share * F.col("pages")).select("host", "subtree")
-    template = scratch.save(template, "template")
-    hits = each.join(template, ["host", "subtree"]).groupBy("page_id", "host").agg(F.collect_set("subtree").alias("hits"))
-    hits = scratch.save(hits.withColumnRenamed("page_id", "_id").withColumnRenamed("host", "_host"), "hits")
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    joined = src.withColumn("host", host).join(hits, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("host") == F.col("_host")), "left")
-    return joined.select("page_id", "url", "html", "hits").mapInPandas(_texts, "page_id long, url string, text string, n_chars long")
+    counts = once.select("host", F.explode("subtrees").alias("subtree")).groupBy("host", "subtree").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
+    template = scratch.save(counts.join(sizes, "host").filter(F.col("n") >= min_share * F.col("pages")).select("host", "subtree"), "template")
+    if template.count() <= BROADCAST_BLOCKS:
+        template = F.broadcast(template)
+    hits = found.select("rid", "host", F.explode("subtrees").alias("subtree")).join(template, ["host", "subtree"])
+    hits = scratch.save(hits.groupBy("rid").agg(F.collect_list("subtree").alias("hits")), "hits")
+    if hits.count() <= BROADCAST_PAGES:
+        hits = F.broadcast(hits)
+
+    size = lambda blocks, keep: F.aggregate(F.filter(blocks, keep), F.lit(0).cast("long"), lambda n, b: n + F.length(b["text"]))
+    rest = F.when(F.col("hits").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~F.arrays_overlap(b["cut"], "hits")))
+    out = found.join(hits, "rid", "left").select("page_id", "url", "hits", rest.alias("rest"))
+    recurs = lambda b: F.arrays_overlap(b["prose"], "hits")
+    added = 2 * size(F.col("rest"), lambda b: b["main"] & recurs(b)) < size(F.col("rest"), lambda b: b["main"])
+    kept = F.when(F.col("hits").isNotNull() & added, F.filter("rest", lambda b: ~recurs(b))).otherwise(F.col("rest"))
+    text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n\n")
+    return out.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
