@@ -304,3 +304,16 @@ def test_pieces_of_odd_rows(spark, odd):
     assert every.filter(F.size("ids") != F.col("n_tokens")).count() == 0
     texts = {r.doc_id: r.text or "" for r in odd.collect()}
     assert all(r.text == texts[r.doc_id] for r in pieces.decode_ids(spark, every).collect())
+
+
+def test_sets_that_share_a_digest_stay_apart(spark):
+    class Same(jaccard.Join):
+        def told_apart(self, rows):  # as if all sets had one first digest
+            return super().told_apart(rows.withColumn("sid", F.lit(7).cast("long")))
+
+    near = sentence(1, 120).split()
+    texts = [sentence(i, 120) for i in (1, 1, 2, 3)] + [" ".join(near[:60] + ["other"] + near[61:])]
+    out = Same(spark, docs(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]), "doc_id", "text", 5, 80).run()
+    # unequal sets get names of their own, equal texts still share one
+    rows = {r.doc_id: r for r in out.collect()}
+    assert [rows[i].component_id for i in range(5)] == [0, 0, 2, 3, 0]

@@ -22,8 +22,10 @@ each shingle flips one of 512 bits, so that two sets differ in at least as many
 as their bitmaps differ in bits.  And the shared part of two listed prefixes bounds the
 overlap from above.
 
-Equal sets are one node.  Shingles are 62-bit hashes of the words, so that two of a
-pair's thousand shingles fall together with a chance of about 1e-13.
+Equal sets are one node.  A set is known by two 64-bit digests: it goes by the first one,
+and where unequal sets share that, all but one of them get another name.  Shingles are
+62-bit hashes of the words, so that two of a pair's thousand shingles fall together with
+a chance of about 1e-13.
 """
 
 from __future__ import annotations
@@ -75,18 +77,19 @@ def subset_cost(s: int, percent: int = PERCENT) -> int:
 
 
 def _sets(words: int, percent: int):
-    """Of each row the set's size, name (sid), bitmap and smallest shingles."""
+    """Of each row the set's size, name (sid), second digest, bitmap and smallest shingles."""
 
     def run(batches):
         for pdf in slices(batches):
-            n, sid, pre, bits = [], [], [], []
+            n, sid, second, pre, bits = [], [], [], [], []
             for _, w in words_by_doc(pdf["text"].tolist(), BLANKS):
                 h = set_of(w, words)
                 n.append(len(h))
                 bits.append(parity_bitmap(h))
                 sid.append(digest(h) if len(h) else None)
+                second.append(digest(h, 1) if len(h) else None)
                 pre.append(h[: view_length(len(h), percent)].copy() if len(h) else h)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].array, "key": pdf["key"].array, "n": n, "sid": pd.array(sid, "Int64"), "bits": bits, "pre": pre})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].array, "key": pdf["key"].array, "n": n, "sid": pd.array(sid, "Int64"), "second": pd.array(second, "Int64"), "bits": bits, "pre": pre})
 
     return run
 
@@ -102,32 +105,33 @@ def set_of(words: np.ndarray, n: int = WORDS) -> np.ndarray:
     return np.unique(shingles(words, n) >> np.uint64(2)).astype(np.int64)
 
 
-def digest(h: np.ndarray) -> int:
-    x = mix64(h.astype(np.uint64) + np.uint64(len(h)))
+def digest(h: np.ndarray, salt: int = 0) -> int:
+    """One of two independent 64-bit digests of a set."""
+    x = mix64((h.astype(np.uint64) + np.uint64(len(h))) ^ np.uint64(salt * 0xD1B54A32D192ED03))
     both = mix64(np.add.reduce(x)[None] ^ mix64(np.bitwise_xor.reduce(x)[None] + np.uint64(len(h))))
     return int(both.astype(np.int64)[0])
 
 
-def set_names(words: int):
-    """Column function from texts to the names of their sets; null for empty ones."""
+def second_digests(words: int):
+    """Column function from texts to the second digests of their sets; null for empty ones."""
 
     @F.pandas_udf("long")
     def run(texts: pd.Series) -> pd.Series:
         sets = (set_of(w, words) for _, w in words_by_doc(texts.tolist(), BLANKS))
-        return pd.Series([digest(h) if len(h) else None for h in sets], dtype="Int64")
+        return pd.Series([digest(h, 1) if len(h) else None for h in sets], dtype="Int64")
 
     return run
 
 
 def _whole(words: int):
-    """(sid, h) for rows whose set is the wanted one."""
+    """(sid, h) for rows whose set is the wanted one: repeated ids may have other texts."""
 
     def run(batches):
         for pdf in slices(batches):
             rows = []
-            for (_, w), sid in zip(words_by_doc(pdf["text"].tolist(), BLANKS), pdf["sid"]):
+            for (_, w), sid, second in zip(words_by_doc(pdf["text"].tolist(), BLANKS), pdf["sid"], pdf["second"]):
                 h = set_of(w, words)
-                if len(h) and digest(h) == sid:
+                if len(h) and digest(h, 1) == second:
                     rows.append((sid, h))
             yield pd.DataFrame({"sid": pd.array([r[0] for r in rows], "Int64"), "h": [r[1] for r in rows]})
 
@@ -165,14 +169,14 @@ class Join:
         )
 
     def fetch(self, wanted: DataFrame, name: str) -> DataFrame:
-        """Whole sets (sid, h) of ``wanted`` (sid, key), read again from the texts.
+        """Whole sets (sid, h) of ``wanted`` (sid, and key: the id they are found at, second digest), read again from the texts.
 
         Texts stay where they are while the list of wanted sets is small enough to send.
         """
-        wanted = self.scratch.save(wanted.select("sid", "key"), f"want-{name}")
+        wanted = self.scratch.save(wanted.select("sid", "key.key", "key.second"), f"want-{name}")
         size = wanted.count()
         other = F.broadcast(wanted) if size <= BROADCAST_IDS else wanted
-        got = self.docs.join(other, "key").select("text", "sid").mapInPandas(_whole(self.words), "sid long, h array<long>")
+        got = self.docs.join(other, "key").select("text", "sid", "second").mapInPandas(_whole(self.words), "sid long, h array<long>")
         got = self.scratch.save(got, name)
         if got.count() > size:  # rows that repeat both id and text
             got = self.scratch.save(got.groupBy("sid").agg(F.first("h").alias("h")), f"{name}-once")
@@ -182,16 +186,17 @@ class Join:
         return inter * (100 + self.percent) >= (a + b) * self.percent
 
     def run(self, *more: str) -> DataFrame:
-        """doc_id, n_shingles and component_id; ``more`` may name sid."""
+        """doc_id, n_shingles and component_id; ``more`` may name second, the set's second digest."""
         save, pct = self.scratch.save, self.percent
-        schema = "doc_id long, key long, n int, sid long, bits array<long>, pre array<long>"
+        schema = "doc_id long, key long, n int, sid long, second long, bits array<long>, pre array<long>"
         rows = save(self.docs.mapInPandas(_sets(self.words, pct), schema), "rows")
+        rows = self.told_apart(rows)
         first = [F.first(c).alias(c) for c in ("n", "bits", "pre")]
         # a set is read again under its smallest id, which also names it; LOWEST stands for copies that all lack one
         own = F.min(F.when(F.col("doc_id").isNotNull(), F.col("key")))
-        key = [own.alias("own"), F.coalesce(own, F.lit(LOWEST)).alias("key")]
+        key = [own.alias("own"), F.struct(F.coalesce(own, F.lit(LOWEST)).alias("key"), F.first("second").alias("second")).alias("key")]
         sets = save(rows.filter("sid is not null").groupBy("sid").agg(*key, *first), "sets")
-        ids, reps = save(rows.select("doc_id", "n", "sid"), "ids"), save(sets.select("sid", "own", "key", "n"), "reps")
+        ids, reps = save(rows.select("doc_id", "n", "sid", *more), "ids"), save(sets.select("sid", "own", "key", "n"), "reps")
         self.scratch.keep_only(sets, ids, reps)
         boundary = self.boundary(sets)
         edges = [save(e, "links") for e in (self.light(reps, boundary),) if e is not None]
@@ -202,9 +207,18 @@ class Join:
         # a null id has no place in the order of ids; copies of a set count through its smallest id
         names = named.groupBy("component").agg(F.min("own").alias("component_id"))
         named = save(named.join(names, "component").select("sid", "component_id"), "names")
-        out = ids.select("doc_id", "n", "sid").join(named, "sid", "left")
+        out = ids.join(named, "sid", "left")
         return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *more)
 
+    def told_apart(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with another name for sets that share theirs with a set of a smaller second digest."""
+        both = rows.filter("sid is not null").groupBy("sid").agg(F.min("second").alias("least"), F.max("second").alias("most"))
+        both = self.scratch.save(both.filter("least <> most").select("sid", "least"), "shared-names")
+        if not both.limit(1).count():
+            return rows
+        other = F.when(F.col("second") > F.col("least"), F.xxhash64("sid", "second")).otherwise(F.col("sid"))
+        return rows.join(both, "sid", "left").withColumn("sid", other).drop("least")
+
     def boundary(self, reps: DataFrame) -> int:
         """The size up to which enumerating subsets is cheaper than scanning lists."""
         small = {r["n"]: r["c"] for r in reps.filter(F.col("n") <= 2 * MAX_BOUNDARY).groupBy("n").agg(F.count("*").alias("c")).collect()}
@@ -366,10 +380,10 @@ def one_of_each(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     """
     scratch = Scratch(spark, "one-of-each")
     join = Join(spark, docs, id_col, text_col, options.get("words", WORDS), options.get("percent", PERCENT))
-    classes = scratch.save(join.run("sid"), "classes")
+    classes = scratch.save(join.run("second"), "classes")
     join.scratch.keep_only()
     key, name, own = fresh(docs, "_gone"), fresh(docs, "_lost_set"), fresh(docs, "_own_set")
-    lost = classes.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(key), F.col("sid").alias(name))
+    lost = classes.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(key), F.col("second").alias(name))
     gone = lost.select(key).distinct()
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
@@ -381,7 +395,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     again = docs[id_col] == twice[key]
     left = docs.join(twice, again, "left_anti")
     left = left.join(gone, left[id_col] == gone[key], "left_anti")
-    clash = docs.join(twice, again, "left_semi").withColumn(own, set_names(join.words)(text_col))
+    clash = docs.join(twice, again, "left_semi").withColumn(own, second_digests(join.words)(text_col))
     lost = scratch.save(lost.join(twice, key, "left_semi").distinct(), "lost")
     clash = clash.join(lost, (clash[id_col] == lost[key]) & (clash[own] == lost[name]), "left_anti")
     return left.unionByName(clash.drop(own).dropDuplicates([id_col, text_col]))
