@@ -49,6 +49,32 @@ def test_answers_are_grounded(spark, request):
     assert rows[3].error and rows[3].answer is None
 
 
+class Seeing(Scripted):
+    def complete(self, model, messages, response_format=None, temperature=0.0):
+        content = messages[-1]["content"]
+        if model == "eyes":
+            assert content[1]["type"] == "image_url" and content[1]["image_url"]["url"].startswith("data:image/png;base64,")
+            return "پیوند؛ آب"
+        if model == "large" and isinstance(content, list):
+            return f"{content[1]['type']} {content[0]['text'].count('Citation: [')}"
+        return super().complete(model, messages)
+
+
+def test_pictures_are_read_and_shown_to_the_answering_model(spark):
+    from tests.test_search import CHUNK, PARENT
+    from textquarry.plans.answering import AnswerModels
+    from textquarry.plans.engine import engine_over_chunks
+
+    chunks = spark.createDataFrame([("c1", "b:parent-0001", "b", "B", "b.pdf", "x", "Chapter", None, [56], [56], "prose", "پیوند آب", "پیوند آب", 2)], CHUNK)
+    parents = spark.createDataFrame([("b:parent-0001", "b", "B", "b.pdf", "Chapter", [56], [56], "متن پیوند آب")], PARENT)
+    catalog = spark.createDataFrame([("b", "Test Book")], "book_id string, title string")
+    picture = "data:image/png;base64,dGVzdA=="
+    q = spark.createDataFrame([(1, None, picture), (2, "آب", None), (3, "آب", "data:text/html;base64,dGVzdA==")], "question_id int, typed_text string, image_data string")
+    rows = {r.question_id: r for r in answer_all(q, engine_over_chunks(chunks, parents), Seeing(), catalog, models=AnswerModels(picture="eyes")).collect()}
+    assert rows[1].structure.type == "multiple_statements" and rows[1].answer == "image_url 2"
+    assert rows[2].answer == "answer to 1" and rows[3].answer is None and "picture" in rows[3].error
+
+
 def test_history_and_scores(spark):
     turns = spark.createDataFrame([(1, i, ("system", "user", "assistant")[i % 3], f" t{i} " if i != 4 else "  ") for i in range(12)], "conv_id int, turn int, role string, text string")
     assert sorted((r.turn, r.text) for r in answer.recent_history(turns).collect()) == [(5, "t5"), (7, "t7"), (8, "t8"), (10, "t10"), (11, "t11")]

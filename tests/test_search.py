@@ -80,6 +80,48 @@ def test_embedding_cache_and_stale_index(spark, tmp_path):
     assert dense.DenseIndex.load(spark, str(tmp_path / "dense")).model == "counting"
 
 
+def test_search_among_allowed_documents(spark):
+    d = spark.createDataFrame([("a", "water stone", "x"), ("b", "water water fire", "x"), ("c", "fire", "y"), ("d", "water", "y")], "doc_id string, text string, scope string")
+    q = spark.createDataFrame([(1, "water", "x")], "qid int, text string, scope string")
+    some = spark.createDataFrame([("a",), ("c",), ("a",), ("gone",)], "doc_id string")
+    got = {r.doc_id: r.score for r in bm25.search(bm25.build(d, scope="scope"), q, allowed=some).collect()}
+    alone = {r.doc_id: r.score for r in bm25.search(bm25.build(d.filter("doc_id in ('a', 'c')"), scope="scope"), q).collect()}
+    assert got == alone and set(got) == {"a"}
+    assert bm25.search(bm25.build(d, scope="scope"), q, scoped=True, allowed=some.filter("doc_id = 'c'")).count() == 0
+    v = dense.from_vectors(spark.createDataFrame([(i, [1.0, float(i)]) for i in range(5)], "d int, v array<double>"), "d", "v")
+    near = spark.createDataFrame([(1, [1.0, 0.0])], "qid int, vector array<double>")
+    few = spark.createDataFrame([(3,), (4,)], "doc_id int")
+    assert [r.doc_id for r in dense.search(v, near, 5, allowed=few).orderBy("rank").collect()] == [3, 4]
+
+
+def test_large_batches_of_queries_are_cut(spark, monkeypatch):
+    v = dense.from_vectors(spark.createDataFrame([(i, [1.0, float(i)]) for i in range(7)], "d int, v array<double>"), "d", "v")
+    near = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(11)], "qid int, vector array<double>")
+    whole = sorted(map(tuple, dense.search(v, near, 3).collect()))
+    monkeypatch.setattr(dense, "BATCH", 4)
+    assert sorted(map(tuple, dense.search(v, near, 3).collect())) == whole and len(whole) == 33
+
+
+class Failing:
+    model = "failing"
+
+    def embed(self, texts):
+        if any("bad" in t for t in texts):
+            raise RuntimeError("provider is down")
+        return [[float(len(t)), 1.0] for t in texts]
+
+
+def test_paid_embeddings_survive_a_failure(spark, tmp_path):
+    cache = str(tmp_path / "cache")
+    d = spark.createDataFrame([(i, "bad" if i == 7 else f"text {i}") for i in range(12)], "doc_id int, text string")
+    with pytest.raises(Exception):
+        dense.build(d, Failing(), cache, batch_size=1, round_texts=1)
+    held = dense.load_cache(spark, cache).count()
+    assert 0 <= held < 12
+    again = dense.build(d.filter("doc_id <> 7"), Failing(), cache, batch_size=1, round_texts=3)
+    assert again.vectors.count() == 11 and dense.load_cache(spark, cache).count() == 11
+
+
 def greedy(c, k, penalty):
     left, out = sorted(c, key=lambda x: (-x[1], x[0])), []
     while left and len(out) < k:
@@ -144,3 +186,18 @@ def test_scope_and_modes(spark, engine):
                 lambda: engine.retrieve(ask(spark).drop("vector")), lambda: engine.check(RetrievalOptions(), ask(spark), "no-book")):
         with pytest.raises(ValueError):
             bad()
+
+
+def test_a_missing_parent_is_an_error(spark, engine):
+    from dataclasses import replace
+
+    found = engine.retrieve(spark.createDataFrame([(1, "آب")], "qid int, text string"), RetrievalOptions(mode="bm25"))
+    assert engine.context(found).count() == 2
+    with pytest.raises(Exception, match="no parent row for p2"):
+        replace(engine, parents=engine.parents.filter("parent_id <> 'p2'")).context(found).collect()
+
+
+def test_presentation_forms_are_found(spark):
+    d = spark.createDataFrame([(1, "ﺳﻼم"), (2, "ﬁne １２")], "doc_id int, text string")
+    q = spark.createDataFrame([(1, "سلام"), (2, "fine 12")], "qid int, text string")
+    assert sorted((r.qid, r.doc_id) for r in bm25.search(bm25.build(d), q).collect()) == [(1, 1), (2, 2)]

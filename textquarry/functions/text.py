@@ -2,18 +2,14 @@
 
 Search text is the comparison form of Persian and Latin text: letter variants and digits
 folded, marks removed, everything outside the token alphabet turned into one blank, lower
-case.  Display text keeps punctuation and line structure.  Both assume NFKC input; see
-``nfkc`` for rows that are not.
+case.  Display text keeps punctuation and line structure.  Both are for text in NFKC: raw
+text goes through ``nfkc`` first, once, where it enters (pages, documents, questions).
 """
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # fixed values: folded letters and digits; tatweel and direction marks have no partner and go
 FOLD_FROM = "يىئكةۀؤ٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹\u200a\u202f\u0640\u200e\u200f"
@@ -26,24 +22,11 @@ SENTENCE_END = "(?<=[.!\u061f?\u061b])\\s+"
 
 SPACE = "[\\s\\x0B\\x1C-\\x1F\\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 LINE_BREAK = "[\\n\\x0B\\f\\x1C-\\x1E\\x85\u2028\u2029]"
-#: Text in which NFKC changes nothing: ASCII, Latin letters without compatibility forms, Arabic script, common quotes.
-NFKC_INERT = (
-    "^[\\x00-\\x7E\u00c0-\u0131\u0134-\u013e\u0141-\u0148\u014a-\u017e"
-    "\u0600-\u064a\u0660-\u0674\u0679-\u06bf\u06c1\u06c3-\u06d2\u06d4-\u06d5\u06dd-\u06ff\u200b-\u200f\u2013\u2014\u2018-\u201e]*$"
-)
-
-
-@F.pandas_udf(StringType())
-def nfkc_udf(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: unicodedata.normalize("NFKC", t) if isinstance(t, str) else "")
 
 
-def nfkc(df: DataFrame, column: str) -> DataFrame:
-    """``df`` with ``column`` in NFKC (null: empty); only rows that can change leave the JVM."""
-    value = F.coalesce(F.col(column), F.lit(""))
-    inert = value.rlike(NFKC_INERT)
-    same = df.filter(inert).withColumn(column, value)
-    return same.unionByName(df.filter(~inert).withColumn(column, nfkc_udf(value)))
+def nfkc(c: Column) -> Column:
+    """Text in Unicode's compatibility form (null: empty), by the normaliser that Spark's collations bring along."""
+    return F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(c, F.lit("")), F.lit(True))
 
 
 def strip(c: Column, extra: str = "") -> Column:

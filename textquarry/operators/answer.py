@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import citation_label
+from ..functions.text import citation_label, is_image_data_url
 
 STRUCTURE = "struct<type:string,question_text:string,statements:array<struct<id:string,text:string>>>"
 HISTORY_TURNS, HISTORY_CHARS = 8, 6000
@@ -24,16 +24,25 @@ class ChatProvider(Protocol):
     def complete(self, model: str, messages: list[dict], response_format: dict | None = None, temperature: float = 0.0) -> str: ...
 
 
-def complete_column(rows: DataFrame, provider: ChatProvider, model: str, system: str, prompt: str, output: str, **options) -> DataFrame:
-    """``rows`` with the provider's reply to each prompt (null prompts get none)."""
+def message(text: str, picture: str | None) -> str | list[dict]:
+    """What a user message holds: the text, or the text and a picture's data URL."""
+    if not isinstance(picture, str):
+        return text
+    return [{"type": "text", "text": text}, {"type": "image_url", "image_url": {"url": picture, "detail": "high"}}]
+
+
+def complete_column(
+    rows: DataFrame, provider: ChatProvider, model: str, system: str, prompt: str, output: str, picture: str | None = None, **options
+) -> DataFrame:
+    """``rows`` with the provider's reply to each prompt (null prompts get none); ``picture`` names a column of data URLs."""
     kept = rows.columns
 
     def run(batches):
         for pdf in batches:
             out = pdf.copy()
             out[output] = [
-                provider.complete(model, [{"role": "system", "content": system}, {"role": "user", "content": p}], **options) if isinstance(p, str) else None
-                for p in pdf[prompt]
+                provider.complete(model, [{"role": "system", "content": system}, {"role": "user", "content": message(p, x)}], **options) if isinstance(p, str) else None
+                for p, x in zip(pdf[prompt], pdf[picture] if picture else [None] * len(pdf))
             ]
             yield out
 
@@ -86,6 +95,12 @@ def fan_out(rows: DataFrame, structure: str = "structure") -> DataFrame:
     return rows.select(*keep, F.posexplode(each).alias("query_no", "q")).select(*keep, "query_no", F.col("q.id").alias("query_id"), F.col("q.text").alias("query_text"))
 
 
+def read_pictures(rows: DataFrame, provider: ChatProvider, model: str, system: str, picture: str = "image_data", output: str = "ocr_text") -> DataFrame:
+    """``rows`` with the text that a model reads from each picture (a data URL); rows without a valid one get none."""
+    asked = rows.withColumn("_ask", F.when(is_image_data_url(F.col(picture)), F.lit("Write down the text of this picture.")))
+    return complete_column(asked, provider, model, system, "_ask", output, picture).drop("_ask")
+
+
 def combined_text(typed: Column, read: Column) -> Column:
     """Typed text, blank line, text read from a picture; null if there is neither."""
     t, r = F.trim(F.coalesce(typed, F.lit(""))), F.coalesce(read, F.lit(""))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..store import stored
 from ..functions.text import content_type, lines, normalize_search, numbered_id, sentences, sorted_pages, strip, token_count
 
 PIECE_LIMIT = 260
@@ -155,6 +156,6 @@ def build_chunks(
     pages: DataFrame, parent_target: int = PARENT_TARGET, parent_max: int = PARENT_MAX,
     child_target: int = CHILD_TARGET, child_max: int = CHILD_MAX, overlap: int = OVERLAP,
 ) -> tuple[DataFrame, DataFrame]:
-    """Parents and children of ``pages``."""
-    segs = with_parents(page_segments(pages), parent_target, parent_max)
-    return parents(segs), children(with_children(segs, child_target, child_max), overlap)
+    """Parents and children of ``pages``; segments and their groups are stored, as several branches read them."""
+    segs = stored(with_parents(stored(page_segments(pages), "segments"), parent_target, parent_max), "grouped")
+    return parents(segs), children(stored(with_children(segs, child_target, child_max), "children"), overlap)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from typing import Protocol
 
 import pandas as pd
@@ -13,6 +14,8 @@ from ..functions.arrays import dot, doubles, l2_normalize, ranked
 from ..functions.text import fingerprint
 
 UNROLL = 256
+#: Queries that are compared with all vectors at once.
+BATCH = 4096
 
 
 class EmbeddingProvider(Protocol):
@@ -89,14 +92,19 @@ def load_cache(spark: SparkSession, path: str) -> DataFrame:
 
 def build(
     docs: DataFrame, provider: EmbeddingProvider, cache_path: str, model: str | None = None, text: str = "text",
-    doc_id: str = "doc_id", scope: str | None = None, batch_size: int = 32,
+    doc_id: str = "doc_id", scope: str | None = None, batch_size: int = 32, round_texts: int = 20_000,
 ) -> DenseIndex:
-    """Index ``docs``; only texts that the cache lacks are embedded, and they are appended to it."""
+    """Index ``docs``; only texts that the cache lacks are embedded, and they are appended to it, about ``round_texts`` at a time."""
     spark = docs.sparkSession
+    if round_texts < 1:
+        raise ValueError("round_texts must be at least 1")
     if model is not None and provider.model != model:
         raise ValueError(f"provider model {provider.model!r} does not match index model {model!r}")
     missing = cache_misses(docs, load_cache(spark, cache_path), provider.model, text)
-    embed_missing(missing, provider, batch_size).write.mode("append").parquet(cache_path)
+    rounds = -(-missing.count() // round_texts)
+    for r in range(rounds):  # what a round has paid for is kept if a later one fails
+        part = missing.filter(F.pmod(F.xxhash64("fingerprint"), F.lit(rounds)) == r)
+        embed_missing(part, provider, batch_size).write.mode("append").parquet(cache_path)
     cache = load_cache(spark, cache_path).filter(F.col("model") == provider.model).dropDuplicates(["fingerprint"])
     own = F.col(scope).cast("string") if scope else F.lit(None).cast("string")
     keyed = docs.select(own.alias("scope"), F.col(doc_id).alias("doc_id"), fingerprint(F.col(text)).alias("fingerprint"))
@@ -129,16 +137,30 @@ def cosine(dim: int, a: str, b: str):
 def scores(index: DenseIndex, queries: DataFrame, scoped: bool, dim: int) -> DataFrame:
     """(qid, doc_id, score) for every query and (allowed) document; exact, so every pair is scored.
 
-    The batch of queries (qid, vector, scope) is the side that travels.
+    Queries (qid, vector, scope) travel to the vectors, ``BATCH`` of them at a time.
     """
+    parts = max(1, -(-queries.count() // BATCH))
+    if parts > 1:
+        some = (queries.filter(F.pmod(F.xxhash64("qid"), F.lit(parts)) == i) for i in range(parts))
+        return reduce(DataFrame.unionByName, (_scores(index, q, scoped, dim) for q in some))
+    return _scores(index, queries, scoped, dim)
+
+
+def _scores(index: DenseIndex, queries: DataFrame, scoped: bool, dim: int) -> DataFrame:
     q = queries.select("qid", *(["scope"] if scoped else []), l2_normalize(doubles(F.col("vector"))).alias("q"))
     v = index.vectors.select("doc_id", *(["scope"] if scoped else []), "vector")
+    q = F.broadcast(q)  # about BATCH rows
     both = v.join(q, "scope") if scoped else v.crossJoin(q)
     return both.select("qid", "doc_id", cosine(dim, "q", "vector").alias("score"))
 
 
-def search(index: DenseIndex, queries: DataFrame, top_k: int = 10, scoped: bool = False, dim: int | None = None) -> DataFrame:
-    """(qid, doc_id, score, rank): the ``top_k`` nearest documents of every query, scores to eight places."""
+def search(index: DenseIndex, queries: DataFrame, top_k: int = 10, scoped: bool = False, dim: int | None = None, allowed: DataFrame | None = None) -> DataFrame:
+    """(qid, doc_id, score, rank): the ``top_k`` nearest documents of every query, scores to eight places.
+
+    ``allowed`` (doc_id) restricts the search to a set of documents.
+    """
+    if allowed is not None:
+        index = DenseIndex(index.model, index.vectors.join(allowed.select("doc_id").distinct(), "doc_id", "left_semi"))
     dim = index.dimension() if dim is None else dim
     if dim and queries.filter(F.size("vector") != dim).limit(1).count():
         raise ValueError(f"a query has another dimension than the index, {dim}")

@@ -59,8 +59,8 @@ def rerank(fused: DataFrame, mode: str) -> DataFrame:
     return scored.withColumn("base", base)
 
 
-def diversify(candidates: DataFrame, top_k: int = 5, penalty: float = 0.12, digits: int = 12) -> DataFrame:
-    """(qid, doc_id, rank, diversified): greedy choice of base less penalty times the largest
+def diversify(candidates: DataFrame, top_k: int = 5, penalty: float = 0.12, digits: int = 12, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(qid, doc_id, rank, diversified, columns of ``carry``): greedy choice of base less penalty times the largest
     Jaccard similarity to what is chosen; ties by base, then by id.
 
     A fold over each query's candidates, of which there are at most twice ``candidate_k``.
@@ -69,8 +69,9 @@ def diversify(candidates: DataFrame, top_k: int = 5, penalty: float = 0.12, digi
         """A candidate, led by what orders it, with its similarity to the chosen so far."""
         score = F.round(x["base"] - F.lit(penalty) * red, digits)
         return F.struct(
-            (-score).alias("neg"), x["nb"].alias("nb"), x["doc_id"].alias("doc_id"), x["base"].alias("base"), red.alias("red"), x["terms"].alias("terms")
-        )
+            (-score).alias("neg"), x["nb"].alias("nb"), x["doc_id"].alias("doc_id"), x["base"].alias("base"), red.alias("red"), x["terms"].alias("terms"),
+            x["more"].alias("more"),
+        )
 
     def choose(state: Column, _: Column) -> Column:
         best = F.array(F.array_min(state["rem"]))
@@ -79,7 +80,7 @@ def diversify(candidates: DataFrame, top_k: int = 5, penalty: float = 0.12, digi
             others = F.filter(s["rem"], lambda y: y["doc_id"] != m["doc_id"])
             measured = F.transform(others, lambda y: F.struct(y.alias("y"), F.greatest(y["red"], jaccard(y["terms"], m["terms"])).alias("red")))
             return F.struct(
-                F.concat(s["sel"], F.array(F.struct(m["doc_id"].alias("doc_id"), (-m["neg"]).alias("score")))).alias("sel"),
+                F.concat(s["sel"], F.array(F.struct(m["doc_id"].alias("doc_id"), (-m["neg"]).alias("score"), m["more"].alias("more")))).alias("sel"),
                 F.transform(measured, lambda z: entry(z["y"], z["red"])).alias("rem"),
             )
 
@@ -87,12 +88,14 @@ def diversify(candidates: DataFrame, top_k: int = 5, penalty: float = 0.12, digi
         return F.when(F.size(state["rem"]) == 0, state).otherwise(F.aggregate(best, state, take))
 
     id_type = candidates.schema["doc_id"].dataType.simpleString()
-    first = F.struct((-F.round("base", digits)).alias("nb"), "doc_id", "base", "terms")
+    more = F.struct(*[F.col(c) for c in carry]) if carry else F.struct(F.lit(0).alias("none"))
+    more_type = candidates.select(more.alias("more")).schema["more"].dataType.simpleString()
+    first = F.struct((-F.round("base", digits)).alias("nb"), "doc_id", "base", "terms", more.alias("more"))
     per_query = candidates.select("qid", entry(first, F.lit(0.0)).alias("c")).groupBy("qid").agg(F.collect_list("c").alias("c"))
-    start = F.struct(F.array().cast(f"array<struct<doc_id:{id_type},score:double>>").alias("sel"), F.col("c").alias("rem"))
+    start = F.struct(F.array().cast(f"array<struct<doc_id:{id_type},score:double,more:{more_type}>>").alias("sel"), F.col("c").alias("rem"))
     chosen = F.aggregate(F.sequence(F.lit(1), F.lit(top_k)), start, choose, lambda s: s["sel"])
     out = per_query.select("qid", F.posexplode(chosen).alias("pos", "x"))
-    return out.select("qid", F.col("x.doc_id").alias("doc_id"), (F.col("pos") + 1).alias("rank"), F.round("x.score", 8).alias("diversified"))
+    return out.select("qid", F.col("x.doc_id").alias("doc_id"), (F.col("pos") + 1).alias("rank"), F.round("x.score", 8).alias("diversified"), *[F.col(f"x.more.{c}").alias(c) for c in carry])
 
 
 def first_of_each_parent(results: DataFrame) -> DataFrame:

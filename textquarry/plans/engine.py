@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import citation_id, normalize_search, tokenize
+from ..functions.text import citation_id, nfkc, normalize_search
+from ..functions.text import tokenize, tokens_of_search
 from ..operators import bm25, dense, fusion
 
 SCHEMA_VERSION = "1.1"
@@ -59,7 +60,7 @@ class RetrievalEngine:
         if options.mode != "bm25":
             vectors = dense.search(self.vectors, queries, options.candidate_k, scoped, self.dim)
         fused = fusion.fuse(words, vectors, options.rrf_k)
-        asked = queries.select("qid", F.array_distinct(tokenize(F.col("text"))).alias("q_terms"))
+        asked = queries.select("qid", F.array_distinct(tokenize(nfkc(F.col("text")))).alias("q_terms"))
         fused = fused.join(self.chunks.select("doc_id", "terms"), "doc_id").join(asked, "qid")
         return fusion.rerank(fused, options.mode)
 
@@ -68,23 +69,28 @@ class RetrievalEngine:
         options = options or RetrievalOptions()
         self.check(options, queries)
         found = self.candidates(queries, options, scoped)
-        chosen = fusion.diversify(found.select("qid", "doc_id", "base", "terms"), options.top_k, options.diversity_penalty)
         parts = found.select(
             "qid",
             "doc_id",
+            "base",
+            "terms",
             F.round(F.coalesce("bm25", F.lit(0.0)), 8).alias("bm25"),
             F.round(F.coalesce("dense", F.lit(0.0)), 8).alias("dense_cosine"),
             F.round("rrf", 8).alias("rrf"),
             F.round("coverage", 8).alias("query_coverage"),
             F.round("base", 8).alias("rerank"),
         )
-        return chosen.join(parts, ["qid", "doc_id"])
+        carry = ("bm25", "dense_cosine", "rrf", "query_coverage", "rerank")
+        return fusion.diversify(parts, options.top_k, options.diversity_penalty, carry=carry)
 
     def context(self, results: DataFrame) -> DataFrame:
-        """(qid, rank, citation_id, parent columns): each parent once, at its best result's rank."""
+        """(qid, rank, citation_id, parent columns): each parent once, at its best result's rank. A missing parent is an error."""
         link = self.chunks.select("doc_id", "parent_id")
         best = fusion.first_of_each_parent(results.join(link, "doc_id")).select("qid", "rank", "parent_id")
-        out = best.join(self.parents, "parent_id")
+        known = self.parents.withColumn("_known", F.lit(True))
+        out = best.join(known, "parent_id", "left")
+        lost = F.raise_error(F.concat(F.lit("no parent row for "), F.coalesce("parent_id", F.lit("null"))))
+        out = out.withColumn("parent_id", F.when(F.col("_known"), F.col("parent_id")).otherwise(lost)).drop("_known")
         return out.withColumn("citation_id", citation_id(F.col("book_id"), F.col("parent_id")))
 
     def responses(self, queries: DataFrame, options: RetrievalOptions | None = None, scoped: bool = False) -> DataFrame:
@@ -110,7 +116,7 @@ class RetrievalEngine:
         joined = asked.join(per_query, "qid", "left").join(passages, "qid", "left").crossJoin(F.broadcast(books))  # one row
         response = F.struct(
             F.lit(SCHEMA_VERSION).alias("schema_version"),
-            F.struct(F.col("q_text").alias("original"), normalize_search(F.col("q_text")).alias("normalized")).alias("query"),
+            F.struct(F.col("q_text").alias("original"), normalize_search(nfkc(F.col("q_text"))).alias("normalized")).alias("query"),
             F.struct(
                 F.lit(options.mode).alias("mode"), F.lit(options.top_k).alias("top_k"), F.lit(options.candidate_k).alias("candidate_k"),
                 F.lit(options.rrf_k).alias("rrf_k"), F.lit(model).cast("string").alias("embedding_model"), F.lit(RERANKER).alias("reranker"),
@@ -127,5 +133,5 @@ class RetrievalEngine:
 def engine_over_chunks(chunks: DataFrame, parents: DataFrame, vectors: dense.DenseIndex | None = None, dim: int | None = None) -> RetrievalEngine:
     """An engine over chunk rows (chunk_id, book_id, search_text, ...) and parent rows."""
     rows = chunks.withColumnRenamed("chunk_id", "doc_id").withColumn("scope", F.coalesce("book_id", F.lit("C110210")))
-    rows = rows.withColumn("terms", F.array_distinct(tokenize(F.col("search_text"))))
+    rows = rows.withColumn("terms", F.array_distinct(tokens_of_search(F.col("search_text"))))
     return RetrievalEngine(bm25.build(rows, "search_text", "doc_id", "scope"), rows, parents, vectors, dim)

@@ -12,43 +12,43 @@ from .search import _SCOPED, _engine
 
 @query(
     """select conv_id, turn, role, substring(trim(text), 1, 6000) as text from (
-  select *, row_number() over (partition by conv_id order by turn desc) as n from conversations) where n <= 3 and role in ('user', 'assistant') and trim(text) <> ''"""
+  select *, row_number() over (partition by conv_id order by turn desc) as n from conversations) where n <= 8 and role in ('user', 'assistant') and trim(text) <> ''"""
 )
 def history_tail(spark, sf_dir):
-    """The last three turns, of which system turns and blank ones go."""
-    return answer.recent_history(table(spark, sf_dir, "conversations"), last=3).select("conv_id", "turn", "role", "text")
+    """The last eight turns, of which system turns and blank ones go."""
+    return answer.recent_history(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "role", "text")
 
 
 def _structures(spark, sf_dir):
-    """First turns as questions: every third with two statements, its halves."""
-    c = table(spark, sf_dir, "conversations").filter("turn = 0")
+    """Every turn of a user as a question: those of every third conversation with two statements, their halves."""
+    c = table(spark, sf_dir, "conversations").filter("role = 'user'")
     half = (F.length("text") / 2).cast("int")
     pair = F.array(F.struct(F.lit("S1").alias("id"), F.substring("text", F.lit(1), half).alias("text")), F.struct(F.lit("S2").alias("id"), F.substring(F.col("text"), half + 1, F.length("text")).alias("text")))
     many = F.col("conv_id") % 3 == 0
     none = F.array().cast("array<struct<id:string,text:string>>")
     value = F.struct(F.when(many, "multiple_statements").otherwise("single").alias("type"), F.col("text").alias("question_text"), F.when(many, pair).otherwise(none).alias("statements"))
-    return c.select("conv_id", value.alias("structure"))
+    return c.select("conv_id", "turn", value.alias("structure"))
 
 
 @query(
-    """with c as (select conv_id, text, length(text) // 2 as h from conversations where turn = 0)
-select conv_id, 'Q' as query_id, text as query_text from c where conv_id % 3 <> 0
-union all select conv_id, 'S1', substring(text, 1, h) from c where conv_id % 3 = 0 union all select conv_id, 'S2', substring(text, h + 1) from c where conv_id % 3 = 0"""
+    """with c as (select conv_id, turn, text, length(text) // 2 as h from conversations where role = 'user')
+select conv_id, turn, 'Q' as query_id, text as query_text from c where conv_id % 3 <> 0
+union all select conv_id, turn, 'S1', substring(text, 1, h) from c where conv_id % 3 = 0 union all select conv_id, turn, 'S2', substring(text, h + 1) from c where conv_id % 3 = 0"""
 )
 def statement_fanout(spark, sf_dir):
-    return answer.fan_out(_structures(spark, sf_dir)).select("conv_id", "query_id", "query_text")
+    return answer.fan_out(_structures(spark, sf_dir)).select("conv_id", "turn", "query_id", "query_text")
 
 
 @query(
-    """select conv_id, case when conv_id % 4 = 3 then null when conv_id % 4 = 0 then trim(text) when conv_id % 4 = 1 then 'read ' || conv_id else trim(text) || chr(10) || chr(10) || 'read ' || conv_id end as combined
-from conversations where turn = 0"""
+    """select conv_id, turn, case when conv_id % 4 = 3 then null when conv_id % 4 = 0 then trim(text) when conv_id % 4 = 1 then 'read ' || conv_id else trim(text) || chr(10) || chr(10) || 'read ' || conv_id end as combined
+from conversations where role = 'user'"""
 )
 def combined_text(spark, sf_dir):
     """Typed only, read from a picture only, both, neither."""
     k = F.col("conv_id") % 4
     typed = F.when(k.isin(0, 2), F.col("text")).when(k == 3, F.lit("  "))
     read = F.when(k.isin(1, 2), F.concat(F.lit("read "), F.col("conv_id").cast("string")))
-    return table(spark, sf_dir, "conversations").filter("turn = 0").select("conv_id", answer.combined_text(typed, read).alias("combined"))
+    return table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", answer.combined_text(typed, read).alias("combined"))
 
 
 def _evidence(spark, sf_dir):

@@ -61,9 +61,9 @@ def tokens(x: str) -> str:
 
 QUESTIONS = "questions as (select item_id as qid, text, 'src' || (item_id % 20) as scope from benchmark)"
 TERMS = f"""
-terms as (select source as scope, doc_id, {tokens('text')} as toks from documents),
+terms as materialized (select source as scope, doc_id, {tokens('text')} as toks from documents),
 doc_stats as (select scope, doc_id, len(toks) as dl from terms),
-postings as (select scope, doc_id, term, count(*) as tf, any_value(dl) as dl
+postings as materialized (select scope, doc_id, term, count(*) as tf, any_value(dl) as dl
   from (select scope, doc_id, len(toks) as dl, unnest(toks) as term from terms) group by all),
 {QUESTIONS},
 qterms as (select qid, scope, term, count(*) as qtf from (select qid, scope, unnest({tokens('text')}) as term from questions) group by all)
@@ -83,7 +83,7 @@ def bm25_sql(scoped: bool, name: str = "bm", k: int = 30) -> str:
   select q.qid, p.doc_id, sum(q.qtf * ln(1.0 + (s.n - d.df + 0.5) / (d.df + 0.5)) * (p.tf * 2.5 / (p.tf + 1.5 * (0.25 + 0.75 * p.dl / s.avgdl)))) as score
   from qterms q {stats} join postings p on {on} join {name}_df d on d.term = q.term {'and d.scope = q.scope' if scoped else ''}
   group by q.qid, p.doc_id),
-{name} as (select qid, doc_id, round(score, 6) as score, rank from (
+{name} as materialized (select qid, doc_id, round(score, 6) as score, rank from (
   select *, row_number() over (partition by qid order by round(score, 9) desc, doc_id) as rank from {name}_raw) where rank <= {k})
 """
 
@@ -101,7 +101,7 @@ def dense_sql(scoped: bool, name: str = "dn", k: int = 30) -> str:
     return f"""
 {name}_raw as (select q.qid, v.doc_id, list_dot_product(qq.v, v.v) as score
   from (select item_id as qid, cast(item_id % 10 as varchar) as scope from benchmark) q join vec qq on {on} cross join vec v {allowed}),
-{name} as (select qid, doc_id, round(score, 8) as score, rank from (
+{name} as materialized (select qid, doc_id, round(score, 8) as score, rank from (
   select *, row_number() over (partition by qid order by round(score, 9) desc, doc_id) as rank from {name}_raw) where rank <= {k})
 """
 
@@ -132,7 +132,7 @@ held as (select doc_id, list_distinct(toks) as terms from terms),
 scaled as (select *, {minmax_sql('bm25')} as bm25_norm, {minmax_sql('dense')} as dense_norm, {minmax_sql('rrf')} as rrf_norm from fused),
 normed as (select f.*, {minmax_sql('bm25')} as bm25_norm, {minmax_sql('dense')} as dense_norm, {minmax_sql('rrf')} as rrf_norm, h.terms, case when len(q_terms) = 0 then 0.0 else len(list_intersect(q_terms, terms)) / len(q_terms)::double end as coverage
   from fused f join held h using (doc_id) join asked using (qid)),
-cand as (select *, {BASE[mode]} as base from normed)
+cand as materialized (select *, {BASE[mode]} as base from normed)
 """
 
 
@@ -142,11 +142,11 @@ def mmr_sql(k: int = 5, penalty: float = 0.12) -> str:
     out = ["r0 as (select qid, doc_id, base, terms, 0.0::double as red from cand)"]
     for i in range(1, k + 1):
         out.append(
-            f"p{i} as (select * from (select *, base - {penalty} * red as div, row_number() over (partition by qid order by "
+            f"p{i} as materialized (select * from (select *, base - {penalty} * red as div, row_number() over (partition by qid order by "
             f"round(base - {penalty} * red, 12) desc, round(base, 12) desc, doc_id) as rn from r{i - 1}) where rn = 1)"
         )
         out.append(
-            f"r{i} as (select c.qid, c.doc_id, c.base, c.terms, greatest(c.red, {jac}) as red from r{i - 1} c join p{i} s on c.qid = s.qid where c.doc_id <> s.doc_id)"
+            f"r{i} as materialized (select c.qid, c.doc_id, c.base, c.terms, greatest(c.red, {jac}) as red from r{i - 1} c join p{i} s on c.qid = s.qid where c.doc_id <> s.doc_id)"
         )
     parts = " union all ".join(f"select qid, doc_id, {i} as rank, round(div, 8) as diversified from p{i}" for i in range(1, k + 1))
     out.append(f"chosen as ({parts})")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import chunking, reports
-from ..functions.text import normalize_display
+from ..functions.text import nfkc, normalize_display
 from .base import display, documents, query, search_form, tokens
 
 BOOK = "printf('D%d', doc_id)"
@@ -22,7 +22,7 @@ def pages(spark, sf_dir):
         F.col("source").alias("section_heading"),
         F.col("source").alias("book_title"),
         F.concat("source", F.lit(".pdf")).alias("source_file"),
-        normalize_display(F.col("text")).alias("display_text"),
+        normalize_display(nfkc(F.col("text"))).alias("display_text"),
     )
 
 
@@ -80,7 +80,7 @@ def split_long_paragraph(spark, sf_dir):
     """Pieces of the paragraphs of more than 260 tokens."""
     from ..functions.text import lines, strip, token_count
 
-    paras = documents(spark, sf_dir).select("doc_id", F.posexplode(lines(normalize_display(F.col("text")))).alias("para", "line"))
+    paras = documents(spark, sf_dir).select("doc_id", F.posexplode(lines(normalize_display(nfkc(F.col("text"))))).alias("para", "line"))
     paras = paras.withColumn("line", strip(F.col("line"))).filter(token_count(F.col("line")) > chunking.PIECE_LIMIT)
     return chunking.split_long_paragraphs(paras.withColumnRenamed("line", "text"), ["doc_id", "para"], "text")
 

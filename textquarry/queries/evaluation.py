@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import bm25, chunking, evaluate
 from ..plans.engine import RetrievalEngine, RetrievalOptions
-from .base import TERMS, bm25_sql, documents, fused_sql, mmr_sql, query, questions, table
-from .chunks import pages
+from ..store import stored
+from .base import TERMS, bm25_sql, documents, fused_sql, mmr_sql, query, questions, search_form, table
+from .chunks import _CHILDREN, BOOK, PACKED, SEGMENTS, pages
 from .search import _engine, _index
 
 PAGE = "doc_id % 8 + 1"
@@ -126,11 +127,23 @@ def chunk_engine(spark, sf_dir) -> RetrievalEngine:
 
     par, chi = chunking.build_chunks(pages(spark, sf_dir))
     # chunk rows feed the index, the statistics and the results
-    return engine_over_chunks(chi.persist(), par.persist())
+    return engine_over_chunks(stored(chi, "chunks"), stored(par, "parents"))
 
 
-@query()
+_CHUNK_DOCS = f"""chunk_docs as materialized (select {BOOK} || printf(':chunk-%04d', row_number() over (partition by doc_id order by parent_no, child_group)) as doc_id, 'all' as source,
+  {BOOK} || printf(':parent-%04d', parent_no) as parent_id, c.text as text from chi c)"""
+
+
+@query(
+    f"""with recursive {SEGMENTS}, {PACKED}, {_CHILDREN}, {_CHUNK_DOCS}, {TERMS.replace('from documents', 'from chunk_docs')}, {bm25_sql(False)}, {fused_sql('bm25')}, {mmr_sql(5)}
+select qid, '1.1' as schema_version, {search_form('q.text')} as normalized, rank, doc_id as chunk_id, parent_id, diversified as score, round(coalesce(bm25, 0.0), 8) as bm25,
+  round(coverage, 8) as query_coverage, round(base, 8) as rerank, count(distinct parent_id) over (partition by qid)::int as passages
+from chosen join cand using (qid, doc_id) join (select doc_id, parent_id from chunk_docs) using (doc_id) join questions q using (qid)"""
+)
 def retrieval_response(spark, sf_dir):
-    """Nested responses as JSON, for every question, over chunks of all documents."""
+    """The results inside the nested responses to every question, over chunks of all documents."""
     out = chunk_engine(spark, sf_dir).responses(questions(spark, sf_dir), RetrievalOptions(mode="bm25"))
-    return out.select("qid", F.to_json("response").alias("response"))
+    r = out.select("qid", "response.schema_version", "response.query.normalized", F.size("response.llm_context.passages").alias("passages"), F.explode("response.results").alias("r"))
+    return r.select(
+        "qid", "schema_version", "normalized", "passages", "r.rank", "r.chunk_id", "r.parent_id", "r.score", "r.scores.bm25", "r.scores.query_coverage", "r.scores.rerank"
+    )

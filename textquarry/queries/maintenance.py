@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import citation_label, fingerprint, normalize_search
-from ..operators import dense, reports
+from ..functions.text import citation_label, fingerprint, nfkc, normalize_search
+from ..operators import bm25, dense, reports
 from ..operators.answer import cached_scores
 from ..sources import io
-from .base import display, documents, query, search_form, table, tokens
+from ..store import scratch_folder, stored
+from .base import TERMS, bm25_sql, questions, display, documents, query, search_form, table, tokens
 
 
 class HashedWords:
@@ -44,14 +45,18 @@ def cache_miss_anti(spark, sf_dir):
     return dense.cache_misses(documents(spark, sf_dir), _held(spark, sf_dir), "m1")
 
 
-@query()
+@query(
+    """with w as (select doc_id, sha256(text) as fingerprint, unnest(regexp_extract_all(lower(text), '[0-9a-z]+')) as w from documents),
+n as (select doc_id, fingerprint, ('0x' || substr(md5(w), 1, 4))::int % 16 as i, count(*)::double as x from w group by all)
+select doc_id, fingerprint, i::int as i, round(x / sqrt(sum(x * x) over (partition by doc_id)), 9) as x from n"""
+)
 def embedding_cache_build(spark, sf_dir):
-    """Misses embedded by a provider in batches, joined back to every document by fingerprint."""
+    """Misses embedded by a provider in batches, joined back to every document by fingerprint; components that aren't 0."""
     d = documents(spark, sf_dir)
     provider = HashedWords()
     empty = spark.createDataFrame([], dense.CACHE_SCHEMA)
     new = dense.embed_missing(dense.cache_misses(d, empty, provider.model), provider)
-    return d.select("doc_id", fingerprint(F.col("text")).alias("fingerprint")).join(new, "fingerprint").select("doc_id", "fingerprint", "vector")
+    return d.select("doc_id", fingerprint(F.col("text")).alias("fingerprint")).join(new, "fingerprint").select("doc_id", "fingerprint", F.posexplode("vector").alias("i", "x")).filter("x <> 0").withColumn("x", F.round("x", 9))
 
 
 @query("select doc_id, case when doc_id % 10 = 0 then 'added' when doc_id % 10 = 1 then 'changed' else 'removed' end as kind from documents where doc_id % 10 < 3")
@@ -64,17 +69,20 @@ def stale_check(spark, sf_dir):
 
 
 @query(
-    """select d.doc_id, b.item_id, case when d.doc_id % 2 = 0 then 0.5 else round(abs(length(d.text) - length(b.text))::double / greatest(length(d.text), length(b.text)), 6) end as score
-from documents d join benchmark b on b.item_id = d.doc_id"""
+    f"""with {TERMS}, {bm25_sql(False, k=10)}
+select d.doc_id, b.item_id, case when min(d.doc_id) over (partition by d.text, b.text) % 2 = 0 then 0.5 else round(abs(length(d.text) - length(b.text))::double / greatest(length(d.text), length(b.text)), 6) end as score
+from bm join documents d using (doc_id) join benchmark b on b.item_id = bm.qid"""
 )
 def rerank_cache(spark, sf_dir):
-    """A scorer runs only for pairs that the score cache lacks (odd ids)."""
+    """Questions and the ten passages found for each: a scorer runs only for pairs that the score cache lacks (odd smallest ids)."""
     from ..functions.text import cache_key
+    from .search import _index
 
     b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"))
-    pairs = documents(spark, sf_dir).join(b, F.col("doc_id") == F.col("item_id")).select("doc_id", "item_id", "question", F.col("text").alias("passage"))
-    pairs = pairs.withColumn("cache_key", cache_key(F.lit("m"), F.col("question"), F.col("passage")))
-    held = pairs.filter("doc_id % 2 = 0").select("cache_key", F.lit(0.5).alias("score"))
+    found = bm25.search(_index(spark, sf_dir), questions(spark, sf_dir), 10).select(F.col("qid").alias("item_id"), "doc_id")
+    pairs = found.join(documents(spark, sf_dir).select("doc_id", F.col("text").alias("passage")), "doc_id").join(b, "item_id")
+    pairs = stored(pairs.withColumn("cache_key", cache_key(F.lit("m"), F.col("question"), F.col("passage"))), "pairs")
+    held = pairs.groupBy("cache_key").agg(F.min("doc_id").alias("least")).filter("least % 2 = 0").select("cache_key", F.lit(0.5).alias("score"))
     scored, _ = cached_scores(pairs, held, lambda qs, ps: [abs(len(p) - len(q)) / max(len(p), len(q)) for q, p in zip(qs, ps)])
     return scored.select("doc_id", "item_id", F.round("score", 6).alias("score"))
 
@@ -138,8 +146,7 @@ def jsonl_roundtrip(spark, sf_dir):
     """Rows written as compressed JSON lines and read again under a schema."""
     from uuid import uuid4
 
-    rows = documents(spark, sf_dir).select("doc_id", normalize_search(F.col("text")).alias("search_text"), "lang", "source")
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/textquarry"
-    path = f"{root.rstrip('/')}/jsonl-{uuid4().hex}"
+    rows = documents(spark, sf_dir).select("doc_id", normalize_search(nfkc(F.col("text"))).alias("search_text"), "lang", "source")
+    path = f"{scratch_folder(spark)}/jsonl-{uuid4().hex}"
     io.write_jsonl(rows, path, gzip=True)
     return io.read_jsonl(spark, path, rows.schema)

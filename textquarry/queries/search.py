@@ -4,16 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import tokenize
 from ..operators import bm25, dense, fusion
 from ..plans.engine import RetrievalEngine, RetrievalOptions
+from ..store import stored
 from .base import TERMS, UNIT, bm25_sql, dense_sql, documents, fused_sql, mmr_sql, query, questions, table
 
 POINTS = UNIT
 
 
+def _terms(spark, sf_dir):
+    """Texts are tokenized once; the index and the candidates' terms come from this table."""
+    return stored(bm25.doc_terms(documents(spark, sf_dir), "text", "doc_id", "source"), "terms")
+
+
 def _index(spark, sf_dir):
-    return bm25.build(documents(spark, sf_dir), "text", "doc_id", "source").persist()
+    return bm25.from_terms(_terms(spark, sf_dir), keep=True)
 
 
 def _vectors(spark, sf_dir):
@@ -28,10 +33,9 @@ def _queries(spark, sf_dir, label_scope: bool = False):
 
 
 def _engine(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    terms = F.array_distinct(tokenize(F.col("text")))
-    chunks = docs.select("doc_id", F.col("source").alias("scope"), terms.alias("terms"), (F.col("doc_id") / 4).cast("long").alias("parent_id"))
-    return RetrievalEngine(_index(spark, sf_dir), chunks, None, _vectors(spark, sf_dir))
+    terms = _terms(spark, sf_dir)
+    chunks = terms.select("doc_id", "scope", F.array_distinct("tokens").alias("terms"), (F.col("doc_id") / 4).cast("long").alias("parent_id"))
+    return RetrievalEngine(bm25.from_terms(terms, keep=True), chunks, None, _vectors(spark, sf_dir))
 
 
 @query(f"with {TERMS} select scope, doc_id, term, tf, dl::int as dl from postings")
@@ -78,6 +82,19 @@ def bm25_scoped_topk(spark, sf_dir):
     return bm25.search(_index(spark, sf_dir), questions(spark, sf_dir), 10, scoped=True)
 
 
+@query(f"with {TERMS.replace('from documents', 'from documents where doc_id % 3 = 0')}, {bm25_sql(False, k=10)} select qid, doc_id, score, rank from bm")
+def bm25_allowed_topk(spark, sf_dir):
+    """Only every third document may be found, and only those count in the statistics."""
+    allowed = documents(spark, sf_dir).filter("doc_id % 3 = 0").select("doc_id")
+    return bm25.search(_index(spark, sf_dir), questions(spark, sf_dir), 10, allowed=allowed)
+
+
+@query(f"with {POINTS.replace('from embeddings', 'from embeddings where vec_id % 3 = 0 or vec_id in (select item_id from benchmark)')}, {dense_sql(False, k=10).replace('cross join vec v', 'cross join (select * from vec where doc_id % 3 = 0) v')} select qid, doc_id, score, rank from dn")
+def cosine_allowed_topk(spark, sf_dir):
+    allowed = table(spark, sf_dir, "embeddings").filter("vec_id % 3 = 0").select(F.col("vec_id").alias("doc_id"))
+    return dense.search(_vectors(spark, sf_dir), _queries(spark, sf_dir), 10, allowed=allowed)
+
+
 @query(f"with {POINTS}, {dense_sql(False, k=10)} select qid, doc_id, score, rank from dn")
 def cosine_topk(spark, sf_dir):
     return dense.search(_vectors(spark, sf_dir), _queries(spark, sf_dir), 10)

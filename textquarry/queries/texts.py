@@ -12,22 +12,41 @@ from .base import UNIT, display, documents, query, search_form, table, tokens
 
 @query(f"select doc_id, {display('text')} as display_text from documents")
 def normalize_display(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", text.normalize_display(F.col("text")).alias("display_text"))
+    return documents(spark, sf_dir).select("doc_id", text.normalize_display(text.nfkc(F.col("text"))).alias("display_text"))
 
 
 @query(f"select doc_id, {search_form('text')} as search_text from documents")
 def normalize_search(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", text.normalize_search(F.col("text")).alias("search_text"))
+    return documents(spark, sf_dir).select("doc_id", text.normalize_search(text.nfkc(F.col("text"))).alias("search_text"))
+
+
+# presentation forms, full-width and half-width forms, ligatures, a fraction, and what they stand for
+_FORMS = "\nﺳﻼم ﻛﺘﺎب １２３ ﬁne Ⅳ ½ ｶﾞ… Ａｂ ①"
+_PLAIN = "\nسلام كتاب 123 fine IV 1⁄2 ガ... Ab 1"
+
+
+@query(
+    f"""with t as (select doc_id, text || '{_PLAIN}' as t from documents)
+select doc_id, {display('t')} as display_text, {search_form('t')} as search_text, array_to_string({tokens('t')}, ' ') as tokens, len({tokens('t')})::int as token_count from t"""
+)
+def nfkc_forms(spark, sf_dir):
+    """Texts that end in compatibility forms: the oracle's texts end in what these stand for."""
+    t = text.nfkc(F.concat("text", F.lit(_FORMS)))
+    rows = documents(spark, sf_dir).select("doc_id", t.alias("t"))
+    return rows.select(
+        "doc_id", text.normalize_display(F.col("t")).alias("display_text"), text.normalize_search(F.col("t")).alias("search_text"),
+        F.array_join(text.tokenize(F.col("t")), " ").alias("tokens"), text.token_count(F.col("t")).alias("token_count"),
+    )
 
 
 @query(f"select doc_id, array_to_string({tokens('text')}, ' ') as tokens from documents")
 def tokenize(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", F.array_join(text.tokenize(F.col("text")), " ").alias("tokens"))
+    return documents(spark, sf_dir).select("doc_id", F.array_join(text.tokenize(text.nfkc(F.col("text"))), " ").alias("tokens"))
 
 
 @query(f"select doc_id, len({tokens('text')})::bigint as token_count from documents")
 def token_count(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", text.token_count(F.col("text")).cast("long").alias("token_count"))
+    return documents(spark, sf_dir).select("doc_id", text.token_count(text.nfkc(F.col("text"))).cast("long").alias("token_count"))
 
 
 def _pages(spark, sf_dir):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.text import (
-    BOOK_WITH_CHAPTERS, CHAPTERS, clean_page_text, needs_review, normalize_search, printed_page, section_heading, token_count,
+    BOOK_WITH_CHAPTERS, CHAPTERS, clean_page_text, needs_review, nfkc, normalize_search, printed_page, section_heading, token_count,
 )
 
 SPANS = "array<struct<text:string,x:double,y:double,font_size:double,font:string>>"
@@ -81,7 +81,7 @@ def page_rows(raw: DataFrame) -> DataFrame:
     rows = rows.withColumn("chapter_id", F.when(known, F.coalesce("chapter_id", F.lit("unknown"))).otherwise(F.lit("document")))
     rows = rows.withColumn("chapter_title", F.when(known, F.coalesce("chapter_title", F.lit("نامشخص"))).otherwise(F.col("book_title")))
     rows = rows.drop("first", "last").withColumn("book_page", printed_page(F.col("book_id"), F.col("pdf_page")))
-    rows = rows.withColumn("display_text", clean_page_text(F.col("raw_text"), F.col("book_page")))
+    rows = rows.withColumn("display_text", clean_page_text(nfkc(F.col("raw_text")), F.col("book_page")))
     spans = F.col("spans") if "spans" in raw.columns else F.array().cast(SPANS)
     size = F.length("display_text")
     quality = F.struct(
