@@ -156,6 +156,15 @@ def build_chunks(
     pages: DataFrame, parent_target: int = PARENT_TARGET, parent_max: int = PARENT_MAX,
     child_target: int = CHILD_TARGET, child_max: int = CHILD_MAX, overlap: int = OVERLAP,
 ) -> tuple[DataFrame, DataFrame]:
-    """Parents and children of ``pages``; segments and their groups are stored, as several branches read them."""
-    segs = stored(with_parents(stored(page_segments(pages), "segments"), parent_target, parent_max), "grouped")
-    return parents(segs), children(stored(with_children(segs, child_target, child_max), "children"), overlap)
+    """Parents and children of ``pages``."""
+    return chunks_of(stored_segments(pages, parent_target, parent_max), child_target, child_max, overlap)
+
+
+def stored_segments(pages: DataFrame, parent_target: int = PARENT_TARGET, parent_max: int = PARENT_MAX) -> DataFrame:
+    """Segments with ``parent_no``, stored: parents, children and their overlap all read them."""
+    return stored(with_parents(stored(page_segments(pages), "segments"), parent_target, parent_max), "grouped")
+
+
+def chunks_of(segments: DataFrame, child_target: int = CHILD_TARGET, child_max: int = CHILD_MAX, overlap: int = OVERLAP) -> tuple[DataFrame, DataFrame]:
+    """Parents and children of segments that carry ``parent_no``."""
+    return parents(segments), children(stored(with_children(segments, child_target, child_max), "children"), overlap)

@@ -7,9 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import citation_id, nfkc, normalize_search
-from ..functions.text import tokenize, tokens_of_search
+from ..functions.text import citation_id, nfkc, normalize_search, tokenize
 from ..operators import bm25, dense, fusion
+from ..store import stored
 
 SCHEMA_VERSION = "1.1"
 RERANKER = "weighted-hybrid-v1"
@@ -96,7 +96,7 @@ class RetrievalEngine:
     def responses(self, queries: DataFrame, options: RetrievalOptions | None = None, scoped: bool = False) -> DataFrame:
         """(qid, response): the nested response of every query, version 1.1."""
         options = options or RetrievalOptions()
-        results = self.retrieve(queries, options, scoped)
+        results = stored(self.retrieve(queries, options, scoped), "results")  # both the list and its passages read it
         rows = results.join(self.chunks.drop("terms", "scope"), "doc_id")
         item = F.struct(
             "rank", F.col("doc_id").alias("chunk_id"), "parent_id", F.col("diversified").alias("score"),
@@ -133,5 +133,6 @@ class RetrievalEngine:
 def engine_over_chunks(chunks: DataFrame, parents: DataFrame, vectors: dense.DenseIndex | None = None, dim: int | None = None) -> RetrievalEngine:
     """An engine over chunk rows (chunk_id, book_id, search_text, ...) and parent rows."""
     rows = chunks.withColumnRenamed("chunk_id", "doc_id").withColumn("scope", F.coalesce("book_id", F.lit("C110210")))
-    rows = rows.withColumn("terms", F.array_distinct(tokens_of_search(F.col("search_text"))))
-    return RetrievalEngine(bm25.build(rows, "search_text", "doc_id", "scope"), rows, parents, vectors, dim)
+    rows = stored(rows.withColumn("tokens", tokenize(nfkc(F.col("search_text")))), "chunks")
+    index = bm25.from_terms(rows.select("scope", "doc_id", "tokens"), keep=True)
+    return RetrievalEngine(index, rows.withColumn("terms", F.array_distinct("tokens")).drop("tokens"), parents, vectors, dim)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..operators import bm25, chunking, evaluate
@@ -79,19 +81,40 @@ def evaluate_engine(spark, sf_dir):
     return evaluate.metrics(ranks)
 
 
-@query()
+_CHUNK_DOCS = f"""chunk_docs as materialized (select {BOOK} || printf(':chunk-%04d', row_number() over (partition by doc_id order by parent_no, child_group)) as doc_id, 'all' as source,
+  {BOOK} || printf(':parent-%04d', parent_no) as parent_id, c.text as text from chi c)"""
+
+
+def _grid_sql(targets: list[int]) -> str:
+    """The chunks of each target size, their index and its metrics; all that depends on the size has it in its name."""
+    shared, own = PACKED.split("cfold as (")
+    names = "cfold csegs tails chi chunk_docs terms doc_stats postings questions qterms bm bm_df bm_raw best ranks sizes".split()
+    parts, runs = [], []
+    for run, target in enumerate(targets):
+        body = f"""cfold as ({own.replace('240', str(target))}, {_CHILDREN}, {_CHUNK_DOCS}, {TERMS.replace('from documents', 'from chunk_docs')}, {bm25_sql(False, k=10)},
+best as (select qid, min(rank) as rank from bm join chunk_docs using (doc_id) join questions q using (qid) where contains({search_form('chunk_docs.text')}, {search_form('q.text')}) group by qid),
+ranks as (select qid, rank from questions left join best using (qid)),
+sizes as (select count(*) as chunk_count, list_sort(list(token_count))[count(*) // 2 + 1] as median_chunk_tokens, max(token_count) as max_chunk_tokens from chi)"""
+        runs.append(f"select 'lexical' as model, {target} as child_target, {run} as run, sizes.*, m.* from sizes, (select {_METRICS} from ranks) m")
+        for name in names:
+            body, runs[-1] = (re.sub(rf"\b{name}\b", f"{name}_{target}", x) for x in (body, runs[-1]))
+        parts.append(body)
+    return f"with recursive {SEGMENTS}, {shared} {', '.join(parts)} {' union all '.join(runs)}"
+
+
+@query(_grid_sql([200, 240, 280]))
 def benchmark_grid(spark, sf_dir):
     """Three child sizes over chunks of all documents; a chunk is relevant if its document holds the question's text."""
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
     asked = q.withColumn("scope", F.lit("all"))
 
     def build(p, target):
-        return chunking.build_chunks(p, child_target=target)
+        return chunking.chunks_of(p, target)
 
     def run_one(model, par, chi):
         rows = chi.select("chunk_id", "book_id", "search_text", "token_count")
         engine_rows = rows.withColumnRenamed("chunk_id", "doc_id").withColumn("scope", F.lit("all"))
-        index = bm25.build(engine_rows, "search_text", "doc_id", "scope")
+        index = bm25.from_terms(stored(bm25.doc_terms(engine_rows, "search_text", "doc_id", "scope"), "terms"), keep=True)
         found = bm25.search(index, asked, 10)
         # relevant: one of the chunks that share most of the question's words
         hits = found.join(rows.select(F.col("chunk_id").alias("doc_id"), "search_text"), "doc_id").join(q.withColumnRenamed("text", "q_text"), "qid")
@@ -101,7 +124,7 @@ def benchmark_grid(spark, sf_dir):
         ranks = asked.select("qid", "scope").join(good.groupBy("qid").agg(F.min("rank").alias("rank")), "qid", "left")
         return evaluate.metrics(ranks).filter("whole").drop("scope", "whole")
 
-    return evaluate.benchmark(pages(spark, sf_dir), [200, 240, 280], ["lexical"], run_one, build)
+    return evaluate.benchmark(chunking.stored_segments(pages(spark, sf_dir)), [200, 240, 280], ["lexical"], run_one, build)
 
 
 @query(
@@ -127,11 +150,7 @@ def chunk_engine(spark, sf_dir) -> RetrievalEngine:
 
     par, chi = chunking.build_chunks(pages(spark, sf_dir))
     # chunk rows feed the index, the statistics and the results
-    return engine_over_chunks(stored(chi, "chunks"), stored(par, "parents"))
-
-
-_CHUNK_DOCS = f"""chunk_docs as materialized (select {BOOK} || printf(':chunk-%04d', row_number() over (partition by doc_id order by parent_no, child_group)) as doc_id, 'all' as source,
-  {BOOK} || printf(':parent-%04d', parent_no) as parent_id, c.text as text from chi c)"""
+    return engine_over_chunks(chi, stored(par, "parents"))
 
 
 @query(
