@@ -29,7 +29,8 @@ def bind(rows: DataFrame, keep: list[str], **values: Column) -> DataFrame:
 def split_long_paragraphs(rows: DataFrame, keep: list[str], text: str, limit: int = PIECE_LIMIT) -> DataFrame:
     """(keep, piece, text): paragraphs in pieces of at most ``limit`` tokens, of whole sentences if there are several, else of words."""
     line = F.col(text)
-    rows = bind(rows, [*keep, text], _parts=F.when(token_count(line) > limit, sentences(line)))
+    # so many tokens need twice as many characters: most lines need not be counted
+    rows = bind(rows, [*keep, text], _parts=F.when((F.length(line) >= 2 * limit) & (token_count(line) > limit), sentences(line)))
     by_words = F.size("_parts") <= 1
     words = F.filter(F.split(line, r"\s+"), lambda w: w != "")
     rows = bind(rows, [*keep, text], _units=F.when(by_words, words).otherwise(F.col("_parts")), _least=F.when(by_words, 1).otherwise(0))
