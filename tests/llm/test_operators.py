@@ -153,6 +153,33 @@ def test_vectors_against_brute_force(spark):
         assert all(r.n_links == 0 and r.component_id == r.vec_id for r in got if r.vec_id is not None and r.vec_id > 9000)
 
 
+def test_copies_and_lengths_of_vectors(spark):
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal(8)
+    rows = [(i, base.tolist()) for i in range(100, 700)]  # far more copies than a block
+    rows += [(1000 + i, (base + 0.02 * rng.standard_normal(8)).tolist()) for i in range(60)]
+    rows += [(2000 + i, rng.standard_normal(8).tolist()) for i in range(300)]
+    rows += [(5, [1.0, 0.0]), (6, [2.0, 0.0]), (7, [0.0, 1.0]), (8, [1.0]), (9, [3.0]), (10, [-1.0]), (11, []), (12, [float("inf"), 1.0]), (13, [None, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for block in (32, 1024):
+        got = {r.vec_id: r for r in neardup_vectors.near_duplicates(spark, df, block=block).collect()}
+        x = np.array([v for _, v in rows if len(v) == 8])
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        hit = (x @ x.T >= 0.95).sum(1) - 1
+        assert all(got[i].n_links == n for (i, _), n in zip(rows, hit))
+        assert {got[i].component_id for i in (*range(100, 700), *range(1000, 1060))} == {100}
+        assert [(got[i].n_links, got[i].component_id) for i in range(5, 14)] == [(1, 5), (1, 5), (0, 7), (1, 8), (1, 8), (0, 10), (0, 11), (0, 12), (0, 13)]
+
+
+@pytest.mark.parametrize("dim, n", [(16, 3000), (64, 6000), (256, 4000)])
+def test_recall_of_passes(spark, dim, n):
+    x = skewed(0.3, n, 100, dim)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in neardup_vectors.near_duplicates(spark, df, block=64).collect()}
+    hit = (x @ x.T >= 0.95).sum(1) - 1
+    assert sum(got.values()) >= 0.99 * hit.sum() and all(got[i] <= k for i, k in enumerate(hit))
+
+
 def skewed(background, n, pairs, dim=64, seed=5):
     """Vectors with a common direction, and pairs of them at cosine 0.955."""
     rng = np.random.default_rng(seed)
