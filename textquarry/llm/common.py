@@ -44,11 +44,12 @@ class Scratch:
         self.n = 0
         self.paths: list[str] = []
 
-    def save(self, df: DataFrame, name: str = "t") -> DataFrame:
+    def save(self, df: DataFrame, name: str = "t", batch: int = SMALL_BATCH) -> DataFrame:
+        """``df`` as a table; at most ``batch`` rows pass to a Python worker at once, fewer where rows are large."""
         self.n += 1
         path = f"{self.base}/{self.n:03d}-{name}"
         conf, was = self.spark.conf, self.spark.conf.get(BATCH_ROWS)
-        conf.set(BATCH_ROWS, min(int(was), SMALL_BATCH) if int(was) > 0 else SMALL_BATCH)
+        conf.set(BATCH_ROWS, min(int(was), batch) if int(was) > 0 else batch)
         try:
             df.write.parquet(path)
         finally:

@@ -74,6 +74,19 @@ def op10_co_training(spark, sf_dir):
     return out.withColumn("held_out", F.coalesce(held, F.lit(False)))
 
 
+def op11_prefix_trie(spark, sf_dir):
+    from .prefix_trie import rebuilt_trie
+
+    return rebuilt_trie(spark, table(spark, sf_dir, "conversations")).digests()
+
+
+def op12_maxscore(spark, sf_dir):
+    from .maxscore import every_nth, search
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return search(spark, every_nth(vectors), vectors)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -87,6 +100,8 @@ QUERIES = {
         op8_transport_stream,
         op9_sampled_splitters,
         op10_co_training,
+        op11_prefix_trie,
+        op12_maxscore,
     )
 }
 
@@ -114,4 +129,30 @@ pairs as (select a.doc_id as x, b.doc_id as y, any_value(a.n) as na, any_value(b
 links as (select x, y from pairs where 100 * c >= 80 * (na + nb - c) union all select y, x from pairs where 100 * c >= 80 * (na + nb - c)),
 reach(a, b) as (select x, y from links union select r.a, l.y from reach r join links l on r.b = l.x)
 select s.doc_id, len(s.sh)::bigint as n_shingles, least(s.doc_id, coalesce(min(r.b), s.doc_id)) as component_id from s left join reach r on r.a = s.doc_id group by s.doc_id, s.sh""",
+    # crc32 bit by bit; a prefix is the chain of its turns' digests
+    "op11_prefix_trie": """with o as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+    row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as pos from conversations where conv_id is not null),
+c as (select conv_id, (list_reduce([4294967295::bigint] || list_transform(range(8 * length(conv_id::varchar)), lambda k: case when k % 8 = 0 then 512 + ord(substr(conv_id::varchar, k // 8 + 1, 1)) else 0 end),
+    lambda x, k: case when (xor(x, k & 255) & 1) = 1 then xor(xor(x, k & 255) >> 1, 3988292384) else xor(x, k & 255) >> 1 end)) as crc from (select distinct conv_id from o)),
+h as (select conv_id, (4294967295 - crc) % 6 as h, conv_id - conv_id % 100 as leader from c),
+r as (select h.conv_id, 0 as part, o.pos, o.role, o.text from h join o on o.conv_id = h.leader and o.pos <= h.h
+  union all select h.conv_id, 1, o.pos, o.role, o.text from h join o on o.conv_id = h.conv_id and o.pos > h.h),
+d as (select conv_id, length(text) as chars, sha256(length(role)::varchar || ':' || role || text) as x, row_number() over (partition by conv_id order by part, pos) as depth from r),
+p as (select conv_id, depth, chars, string_agg(x, '') over (partition by conv_id order by depth) as path from d
+  union all select conv_id, 0, 0, '' from h),
+e as (select conv_id, max(depth) as len from p group by conv_id),
+n as (select path, any_value(depth) as depth, any_value(chars) as chars, min(p.conv_id) as conv_id, count(*) as n_convs,
+  sha256(coalesce(string_agg(p.conv_id::varchar, ',' order by p.conv_id) filter (where depth = len), '')) as ends_sha256 from p join e using (conv_id) group by path),
+k as (select path[:-65] as path, count(*) as n from n where depth > 0 group by 1),
+m as (select n.*, coalesce(k.n, 0) as n_children from n left join k using (path)),
+s as (select a.path, count(*) filter (where b.n_children = 0) as n_leaves, sum((b.n_convs - 1) * b.chars) as saved from m a join m b on starts_with(b.path, a.path) group by a.path)
+select m.conv_id, m.depth, u.conv_id as parent_conv_id, m.n_convs, m.n_children, s.n_leaves, s.saved::bigint as saved_tokens, m.ends_sha256
+from m join s using (path) left join m u on m.depth > 0 and u.path = m.path[:-65]""",
+    "op12_maxscore": """with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x::double))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 5""",
 }
