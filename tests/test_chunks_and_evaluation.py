@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,6 +37,47 @@ def test_packing_fold(spark, sizes):
     assert got == plain_pack(sizes, 240, 320)
 
 
+@pytest.mark.parametrize("block", [1, 7, 64, 4096])
+def test_blocks_of_a_book_fold_as_the_whole_book_does(spark, block):
+    rng = random.Random(block)
+    books = {b: [rng.choice([2, 9, 40, 260, 700, 1200]) for _ in range(n)] for b, n in (("a", 1), ("b", 300), ("c", 64), ("d", 65))}
+    chapter = {b: [i // 23 % 3 for i in range(len(x))] for b, x in books.items()}
+    rows = [(b, i + 1, x, [None, "x", "y"][chapter[b][i]], "t") for b, v in books.items() for i, x in enumerate(v)]
+    segs = spark.createDataFrame(rows, "book_id string, seg int, tokens int, chapter_id string, text string")
+    got = chunking.with_children(chunking.with_parents(segs, 700, 950, block), 240, 320, 40, block).orderBy("book_id", "seg").collect()
+    for b, sizes in books.items():
+        runs, parents, kids, k = [], [], [], 0
+        for i, x in enumerate(sizes):
+            if not i or chapter[b][i] != chapter[b][i - 1]:
+                runs.append([])
+            runs[-1].append(x)
+        for run in runs:
+            first = (parents[-1] + 1) if parents else 1
+            parents += [first + g for g in plain_pack(run, 700, 950)]
+        for p in sorted(set(parents)):
+            own = [x for x, q in zip(sizes, parents) if q == p]
+            groups = plain_pack(own, 240, 320)
+            for i, (x, g) in enumerate(zip(own, groups)):
+                rest = sum(y for y, h in zip(own[i:], groups[i:]) if h == g)
+                kids.append((p, g, k + g + 1, rest <= 40 and g < groups[-1]))
+            k += groups[-1] + 1
+        assert [(r.parent_no, r.child_group, r.child_no, r.repeats) for r in got if r.book_id == b] == kids
+
+
+def test_a_book_of_a_million_segments_is_many_tasks(spark):
+    n = 1_000_000
+    segs = spark.range(n).select(F.lit("b").alias("book_id"), (F.col("id") + 1).cast("int").alias("seg"), (2 + F.pmod(F.xxhash64("id"), F.lit(90))).cast("int").alias("tokens"), F.lit(False).alias("forced"))
+    began = time.time()
+    out = chunking.folded(segs, 240, 320)
+    got = out.agg(F.max("number").alias("groups"), F.count("*").alias("n")).first()
+    assert got.n == n and time.time() - began < 60
+    size = groups = 0
+    for x in (r.tokens for r in segs.select("tokens").collect()):
+        opens = not groups or (size >= 240 and size + x > 240) or size + x > 320
+        size, groups = (x, groups + 1) if opens else (size + x, groups)
+    assert got.groups == groups
+
+
 def test_chapters_part_and_overlap_stays_in_parent(spark):
     lines = [" ".join([f"w{i}x{k}" for k in range(30)]) for i in range(40)]
     rows = [page("\n".join(lines[:20]), 1, "one", heading="H1"), page("\n".join(lines[20:]), 2, "two")]

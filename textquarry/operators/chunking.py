@@ -1,11 +1,16 @@
 """Ordered segments, greedy packing into parents and children, and overlap.
 
-Packing is a fold: whether a segment opens a group depends on all before it.  A change of
-chapter always opens one, so the fold runs over one chapter run of one book at a time.
+Packing is a fold: whether a segment opens a group depends on all before it.  What it has to
+know of them is small, though: the size of the open group, up to the target.  A book is
+cut into blocks of segments; of each block it is worked out where each size on entry leads,
+these tables are put together along the book, and then every block is folded on its own.
+Only places and sizes of segments take part; texts are joined to the outcome once.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +21,8 @@ PIECE_LIMIT = 260
 PARENT_TARGET, PARENT_MAX = 700, 950
 CHILD_TARGET, CHILD_MAX = 240, 320
 OVERLAP = 40
+#: Segments of a book that one task folds at a time.
+BLOCK = 4096
 
 
 def bind(rows: DataFrame, keep: list[str], **values: Column) -> DataFrame:
@@ -64,9 +71,15 @@ def page_segments(pages: DataFrame) -> DataFrame:
     paras = pages.select(*keep, F.posexplode(lines(F.col("display_text"))).alias("para", "line"))
     paras = paras.withColumn("line", strip(F.col("line"))).filter("line <> ''")
     pieces = split_long_paragraphs(paras.withColumnRenamed("line", "text"), [*keep, "para"], "text")
-    pieces = bind(pieces, pieces.columns, tokens=token_count(F.col("text"))).filter("tokens >= 2")
-    order = Window.partitionBy("book_id").orderBy("pdf_page", "para", "piece")
-    return pieces.withColumn("seg", F.row_number().over(order))
+    pieces = stored(bind(pieces, pieces.columns, tokens=token_count(F.col("text"))).filter("tokens >= 2"), "pieces")
+    # numbered within pages, whose counts are added up along the book
+    before = Window.partitionBy("book_id").orderBy("pdf_page").rowsBetween(Window.unboundedPreceding, -1)
+    counts = pieces.groupBy("book_id", "pdf_page").agg(F.count("*").alias("n"))
+    counts = counts.select(F.col("book_id").alias("_book"), F.col("pdf_page").alias("_page"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    order = Window.partitionBy("book_id", "pdf_page").orderBy("para", "piece")
+    rows = pieces.withColumn("_in_page", F.row_number().over(order))
+    rows = rows.join(counts, F.col("book_id").eqNullSafe(F.col("_book")) & F.col("pdf_page").eqNullSafe(F.col("_page")))
+    return rows.withColumn("seg", (F.col("_before") + F.col("_in_page")).cast("int")).drop("_book", "_page", "_before", "_in_page")
 
 
 def pack(sizes: Column, target: int, maximum: int) -> Column:
@@ -82,41 +95,135 @@ def pack(sizes: Column, target: int, maximum: int) -> Column:
     return F.aggregate(sizes, start, step, lambda s: s["out"])
 
 
-def packed(rows: DataFrame, keys: list[str], target: int, maximum: int, name: str) -> DataFrame:
-    """``rows`` (with seg, tokens) and their group number within ``keys``."""
-    ordered = F.array_sort(F.collect_list(F.struct("seg", "tokens")))
-    groups = rows.groupBy(*keys).agg(ordered.alias("s"))
-    groups = groups.select(*keys, F.explode(F.arrays_zip(F.col("s.seg").alias("seg"), pack(F.col("s.tokens"), target, maximum).alias(name))).alias("x"))
-    return rows.join(groups.select(*keys, "x.seg", f"x.{name}"), [*keys, "seg"])
-
-
-def with_parents(segments: DataFrame, target: int = PARENT_TARGET, maximum: int = PARENT_MAX) -> DataFrame:
-    """Segments with ``parent_no``, counted from 1 in each book."""
-    order = Window.partitionBy("book_id").orderBy("seg")
-    before = F.lag("chapter_id").over(order)
-    changed = (F.col("seg") > 1) & ~F.col("chapter_id").eqNullSafe(before)
-    runs = segments.withColumn("_new", changed.cast("int")).withColumn("run", F.sum("_new").over(order)).drop("_new")
-    rows = packed(runs, ["book_id", "run"], target, maximum, "g")
-    number = F.dense_rank().over(Window.partitionBy("book_id").orderBy("run", "g"))
-    return rows.withColumn("parent_no", number).drop("run", "g")
-
-
-def with_children(segments: DataFrame, target: int = CHILD_TARGET, maximum: int = CHILD_MAX) -> DataFrame:
-    """Segments of parents with ``child_group``, counted from 0 in each parent."""
-    return packed(segments, ["book_id", "parent_no"], target, maximum, "child_group")
-
+def _leads(target: int, maximum: int):
+    """Of each block and each size of the open group on entry, the size on leaving and the groups opened; sizes beyond
+    the target act alike.  ``forced``: whether a group was opened by force, after which the entry doesn't matter."""
+
+    def table(tokens, forced) -> tuple[list[int], list[int], int]:
+        size, opened, since = np.arange(target + 1), np.zeros(target + 1, np.int64), -1
+        for x, must in zip(tokens, forced):
+            grown = size + x
+            opens = np.full(len(size), must) | ((size >= target) & (grown > target)) | (grown > maximum)
+            size, opened = np.where(opens, x, grown), opened + opens
+            since = 1 if must else since + int(opens[0]) if since >= 0 else -1
+            if len(size) > 1 and (size == size[0]).all():
+                size = size[:1]  # from here on the entry makes no difference
+        return np.minimum(np.broadcast_to(size, (target + 1,)), target).tolist(), opened.tolist(), since
+
+    def run(groups):
+        rows, key, tokens, forced = [], None, [], []
+        for pdf in groups:
+            for book, block, x, must in zip(pdf["book_id"], pdf["block"], pdf["tokens"], pdf["forced"]):
+                if (book, block) != key:
+                    if key is not None:
+                        rows.append((*key, *table(tokens, forced)))
+                    key, tokens, forced = (book, block), [], []
+                tokens.append(x)
+                forced.append(must)
+            yield pd.DataFrame(rows, columns=["book_id", "block", "size", "opened", "since"])
+            rows = []
+        if key is not None:
+            yield pd.DataFrame([(*key, *table(tokens, forced))], columns=["book_id", "block", "size", "opened", "since"])
+
+    return run
+
+
+def _entries(batches):
+    """What a book's blocks are entered with, from the tables of its blocks in order."""
+    book = None
+    for pdf in batches:
+        rows = []
+        for r in pdf.itertuples():
+            if r.book_id != book:
+                book, size, opened, since = r.book_id, 0, 0, 0
+            rows.append((book, r.block, size, opened, since))
+            # a book's first segment opens a group by force, so that size 0 on entry stands for no group as well
+            opened, since = opened + r.opened[size], (r.since if r.since >= 0 else since + r.opened[size])
+            size = r.size[size]
+        yield pd.DataFrame(rows, columns=["book_id", "block", "in_size", "in_opened", "in_since"])
+
+
+def _fold(target: int, maximum: int):
+    """(book_id, seg, number, since, opens): groups opened in the book so far, and since the last one opened by force."""
+
+    def run(batches):
+        key, size, number, since = None, 0, 0, 0
+        for pdf in batches:
+            out = []
+            for book, block, x, must, a, b, c in zip(*(pdf[k].tolist() for k in ("book_id", "block", "tokens", "forced", "in_size", "in_opened", "in_since"))):
+                if (book, block) != key:
+                    key, size, number, since = (book, block), a, b, c
+                grown = size + x
+                opens = must or (size >= target and grown > target) or grown > maximum
+                if opens:
+                    size, number, since = x, number + 1, 1 if must else since + 1
+                else:
+                    size = grown
+                out.append((number, since, opens))
+            got = pd.DataFrame(out, columns=["number", "since", "opens"])
+            yield pd.concat([pdf[["book_id", "seg"]], got], axis=1)
+
+    return run
+
+
+def folded(sizes: DataFrame, target: int, maximum: int, block: int = BLOCK) -> DataFrame:
+    """(book_id, seg, number, since, opens) of segments (book_id, seg, tokens, forced) of one token or more, numbered from 1 in each book.
+
+    ``number`` counts the groups of the book from 1, ``since`` those since a segment that
+    opens one by force.  Blocks of a book are folded by as many tasks.
+    """
+    rows = sizes.withColumn("block", F.floor((F.col("seg") - 1) / block).cast("int"))
+    rows = stored(rows.select("book_id", "block", "seg", "tokens", (F.coalesce("forced", F.lit(False)) | (F.col("seg") == 1)).alias("forced")), "sizes")
+    name = rows.schema["book_id"].dataType.simpleString()
+    place = ["book_id", "block"]
+    dealt = lambda df, *keys: df.repartition(*keys).sortWithinPartitions(*dict.fromkeys([*keys, *place, *(["seg"] if "seg" in df.columns else [])]))
+    several = rows.filter(F.col("block") > 0).select("book_id").distinct()
+    long = rows.join(several, "book_id", "left_semi")
+    leads = dealt(long, *place).mapInPandas(_leads(target, maximum), f"book_id {name}, block int, size array<int>, opened array<long>, since long")
+    entries = dealt(leads, "book_id").mapInPandas(_entries, f"book_id {name}, block int, in_size long, in_opened long, in_since long")
+    entries = stored(entries, "entries")
+    known = rows.join(entries, place, "left").fillna(0, ["in_size", "in_opened", "in_since"])
+    return dealt(known, *place).mapInPandas(_fold(target, maximum), f"book_id {name}, seg int, number int, since int, opens boolean")
+
+
+def _with(segments: DataFrame, more: DataFrame) -> DataFrame:
+    """Segments and what is known of their places."""
+    return segments.join(more, ["book_id", "seg"])
+
+
+def with_parents(segments: DataFrame, target: int = PARENT_TARGET, maximum: int = PARENT_MAX, block: int = BLOCK) -> DataFrame:
+    """Segments with ``parent_no``, counted from 1 in each book; a change of chapter opens a parent."""
+    sizes = segments.select("book_id", "seg", "tokens", F.xxhash64(F.coalesce("chapter_id", F.lit("")), F.col("chapter_id").isNull()).alias("chapter"))
+    sizes = sizes.withColumn("block", F.floor((F.col("seg") - 1) / block))
+    last = sizes.filter(F.col("seg") % block == 0).select("book_id", (F.col("block") + 1).alias("block"), F.col("chapter").alias("last"))
+    before = F.coalesce(F.lag("chapter").over(Window.partitionBy("book_id", "block").orderBy("seg")), F.col("last"))
+    sizes = sizes.join(last, ["book_id", "block"], "left").withColumn("forced", F.col("chapter") != before)
+    return _with(segments, folded(sizes, target, maximum, block).select("book_id", "seg", F.col("number").alias("parent_no")))
+
+
+def with_children(segments: DataFrame, target: int = CHILD_TARGET, maximum: int = CHILD_MAX, overlap: int = OVERLAP, block: int = BLOCK) -> DataFrame:
+    """Segments of parents with ``child_group`` (from 0 in each parent), ``child_no`` (from 1 in each book) and whether the
+    next child of the parent ``repeats`` them.
+
+    A child repeats whole segments from the end of the one before while their tokens fit into
+    ``overlap``: a running sum from the end that only grows, so that it ends where the
+    first does not fit.
+    """
+    sizes = segments.select("book_id", "seg", "tokens", "parent_no")
+    top = sizes.groupBy("book_id", "parent_no").agg(F.min("seg").alias("seg")).withColumn("forced", F.lit(True))
+    sizes = stored(sizes.join(top, ["book_id", "parent_no", "seg"], "left"), "parent-sizes")
+    placed = folded(sizes, target, maximum, block).select("book_id", "seg", F.col("number").alias("child_no"), (F.col("since") - 1).alias("child_group"))
+    placed = _with(sizes.select("book_id", "seg", "parent_no", "tokens"), placed)
+    parent = Window.partitionBy("book_id", "parent_no")
+    back = Window.partitionBy("book_id", "parent_no", "child_no").orderBy(F.col("seg").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    placed = placed.withColumn("_last", F.max("child_no").over(parent)).withColumn("_sum", F.sum("tokens").over(back))
+    repeats = (F.col("_sum") <= overlap) & (F.col("child_no") < F.col("_last"))
+    return _with(segments, placed.select("book_id", "seg", "child_no", "child_group", repeats.alias("repeats")))
 
-def overlap_tails(children: DataFrame, overlap: int = OVERLAP) -> DataFrame:
-    """Segments that the next child of the same parent repeats, with that child's group.
 
-    Whole segments from the end of a group while their tokens fit: a running sum from
-    the end that only grows, so that it ends where the first does not fit.
-    """
-    back = Window.partitionBy("book_id", "parent_no", "child_group").orderBy(F.col("seg").desc())
-    last = F.max("child_group").over(Window.partitionBy("book_id", "parent_no"))
-    rows = children.withColumn("_sum", F.sum("tokens").over(back.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_last", last)
-    rows = rows.filter((F.col("_sum") <= overlap) & (F.col("child_group") < F.col("_last"))).drop("_sum", "_last")
-    return rows.withColumn("child_group", F.col("child_group") + 1)
+def overlap_tails(children: DataFrame) -> DataFrame:
+    """Segments that the next child of the same parent repeats, with that child's group."""
+    return children.filter("repeats").withColumn("child_group", F.col("child_group") + 1)
 
 
 def _joined(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -139,11 +246,11 @@ def parents(segments: DataFrame) -> DataFrame:
     return rows.withColumn("search_text", normalize_search(F.col("text"))).drop("section_heading")
 
 
-def children(grouped: DataFrame, overlap: int = OVERLAP) -> DataFrame:
-    """Child rows of segments that carry ``parent_no`` and ``child_group``."""
-    own = _joined(grouped.unionByName(overlap_tails(grouped, overlap)), ["book_id", "parent_no", "child_group"])
-    number = F.row_number().over(Window.partitionBy("book_id").orderBy("parent_no", "child_group"))
-    rows = own.withColumn("child_no", number)
+def children(grouped: DataFrame) -> DataFrame:
+    """Child rows of segments from ``with_children``: each child's own and those that it repeats."""
+    members = F.when(F.col("repeats"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    each = grouped.withColumn("_later", F.explode(members)).withColumn("child_no", F.col("child_no") + F.col("_later"))
+    rows = _joined(each, ["book_id", "parent_no", "child_no"])
     return rows.select(
         numbered_id(F.col("book_id"), "chunk", F.col("child_no")).alias("chunk_id"),
         numbered_id(F.col("book_id"), "parent", F.col("parent_no")).alias("parent_id"),
@@ -168,4 +275,4 @@ def stored_segments(pages: DataFrame, parent_target: int = PARENT_TARGET, parent
 
 def chunks_of(segments: DataFrame, child_target: int = CHILD_TARGET, child_max: int = CHILD_MAX, overlap: int = OVERLAP) -> tuple[DataFrame, DataFrame]:
     """Parents and children of segments that carry ``parent_no``."""
-    return parents(segments), children(stored(with_children(segments, child_target, child_max), "children"), overlap)
+    return parents(segments), children(with_children(segments, child_target, child_max, overlap))
