@@ -2,6 +2,7 @@
 
 import re
 import zlib
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -89,6 +90,33 @@ def test_copies_of_a_row_without_id_stay_together(spark):
     assert sorted(r.doc_id for r in jaccard.one_of_each(spark, df).collect() if r.doc_id is not None) == [5, 8]
 
 
+@pytest.mark.parametrize("shared", [None, 7])
+def test_many_rows_without_an_id_or_with_one_id(spark, shared):
+    rng = np.random.default_rng(1)
+    rows = []
+    for k in range(2500):  # pairs of near copies; one side has no id of its own
+        base = [f"w{x}" for x in rng.integers(0, 10**6, 60)]
+        rows += [(1000 + k, " ".join(base)), (shared, " ".join([*base[:59], "x"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_classes(spark, df).collect()]
+    named = Counter(c for _, _, c in got)
+    assert len(got) == 5000 and all(n == 56 for _, n, _ in got)
+    # a missing id takes its partner's; a shared one is the smaller id of all pairs
+    assert named == ({1000 + k: 2 for k in range(2500)} if shared is None else {7: 5000})
+    alone = spark.createDataFrame([(shared, t) for i, t in rows if i == shared], "doc_id long, text string")
+    assert {r.component_id for r in jaccard.jaccard_classes(spark, alone).collect()} == {shared}
+    left = jaccard.one_of_each(spark, df)
+    assert left.count() == (5000 if shared is None else 2500) and left.filter("doc_id >= 1000").count() == (2500 if shared is None else 0)
+
+
+def test_a_slice_without_wanted_sets_is_an_empty_list_of_sets():
+    import pandas as pd
+    import pyarrow as pa
+
+    (none,) = jaccard._whole(5)(iter([pd.DataFrame({"text": ["a b c", None, ""], "sid": [1, 2, 3], "second": [4, 5, 6]})]))
+    assert len(none) == 0 and pa.Array.from_pandas(none["h"], type=pa.list_(pa.int64())).type == pa.list_(pa.int64())
+
+
 def test_one_of_each_group_stays(spark, odd):
     left = jaccard.one_of_each(spark, odd)
     assert left.columns == odd.columns

@@ -67,9 +67,9 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 
 
 def view_length(n: int, percent: int = PERCENT) -> int:
-    """How much of a set is kept at hand: its prefix and what may come into it as others are put last."""
+    """How much of a set is kept at hand: its prefix and what may come into it as others are put last; small sets whole."""
     p = prefix_length(n, percent)
-    return min(n, p + p // 2 + 8)
+    return min(n, max(MAX_BOUNDARY, p + p // 2 + 8))
 
 
 def subset_cost(s: int, percent: int = PERCENT) -> int:
@@ -89,7 +89,7 @@ def _sets(words: int, percent: int):
                 sid.append(digest(h) if len(h) else None)
                 second.append(digest(h, 1) if len(h) else None)
                 pre.append(h[: view_length(len(h), percent)].copy() if len(h) else h)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].array, "key": pdf["key"].array, "n": n, "sid": pd.array(sid, "Int64"), "second": pd.array(second, "Int64"), "bits": bits, "pre": pre})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].array, "key": pdf["key"].array, "mark": pdf["mark"].array, "n": n, "sid": pd.array(sid, "Int64"), "second": pd.array(second, "Int64"), "bits": bits, "pre": pre})
 
     return run
 
@@ -133,7 +133,7 @@ def _whole(words: int):
                 h = set_of(w, words)
                 if len(h) and digest(h, 1) == second:
                     rows.append((sid, h))
-            yield pd.DataFrame({"sid": pd.array([r[0] for r in rows], "Int64"), "h": [r[1] for r in rows]})
+            yield pd.DataFrame({"sid": pd.array([r[0] for r in rows], "Int64"), "h": pd.Series([r[1] for r in rows], dtype=object)})
 
     return run
 
@@ -165,18 +165,21 @@ class Join:
         self.docs = docs.select(
             F.col(id_col).cast("long").alias("doc_id"),
             F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("key"),
+            F.xxhash64(F.col(text_col).cast("string")).alias("mark"),
             F.col(text_col).alias("text"),
         )
 
     def fetch(self, wanted: DataFrame, name: str) -> DataFrame:
-        """Whole sets (sid, h) of ``wanted`` (sid, and key: the id they are found at, second digest), read again from the texts.
+        """Whole sets (sid, h) of ``wanted`` (sid, and key: id and mark of a row they are found at, second digest), read again from the texts.
 
-        Texts stay where they are while the list of wanted sets is small enough to send.
+        An id and the mark of its text are one row, and its copies at most: rows that share
+        an id, or have none, are not met by each other's sets.  Texts stay where they are
+        while the list of wanted sets is small enough to send.
         """
-        wanted = self.scratch.save(wanted.select("sid", "key.key", "key.second"), f"want-{name}")
+        wanted = self.scratch.save(wanted.select("sid", "key.key", "key.mark", "key.second"), f"want-{name}")
         size = wanted.count()
         other = F.broadcast(wanted) if size <= BROADCAST_IDS else wanted
-        got = self.docs.join(other, "key").select("text", "sid", "second").mapInPandas(_whole(self.words), "sid long, h array<long>")
+        got = self.docs.join(other, ["key", "mark"]).select("text", "sid", "second").mapInPandas(_whole(self.words), "sid long, h array<long>")
         got = self.scratch.save(got, name)
         if got.count() > size:  # rows that repeat both id and text
             got = self.scratch.save(got.groupBy("sid").agg(F.first("h").alias("h")), f"{name}-once")
@@ -188,18 +191,19 @@ class Join:
     def run(self, *more: str) -> DataFrame:
         """doc_id, n_shingles and component_id; ``more`` may name second, the set's second digest."""
         save, pct = self.scratch.save, self.percent
-        schema = "doc_id long, key long, n int, sid long, second long, bits array<long>, pre array<long>"
+        schema = "doc_id long, key long, mark long, n int, sid long, second long, bits array<long>, pre array<long>"
         rows = save(self.docs.mapInPandas(_sets(self.words, pct), schema), "rows")
         rows = self.told_apart(rows)
         first = [F.first(c).alias(c) for c in ("n", "bits", "pre")]
-        # a set is read again under its smallest id, which also names it; LOWEST stands for copies that all lack one
-        own = F.min(F.when(F.col("doc_id").isNotNull(), F.col("key")))
-        key = [own.alias("own"), F.struct(F.coalesce(own, F.lit(LOWEST)).alias("key"), F.first("second").alias("second")).alias("key")]
+        # a set is read again at a row of its smallest id, which also names it; LOWEST stands for copies that all lack one
+        own = F.min("doc_id")
+        at = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "key", "mark"))
+        key = [own.alias("own"), F.struct(at["key"].alias("key"), at["mark"].alias("mark"), F.first("second").alias("second")).alias("key")]
         sets = save(rows.filter("sid is not null").groupBy("sid").agg(*key, *first), "sets")
         ids, reps = save(rows.select("doc_id", "n", "sid", *more), "ids"), save(sets.select("sid", "own", "key", "n"), "reps")
         self.scratch.keep_only(sets, ids, reps)
         boundary = self.boundary(sets)
-        edges = [save(e, "links") for e in (self.light(reps, boundary),) if e is not None]
+        edges = [save(e, "links") for e in (self.light(sets, boundary),) if e is not None]
         edges.append(save(self.heavy(sets, -(-pct * (boundary + 1) // 100), [ids, reps, *edges]), "links"))
         self.scratch.keep_only(ids, reps, *edges)
         comp = components(self.scratch, union_all(edges))
@@ -235,10 +239,10 @@ class Join:
                 best, least = x, cost
         return best
 
-    def light(self, reps: DataFrame, boundary: int) -> DataFrame | None:
+    def light(self, sets: DataFrame, boundary: int) -> DataFrame | None:
         if not boundary:
             return None
-        sets = self.fetch(reps.filter(F.col("n") <= boundary).select("sid", "key"), "light")
+        sets = sets.filter(F.col("n") <= boundary).select("sid", F.col("pre").alias("h"))  # a view of so few shingles is the whole set
         subs = sets.mapInPandas(_subsets(boundary, self.percent), "lo int, hi int, sub long, sid long, s int")
         subs = self.scratch.save(subs, "subsets")
         low = F.min(F.when(F.col("s") == F.col("lo"), F.col("sid"))).alias("a")
@@ -306,7 +310,7 @@ class Join:
         keys = save(ordered.join(centre.select("sid"), "sid", "left_semi").select("sid", "key"), "keys")
         self.scratch.keep_only(*held, shared, pre, keys)
         edges: list[DataFrame] = []
-        tested = comp = None
+        tested = comp = have = None
         for r in range(HUB_ROUNDS + 1):
             now = shared if comp is None else shared.join(comp, "sid", "left")
             now = now.withColumn("c", F.coalesce(F.col("component"), F.col("sid")) if comp is not None else F.col("sid"))
@@ -331,7 +335,8 @@ class Join:
             if tested is not None:
                 pairs = pairs.join(tested, ["a", "b"], "left_anti")
             pairs = save(pairs, f"pairs{r}")
-            edges.append(self.verify(pairs, pre, keys, r))
+            good, have = self.verify(pairs, pre, keys, r, have)
+            edges.append(good)
             tested = pairs if tested is None else tested.unionByName(pairs)
             comp = self.scratch.save(components(self.scratch, union_all(edges)).withColumnRenamed("node", "sid"), f"comp{r}")
         return union_all(edges) if edges else self.spark.createDataFrame([], "a long, b long")
@@ -342,8 +347,8 @@ class Join:
         low = F.abs(F.col(na) - F.col(nb))
         return F.greatest(differ, low) * (100 + self.percent) <= (F.col(na) + F.col(nb)) * (100 - self.percent)
 
-    def verify(self, pairs: DataFrame, pre: DataFrame, keys: DataFrame, r: int) -> DataFrame:
-        """The linked ones of ``pairs`` (a, b)."""
+    def verify(self, pairs: DataFrame, pre: DataFrame, keys: DataFrame, r: int, have: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """The linked ones of ``pairs`` (a, b), and the whole sets known now: those of ``have`` are not read again."""
         one = pre.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("pre").alias("pa"))
         two = pre.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("pre").alias("pb"))
         both = pairs.join(one, "a").join(two, "b")
@@ -353,10 +358,12 @@ class Join:
         most = F.size(F.array_intersect("pa", "pb")) + F.least(F.col("na") - seen("pa"), F.col("nb") - seen("pb"))
         maybe = self.scratch.save(both.filter(self.linked(most, F.col("na"), F.col("nb"))).select("a", "b", "na", "nb"), f"maybe{r}")
         need = maybe.select(F.col("a").alias("sid")).unionByName(maybe.select(F.col("b").alias("sid"))).distinct()
-        sets = self.fetch(keys.join(need, "sid", "left_semi"), f"sets{r}")
+        wanted = keys.join(need, "sid", "left_semi")
+        sets = self.fetch(wanted if have is None else wanted.join(have, "sid", "left_anti"), f"sets{r}")
+        sets = sets if have is None else have.unionByName(sets)
         full = maybe.join(sets.select(F.col("sid").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("sid").alias("b"), F.col("h").alias("hb")), "b")
         inter = F.size(F.array_intersect("ha", "hb"))
-        return self.scratch.save(full.filter(self.linked(inter, F.col("na"), F.col("nb"))).select("a", "b"), f"good{r}")
+        return self.scratch.save(full.filter(self.linked(inter, F.col("na"), F.col("nb"))).select("a", "b"), f"good{r}"), sets
 
 
 def jaccard_classes(
