@@ -24,7 +24,13 @@ def scratch_folder(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table of its own: what is built on it reads rows, whatever they cost to make."""
-    path = f"{scratch_folder(df.sparkSession)}/{name}-{uuid4().hex}"
+    """``df`` as a table of its own: what is built on it reads rows, whatever they cost to make.
+
+    A result may read it as long as the session lives; it goes when the driver ends.
+    """
+    spark = df.sparkSession
+    path = f"{scratch_folder(spark)}/{name}-{uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
