@@ -1,22 +1,23 @@
 import subprocess
 import sys
+import time
 
 CODE = """
+import pathlib
 import sys
 from pyspark.sql import SparkSession
 spark = SparkSession.builder.master("local[2]").config("spark.checkpoint.dir", sys.argv[1]).config("spark.ui.enabled", "false").getOrCreate()
 from textquarry.store import stored
 t = stored(spark.range(5), "five")
-assert t.count() == 5 and len(list(__import__("pathlib").Path(sys.argv[1]).iterdir())) == 1
+assert t.count() == 5 and len(list(pathlib.Path(sys.argv[1]).glob("five-*"))) == 1
 spark.stop()
 """
 
 
 def test_stored_tables_go_with_the_driver(tmp_path):
     subprocess.run([sys.executable, "-c", CODE, str(tmp_path)], check=True, timeout=120)
-    for _ in range(50):
-        left = list(tmp_path.iterdir())
-        if not left:
-            break
-        __import__("time").sleep(0.2)
-    assert left == []
+    waited = 0
+    while list(tmp_path.glob("five-*")) and waited < 50:
+        time.sleep(0.2)
+        waited += 1
+    assert not list(tmp_path.glob("five-*"))
