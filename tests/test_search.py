@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from textquarry.operators import bm25, dense, fusion
+from textquarry.operators import bm25, dense, fusion, impacts
 from textquarry.plans.engine import RetrievalEngine, RetrievalOptions, engine_over_chunks
 
 DOC = "doc_id string, text string, scope string"
@@ -201,3 +201,57 @@ def test_presentation_forms_are_found(spark):
     d = spark.createDataFrame([(1, "ﺳﻼم"), (2, "ﬁne １２")], "doc_id int, text string")
     q = spark.createDataFrame([(1, "سلام"), (2, "fine 12")], "qid int, text string")
     assert sorted((r.qid, r.doc_id) for r in bm25.search(bm25.build(d), q).collect()) == [(1, 1), (2, 2)]
+
+
+def test_search_by_impact_reads_few_postings(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(impacts, "BLOCK", 8)
+    rng = np.random.default_rng(4)
+    word = lambda n: [f"w{min(int(x), 3000)}" for x in rng.zipf(1.25, n)]
+    texts = [" ".join(word(int(rng.integers(1, 60)))) for _ in range(800)]
+    texts += texts[:30] + ["", None]
+    docs = spark.createDataFrame([(i, t, f"s{i % 2}") for i, t in enumerate(texts)], "doc_id long, text string, scope string")
+    asked = [(q, texts[q * 7], f"s{q % 2}") for q in range(40)] + [(100, "w1 w1 w2", "s0"), (101, "nowhere", "s1"), (102, None, "s0"), (103, "w2999 w1", "s9")]
+    questions = spark.createDataFrame(asked, "qid long, text string, scope string")
+    index = bm25.from_terms(bm25.doc_terms(docs, scope="scope"), keep=True)
+    for scoped in (False, True):
+        by_impact = impacts.build(index, scoped)
+        want = sorted(map(tuple, bm25.search(index, questions, 10, scoped).collect()))
+        assert sorted(map(tuple, impacts.search(by_impact, questions, 10).collect())) == want
+    by_impact = impacts.build(index)
+    plan = impacts.plan(by_impact, questions, 10)
+    whole = impacts.postings_read(by_impact, plan.withColumn("essential", F.lit(True)).withColumn("need", F.lit(0.0)))
+    assert impacts.postings_read(by_impact, plan) < 0.5 * whole
+    assert by_impact.blocks.agg(F.max(F.size("entries"))).first()[0] < 200  # w1 is in most documents
+
+
+def test_stored_statistics_and_counted_ones_agree(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"a b{i % 3} c{i}", f"s{i % 2}") for i in range(12)], "doc_id long, text string, scope string")
+    q = spark.createDataFrame([(1, "a b1", "s0"), (2, "b2 c3", "s1")], "qid long, text string, scope string")
+    plain, kept = bm25.build(docs, scope="scope"), bm25.from_terms(bm25.doc_terms(docs, scope="scope"), keep=True)
+    plain.save(str(tmp_path / "i"))
+    assert plain.term_stats is None and kept.term_stats is not None
+    for scoped in (False, True):
+        want = sorted(map(tuple, bm25.search(plain, q, 5, scoped).collect()))
+        for other in (kept, bm25.BM25Index.load(spark, str(tmp_path / "i"))):
+            assert sorted(map(tuple, bm25.search(other, q, 5, scoped).collect())) == want
+
+
+def test_dense_search_with_ties_over_many_tasks(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=5).tolist(), f"s{i % 3}") for i in range(300)]
+    rows += [(1000 + i, rows[7][1], f"s{i % 3}") for i in range(100)] + [(None, rows[7][1], "s0"), (2001, rows[3][1], None)]
+    df = spark.createDataFrame(rows, "d long, v array<double>, s string").repartition(7)
+    asked = [(q, rows[q][1], rows[q][2]) for q in range(0, 40)] + [(50, rows[7][1], None)]
+    index = dense.from_vectors(df, "d", "v", "s")
+    queries = spark.createDataFrame(asked, "qid long, vector array<double>, scope string")
+    unit = lambda v: np.array(v) / np.linalg.norm(v)
+    for scoped in (False, True):
+        want = []
+        for q, v, s in asked:
+            near = sorted((-round(float(unit(v) @ unit(w)), 9), i) for i, w, t in rows if i is not None and w is not None and (not scoped or s is not None and s == t))
+            want += [(q, n + 1, i) for n, (_, i) in enumerate(near[:12])]
+        assert sorted((r.qid, r["rank"], r.doc_id) for r in dense.search(index, queries, 12, scoped).collect()) == sorted(want)

@@ -82,3 +82,17 @@ def test_minmax_and_upper_median(spark):
     got = sorted((r.q, r.m) for r in df.select("q", arrays.minmax(F.col("s"), "q").alias("m")).collect() if r.m is not None)
     assert got == [(1, 0.0), (1, 1.0), (2, 1.0), (2, 1.0)]
     assert df.agg(arrays.upper_median(F.col("s"))).first()[0] == 5.0
+
+
+def test_stable_characters_need_no_normaliser(spark):
+    import re
+    import unicodedata
+
+    stable = [c for c in map(chr, range(0x2100)) if re.fullmatch(f"[{text.STABLE}]", c)]
+    assert len(stable) > 400
+    assert all(unicodedata.normalize("NFKC", c) == c and not unicodedata.combining(c) for c in stable)
+    pairs = "".join(a + b for a in stable for b in stable)
+    assert unicodedata.normalize("NFKC", pairs) == pairs
+    odd = ["ﬁne", "été", "½ ① ｆｕｌｌ", "…", "كتاب ﻻ", "plain", "Straße – „ja“", "", None, "آ"]
+    got = spark.createDataFrame([(t,) for t in odd], "t string").select(text.nfkc(F.col("t")).alias("n"))
+    assert [r.n for r in got.collect()] == [unicodedata.normalize("NFKC", t or "") for t in odd]

@@ -24,9 +24,22 @@ SPACE = "[\\s\\x0B\\x1C-\\x1F\\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u2
 LINE_BREAK = "[\\n\\x0B\\f\\x1C-\\x1E\\x85\u2028\u2029]"
 
 
+# characters that the compatibility form leaves as they are, alone and beside each other: ASCII, Latin letters, usual
+# quotation marks and dashes, Arabic and Persian letters and digits without marks
+STABLE = (
+    "\\x00-\\x7f\u00a1-\u00a7\u00a9\u00ab-\u00ae\u00b0\u00b1\u00b6\u00b7\u00bb\u00bf-\u0131\u0134-\u013e\u0141-\u0148\u014a-\u017e"
+    "\u060c\u061b\u061f\u0621-\u063a\u0640-\u064a\u0660-\u0669\u067e\u0686\u0698\u06a9\u06af\u06cc\u06f0-\u06f9\u200c\u200d\u2010\u2013\u2014\u2018-\u201f"
+)
+
+
 def nfkc(c: Column) -> Column:
-    """Text in Unicode's compatibility form (null: empty), by the normaliser that Spark's collations bring along."""
-    return F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(c, F.lit("")), F.lit(True))
+    """Text in Unicode's compatibility form (null: empty), by the normaliser that Spark's collations bring along.
+
+    Most texts have only characters that stay as they are; those are not sent there.
+    """
+    text = F.coalesce(c, F.lit(""))
+    full = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
+    return F.when(text.rlike(f"[^{STABLE}]"), full).otherwise(text)
 
 
 def strip(c: Column, extra: str = "") -> Column:

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass
 from functools import reduce
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import dot, doubles, l2_normalize, ranked
+from ..functions.arrays import doubles, l2_normalize
 from ..functions.text import fingerprint
 
-UNROLL = 256
-#: Queries that are compared with all vectors at once.
-BATCH = 4096
+#: Queries that are compared with all vectors at once, and the most numbers in their matrix.
+BATCH, MATRIX = 4096, 1 << 21
+#: Scores are ranked by their value in these units.
+KEY = 1e9
 
 
 class EmbeddingProvider(Protocol):
@@ -127,42 +130,71 @@ def validate(index: DenseIndex, docs: DataFrame, text: str = "text", doc_id: str
         raise ValueError("the dense index does not match the current chunks; embed them again")
 
 
-def cosine(dim: int, a: str, b: str):
-    """Dot product of two unit vectors; unrolled into generated code for usual dimensions."""
-    if not 0 < dim <= UNROLL:
-        return dot(F.col(a), F.col(b))
-    return F.expr(" + ".join(f"{a}[{i}] * {b}[{i}]" for i in range(dim)))
+def _nearest(qids: list, matrix: np.ndarray, scopes: list | None, k: int):
+    """Of a task's vectors the ``k`` nearest to each query: blocks of vectors times the queries' matrix, and a bounded list."""
+    own = {s: np.array([i for i, x in enumerate(scopes) if x == s]) for s in set(scopes)} if scopes is not None else None
 
-
-def scores(index: DenseIndex, queries: DataFrame, scoped: bool, dim: int) -> DataFrame:
-    """(qid, doc_id, score) for every query and (allowed) document; exact, so every pair is scored.
-
-    Queries (qid, vector, scope) travel to the vectors, ``BATCH`` of them at a time.
-    """
-    parts = max(1, -(-queries.count() // BATCH))
-    if parts > 1:
-        some = (queries.filter(F.pmod(F.xxhash64("qid"), F.lit(parts)) == i) for i in range(parts))
-        return reduce(DataFrame.unionByName, (_scores(index, q, scoped, dim) for q in some))
-    return _scores(index, queries, scoped, dim)
-
-
-def _scores(index: DenseIndex, queries: DataFrame, scoped: bool, dim: int) -> DataFrame:
-    q = queries.select("qid", *(["scope"] if scoped else []), l2_normalize(doubles(F.col("vector"))).alias("q"))
-    v = index.vectors.select("doc_id", *(["scope"] if scoped else []), "vector")
-    q = F.broadcast(q)  # about BATCH rows
-    both = v.join(q, "scope") if scoped else v.crossJoin(q)
-    return both.select("qid", "doc_id", cosine(dim, "q", "vector").alias("score"))
+    def run(batches):
+        best: list[list] = [[] for _ in qids]
+        least = np.full(len(qids), np.iinfo(np.int64).min)
+        for pdf in batches:
+            parts = [(np.arange(len(qids)), np.arange(len(pdf)))]
+            if own is not None:
+                rows = pdf.groupby("scope").indices  # null scopes fall out
+                parts = [(own[s], rows[s]) for s in rows if s in own]
+            ids = pdf["doc_id"].tolist()
+            for which, rows in parts:
+                if not len(rows):
+                    continue
+                scores = matrix[which] @ np.stack(pdf["vector"].to_numpy()[rows]).T
+                keys = np.floor(scores * KEY + 0.5).astype(np.int64)
+                for j in np.flatnonzero((keys >= least[which][:, None]).any(axis=1)):
+                    q, row = which[j], keys[j]
+                    worst = max(least[q], np.partition(row, -k)[-k]) if len(row) > k else least[q]
+                    some = np.flatnonzero(row >= worst)
+                    found = best[q] + [(-int(row[i]), ids[rows[i]], float(scores[j, i])) for i in some]
+                    best[q] = heapq.nsmallest(k, found)
+                    least[q] = -best[q][-1][0] if len(best[q]) == k else least[q]
+        out = [(qids[q], ident, score, -key) for q, rows in enumerate(best) for key, ident, score in rows]
+        yield pd.DataFrame(out, columns=["qid", "doc_id", "score", "key"])
+
+    return run
+
+
+def _batches(queries: DataFrame, size: int):
+    """The queries in lists of about ``size`` rows; most batches of questions are one."""
+    rows = queries.limit(size + 1).collect()
+    if len(rows) <= size:
+        yield rows
+        return
+    parts = -(-2 * queries.count() // size)
+    for i in range(parts):
+        yield queries.filter(F.pmod(F.xxhash64("qid"), F.lit(parts)) == i).collect()
 
 
 def search(index: DenseIndex, queries: DataFrame, top_k: int = 10, scoped: bool = False, dim: int | None = None, allowed: DataFrame | None = None) -> DataFrame:
     """(qid, doc_id, score, rank): the ``top_k`` nearest documents of every query, scores to eight places.
 
-    ``allowed`` (doc_id) restricts the search to a set of documents.
+    Exact: vectors stay where they are and meet the queries' matrix in blocks, a bounded
+    number of queries at a time; each task keeps its best, which are merged.  With
+    ``scoped`` a query meets the vectors of its scope.  ``allowed`` (doc_id) restricts the
+    search to a set of documents.  Scores are ranked by their value to nine places, ties by id.
     """
     if allowed is not None:
         index = DenseIndex(index.model, index.vectors.join(allowed.select("doc_id").distinct(), "doc_id", "left_semi"))
     dim = index.dimension() if dim is None else dim
     if dim and queries.filter(F.size("vector") != dim).limit(1).count():
         raise ValueError(f"a query has another dimension than the index, {dim}")
-    found = scores(index, queries, scoped, dim).withColumn("rank", ranked(F.col("score"), "doc_id", "qid"))
-    return found.filter(F.col("rank") <= top_k).withColumn("score", F.round("score", 8))
+    spark, v, asked = index.vectors.sparkSession, index.vectors, queries.select("qid", *(["scope"] if scoped else []), l2_normalize(doubles(F.col("vector"))).alias("q"))
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    schema = f"qid {kind(queries, 'qid')}, doc_id {kind(v, 'doc_id')}, score double, key long"
+    rows = v.filter("doc_id is not null and vector is not null").select("doc_id", *(["scope"] if scoped else []), "vector")
+    found = []
+    for part in _batches(asked.filter("q is not null"), max(1, min(BATCH, MATRIX // max(dim, 1)))):
+        if part and dim:
+            run = _nearest([r["qid"] for r in part], np.array([r["q"] for r in part]), [r["scope"] for r in part] if scoped else None, top_k)
+            found.append(rows.mapInPandas(run, schema))
+    hits = reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
+    best = Window.partitionBy("qid").orderBy(F.desc("key"), "doc_id")
+    hits = hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top_k)
+    return hits.select("qid", "doc_id", F.round("score", 8).alias("score"), "rank")

@@ -137,16 +137,26 @@ cand as materialized (select *, {BASE[mode]} as base from normed)
 
 
 def mmr_sql(k: int = 5, penalty: float = 0.12) -> str:
-    """CTEs from cand to ``chosen`` (qid, doc_id, rank, diversified), one greedy round after the other."""
-    jac = "case when len(c.terms) + len(s.terms) = 0 then 0.0 else len(list_intersect(c.terms, s.terms))::double / len(list_distinct(list_concat(c.terms, s.terms))) end"
-    out = ["r0 as (select qid, doc_id, base, terms, 0.0::double as red from cand)"]
+    """CTEs from cand to ``chosen`` (qid, doc_id, rank, diversified), one greedy round after the other.
+
+    Terms of candidates become numbers and meet once, which gives the similarity of all
+    pairs of a question's candidates; the rounds look it up.
+    """
+    out = [
+        "cand_terms as materialized (select qid, doc_id, dense_rank() over (order by term) as term from (select qid, doc_id, unnest(terms) as term from cand))",
+        "cand_sizes as (select qid, doc_id, len(terms) as n from cand)",
+        "shared as (select a.qid, a.doc_id as x, b.doc_id as y, count(*) as n from cand_terms a join cand_terms b on a.qid = b.qid and a.term = b.term and a.doc_id <> b.doc_id group by all)",
+        "alike as materialized (select shared.qid, x, y, shared.n::double / (a.n + b.n - shared.n) as jac from shared join cand_sizes a on a.qid = shared.qid and a.doc_id = x join cand_sizes b on b.qid = shared.qid and b.doc_id = y)",
+        "r0 as materialized (select qid, doc_id, base, 0.0::double as red from cand)",
+    ]
     for i in range(1, k + 1):
         out.append(
             f"p{i} as materialized (select * from (select *, base - {penalty} * red as div, row_number() over (partition by qid order by "
             f"round(base - {penalty} * red, 12) desc, round(base, 12) desc, doc_id) as rn from r{i - 1}) where rn = 1)"
         )
         out.append(
-            f"r{i} as materialized (select c.qid, c.doc_id, c.base, c.terms, greatest(c.red, {jac}) as red from r{i - 1} c join p{i} s on c.qid = s.qid where c.doc_id <> s.doc_id)"
+            f"r{i} as materialized (select c.qid, c.doc_id, c.base, greatest(c.red, coalesce(jac, 0.0)) as red from r{i - 1} c join p{i} s on c.qid = s.qid and c.doc_id <> s.doc_id "
+            f"left join alike on alike.qid = c.qid and x = c.doc_id and y = s.doc_id)"
         )
     parts = " union all ".join(f"select qid, doc_id, {i} as rank, round(div, 8) as diversified from p{i}" for i in range(1, k + 1))
     out.append(f"chosen as ({parts})")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import bm25, dense, fusion
+from ..operators import bm25, dense, fusion, impacts
 from ..plans.engine import RetrievalEngine, RetrievalOptions
 from ..store import stored
 from .base import TERMS, UNIT, bm25_sql, dense_sql, documents, fused_sql, mmr_sql, query, questions, table
@@ -82,6 +82,17 @@ def bm25_scoped_topk(spark, sf_dir):
     return bm25.search(_index(spark, sf_dir), questions(spark, sf_dir), 10, scoped=True)
 
 
+@query(f"with {TERMS}, {bm25_sql(False, k=10)} select qid, doc_id, score, rank from bm")
+def bm25_impact_topk(spark, sf_dir):
+    """The same results from postings in blocks by impact."""
+    return impacts.search(impacts.build(_index(spark, sf_dir)), questions(spark, sf_dir), 10)
+
+
+@query(f"with {TERMS}, {bm25_sql(True, k=10)} select qid, doc_id, score, rank from bm")
+def bm25_impact_scoped_topk(spark, sf_dir):
+    return impacts.search(impacts.build(_index(spark, sf_dir), scoped=True), questions(spark, sf_dir), 10)
+
+
 @query(f"with {TERMS.replace('from documents', 'from documents where doc_id % 3 = 0')}, {bm25_sql(False, k=10)} select qid, doc_id, score, rank from bm")
 def bm25_allowed_topk(spark, sf_dir):
     """Only every third document may be found, and only those count in the statistics."""
