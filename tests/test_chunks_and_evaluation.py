@@ -140,3 +140,15 @@ def test_sample_and_manifest(spark):
     assert got == [("a", 0), ("a", 5), ("a", 10), ("a", 15), ("a", 19)] + [("b", i) for i in range(4)]
     m = {r.book_id: tuple(r)[1:] for r in reports.manifest(pages, pages.filter("n < 2"), pages.filter("false")).collect()}
     assert m == {"a": (20, 2, 0), "b": (4, 2, 0)}
+
+
+def test_medians_of_groups_of_any_size(spark):
+    rng = random.Random(2)
+    groups = {"a": [rng.randrange(10**9) for _ in range(5000)], "b": [7] * 3000 + [1, 9], "c": [5], None: [3, 1, 2, 8], "d": [rng.gauss(0, 1e-3) for _ in range(999)] + [1e12]}
+    df = spark.createDataFrame([(g, float(x)) for g, v in groups.items() for x in v] + [("a", None), ("e", None)], "g string, x double")
+    want = {g: sorted(map(float, v))[len(v) // 2] for g, v in groups.items()}
+    for few in (1, 50, 10_000):
+        assert {r.g: r["median"] for r in evaluate.upper_medians(df, ["g"], "x", bins=16, few=few).collect()} == want
+    whole = df.filter("x is not null").select(F.col("x").cast("long").alias("x"))
+    assert evaluate.upper_medians(whole, [], "x", "m", few=100).collect() == [(sorted(int(x) for v in groups.values() for x in v)[whole.count() // 2],)]
+    assert evaluate.upper_medians(df.limit(0), ["g"], "x").collect() == []

@@ -5,6 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from textquarry.functions import text
 from textquarry.operators import bm25, dense, fusion, impacts
 from textquarry.plans.engine import RetrievalEngine, RetrievalOptions, engine_over_chunks
 
@@ -255,3 +256,18 @@ def test_dense_search_with_ties_over_many_tasks(spark):
             near = sorted((-round(float(unit(v) @ unit(w)), 9), i) for i, w, t in rows if i is not None and w is not None and (not scoped or s is not None and s == t))
             want += [(q, n + 1, i) for n, (_, i) in enumerate(near[:12])]
         assert sorted((r.qid, r["rank"], r.doc_id) for r in dense.search(index, queries, 12, scoped).collect()) == sorted(want)
+
+
+def test_unchanged_corpus_is_told_by_digests(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(500)], "doc_id long, text string")
+    index = dense.DenseIndex("m", docs.select("doc_id", text.fingerprint(F.col("text")).alias("fingerprint")))
+    index.save(str(tmp_path / "d"))
+    back = dense.DenseIndex.load(spark, str(tmp_path / "d"))
+    now = dense.bucket_digests(docs.select("doc_id", text.fingerprint(F.col("text")).alias("fingerprint")).repartition(7))
+    assert dense.differing(now, back.digests) == []
+    # while nothing has changed, the vectors are not read
+    back.vectors = back.vectors.withColumn("fingerprint", F.raise_error(F.lit("read")).cast("string"))
+    assert dense.stale(back, docs).collect() == []
+    back = dense.DenseIndex.load(spark, str(tmp_path / "d"))
+    other = docs.filter("doc_id <> 3").withColumn("text", F.when(F.col("doc_id") == 4, "new").otherwise(F.col("text"))).unionByName(docs.filter("doc_id = 5").withColumn("doc_id", F.lit(900).cast("long")))
+    assert sorted(map(tuple, dense.stale(back, other).collect())) == [(3, "removed"), (4, "changed"), (900, "added")]

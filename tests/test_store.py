@@ -2,6 +2,12 @@ import subprocess
 import sys
 import time
 
+import pytest
+from pyspark.sql import functions as F
+
+from textquarry.operators import bm25
+from textquarry.store import publish, published
+
 CODE = """
 import pathlib
 import sys
@@ -21,3 +27,32 @@ def test_stored_tables_go_with_the_driver(tmp_path):
         time.sleep(0.2)
         waited += 1
     assert not list(tmp_path.glob("five-*"))
+
+
+def test_a_version_that_fails_leaves_the_one_before(spark, tmp_path):
+    path = str(tmp_path / "index")
+    with pytest.raises(FileNotFoundError):
+        published(spark, path)
+    publish(spark, path, {"a": spark.range(3), "b": spark.range(1)})
+    first = published(spark, path)
+    broken = spark.range(5).select(F.raise_error(F.lit("lost")).alias("id"))
+    with pytest.raises(Exception, match="lost"):
+        publish(spark, path, {"a": spark.range(9), "b": broken})
+    assert published(spark, path) == first and spark.read.parquet(f"{first}/a").count() == 3
+    # the next one takes the failed one's place; a reader of the version before still has its files
+    publish(spark, path, {"a": spark.range(9), "b": spark.range(2)})
+    second = published(spark, path)
+    assert second != first and spark.read.parquet(f"{second}/a").count() == 9 and spark.read.parquet(f"{first}/a").count() == 3
+    publish(spark, path, {"a": spark.range(1), "b": spark.range(2)})
+    assert not (tmp_path / "index/v000001").exists() and (tmp_path / "index/v000002").exists()
+
+
+def test_an_index_that_fails_half_way_still_loads(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "water and ice"), (2, "stone")], "doc_id long, text string")
+    index = bm25.build(docs)
+    index.save(str(tmp_path / "i"))
+    index.doc_stats = spark.range(1).select(F.raise_error(F.lit("lost")).alias("dl"))
+    with pytest.raises(Exception, match="lost"):
+        index.save(str(tmp_path / "i"))
+    q = spark.createDataFrame([(1, "ice")], "qid long, text string")
+    assert [r.doc_id for r in bm25.search(bm25.BM25Index.load(spark, str(tmp_path / "i")), q).collect()] == [1]

@@ -36,7 +36,7 @@ def build(spark: SparkSession, args) -> dict:
     chunks = spark.read.parquet(f"{out}/chunks")
     bm25.build(chunks, "search_text", "chunk_id", "book_id", args.k1, args.b).save(f"{out}/bm25")
     reports.write_review(f"{out}/extraction_review.md", reports.sample_pages(pages, "book_id", "pdf_page"))
-    postings = spark.read.parquet(f"{out}/bm25/postings")
+    postings = bm25.BM25Index.load(spark, f"{out}/bm25").postings
     return reports.build_summary(pages, spark.read.parquet(f"{out}/parents"), chunks, postings).first().asDict()
 
 

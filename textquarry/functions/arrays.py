@@ -43,7 +43,10 @@ def minmax(value: Column, *partition: str) -> Column:
 
 
 def upper_median(values: Column) -> Column:
-    """Middle element of the sorted values, the upper one of an even number."""
+    """Middle element of the sorted values, the upper one of an even number; for groups that fit into an array.
+
+    ``operators.evaluate.upper_medians`` is for groups of any size.
+    """
     s = F.array_sort(F.collect_list(values))
     return F.element_at(s, (F.floor(F.size(s) / 2) + 1).cast("int"))
 

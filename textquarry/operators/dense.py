@@ -14,11 +14,14 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import doubles, l2_normalize
 from ..functions.text import fingerprint
+from ..store import publish, published
 
 #: Queries that are compared with all vectors at once, and the most numbers in their matrix.
 BATCH, MATRIX = 4096, 1 << 21
 #: Scores are ranked by their value in these units.
 KEY = 1e9
+#: Hash buckets whose digests tell whether an index is out of date.
+BUCKETS = 4096
 
 
 class EmbeddingProvider(Protocol):
@@ -35,15 +38,23 @@ class DenseIndex:
 
     model: str
     vectors: DataFrame
+    #: Digests of hash buckets of (doc_id, fingerprint), if they are stored.
+    digests: DataFrame | None = None
 
     def save(self, path: str) -> None:
-        self.vectors.withColumn("model", F.lit(self.model)).write.mode("overwrite").parquet(path)
+        """A new version at ``path``, with the digests that a check for staleness reads first."""
+        tables = {"vectors": self.vectors.withColumn("model", F.lit(self.model))}
+        if "fingerprint" in self.vectors.columns:
+            tables["digests"] = bucket_digests(self.vectors)
+        publish(self.vectors.sparkSession, path, tables)
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> "DenseIndex":
-        table = spark.read.parquet(path)
+        at = published(spark, path)
+        table = spark.read.parquet(f"{at}/vectors")
         first = table.select("model").first()
-        return DenseIndex(first["model"] if first else "", table.drop("model"))
+        digests = spark.read.parquet(f"{at}/digests") if "fingerprint" in table.columns else None
+        return DenseIndex(first["model"] if first else "", table.drop("model"), digests)
 
     def dimension(self) -> int:
         """The common length of all vectors; ValueError if there are several."""
@@ -116,11 +127,39 @@ def build(
     return index
 
 
+def bucket_digests(rows: DataFrame) -> DataFrame:
+    """(bucket, n, low, high) of rows (doc_id, fingerprint): sums of their hashes, which do not depend on order."""
+    h = F.xxhash64("doc_id", "fingerprint")
+    halves = [F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("low"), F.sum(F.shiftright(h, 32)).alias("high")]
+    return rows.groupBy(_bucket().alias("bucket")).agg(F.count("*").alias("n"), *halves)
+
+
+def _bucket():
+    return F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS))
+
+
+def differing(now: DataFrame, then: DataFrame) -> list[int]:
+    """The buckets whose digests differ; there are ``BUCKETS`` at most."""
+    cols = ("n", "low", "high")
+    other = then.select("bucket", *[F.col(c).alias(f"was_{c}") for c in cols])
+    same = F.lit(True)
+    for c in cols:
+        same = same & F.col(c).eqNullSafe(F.col(f"was_{c}"))
+    return [r["bucket"] for r in now.join(other, "bucket", "full_outer").filter(~same).select("bucket").collect()]
+
+
 def stale(index: DenseIndex, docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Documents whose id or text differs between the index and ``docs``: (doc_id, kind)."""
-    now = docs.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text)).alias("f_now"))
-    then = index.vectors.select("doc_id", F.col("fingerprint").alias("f_then"))
-    both = now.join(then, "doc_id", "full_outer")
+    """Documents whose id or text differs between the index and ``docs``: (doc_id, kind).
+
+    Digests of hash buckets are compared first; rows meet only in buckets that differ, and
+    of an index with stored digests nothing else is read while nothing has changed.
+    """
+    now = docs.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text)).alias("fingerprint"))
+    then = index.vectors.select("doc_id", "fingerprint")
+    held = bucket_digests(then) if index.digests is None else index.digests
+    odd = F.broadcast(docs.sparkSession.createDataFrame([(b,) for b in differing(bucket_digests(now), held)], "bucket long"))
+    some = lambda rows, name: rows.withColumn("bucket", _bucket()).join(odd, "bucket", "left_semi").select("doc_id", F.col("fingerprint").alias(name))
+    both = some(now, "f_now").join(some(then, "f_then"), "doc_id", "full_outer")
     kind = F.when(F.col("f_then").isNull(), "added").when(F.col("f_now").isNull(), "removed").otherwise("changed")
     return both.filter(~F.col("f_now").eqNullSafe(F.col("f_then"))).select("doc_id", kind.alias("kind"))
 

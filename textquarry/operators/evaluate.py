@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import upper_median
+from ..store import stored
 
 CUTOFFS = (1, 3, 5, 10)
+#: Parts of a range that are counted at once, and values that are put in order.
+BINS, FEW = 1024, 10_000
 
 
 def first_relevant(results: DataFrame, questions: DataFrame) -> DataFrame:
@@ -39,6 +41,31 @@ def details(ranks: DataFrame, results: DataFrame) -> DataFrame:
     return ranks.join(top, "qid", "left")
 
 
+def upper_medians(rows: DataFrame, keys: list[str], value: str, name: str = "median", bins: int = BINS, few: int = FEW) -> DataFrame:
+    """(keys, name): the middle value of each group, the upper one of an even number; nulls don't count.
+
+    Exact for groups of any size, by counting: a histogram of the group's range shows in which
+    bin the middle value lies, which is the next range, until it holds ``few`` values or one
+    value many times.  Only those are put in order.
+    """
+    kind = rows.schema[value].dataType
+    v = rows.filter(F.col(value).isNotNull()).select(F.struct(*[F.col(k) for k in keys], F.lit(0).alias("_")).alias("k"), F.col(value).cast("double").alias("v"))
+    ranges = v.groupBy("k").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
+    ranges = stored(ranges.select("k", "lo", "hi", "n", F.floor(F.col("n") / 2).alias("rank")), "ranges")
+    settled = (F.col("lo") == F.col("hi")) | (F.col("n") <= few)
+    while ranges.filter(~settled).limit(1).count():
+        within = v.join(ranges.filter(~settled), "k").filter(F.col("v").between(F.col("lo"), F.col("hi")))
+        place = F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))
+        counts = within.groupBy("k", "rank", place.alias("bin")).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("k").orderBy("bin"))
+        inner = counts.withColumn("rank", F.col("rank") - upto + F.col("n")).filter((F.col("rank") >= 0) & (F.col("rank") < F.col("n")))
+        ranges = stored(ranges.filter(settled).unionByName(inner.select("k", "lo", "hi", "n", "rank")), "ranges")
+    left = v.join(ranges.filter("lo <> hi"), "k").filter(F.col("v").between(F.col("lo"), F.col("hi")))
+    left = left.withColumn("i", F.row_number().over(Window.partitionBy("k").orderBy("v")) - 1).filter(F.col("i") == F.col("rank"))
+    out = left.select("k", "v").unionByName(ranges.filter("lo = hi").select("k", F.col("lo").alias("v")))
+    return out.select(*[F.col(f"k.{c}").alias(c) for c in keys], F.col("v").cast(kind).alias(name))
+
+
 def check_scopes(questions: DataFrame, available: DataFrame) -> None:
     """ValueError if a question names a scope that ``available`` (scope) does not have."""
     lost = questions.join(available.distinct(), "scope", "left_anti").orderBy("qid").first()
@@ -61,8 +88,10 @@ def benchmark(
         for t, target in enumerate(targets):
             parents, chunks = build(pages, target)
             sizes = chunks.agg(
-                F.count("*").alias("chunk_count"), upper_median(F.col("token_count")).alias("median_chunk_tokens"), F.max("token_count").alias("max_chunk_tokens")
+                F.count("*").alias("chunk_count"), F.max("token_count").alias("max_chunk_tokens")
             )
+            sizes = sizes.crossJoin(upper_medians(chunks, [], "token_count", "median_chunk_tokens"))
+            sizes = sizes.select("chunk_count", "median_chunk_tokens", "max_chunk_tokens")
             row = sizes.crossJoin(run_one(model, parents, chunks))  # one row each
             row = row.select(F.lit(model).alias("model"), F.lit(target).alias("child_target"), F.lit(m * len(targets) + t).alias("run"), "*")
             runs = row if runs is None else runs.unionByName(row)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import ranked
-from ..store import stored
+from ..store import publish, published, stored
 from .bm25 import BM25Index, corpus_stats, idf, query_terms, saturation
 
 LEVELS = 16
@@ -42,14 +42,18 @@ class ImpactIndex:
     scoped: bool
 
     def save(self, path: str) -> None:
-        """Parquet; blocks and terms clustered by term, documents by id, so that a search skips row groups."""
-        self.blocks.repartitionByRange("term", "level").sortWithinPartitions("term", "scope", "level").write.mode("overwrite").parquet(f"{path}/blocks")
-        self.terms.repartitionByRange("term").sortWithinPartitions("term", "scope").write.mode("overwrite").parquet(f"{path}/terms")
-        self.documents.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.mode("overwrite").parquet(f"{path}/documents")
+        """A new version at ``path``; blocks and terms clustered by term, documents by id, so that a search skips row groups."""
+        tables = {
+            "blocks": self.blocks.repartitionByRange("term", "level").sortWithinPartitions("term", "scope", "level"),
+            "terms": self.terms.repartitionByRange("term").sortWithinPartitions("term", "scope"),
+            "documents": self.documents.repartitionByRange("doc_id").sortWithinPartitions("doc_id"),
+        }
+        publish(self.blocks.sparkSession, path, tables)
 
     @staticmethod
     def load(spark: SparkSession, path: str, scoped: bool = False) -> "ImpactIndex":
-        return ImpactIndex(*(spark.read.parquet(f"{path}/{t}") for t in ("blocks", "terms", "documents")), scoped)
+        at = published(spark, path)
+        return ImpactIndex(*(spark.read.parquet(f"{at}/{t}") for t in ("blocks", "terms", "documents")), scoped)
 
 
 def build(index: BM25Index, scoped: bool = False, keep: bool = True) -> ImpactIndex:

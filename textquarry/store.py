@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 from uuid import uuid4
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
@@ -34,3 +36,38 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def publish(spark: SparkSession, path: str, tables: dict[str, DataFrame], keep: int = 2) -> str:
+    """Write tables as the next version below ``path`` and make it the current one; its folder.
+
+    A version is written beside the others and counts once its number is in the table
+    ``published``: a write that fails leaves the version before.  Readers that found a
+    version keep it while it is among the ``keep`` last ones.
+    """
+    have = _numbers(spark, path)
+    n = max(have, default=0) + 1
+    for name, rows in tables.items():
+        rows.write.mode("overwrite").parquet(f"{path}/v{n:06d}/{name}")
+    spark.range(1).select(F.lit(n).cast("long").alias("version")).write.mode("append").parquet(f"{path}/published")
+    for old in sorted(have)[: max(0, len(have) + 1 - keep)]:
+        p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{old:06d}")
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return f"{path}/v{n:06d}"
+
+
+def published(spark: SparkSession, path: str) -> str:
+    """The folder of the current version; FileNotFoundError if none was published."""
+    have = _numbers(spark, path)
+    if not have:
+        raise FileNotFoundError(f"nothing is published at {path}")
+    return f"{path}/v{max(have):06d}"
+
+
+def _numbers(spark: SparkSession, path: str) -> list[int]:
+    try:
+        return [r["version"] for r in spark.read.schema("version long").parquet(f"{path}/published").collect()]
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
