@@ -2,16 +2,22 @@
 
 1. Every page is parsed into elements; each element's subtree (tag, text and children)
    is hashed.  A page becomes its blocks of text, each with the hashes of the elements
-   that it lies in.
-2. Spark counts on how many pages of a host with different articles each subtree occurs.
+   that it lies in.  Outside the article of a page, and where links make up most of an
+   element, its shape (tags and classes, repeated children once, no text) is hashed as
+   well: menus and notices say something else on each page, but look alike.
+2. Spark counts on how many pages of a host with different articles each subtree and each
+   shape occurs.
 3. Blocks in a subtree that recurs on most of them are the host's template and are cut
    out, inside an article too.  There, recurring prose stays if it makes up half of the
    article or more: such a page is a copy of others, not an article with additions.
 
 Elements that say themselves that they are not content (navigation, footers, adverts,
 forms, scripts ...) go without counting, unless only by their class and they hold the main
-text, and so does what follows a heading over reader comments.  Inline elements are part
-of their block.  What lies outside ``<article>`` or ``<main>`` goes by the same rules.
+text.  In an article headings and prose are content whatever they are called, unless a class
+says that they are advertising.  Reader comments go by their structure: entries that have
+an author and a date, or a list or count under a heading that announces them.  Inline
+elements are part of their block.  What lies outside ``<article>`` or ``<main>`` goes by the
+same rules; there, mere links and copyright lines go as well.
 """
 
 from __future__ import annotations
@@ -38,12 +44,14 @@ BROADCAST_PAGES, BROADCAST_BLOCKS = 200_000, 100_000
 SLICE = 200
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg canvas object textarea title math noembed noframes xmp".split())
-DROP = RAW | frozenset("head nav footer aside form button select dialog menu label fieldset option audio video map".split())
+RAW = frozenset("script style noscript template iframe svg canvas object textarea title noembed noframes xmp".split())
+DROP = RAW | frozenset("head nav footer aside form button select dialog fieldset option audio video map".split())
 BLOCK = frozenset(
     "p div h1 h2 h3 h4 h5 h6 li ul ol dl dt dd article section main blockquote pre table thead tbody tfoot tr caption figure "
     "figcaption header footer nav aside form address fieldset hr body html details summary head hgroup search".split()
 )
+#: Go outside an article only: there they belong to menus and forms.
+DROP_OUTSIDE = frozenset("header menu label".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th tr table ul ol dl b i em strong a span code q cite figcaption".split())
 CLOSES_P = BLOCK
 #: Words of class, id and role that mark what isn't content.
@@ -51,13 +59,23 @@ MARKS = frozenset(
     "nav navbar navigation menu submenu footer sidebar aside ad ads adv advert adverts advertisement advertising adsense banner "
     "promo promotion sponsor sponsored notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription "
     "signup login social share sharing related recommended breadcrumb breadcrumbs comment comments disqus reply replies respond widget "
-    "toolbar alert pagination pager skip tracking complementary contentinfo search".split()
+    "toolbar alert pagination pager skip tracking complementary contentinfo search commentlist".split()
 )
+#: Classes that take prose in an article: advertising and what is asked of readers.
+STRONG = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion cookie cookies newsletter breadcrumb breadcrumbs".split())
 OUTSIDE_MARKS = frozenset("header masthead topbar".split())
 #: Words that make a class name tell of a state (has-sidebar, comments-open), not of what the element is.
 STATES = frozenset("has no not with without is open opened closed enabled disabled on off left right".split())
 
 HEADINGS = ("h2", "h3", "h4", "h5", "h6")
+LISTS = ("ul", "ol", "dl")
+#: A heading that counts comments or asks for one needs no further sign of them.
+ASKS = re.compile(r"\d|\b(?:reader|user|recent|latest|leave|post|add)\b", re.I)
+AUTHOR = frozenset("author byline commenter user username vcard fn nickname avatar poster".split())
+DATED = frozenset("date time timestamp datetime published ago when posted".split())
+SAYS = re.compile(r"^\W*\S+(?: \S+){0,3} (?:says|said|wrote|replied|schreibt|sagt|dit|dice)\b", re.I)
+DATE = re.compile(r"\b\d{4}-\d\d?-\d\d?\b|\b\d\d?[./]\d\d?[./](?:\d\d){1,2}\b|\b\d+ (?:second|minute|hour|day|week|month|year)s? ago\b|\b(?:[A-Z][a-z]{2,8} \d\d?,? \d{4}|\d\d? [A-Z][a-z]{2,8} \d{4})\b")
+COPYRIGHT = re.compile(r"(?:\u00a9|\(c\)|copyright\b).{0,160}|.{0,80}\ball rights reserved\W*", re.I)
 COMMENTS = re.compile(
     r"\W*(?:\d+\s+)?(?:(?:reader|user|recent|latest|all)\s+)?(?:comments?|replies|responses|kommentare?|comentarios?|commentaires?)\W*\d*\W*"
     r"|\W*(?:leave|post|add) a (?:comment|reply)\W*",
@@ -87,6 +105,7 @@ class Node:
     parent: int
     main: bool
     why: int
+    names: tuple[str, ...] = ()
     drop: bool = False
     content: list = field(default_factory=list)  # text, or the index of a child
     digest: int = 0
@@ -97,32 +116,41 @@ TAG, NAME, PART = 3, 2, 1
 
 
 def _unwanted(tag: str, attrs: str, in_main: bool) -> int:
-    if tag in DROP or (tag == "header" and not in_main):
+    if tag in DROP or (tag in DROP_OUTSIDE and not in_main):
         return TAG
     if not attrs or tag in ("html", "body"):
         return 0
     why = 0
     main = tag in ("article", "main")
+    heading, prose = tag in ("h1", *HEADINGS), in_main and tag in PROSE and tag not in LISTS
+    marks = STRONG if prose else MARKS if in_main else MARKS | OUTSIDE_MARKS
     for m in _ATTR.finditer(attrs):
         name = m[1].lower()
         value = (m[2] or m[3] or m[4] or "").lower()
         if name in ("class", "id", "role"):
-            marks = MARKS if in_main else MARKS | OUTSIDE_MARKS
-            if main and name == "id":
-                continue
+            if heading or (name == "id" and (main or prose)):
+                continue  # ids of headings and prose are made from their words
             for whole in value.split():
                 words = set(_WORDS.split(whole))
                 if whole in marks:
                     why = max(why, NAME)
-                elif words & marks and not words & STATES and not main:
+                elif words & marks and not words & STATES and not main and not prose:
                     why = max(why, PART)
-        elif name == "hidden" or (name == "aria-hidden" and value == "true"):
+        elif name.startswith("data-ad") and name[7:8] in ("", "-", "s"):
+            why = max(why, NAME)
+        elif name == "hidden" or (name == "aria-hidden" and value == "true" and not in_main):
             return TAG
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return TAG
     return why
 
 
+def _names(attrs: str) -> tuple[str, ...]:
+    """Classes in order, without numbers: part of an element's shape."""
+    m = re.search(r"\bclass\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", attrs, re.I) if attrs else None
+    return tuple(w for w in re.sub(r"\d+", "", (m[1] or m[2] or m[3] or "").lower()).split()) if m else ()
+
+
 def drop_unwanted(nodes: list[Node]) -> None:
     """Mark what goes by its own account; a class name alone does not take the page's main text.
 
@@ -163,20 +191,59 @@ def drop_unwanted(nodes: list[Node]) -> None:
 
 
 def drop_comments(nodes: list[Node]) -> None:
-    """Mark headings over reader comments and their following siblings up to the next heading as high."""
+    """Mark reader comments: lists of entries that have an author and a date, and sections under a heading over comments.
+
+    A heading that only says "Comments" or "Responses" may be one of the article's own; it
+    counts if comments follow it at once, as a list or as entries.
+    """
+    entries = [False] * len(nodes)
+    for i in range(len(nodes) - 1, 0, -1):
+        x = nodes[i]
+        kids = [c for c in x.content if isinstance(c, int)]
+        if len(kids) >= 2 and x.tag in BLOCK and x.tag not in ("table", "tr", "tbody", "p", "article", "main", "body", "html"):
+            like = sum(_is_entry(nodes, c) for c in kids)
+            entries[i] = like >= 2 and 5 * like >= 4 * len(kids)
+    for i, x in enumerate(nodes):
+        if entries[i]:
+            x.drop = True
     for x in nodes:
         rank = ""
-        for c in x.content:
-            if isinstance(c, str):
-                continue
+        kids = [c for c in x.content if isinstance(c, int)]
+        for k, c in enumerate(kids):
             y = nodes[c]
             if rank and y.tag in ("h1", *HEADINGS) and y.tag <= rank:
                 rank = ""
-            if y.tag in HEADINGS and not rank and COMMENTS.fullmatch(" ".join(_inner(nodes, c, 80).split())):
-                rank = y.tag
+            if y.tag in HEADINGS and not rank:
+                said = " ".join(_inner(nodes, c, 80).split())
+                if COMMENTS.fullmatch(said) and (ASKS.search(said) or (k + 1 < len(kids) and _starts_comments(nodes, kids[k + 1], entries))):
+                    rank = y.tag
             y.drop |= bool(rank)
 
 
+def _starts_comments(nodes: list[Node], c: int, entries: list[bool]) -> bool:
+    return nodes[c].tag in LISTS or entries[c] or _is_entry(nodes, c) or any(isinstance(k, int) and (entries[k] or _is_entry(nodes, k)) for k in nodes[c].content)
+
+
+def _is_entry(nodes: list[Node], i: int) -> bool:
+    """Whether an element is a comment: it has an author and a date among its first elements or words."""
+    if nodes[i].tag not in BLOCK or nodes[i].tag == "p":
+        return False
+    author = date = False
+    head, todo, seen = "", [i], 0
+    while todo and seen < 24 and len(head) < 160:
+        c = todo.pop()
+        if isinstance(c, str):
+            head += c
+            continue
+        seen += 1
+        y, words = nodes[c], {w for n in nodes[c].names for w in _WORDS.split(n)}
+        author |= y.tag == "cite" or bool(words & AUTHOR)
+        date |= y.tag == "time" or bool(words & DATED)
+        todo += reversed(y.content)
+    head = " ".join(head.split())[:160]
+    return (author or bool(SAYS.search(head))) and (date or bool(DATE.search(head)) or bool(SAYS.search(head)))
+
+
 def _inner(nodes: list[Node], i: int, most: int) -> str:
     """Text of a small element; an empty one where it is longer."""
     out, todo = "", [i]
@@ -249,7 +316,7 @@ def parse(page: str) -> list[Node]:
         up = nodes[stack[-1]]
         attrs = m[3] or ""
         main = up.main or tag in ("article", "main") or ("main" in attrs and bool(re.search(r"role\s*=\s*[\"']?main", attrs)))
-        nodes.append(Node(tag, stack[-1], main, _unwanted(tag, attrs, up.main)))
+        nodes.append(Node(tag, stack[-1], main, _unwanted(tag, attrs, up.main), _names(attrs)))
         up.content.append(len(nodes) - 1)
         if tag in VOID or attrs.endswith("/"):
             continue
@@ -262,9 +329,59 @@ def parse(page: str) -> list[Node]:
     close(0)
     drop_comments(nodes)
     drop_unwanted(nodes)
+    drop_trimmings(nodes)
     return nodes
 
 
+def _measured(nodes: list[Node]) -> tuple[list[int], list[int], list[int]]:
+    """Of each element the text that stays, how much of it is in links, and how much is in an article."""
+    size, links, inner = ([0] * len(nodes) for _ in range(3))
+    for i in range(len(nodes) - 1, -1, -1):
+        x = nodes[i]
+        if x.drop:
+            size[i] = links[i] = inner[i] = 0
+            continue
+        own = sum(len("".join(c.split())) for c in x.content if isinstance(c, str))
+        size[i] += own
+        inner[i] += own if x.main else 0
+        links[i] = size[i] if x.tag == "a" else links[i]
+        if i:
+            size[x.parent] += size[i]
+            links[x.parent] += links[i]
+            inner[x.parent] += inner[i]
+    return size, links, inner
+
+
+def drop_trimmings(nodes: list[Node]) -> None:
+    """Outside an article that holds most of the text, mark what is nothing but links, and copyright lines."""
+    size, links, inner = _measured(nodes)
+    if 2 * inner[0] <= size[0]:
+        return
+    for i, x in enumerate(nodes[1:], 1):
+        if x.drop or nodes[x.parent].drop:
+            x.drop = True
+        elif not x.main and not inner[i] and size[i] and (x.tag in BLOCK or x.tag == "a"):
+            x.drop = links[i] == size[i] or (size[i] <= 200 and bool(COPYRIGHT.fullmatch(" ".join(_inner(nodes, i, 400).split()))))
+
+
+def shapes(nodes: list[Node]) -> list[int]:
+    """Of each element whose shape may tell that it is template, the hash of that; 0 for others."""
+    size, links, inner = _measured(nodes)
+    framed = 2 * inner[0] > size[0]
+    out, digest = [0] * len(nodes), [0] * len(nodes)
+    for i in range(len(nodes) - 1, 0, -1):
+        x = nodes[i]
+        h = xxhash.xxh64(" ".join(("shape", x.tag, *x.names)))
+        kids = [digest[c] if isinstance(c, int) else 1 for c in x.content if not isinstance(c, str) or c.strip()]
+        for k, d in enumerate(kids):
+            if not k or d != kids[k - 1]:  # so many alike
+                h.update(d.to_bytes(8, "little"))
+        digest[i] = h.intdigest()
+        if size[i] and not inner[i] and ((framed and not x.main) or 2 * links[i] > size[i]):
+            out[i] = digest[i]
+    return out
+
+
 def removable(x: Node) -> bool:
     """Blocks that may be template: those with content, but the outermost frame."""
     return x.tag in BLOCK and bool(x.content) and x.tag not in ("html", "body", "head", "article", "main")
@@ -284,12 +401,14 @@ def text_blocks(nodes: list[Node]) -> list[Block]:
     """Blocks in page order, without what goes by its own account."""
     blocks: list[Block] = []
     pend: list[str] = []
-    path: list[tuple[int, bool]] = []
+    path: list[tuple[int, int, bool]] = []  # of the elements a block lies in: subtree, shape or 0, prose of an article
+    shape = shapes(nodes)
 
     def flush(main: bool) -> None:
         text = " ".join("".join(pend).split())
         if text:
-            blocks.append(Block(text, [h for h, prose in path if not prose], [h for h, prose in path if prose], main))
+            cut = [x for h, s, prose in path if not prose for x in (h, s) if x]
+            blocks.append(Block(text, cut, [h for h, _, prose in path if prose], main))
         pend.clear()
 
     todo: list = [(0, 0, False)]
@@ -311,7 +430,7 @@ def text_blocks(nodes: list[Node]) -> list[Block]:
                 continue
             counts = removable(y) and len(path) < DEEP
             if counts:
-                path.append((_signed(y.digest), y.main and y.tag in PROSE))
+                path.append((_signed(y.digest), _signed(shape[c]), y.main and y.tag in PROSE))
             todo.append((c, 0, counts))
         else:
             if x.tag in BLOCK or i == 0:
