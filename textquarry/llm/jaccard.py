@@ -209,7 +209,7 @@ class Join:
         comp = components(self.scratch, union_all(edges))
         named = save(reps.select("sid", "own").join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid")), "named")
         # a null id has no place in the order of ids; copies of a set count through its smallest id
-        names = named.groupBy("component").agg(F.min("own").alias("component_id"))
+        names = save(named.groupBy("component").agg(F.min("own").alias("component_id")), "component-names")
         named = save(named.join(names, "component").select("sid", "component_id"), "names")
         out = ids.join(named, "sid", "left")
         return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *more)
