@@ -277,6 +277,20 @@ def test_mixture_keeps_windows_and_all_rows(spark, odd, tmp_path):
     assert mixing.stored_place(docs(spark, rows)).filter("mix_part is not null").count() == 0
 
 
+def test_rows_that_share_an_id_are_mixed_one_by_one(spark, tmp_path):
+    rows = [(None, "t", "en", "a")] * 900 + [(7, f"t{i}", "en", "b") for i in range(900)] + [(i, "t", "en", "c") for i in range(900)]
+    df = docs(spark, rows).repartition(3)
+    ordered = mixing.in_mixed_order(spark, df, weights={"a": 1, "b": 1, "c": 1})
+    assert ordered.columns == df.columns
+    ordered.write.parquet(f"{tmp_path}/mixed")
+    back = mixing.stored_place(spark.read.parquet(f"{tmp_path}/mixed")).collect()
+    order = [r.source for r in sorted(back, key=lambda r: (r.mix_part, r.mix_row))]
+    assert Counter(order) == {"a": 900, "b": 900, "c": 900}
+    # any stretch holds each source within two blocks of its third
+    for at in range(0, 2700, 90):
+        assert all(abs(order[: at + 90].count(s) - (at + 90) / 3) <= 16 for s in "abc")
+
+
 def test_media_keep_texts(spark, odd):
     out = {r.doc_id: r for r in transport.media_column(spark, odd).collect()}
     assert out[1].n_bytes == 0 and out[1].payload_bytes == 64 and out[2].payload_sha256 == out[1].payload_sha256

@@ -102,6 +102,13 @@ def mix(
     the mixture, with gaps after blocks that are not full.  An empty table gives an empty
     result.  The number of sources is collected and must stay below MAX_SOURCES.
     """
+    rows = docs.withColumn(rid := fresh(docs, "_rid"), F.monotonically_increasing_id())
+    out = _mixed(spark, rows, rid, weights, block_rows, temperature, id_col, source_col)
+    return out.select("doc_id", "source", "block", "release", "slot", "deadline", "position")
+
+
+def _mixed(spark: SparkSession, docs: DataFrame, rid: str, weights, block_rows: int, temperature: float, id_col: str, source_col: str) -> DataFrame:
+    """``mix`` of rows that have a number, ``rid``, which comes along."""
     scratch = Scratch(spark, "mixing")
     base = scratch.save(
         docs.select(
@@ -109,7 +116,7 @@ def mix(
             F.col(source_col).alias("source"),
             F.coalesce(F.concat(F.lit("s:"), F.col(source_col).cast("string")), F.lit("null")).alias("src"),
             F.xxhash64(id_col).alias("h"),
-            F.monotonically_increasing_id().alias("rid"),
+            F.col(rid).alias("rid"),
         ),
         "base",
     )
@@ -138,7 +145,7 @@ def mix(
     inside = Window.partitionBy("src", "bucket").orderBy("h", "doc_id", "rid")
     ranked = base.withColumn("rn", F.row_number().over(inside)).join(sizes, ["src", "bucket"])
     nth = F.col("before") + F.col("rn") - 1
-    ranked = ranked.select("doc_id", "source", "src", F.floor(nth / block_rows).alias("block"), F.pmod(nth, F.lit(block_rows)).alias("inner"))
+    ranked = ranked.select("doc_id", "source", "src", "rid", F.floor(nth / block_rows).alias("block"), F.pmod(nth, F.lit(block_rows)).alias("inner"))
 
     plan = edf({s: -(-n // block_rows) for s, n in counts.items()}, targets)
     if plan and max(r[4] for r in plan) >= 1 << 62:
@@ -151,22 +158,30 @@ def mix(
     if len(plan) <= BROADCAST_BLOCKS:
         schedule = F.broadcast(schedule)
     out = ranked.join(schedule, ["src", "block"])
-    return out.select("doc_id", "source", "block", "release", "slot", "deadline", (F.col("turn") * block_rows + F.col("inner")).alias("position"))
+    return out.select("doc_id", "source", "rid", "block", "release", "slot", "deadline", (F.col("turn") * block_rows + F.col("inner")).alias("position"))
 
 
 def in_mixed_order(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs``, all columns as they are, sorted by their place in the mixture.
 
-    Rows that share an id are placed together, at the first of their places.
+    Every row has a place of its own, also where rows share an id, lack one or repeat.
     """
     scratch = Scratch(spark, "mixed-order")
-    key, place = fresh(docs, "_id"), fresh(docs, "_place")
-    places = mix(spark, docs, id_col=id_col, **options).groupBy("doc_id").agg(F.min("position").alias(place))
-    places = scratch.save(places.withColumnRenamed("doc_id", key), "places")
+    key, place, columns = fresh(docs, "_id"), fresh(docs, "_place"), docs.columns
+    twice = docs.groupBy(F.xxhash64(id_col), F.col(id_col).isNull()).agg(F.count("*").alias("c")).filter("c > 1")
+    if not twice.limit(1).count():  # the id tells the row
+        places = mix(spark, docs, id_col=id_col, **options).select(F.col("doc_id").alias(key), F.col("position").alias(place))
+        same = docs[id_col].eqNullSafe(F.col(key))
+    else:  # rows get numbers, which a stored copy keeps
+        docs = scratch.save(docs.withColumn(own := fresh(docs, "_row"), F.monotonically_increasing_id()), "numbered")
+        given = {"weights": None, "block_rows": BLOCK_ROWS, "temperature": 0.5, "source_col": "source"} | options
+        places = _mixed(spark, docs, own, given["weights"], given["block_rows"], given["temperature"], id_col, given["source_col"])
+        places = places.select(F.col("rid").alias(key), F.col("position").alias(place))
+        same = docs[own] == F.col(key)
+    places = scratch.save(places, "places")
     if places.count() <= BROADCAST_IDS:
         places = F.broadcast(places)
-    joined = docs.join(places, docs[id_col].eqNullSafe(places[key]), "left")
-    return joined.orderBy(place).drop(key, place)
+    return docs.join(places, same, "left").orderBy(place).select(*[docs[c] for c in columns])
 
 
 def stored_place(docs: DataFrame) -> DataFrame:
