@@ -9,8 +9,10 @@ that a direction common to all of them does not keep the planes from splitting t
 How many passes meet a pair at the threshold with chance ``1 - MISS`` is measured: a
 sample of vectors is compared with all others, which tells how many bits of a key it takes
 until a vector's surroundings fit into a block, and how often a pair at the threshold
-agrees on so many bits.  Where that many passes would compare more pairs than there are,
-all pairs are compared instead, and the result is exact.
+agrees on so many bits.  Up to two blocks of vectors take one pass, which compares them all.
+Where vectors crowd in a ball hardly wider than the distance at the threshold, no projection
+tells them apart: if more than ``MAX_PASSES`` were needed, and more than all pairs cost, blocks
+meet all other blocks, and the result is exact.
 
 Each row knows its block in every pass, so that a pass leaves out the pairs that an
 earlier one has compared; links are therefore counted, not listed.  What a block sends
@@ -38,6 +40,7 @@ THRESHOLD = 0.95
 BLOCK = 1024
 BITS = 48
 MISS = 1e-3
+MAX_PASSES = 128
 #: Vectors and passes that the density is measured with.
 PROBES, PILOT = 256, 4
 #: Rows of a part where all pairs are compared.
@@ -46,7 +49,7 @@ SEED = 20240607
 
 
 def passes_for(depth: np.ndarray, radius: np.ndarray, rows: int, threshold: float = THRESHOLD, block: int = BLOCK) -> int | None:
-    """Passes that meet a pair at the threshold with chance 1 - MISS; None where comparing all pairs is less work.
+    """Passes that meet a pair at the threshold with chance 1 - MISS; None if MAX_PASSES are too few and more cost more than all pairs.
 
     ``depth`` [probes, passes]: bits until a probe's surroundings fit into a block; ``radius``: its distance from the mean.
     """
@@ -54,7 +57,7 @@ def passes_for(depth: np.ndarray, radius: np.ndarray, rows: int, threshold: floa
     agree = 1 - 2 * np.arcsin(np.minimum(1.0, apart / np.maximum(radius, 1e-12))) / math.pi
     met = (agree[:, None] ** depth).mean(1)
     miss = lambda n: ((1 - met) ** n).mean()
-    low, high = 1, max(1, rows // (3 * block))  # a pass compares a vector with three blocks
+    low, high = 1, max(MAX_PASSES, rows // (3 * block))  # a pass compares a vector with three blocks
     if miss(high) > MISS:
         return None
     while low < high:
@@ -144,11 +147,13 @@ def depths(seen: np.ndarray, linked: np.ndarray, block: int) -> np.ndarray:
 
 
 def measured_passes(src: DataFrame, dim: int, mean: np.ndarray, rows: int, threshold: float, block: int) -> int | None:
+    if rows <= 2 * block:  # each block meets itself and the next
+        return 1
     sample = src.filter(F.size("v") == dim).orderBy(F.xxhash64("rid"), "rid").limit(PROBES).select("v").toPandas()
     probes, ok = unit_rows(sample["v"].tolist(), dim)
     probes = probes[ok]
-    if rows <= block or not len(probes):
-        return None
+    if not len(probes):
+        return 1
     shared = src.mapInPandas(_shared_bits(dim, mean, probes, threshold), "slot long, seen long, linked long")
     shared = shared.groupBy("slot").agg(F.sum("seen").alias("seen"), F.sum("linked").alias("linked")).toPandas()
     seen, linked = (np.zeros(len(probes) * PILOT * (BITS + 1), np.int64) for _ in range(2))
