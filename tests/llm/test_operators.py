@@ -353,6 +353,33 @@ def test_poor_documents_are_found(spark):
     assert kept.columns == d.columns and kept.filter("doc_id < 300").count() >= 198
 
 
+def test_co_training_takes_all_documents_that_a_view_is_sure_of(spark, monkeypatch):
+    monkeypatch.setattr(quality, "HANDED", 10**6)
+    d, labels = labelled(spark, lambda i: " ".join(f"{w.upper()}!!" for w in sentence(i, 30).split()) if i % 2 else "spam spam " * 20)
+    labels = labels.filter("doc_id < 150")
+    model = quality.fit(d.repartition(5), labels, F.lit(True))
+    rows = d.select(*quality._columns(d)).toPandas().sort_values("doc_id")
+    y = {r.doc_id: r.quality for r in labels.collect()}
+    known = rows[rows["doc_id"].isin(y)].assign(y=lambda x: [y[i] for i in x["doc_id"]]).sort_values(["y", "doc_id"], kind="stable")
+    pool = rows[~rows["doc_id"].isin(y)].reset_index(drop=True)
+    feats = [x.astype(np.float32).astype(float) for x in quality.view_features(pool)]
+
+    def every(views, given, share):
+        out = {}
+        for to, (v, x) in {"m": ("t", feats[0]), "t": ("m", feats[1])}.items():
+            p = 1 / (1 + np.exp(-views[v].logit(x)))
+            take = [i for i in np.flatnonzero(np.maximum(p, 1 - p) >= quality.SURE) if i not in given[to]]
+            out[to] = take, feats[{"t": 0, "m": 1}[to]][take], (p[take] >= 0.5).astype(float)
+        return out
+
+    xt, xm = (x.astype(np.float32).astype(float) for x in quality.view_features(known))
+    plain = quality.co_train(xt, xm, known["y"].to_numpy(float), every)
+    assert model.handed == plain.handed and sum(map(sum, plain.handed)) > 50
+    for v in ("text", "meta"):
+        np.testing.assert_allclose(getattr(model, v).weight, getattr(plain, v).weight, atol=1e-6)
+    np.testing.assert_allclose(model.blend, plain.blend, atol=1e-6)
+
+
 def test_pages_lose_what_recurs_on_their_host(spark):
     own = lambda i: f"<p>Story {i} begins {sentence(i, 12)}</p>"
     rows = [(i, "http://a.example/x", f"<body><div>Join the club</div>{own(i)}<footer>f</footer></body>") for i in range(20)]

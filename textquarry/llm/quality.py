@@ -2,10 +2,14 @@
 
 View one sees the text's content: shares of character classes, repetition, word shapes
 and hashed words.  View two sees the page's metadata: length, layout of lines, language
-and source.  Each round both views are fitted, and each hands the pool documents it is
-surest of, as pseudo-labels, to the other.  At the end each view is calibrated on
-labelled rows that neither was fitted on, and their log-odds are combined by a fit on
-the same rows.  Training takes place on bounded samples; every document is scored.
+and source.  Each round both views are fitted, every unlabelled document is scored by both,
+and each view hands documents it is sure of, as pseudo-labels, to the other.  At the end
+each view is calibrated on labelled rows that neither was fitted on, and their log-odds
+are combined by a fit on the same rows.
+
+The pool is all that is unlabelled: features of the whole table are stored once, and a round
+reads them.  What a fit learns from is bounded: a sample of labelled rows, and of the
+documents that a view is sure of some for each round, dealt by a hash.
 """
 
 from __future__ import annotations
@@ -15,16 +19,16 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import Scratch
 from .textnum import BLANKS, Words, word_runs
 
-#: Bounds of the training samples: labelled documents of each class, and the pool.
+#: Bounds of what a fit learns from: labelled documents of each class, and documents that a view hands over in a round.
 LABELLED_PER_CLASS = 3000
-POOL = 6000
+HANDED = 300
 ROUNDS = 5
-PER_ROUND = 0.05  # share of the pool that a view hands over in a round, at most
 SURE = 0.97
 PSEUDO_WEIGHT = 0.5
 HASHED_WORDS = 64
@@ -189,8 +193,12 @@ class Model:
         return tuple(1 / (1 + np.exp(-v)) for v in (both, lt, lm))
 
 
-def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, pool_t: np.ndarray, pool_m: np.ndarray) -> Model:
-    """Rounds of mutual pseudo-labelling, then calibration and blending on every fourth labelled row."""
+def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, hand_over) -> Model:
+    """Rounds of mutual pseudo-labelling, then calibration and blending on every fourth labelled row.
+
+    ``hand_over(views, given, share)`` gives, for each view ("t", "m"), features and labels of
+    documents that the other view is sure of; ``given`` are the rows each view has already.
+    """
     if len(set(y.tolist())) < 2:
         return Model(prior=float(y.mean()) if len(y) else 0.5)
     held = np.zeros(len(y), bool)
@@ -201,35 +209,26 @@ def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, pool_t: np.ndarray,
     cal = held if held.any() and len(set(y[held].tolist())) == 2 else ~held
     own = {"t": xt[~held], "m": xm[~held]}
     calx = {"t": xt[cal], "m": xm[cal]}
-    pool = {"t": pool_t, "m": pool_m}
     base = np.where(y[~held] > 0, 0.5 / y[~held].mean(), 0.5 / (1 - y[~held].mean()))
-    given = {v: (np.zeros(0, int), np.zeros(0)) for v in "tm"}  # pool rows and labels that each view received
+    learned = {v: ([own[v]], [y[~held]]) for v in "tm"}
+    given: dict[str, list[int]] = {"t": [], "m": []}
     model = Model()
     views: dict[str, Linear] = {}
     for r in range(ROUNDS + 1):
         for v in "tm":
-            rows, labels = given[v]
-            views[v] = fit_linear(
-                np.concatenate([own[v], pool[v][rows]]),
-                np.concatenate([y[~held], labels]),
-                np.concatenate([base, np.full(len(rows), PSEUDO_WEIGHT)]),
-            )
+            x, labels = (np.concatenate(z) for z in learned[v])
+            views[v] = fit_linear(x, labels, np.concatenate([base, np.full(len(x) - len(base), PSEUDO_WEIGHT)]))
             views[v].a, views[v].b = _platt(views[v].raw(calx[v]), y[cal].astype(float))
-        if r == ROUNDS or not len(pool_t):
+        if r == ROUNDS:
+            break
+        sent = hand_over(views, given, float(y.mean()))
+        for v, (rows, x, labels) in sent.items():
+            given[v] += rows
+            learned[v][0].append(x)
+            learned[v][1].append(labels)
+        model.handed.append((len(sent["m"][0]), len(sent["t"][0])))
+        if not any(model.handed[-1]):
             break
-        sent = []
-        for v, to in (("t", "m"), ("m", "t")):
-            p = 1 / (1 + np.exp(-views[v].logit(pool[v])))
-            free = np.ones(len(p), bool)
-            free[given[to][0]] = False
-            sure = np.flatnonzero(free & (np.maximum(p, 1 - p) >= SURE))
-            sure = sure[np.argsort(-np.maximum(p, 1 - p)[sure], kind="stable")]
-            most, up = int(PER_ROUND * len(p)), p[sure] >= 0.5
-            share = y.mean()
-            take = np.concatenate([sure[up][: int(most * share) + 1], sure[~up][: int(most * (1 - share)) + 1]])
-            given[to] = (np.concatenate([given[to][0], take]), np.concatenate([given[to][1], (p[take] >= 0.5).astype(float)]))
-            sent.append(len(take))
-        model.handed.append(tuple(sent))
     model.text, model.meta = views["t"], views["m"]
     z = np.column_stack([views["t"].logit(calx["t"]), views["m"].logit(calx["m"])])
     model.blend = _newton(z, y[cal].astype(float), np.ones(int(cal.sum())), 1.0)
@@ -243,9 +242,57 @@ def _columns(docs: DataFrame) -> list[Column]:
     return [(F.col(c).cast(k) if c in have else F.lit(None).cast(k)).alias(c) for c, k in kinds.items()]
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "quality") -> Model:
-    """Co-train on bounded samples: labelled rows where ``learn`` (over ``labels``) holds, and a pool."""
-    spark = docs.sparkSession
+WIDTH = {"t": N_TEXT, "m": N_META}
+
+
+def _matrix(blobs, view: str) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), np.float32).reshape(-1, WIDTH[view]).astype(float)
+
+
+def features(scratch: Scratch, docs: DataFrame, labelled: DataFrame) -> DataFrame:
+    """doc_id, rid, free, u, t, m of every row: both views as packed numbers, whether no label is known, and a hash to deal by."""
+
+    def run(batches):
+        for pdf in batches:
+            for at in range(0, len(pdf), 500):
+                part = pdf.iloc[at : at + 500]
+                t, m = (x.astype(np.float32) for x in view_features(part))
+                yield pd.DataFrame({"doc_id": part["doc_id"].array, "t": [r.tobytes() for r in t], "m": [r.tobytes() for r in m]})
+
+    raw = scratch.save(docs.select(*_columns(docs)).mapInPandas(run, "doc_id long, t binary, m binary"), "features")
+    known = labelled.select(F.col("doc_id").cast("long").alias("_id")).filter("_id is not null").distinct().withColumn("_known", F.lit(True))
+    rows = raw.join(known, F.col("doc_id") == F.col("_id"), "left")
+    rows = rows.select("doc_id", F.monotonically_increasing_id().alias("rid"), F.col("_known").isNull().alias("free"), F.xxhash64("doc_id", "t", "m").alias("u"), "t", "m")
+    out = scratch.save(rows, "views")
+    scratch.drop(raw)
+    return out
+
+
+def _sure(views: dict[str, Linear], given: dict[str, list[int]], most: dict[bool, int]):
+    """Of unlabelled documents those that a view is sure of and the other view has not been given: at most ``most`` of a batch."""
+    have = {v: np.array(rows, np.int64) for v, rows in given.items()}
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for v, to in (("t", "m"), ("m", "t")):
+                p = 1 / (1 + np.exp(-views[v].logit(_matrix(pdf[v], v))))
+                sure = (np.maximum(p, 1 - p) >= SURE) & ~np.isin(pdf["rid"].to_numpy(), have[to])
+                for up, n in most.items():
+                    which = np.flatnonzero(sure & ((p >= 0.5) == up))
+                    which = which[np.argsort(pdf["u"].to_numpy()[which], kind="stable")[:n]]
+                    out.append(pdf.iloc[which][["rid", "u", to]].rename(columns={to: "x"}).assign(view=to, up=up))
+            yield pd.concat(out)[["view", "up", "rid", "u", "x"]]
+
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "quality", stored: DataFrame | None = None) -> Model:
+    """Co-train on a bounded sample of labelled rows where ``learn`` (over ``labels``) holds, and on all unlabelled documents.
+
+    ``stored`` may give the features of ``docs``.
+    """
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "quality-fit")
     marked = labels.filter(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull() & learn)
     marked = marked.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(label_col).cast("int").alias("_y"))
     sizes = {r["_y"]: r["n"] for r in marked.groupBy("_y").agg(F.count("*").alias("n")).collect()}
@@ -253,27 +300,27 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "qua
     keep = F.lit(False)
     for c, n in sizes.items():
         keep = keep | ((F.col("_y") == c) & (u < LABELLED_PER_CLASS / max(n, 1)))
-    base = docs.select(*_columns(docs))
-    known = base.join(F.broadcast(marked.filter(keep)), F.col("doc_id") == F.col("_id"))  # 2 x LABELLED_PER_CLASS rows
-    rows = docs.count()
-    v = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(43)), F.lit(1 << 30)) / float(1 << 30)
-    labelled_ids = labels.select(F.col("doc_id").cast("long").alias("_id")).distinct()
-    pool = base.filter(v < POOL / max(rows, 1)).join(labelled_ids, F.col("doc_id") == F.col("_id"), "left_anti")
-    both = known.drop("_id").unionByName(pool.withColumn("_y", F.lit(-1)))
-
-    def run(batches):
-        for pdf in batches:
-            for at in range(0, len(pdf), 500):
-                part = pdf.iloc[at : at + 500]
-                t, m = view_features(part)
-                yield pd.DataFrame({"id": part["doc_id"].array, "y": part["_y"].array, "t": list(t), "m": list(m)})
+    rows = features(scratch, docs, labels) if stored is None else stored
+    known = rows.join(F.broadcast(marked.filter(keep)), F.col("doc_id") == F.col("_id"))  # 2 x LABELLED_PER_CLASS ids
+    # of rows that share a labelled id one is learned from
+    known = known.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("u", "rid"))).filter("n = 1")
+    known = known.select("doc_id", "_y", "t", "m").toPandas().sort_values(["_y", "doc_id"], kind="stable")
+    pool = rows.filter("free").select("rid", "u", "t", "m")
+
+    def hand_over(views, given, share):
+        most = {True: int(HANDED * share) + 1, False: int(HANDED * (1 - share)) + 1}
+        sure = pool.mapInPandas(_sure(dict(views), given, most), "view string, up boolean, rid long, u long, x binary")
+        sure = sure.withColumn("n", F.row_number().over(Window.partitionBy("view", "up").orderBy("u", "rid")))
+        got = sure.filter(F.col("n") <= F.when(F.col("up"), most[True]).otherwise(most[False])).toPandas().sort_values(["view", "up", "n"])
+        out = {}
+        for v in "tm":
+            some = got[got["view"] == v]
+            out[v] = some["rid"].tolist(), _matrix(some["x"], v), some["up"].to_numpy(float)
+        return out
 
-    spread = max(4, min(64, (2 * LABELLED_PER_CLASS + POOL) // 1000))
-    got = both.repartition(spread).mapInPandas(run, "id long, y int, t array<double>, m array<double>").toPandas()
-    got = got.sort_values(["y", "id"], kind="stable")
-    stack = lambda rows, n: np.stack(rows.tolist()) if len(rows) else np.zeros((0, n))
-    lab, un = got[got.y >= 0], got[got.y < 0]
-    return co_train(stack(lab["t"], N_TEXT), stack(lab["m"], N_META), lab["y"].to_numpy(float), stack(un["t"], N_TEXT), stack(un["m"], N_META))
+    model = co_train(_matrix(known["t"], "t"), _matrix(known["m"], "m"), known["_y"].to_numpy(float), hand_over)
+    scratch.keep_only()
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -294,6 +341,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(*_columns(docs)).mapInPandas(run, "doc_id long, score double, text_score double, meta_score double")
 
 
+def score_stored(rows: DataFrame, model: Model) -> DataFrame:
+    """``score`` of rows whose features are stored."""
+    box = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for pdf in batches:
+            p, t, m = box.value.score(_matrix(pdf["t"], "t"), _matrix(pdf["m"], "m"))
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].array, "score": p, "text_score": t, "meta_score": m})
+
+    return rows.select("doc_id", "t", "m").mapInPandas(run, "doc_id long, score double, text_score double, meta_score double")
+
+
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns as they are, that score at least ``threshold``."""
     box = docs.sparkSession.sparkContext.broadcast(model)
@@ -314,5 +373,10 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
 def quality(
     spark: SparkSession, docs: DataFrame, labels: DataFrame, learn: Column, train_docs: DataFrame | None = None, threshold: float = THRESHOLD
 ) -> DataFrame:
-    model = fit(docs if train_docs is None else train_docs, labels, learn)
-    return score(docs, model).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    """doc_id, score, text_score, meta_score and predicted of every row; texts are read once, into stored features."""
+    if train_docs is not None:
+        scored = score(docs, fit(train_docs, labels, learn))
+    else:
+        rows = features(Scratch(spark, "quality"), docs, labels)
+        scored = score_stored(rows, fit(docs, labels, learn, stored=rows))
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
