@@ -353,6 +353,27 @@ def test_poor_documents_are_found(spark):
     assert kept.columns == d.columns and kept.filter("doc_id < 300").count() >= 198
 
 
+def test_many_languages_are_learned_in_groups(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    alphabets = [rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 9, replace=False) for _ in range(7)]
+    text = lambda k, n=30: " ".join("".join(rng.choice(alphabets[k], int(rng.integers(2, 7)))) for _ in range(n))
+    rows = [(i, text(i % 7), f"l{i % 7}", "a") for i in range(70)] + [(100 + i, text(i % 7, 6), None, "a") for i in range(28)] + [(200, None, "l1", "a"), (201, "12", None, "a"), (202, "", "l2", "a")]
+    df = docs(spark, rows)
+    whole = sorted(map(tuple, language.predict(df, language.fit(df, F.lit(True))).collect()))
+    monkeypatch.setattr(language, "MAX_LANGUAGES", 2)
+    models = language.fit_groups(df, F.lit(True))
+    assert [len(m.langs) for m in models] == [2, 2, 2, 1]
+    parts = sorted(map(tuple, language.predict(df, models).collect()))
+    assert [(r[0], r[1], r[3], r[4]) for r in parts] == [(r[0], r[1], r[3], r[4]) for r in whole]
+    np.testing.assert_allclose([r[2] for r in parts], [r[2] for r in whole])
+
+
+def test_letters_and_marks_lie_where_they_are_looked_for():
+    import unicodedata
+
+    assert not any(unicodedata.category(chr(c))[0] in "LM" for c in (*range(0x32400, 0xE0000), *range(0xE0200, 0x110000)))
+
+
 def test_co_training_takes_all_documents_that_a_view_is_sure_of(spark, monkeypatch):
     monkeypatch.setattr(quality, "HANDED", 10**6)
     d, labels = labelled(spark, lambda i: " ".join(f"{w.upper()}!!" for w in sentence(i, 30).split()) if i % 2 else "spam spam " * 20)

@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 TRAIN_DOCS = 48
 TRAIN_CHARS = 24_000
 CHARS_PER_DOC = 2_000
-#: More languages than this are refused: each has a table of its own in every worker.
+#: Languages of one model: each has a table of its own in every worker. More make several models, one worker after the other.
 MAX_LANGUAGES = 200
+#: Names of languages that the driver lists.
+MAX_NAMES = 100_000
 WINDOW = 2048
 #: Windows advanced together.
 LANES = 4096
@@ -44,7 +46,7 @@ def _letters() -> np.ndarray:
     global _LETTER
     if _LETTER is None:
         table = np.full(0x110000, 32, np.uint32)
-        for c in range(0x110000):
+        for c in (*range(0x32400), *range(0xE0000, 0xE0200)):  # no letters or marks elsewhere
             kind = unicodedata.category(chr(c))[0]
             if kind in "LM":
                 table[c] = c if kind == "L" else _MARK | np.uint32(c)
@@ -203,17 +205,36 @@ def parse(texts: list, m: Model) -> tuple[np.ndarray, np.ndarray]:
     return total, sizes
 
 
-def fit(docs: DataFrame, learn: Column, id_col="doc_id", text_col="text", lang_col="lang") -> Model:
-    """Automata of labelled rows for which ``learn`` holds: a bounded sample by hash of the id.
-
-    Of a sampled text, a window that starts at a place chosen by hash is learned.
-    """
+def _known(docs: DataFrame, learn: Column, id_col: str, text_col: str, lang_col: str) -> tuple[DataFrame, list]:
+    """Labelled rows to learn from, and their languages with the numbers of rows, the commonest first."""
     u = F.pmod(F.xxhash64(F.col(id_col), F.lit(29)), F.lit(1 << 30))
     known = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     known = known.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("_text"), u.alias("_u"))
-    sizes = known.groupBy("_lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_lang").limit(MAX_LANGUAGES + 1).collect()
+    sizes = known.groupBy("_lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_lang").limit(MAX_NAMES + 1).collect()
+    if len(sizes) > MAX_NAMES:
+        raise ValueError(f"more than {MAX_NAMES} values of {lang_col} to learn")
+    return known, sizes
+
+
+def fit(docs: DataFrame, learn: Column, id_col="doc_id", text_col="text", lang_col="lang") -> Model:
+    """One model of all languages among labelled rows for which ``learn`` holds; ValueError if there are more than MAX_LANGUAGES."""
+    known, sizes = _known(docs, learn, id_col, text_col, lang_col)
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} values of {lang_col} to learn")
+    return _fit(known, sizes)
+
+
+def fit_groups(docs: DataFrame, learn: Column, id_col="doc_id", text_col="text", lang_col="lang") -> list[Model]:
+    """Models of MAX_LANGUAGES languages each, together of all."""
+    known, sizes = _known(docs, learn, id_col, text_col, lang_col)
+    return [_fit(known, sizes[at : at + MAX_LANGUAGES]) for at in range(0, max(len(sizes), 1), MAX_LANGUAGES)]
+
+
+def _fit(known: DataFrame, sizes: list) -> Model:
+    """Automata of the languages in ``sizes``: a bounded sample by hash of the id.
+
+    Of a sampled text, a window that starts at a place chosen by hash is learned.
+    """
     keep = F.lit(False)
     for r in sizes:  # before any shuffle, about four times the documents that are wanted
         keep = keep | ((F.col("_lang") == r["_lang"]) & (F.col("_u") < int(min(1.0, 4 * TRAIN_DOCS / r["n"]) * (1 << 30))))
@@ -240,37 +261,54 @@ def fit(docs: DataFrame, learn: Column, id_col="doc_id", text_col="text", lang_c
     return m
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: Model | list[Model], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score, n_symbols and phrases of the chosen language for every row.
 
     Null texts and texts without a letter are ``und`` with score 0, as is everything where
-    nothing could be learned.  Ties go to the language that sorts first.
+    nothing could be learned.  Ties go to the language that sorts first.  Of several models
+    each adds what it finds to what those before it have found; the outcome is that of one
+    model of all their languages.
     """
-    box = docs.sparkSession.sparkContext.broadcast(model)
+    models = model if isinstance(model, list) else [model]
+    nothing = [F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("low"), *[F.lit(0).cast(k).alias(c) for c, k in (("odds", "double"), ("size", "long"), ("count", "long"))]]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *nothing)
+    found = "doc_id long, lang string, low double, odds double, size long, count long"
+    for n, m in enumerate(models, 1):
+        last = n == len(models)  # texts go on to the next model
+        rows = rows.mapInPandas(_better(docs.sparkSession.sparkContext.broadcast(m), last), found if last else f"text string, {found}")
+    ok = F.col("lang").isNotNull()
+    return rows.select(
+        "doc_id", F.coalesce("lang", F.lit("und")).alias("lang_pred"), F.when(ok, 1 / F.col("odds")).otherwise(0.0).alias("score"),
+        F.col("size").alias("n_symbols"), F.when(ok, F.col("count")).otherwise(0).alias("n_phrases"),
+    )
+
+
+def _better(box, last: bool):
+    """Rows with the best language of theirs and the model's, its rate, and the sum of all languages' odds against it."""
 
     def run(batches):
         m = box.value
+        names = np.array(m.langs or ["und"], object)
         for pdf in batches:
             count, size = parse(pdf["text"].tolist(), m)
             rate = count / np.maximum(size, 1)[:, None]
             best = rate.argmin(1)
-            low = rate[np.arange(len(rate)), best]
-            odds = np.exp(-SHARPNESS * (rate - low[:, None])).sum(1)
+            each = np.arange(len(rate))
+            low, lang, own = rate[each, best], names[best], count[each, best]
             ok = (size > 0) & bool(m.langs)
-            names = np.array(m.langs or ["und"], object)
-            yield pd.DataFrame(
-                {
-                    "doc_id": pdf["doc_id"].array,
-                    "lang_pred": np.where(ok, names[best], "und"),
-                    "score": np.where(ok, 1 / odds, 0.0),
-                    "n_symbols": size,
-                    "n_phrases": np.where(ok, count[np.arange(len(rate)), best], 0),
-                }
-            )
+            odds = np.where(ok, np.exp(-SHARPNESS * (rate - low[:, None])).sum(1), 0.0)
+            was, old = pdf["low"].fillna(np.inf).to_numpy(float), pdf["lang"].fillna("").to_numpy(object)
+            low = np.where(ok, low, np.inf)
+            mine = (low < was) | ((low == was) & ok & (lang < old))
+            least = np.minimum(low, was)
+            known = np.isfinite(least)
+            fade = lambda x: np.exp(-SHARPNESS * np.where(known & np.isfinite(x), x - np.where(known, least, 0.0), np.inf))
+            odds = odds * fade(low) + pdf["odds"].to_numpy(float) * fade(was)
+            pdf = (pdf.drop(columns="text") if last else pdf).assign(low=np.where(known, least, np.nan), odds=odds, size=size, count=np.where(mine, own, pdf["count"]))
+            yield pdf.assign(lang=pd.Series(np.where(mine, lang, np.where(known, old, None)), dtype=object).where(lambda x: x.notna(), None))
 
-    cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return cols.mapInPandas(run, "doc_id long, lang_pred string, score double, n_symbols long, n_phrases long")
+    return run
 
 
 def identify(spark: SparkSession, docs: DataFrame, learn: Column, train_docs: DataFrame | None = None) -> DataFrame:
-    return predict(docs, fit(docs if train_docs is None else train_docs, learn))
+    return predict(docs, fit_groups(docs if train_docs is None else train_docs, learn))
