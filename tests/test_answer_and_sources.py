@@ -29,7 +29,7 @@ class Scripted:
     def complete(self, model, messages, response_format=None, temperature=0.0):
         text = messages[-1]["content"]
         if model == "large":
-            return "answer to " + str(text.count("Citation: ["))
+            return "answer to " + str(text.count("Label: ["))
         kind = "multiple_statements" if "؛" in text else "single"
         parts = [{"text": t} for t in text.split("؛")] if kind != "single" else []
         return json.dumps({"type": kind, "question_text": text, "statements": parts}, ensure_ascii=False)
@@ -56,7 +56,7 @@ class Seeing(Scripted):
             assert content[1]["type"] == "image_url" and content[1]["image_url"]["url"].startswith("data:image/png;base64,")
             return "پیوند؛ آب"
         if model == "large" and isinstance(content, list):
-            return f"{content[1]['type']} {content[0]['text'].count('Citation: [')}"
+            return f"{content[1]['type']} {content[0]['text'].count('Label: [')}"
         return super().complete(model, messages)
 
 

@@ -135,11 +135,11 @@ def evidence(passages: DataFrame, queries: DataFrame, key: str) -> DataFrame:
     ``queries`` has (key, query_no, query_id, query_text); ``passages`` (key, query_no, rank,
     citation_label, chapter_title, text).
     """
-    text = F.concat(F.lit("Citation: ["), "citation_label", F.lit("]\nChapter: "), "chapter_title", F.lit("\n"), "text")
+    text = F.concat(F.lit("Label: ["), "citation_label", F.lit("]\nChapter: "), "chapter_title", F.lit("\n"), "text")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", text.alias("t")))), lambda x: x["t"]), "\n\n")
     found = passages.groupBy(key, "query_no").agg(joined.alias("found"))
-    body = F.coalesce("found", F.lit("No passage was retrieved."))
-    section = F.concat(F.lit("## Evidence for "), "query_id", F.lit("\nRetrieval query: "), "query_text", F.lit("\n\n"), body)
+    body = F.coalesce("found", F.lit("Nothing was found."))
+    section = F.concat(F.lit("## Passages for "), "query_id", F.lit("\nLooked up: "), "query_text", F.lit("\n\n"), body)
     rows = queries.join(found, [key, "query_no"], "left").select(key, F.struct("query_no", section.alias("s")).alias("x"))
     return rows.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["s"]), "\n\n").alias("evidence"))
 
@@ -147,15 +147,15 @@ def evidence(passages: DataFrame, queries: DataFrame, key: str) -> DataFrame:
 def prompt(question: Column, history: Column, structure: Column, evidence_text: Column) -> Column:
     """What the answering model is asked: question, recent turns, structure and cited evidence."""
     return F.concat(
-        F.lit("# Original question text\n"),
+        F.lit("# The question as asked\n"),
         question,
-        F.lit("\n\n# Recent conversation\n"),
+        F.lit("\n\n# What was said before\n"),
         F.coalesce(history, F.lit("[]")),
-        F.lit("\n\n# Parsed structure\n"),
+        F.lit("\n\n# How the question is built\n"),
         F.to_json(structure),
-        F.lit("\n\n# Retrieved textbook evidence\n"),
+        F.lit("\n\n# Passages found in the books\n"),
         evidence_text,
-        F.lit("\n\nAnswer the original question in Persian and cite only by the book and page labels above."),
+        F.lit("\n\nReply in Persian to the question as asked, and cite by the labels of book and page given above, nothing else."),
     )
 
 

@@ -53,8 +53,8 @@ def write_review(path: str, samples: DataFrame) -> None:
     from pathlib import Path
 
     rows = review_rows(samples).orderBy("book_id", "pdf_page").collect()
-    out = ["# Extraction review", "", "| Book | PDF page | Book page | Chapter | Characters | Tokens | Spans | OCR review |", "|---|---:|---:|---|---:|---:|---:|---|"]
-    out += [r["row"] for r in rows] + ["", "## Search-text excerpts", ""]
+    out = ["# Sampled pages", "", "| Id of the book | Page of the file | Printed page | Part | Length | Words | Pieces of layout | Look at it again |", "|---|---:|---:|---|---:|---:|---:|---|"]
+    out += [r["row"] for r in rows] + ["", "## How search text begins", ""]
     for r in rows:
         out += [r["head"], "", r["excerpt"], ""]
     Path(path).parent.mkdir(parents=True, exist_ok=True)

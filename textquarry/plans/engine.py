@@ -11,6 +11,7 @@ from ..functions.text import citation_id, nfkc, normalize_search, tokenize
 from ..operators import bm25, dense, fusion
 from ..store import stored
 
+# fixed values: the response contract's version, the name of the reranker, and the keys of ``responses`` below
 SCHEMA_VERSION = "1.1"
 RERANKER = "weighted-hybrid-v1"
 

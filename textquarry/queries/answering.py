@@ -64,10 +64,10 @@ def _evidence(spark, sf_dir):
 
 
 _EVIDENCE = f"""with {_SCOPED}, ev as (
-  select q.qid, q.text as query_text, string_agg('Citation: [Title ' || source || '، صفحه ' || translate((d.doc_id % 90 + 1)::varchar, '0123456789', '۰۱۲۳۴۵۶۷۸۹') || ']' || chr(10)
+  select q.qid, q.text as query_text, string_agg('Label: [Title ' || source || '، صفحه ' || translate((d.doc_id % 90 + 1)::varchar, '0123456789', '۰۱۲۳۴۵۶۷۸۹') || ']' || chr(10)
     || 'Chapter: ' || lang || chr(10) || d.text, chr(10) || chr(10) order by rank) as found
   from questions q left join chosen using (qid) left join documents d using (doc_id) group by q.qid, q.text),
-evidence as (select qid, query_text, '## Evidence for Q' || chr(10) || 'Retrieval query: ' || query_text || chr(10) || chr(10) || coalesce(found, 'No passage was retrieved.') as evidence from ev)"""
+evidence as (select qid, query_text, '## Passages for Q' || chr(10) || 'Looked up: ' || query_text || chr(10) || chr(10) || coalesce(found, 'Nothing was found.') as evidence from ev)"""
 
 
 @query(f"{_EVIDENCE} select qid, evidence from evidence")
@@ -76,9 +76,9 @@ def evidence_format(spark, sf_dir):
 
 
 @query(
-    f"""{_EVIDENCE} select qid, '# Original question text' || chr(10) || query_text || chr(10) || chr(10) || '# Recent conversation' || chr(10) || '[]' || chr(10) || chr(10)
-  || '# Parsed structure' || chr(10) || '{{"type":"single","question_text":' || to_json(query_text) || ',"statements":[]}}' || chr(10) || chr(10) || '# Retrieved textbook evidence' || chr(10)
-  || evidence || chr(10) || chr(10) || 'Answer the original question in Persian and cite only by the book and page labels above.' as prompt from evidence"""
+    f"""{_EVIDENCE} select qid, '# The question as asked' || chr(10) || query_text || chr(10) || chr(10) || '# What was said before' || chr(10) || '[]' || chr(10) || chr(10)
+  || '# How the question is built' || chr(10) || '{{"type":"single","question_text":' || to_json(query_text) || ',"statements":[]}}' || chr(10) || chr(10) || '# Passages found in the books' || chr(10)
+  || evidence || chr(10) || chr(10) || 'Reply in Persian to the question as asked, and cite by the labels of book and page given above, nothing else.' as prompt from evidence"""
 )
 def prompt_assembly(spark, sf_dir):
     asked, proof = _evidence(spark, sf_dir)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from ..functions.text import citation_label, fingerprint, nfkc, normalize_search
@@ -9,7 +11,7 @@ from ..operators import bm25, dense, reports
 from ..operators.answer import cached_scores
 from ..sources import io
 from ..store import scratch_folder, stored
-from .base import TERMS, bm25_sql, questions, display, documents, query, search_form, table, tokens
+from .base import ORACLE_SQL, TERMS, bm25_sql, questions, display, documents, query, search_form, table, tokens
 
 
 class HashedWords:
@@ -59,6 +61,24 @@ def embedding_cache_build(spark, sf_dir):
     return d.select("doc_id", fingerprint(F.col("text")).alias("fingerprint")).join(new, "fingerprint").select("doc_id", "fingerprint", F.posexplode("vector").alias("i", "x")).filter("x <> 0").withColumn("x", F.round("x", 9))
 
 
+@query(ORACLE_SQL["embedding_cache_build"])
+def embedding_cache_reuse(spark, sf_dir):
+    """The index of all documents from a cache that a build over every other document has filled: only new texts are embedded."""
+    d, path = documents(spark, sf_dir), f"{scratch_folder(spark)}/cache-{uuid4().hex}"
+    dense.build(d.filter("doc_id % 2 = 0"), HashedWords(), path, batch_size=64)
+    index = dense.build(d, HashedWords(), path, batch_size=64)
+    return index.vectors.select("doc_id", "fingerprint", F.posexplode("vector").alias("i", "x")).filter("x <> 0").withColumn("x", F.round("x", 9))
+
+
+@query("select source as book_id, 'Title ' || source as title from documents group by source")
+def catalog_read(spark, sf_dir):
+    """A catalog of all sources, written as one JSON object and loaded."""
+    path = f"{scratch_folder(spark)}/catalog-{uuid4().hex}"
+    entries = F.map_from_entries(F.collect_set(F.struct("source", F.concat(F.lit(" Title "), "source"))))
+    documents(spark, sf_dir).agg(F.to_json(entries).alias("value")).write.text(path)
+    return io.load_catalog(spark, path)
+
+
 @query("select doc_id, case when doc_id % 10 = 0 then 'added' when doc_id % 10 = 1 then 'changed' else 'removed' end as kind from documents where doc_id % 10 < 3")
 def stale_check(spark, sf_dir):
     """An index that lacks a tenth of the documents, has a tenth changed, and knows a tenth that is gone."""
@@ -144,8 +164,6 @@ def book_citations(spark, sf_dir):
 @query(f"select doc_id, {search_form('text')} as search_text, lang, source from documents")
 def jsonl_roundtrip(spark, sf_dir):
     """Rows written as compressed JSON lines and read again under a schema."""
-    from uuid import uuid4
-
     rows = documents(spark, sf_dir).select("doc_id", normalize_search(nfkc(F.col("text"))).alias("search_text"), "lang", "source")
     path = f"{scratch_folder(spark)}/jsonl-{uuid4().hex}"
     io.write_jsonl(rows, path, gzip=True)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from ..operators import bm25, dense, fusion, impacts
 from ..plans.engine import RetrievalEngine, RetrievalOptions
-from ..store import stored
+from ..store import scratch_folder, stored
 from .base import TERMS, UNIT, bm25_sql, dense_sql, documents, fused_sql, mmr_sql, query, questions, table
 
 POINTS = UNIT
@@ -82,6 +84,26 @@ def bm25_scoped_topk(spark, sf_dir):
     return bm25.search(_index(spark, sf_dir), questions(spark, sf_dir), 10, scoped=True)
 
 
+def _folder(spark, name: str) -> str:
+    return f"{scratch_folder(spark)}/{name}-{uuid4().hex}"
+
+
+@query(f"with {TERMS}, {bm25_sql(True, k=10)} select qid, doc_id, score, rank from bm")
+def bm25_saved_topk(spark, sf_dir):
+    """A search of the index as it was saved, in its second version, and loaded."""
+    path, index = _folder(spark, "bm25"), _index(spark, sf_dir)
+    index.save(path)
+    index.save(path)
+    return bm25.search(bm25.BM25Index.load(spark, path), questions(spark, sf_dir), 10, scoped=True)
+
+
+@query(f"with {POINTS}, {dense_sql(True, k=10)} select qid, doc_id, score, rank from dn")
+def cosine_saved_topk(spark, sf_dir):
+    path = _folder(spark, "dense")
+    _vectors(spark, sf_dir).save(path)
+    return dense.search(dense.DenseIndex.load(spark, path), _queries(spark, sf_dir, label_scope=True), 10, scoped=True)
+
+
 @query(f"with {TERMS}, {bm25_sql(False, k=10)} select qid, doc_id, score, rank from bm")
 def bm25_impact_topk(spark, sf_dir):
     """The same results from postings in blocks by impact."""

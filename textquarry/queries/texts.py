@@ -237,19 +237,19 @@ _REPLY = """case conv_id % 4 when 0 then '{"type":"single","question_text":"","s
 
 
 @query(
-    f"""with r as (select conv_id, trim(text) as fallback, trim(regexp_replace(replace({_REPLY}, chr(96)||chr(96)||chr(96), ''), '^json', '')) as body
-  from conversations where turn = 0),
+    f"""with r as (select conv_id, turn, trim(text) as fallback, trim(regexp_replace(replace({_REPLY}, chr(96)||chr(96)||chr(96), ''), '^json', '')) as body
+  from conversations),
 j as (select *, try_cast(body as json) as v from r),
 s as (select *, v->>'$.type' as kind, coalesce(nullif(trim(v->>'$.question_text'), ''), fallback) as question_text,
   coalesce(json_array_length(v->'$.statements'), 0) as n from j)
-select conv_id, case when kind is null then null when kind <> 'single' and n < 2 then null else kind end as kind,
+select conv_id, turn, case when kind is null then null when kind <> 'single' and n < 2 then null else kind end as kind,
   case when kind is null or (kind <> 'single' and n < 2) then null else question_text end as question_text,
   case when kind is null or (kind <> 'single' and n < 2) then null when kind = 'single' then '' else
     coalesce(v->>'$.statements[0].id', 'S1') || ':' || trim(v->>'$.statements[0].text') || '|' || coalesce(v->>'$.statements[1].id', 'S2') || ':' || trim(v->>'$.statements[1].text') end as statements,
   case when v is null then 'invalid JSON' when kind <> 'single' and n < 2 then 'too few statements' end as error from s"""
 )
 def structure_parse(spark, sf_dir):
-    """Four kinds of model reply, dealt over first turns: single, fenced list, short list, no JSON."""
+    """Four kinds of model reply, dealt over all turns: single, fenced list, short list, no JSON."""
     fence = "```json\n" + '{"type":"multiple_statements","question_text":" stem ","statements":[{"text":" one "},{"id":"X","text":"two"}]}' + "\n```"
     replies = [
         '{"type":"single","question_text":"","statements":[{"id":"a","text":"b"}]}',
@@ -259,6 +259,6 @@ def structure_parse(spark, sf_dir):
     ]
     reply = F.element_at(F.array(*[F.lit(x) for x in replies]), (F.col("conv_id") % 4 + 1).cast("int"))
     value, error = parse_structure(reply, F.col("text"))
-    rows = table(spark, sf_dir, "conversations").filter("turn = 0").select("conv_id", value.alias("v"), error.alias("error"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", value.alias("v"), error.alias("error"))
     listed = F.array_join(F.transform("v.statements", lambda s: F.concat(s["id"], F.lit(":"), s["text"])), "|")
-    return rows.select("conv_id", F.col("v.type").alias("kind"), F.col("v.question_text").alias("question_text"), listed.alias("statements"), "error")
+    return rows.select("conv_id", "turn", F.col("v.type").alias("kind"), F.col("v.question_text").alias("question_text"), listed.alias("statements"), "error")

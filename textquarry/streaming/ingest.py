@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import fingerprint
 from ..operators import bm25
+from ..store import stored
 
 POSTINGS = "scope string, doc_id long, term string, tf long, dl int, batch long"
 STATS = "scope string, doc_id long, dl int, fingerprint string, batch long"
@@ -38,12 +39,11 @@ def upsert(batch: DataFrame, path: str, batch_id: int = 0) -> None:
     spark = batch.sparkSession
     known = _table(spark, f"{path}/doc_stats", STATS).filter(F.col("batch") != batch_id).select("fingerprint")
     docs = batch.withColumn("fingerprint", fingerprint(F.coalesce("text", F.lit("")))).dropDuplicates(["fingerprint"])
-    docs = docs.join(known, "fingerprint", "left_anti").persist()
+    docs = stored(docs.join(known, "fingerprint", "left_anti"), "new-documents")
     index = bm25.build(docs, "text", "doc_id", "source")
     stats = index.doc_stats.join(docs.select("doc_id", "fingerprint"), "doc_id")
     for name, rows in (("postings", index.postings), ("doc_stats", stats)):
         rows.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch_id}")
-    docs.unpersist()
 
 
 def start(spark: SparkSession, source_dir: str, path: str, checkpoint: str, files_per_trigger: int = 100, once: bool = False) -> StreamingQuery:
