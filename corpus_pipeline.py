@@ -13,6 +13,7 @@ table gives empty results.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,36 +21,37 @@ from pyspark.sql import DataFrame, SparkSession
 from textquarry.llm import jaccard, mixing, pieces, quality, toxicity
 from textquarry.llm.common import Scratch, crc_bucket, table
 
-#: Tables of earlier stages; a later stage removes those that its own input doesn't read.
-_left: list[Scratch] = []
+#: Tables of earlier stages, by thread and data folder; a later stage of that run removes those that its own input doesn't read.
+_left: dict[tuple[int, str], list[Scratch]] = {}
 
 
-def keep(docs: DataFrame, result: DataFrame, name: str) -> DataFrame:
+def keep(docs: DataFrame, result: DataFrame, name: str, sf_dir: str) -> DataFrame:
     """``result`` as a table in the scratch folder, written with small batches: whole texts go through Python.
 
     By contract a stage's result is written before the next stage reads it, so that tables
     of earlier stages can go, unless ``docs`` still reads them.
     """
-    files = [f.split("://")[-1] for f in docs.inputFiles()] if _left else []
-    for scratch in _left[:]:
+    left = _left.setdefault((threading.get_ident(), sf_dir), [])
+    files = [f.split("://")[-1] for f in docs.inputFiles()] if left else []
+    for scratch in left[:]:
         if not any(scratch.base.split("://")[-1] in f for f in files):
             scratch.keep_only()
-            _left.remove(scratch)
+            left.remove(scratch)
     scratch = Scratch(result.sparkSession, name)
-    _left.append(scratch)
+    left.append(scratch)
     return scratch.save(result, name)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score reaches the threshold go; labels of every third id are left for testing."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), crc_bucket("doc_id", 3) != 1)
-    return keep(docs, toxicity.keep_clean(docs, model), "clean")
+    return keep(docs, toxicity.keep_clean(docs, model), "clean", sf_dir)
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier holds for poor go; labels of every fifth id are left for testing."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"), crc_bucket("doc_id", 5) != 0)
-    return keep(docs, quality.keep_good(docs, model), "good")
+    return keep(docs, quality.keep_good(docs, model), "good", sf_dir)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +66,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids and the best segmentations of every document, with its place in the mixture (mix_part, mix_row)."""
-    return keep(docs, pieces.segment(spark, mixing.stored_place(docs)), "pieces")
+    return keep(docs, pieces.segment(spark, mixing.stored_place(docs)), "pieces", sf_dir)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
