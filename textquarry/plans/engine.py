@@ -74,7 +74,7 @@ class RetrievalEngine:
             "qid",
             "doc_id",
             "base",
-            "terms",
+            F.transform("terms", lambda t: F.xxhash64(t)).alias("terms"),  # numbers, which sets of are compared much faster
             F.round(F.coalesce("bm25", F.lit(0.0)), 8).alias("bm25"),
             F.round(F.coalesce("dense", F.lit(0.0)), 8).alias("dense_cosine"),
             F.round("rrf", 8).alias("rrf"),
