@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import doubles, l2_normalize
 from ..functions.text import fingerprint
-from ..store import publish, published
+from ..store import publish, published, stored
 
 #: Queries that are compared with all vectors at once, and the most numbers in their matrix.
 BATCH, MATRIX = 4096, 1 << 21
@@ -106,7 +106,7 @@ def load_cache(spark: SparkSession, path: str) -> DataFrame:
 
 def build(
     docs: DataFrame, provider: EmbeddingProvider, cache_path: str, model: str | None = None, text: str = "text",
-    doc_id: str = "doc_id", scope: str | None = None, batch_size: int = 32, round_texts: int = 20_000,
+    doc_id: str = "doc_id", scope: str | None = None, batch_size: int = 32, round_texts: int = 2_000,
 ) -> DenseIndex:
     """Index ``docs``; only texts that the cache lacks are embedded, and they are appended to it, about ``round_texts`` at a time."""
     spark = docs.sparkSession
@@ -114,7 +114,7 @@ def build(
         raise ValueError("round_texts must be at least 1")
     if model is not None and provider.model != model:
         raise ValueError(f"provider model {provider.model!r} does not match index model {model!r}")
-    missing = cache_misses(docs, load_cache(spark, cache_path), provider.model, text)
+    missing = stored(cache_misses(docs, load_cache(spark, cache_path), provider.model, text), "missing")
     rounds = -(-missing.count() // round_texts)
     for r in range(rounds):  # what a round has paid for is kept if a later one fails
         part = missing.filter(F.pmod(F.xxhash64("fingerprint"), F.lit(rounds)) == r)
