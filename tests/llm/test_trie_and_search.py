@@ -132,3 +132,24 @@ def test_maxscore_reads_few_values_and_loses_none():
         assert shard.best(m[i], i, 5, 1 - want[0][0])[0].size == 0
         read += n
     assert read < 0.25 * 50 * m.size
+
+
+@pytest.mark.parametrize("name", ["op11_prefix_trie", "op12_maxscore"])
+def test_queries_equal_their_sql(spark, name):
+    import glob
+    import os
+
+    import duckdb
+
+    from textquarry.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    con = duckdb.connect()
+    for f in glob.glob(f"{sf}/*.parquet"):
+        con.execute(f"create view {os.path.basename(f)[:-8]} as select * from read_parquet('{f}{'/*.parquet' if os.path.isdir(f) else ''}')")
+    df = queries.QUERIES[name](spark, sf)
+    out = con.execute(queries.ORACLE_SQL[name])
+    names = [d[0] for d in out.description]
+    assert sorted(map(str, map(tuple, df.select(*names).collect()))) == sorted(map(str, out.fetchall()))
