@@ -1,4 +1,4 @@
-"""Every registered retrieval query against its oracle SQL in DuckDB."""
+"""Every registered retrieval query and job against its oracle SQL in DuckDB."""
 
 import glob
 import math
@@ -7,8 +7,10 @@ import os
 import duckdb
 import pytest
 
-from textquarry.queries import ORACLE_SQL, QUERIES
+from jobs import queries as jobs
+from textquarry import queries as own
 
+QUERIES, ORACLE_SQL = {**own.QUERIES, **jobs.QUERIES}, {**own.ORACLE_SQL, **jobs.ORACLE_SQL}
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
