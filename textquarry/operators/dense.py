@@ -16,7 +16,7 @@ from ..functions.arrays import doubles, l2_normalize
 from ..functions.text import fingerprint
 from ..store import publish, published, stored
 
-#: Queries that are compared with all vectors at once, and the most numbers in their matrix.
+#: Queries that are compared with all vectors at once, and the most numbers in their matrix or among their scores.
 BATCH, MATRIX = 4096, 1 << 21
 #: Scores are ranked by their value in these units.
 KEY = 1e9
@@ -176,7 +176,8 @@ def _nearest(qids: list, matrix: np.ndarray, scopes: list | None, k: int):
     def run(batches):
         best: list[list] = [[] for _ in qids]
         least = np.full(len(qids), np.iinfo(np.int64).min)
-        for pdf in batches:
+        step = max(1, MATRIX // len(qids))  # scores at once
+        for pdf in (whole.iloc[at : at + step].reset_index(drop=True) for whole in batches for at in range(0, len(whole), step)):
             parts = [(np.arange(len(qids)), np.arange(len(pdf)))]
             if own is not None:
                 rows = pdf.groupby("scope").indices  # null scopes fall out
