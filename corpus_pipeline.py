@@ -21,6 +21,9 @@ from pyspark.sql import DataFrame, SparkSession
 from textquarry.llm import jaccard, mixing, pieces, quality, toxicity
 from textquarry.llm.common import Scratch, crc_bucket, table
 
+#: Rows with whole texts that pass between Spark and Python at once.
+BATCH = 250
+
 #: Tables of earlier stages, by thread and data folder; a later stage of that run removes those that its own input doesn't read.
 _left: dict[tuple[int, str], list[Scratch]] = {}
 
@@ -39,7 +42,7 @@ def keep(docs: DataFrame, result: DataFrame, name: str, sf_dir: str) -> DataFram
             left.remove(scratch)
     scratch = Scratch(result.sparkSession, name)
     left.append(scratch)
-    return scratch.save(result, name)
+    return scratch.save(result, name, BATCH)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
