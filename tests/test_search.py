@@ -310,3 +310,19 @@ def test_pairs_of_questions_and_documents_are_never_rows(spark, monkeypatch):
             assert sorted([(r.qid, r["rank"], r.doc_id, round(r.score, 5)) for r in found.collect()], key=key) == sorted(want, key=key)
             if shard > 300:  # few rows a task and question
                 assert bm25.scores(index, asked, scoped, 7).groupBy("qid").count().filter(F.col("count") > 7 * spark.sparkContext.defaultParallelism).count() == 0
+
+
+def test_impact_candidates_are_completed_once_a_document(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"a b{i % 3} c{i % 7} d{i}", f"s{i % 2}") for i in range(60)], "doc_id long, text string, scope string")
+    q = spark.createDataFrame([(n, f"a a b{n % 3} c{n % 7}", f"s{n % 2}") for n in range(30)], "qid long, text string, scope string")
+    index, seen, plain = bm25.from_terms(bm25.doc_terms(docs, scope="scope"), keep=True), [], impacts.best_of
+
+    def spy(held, weights, k):
+        seen.append(held)
+        return plain(held, weights, k)
+
+    monkeypatch.setattr(impacts, "best_of", spy)
+    for scoped in (False, True):
+        want = sorted(map(tuple, bm25.search(index, q, 4, scoped).collect()))
+        assert sorted(map(tuple, impacts.search(impacts.build(index, scoped), q, 4).collect())) == want
+        assert seen[-1].count() == seen[-1].select("doc_id").distinct().count() <= 60

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import ranked
 from ..store import publish, published, stored
-from .bm25 import BM25Index, corpus_stats, idf, query_terms, saturation
+from .bm25 import BATCH, BM25Index, best_of, corpus_stats, held_terms, idf, query_terms, saturation
 
 LEVELS = 16
 BLOCK = 512
@@ -140,12 +140,18 @@ def candidates(index: ImpactIndex, weights: DataFrame) -> DataFrame:
 
 
 def completed(index: ImpactIndex, weights: DataFrame, top_k: int) -> DataFrame:
-    found = candidates(index, weights)
-    asked = weights.groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("w"), F.first("scope").alias("_scope"))
-    # only the parts of candidates are looked at; a question's terms come along as a map
-    held = found.join(index.documents, "doc_id").join(asked, "qid").filter(F.col("scope").eqNullSafe(F.col("_scope")))
-    score = F.aggregate("parts", F.lit(0.0), lambda s, p: s + F.coalesce(F.col("w")[p["term"]], F.lit(0.0)) * p["part"])
-    out = held.select("qid", "doc_id", score.alias("score")).withColumn("rank", ranked(F.col("score"), "doc_id", "qid"))
+    """Scores of the candidates from their own parts: each document comes once, with the questions that it is a candidate of."""
+    asked = weights.select(F.col("scope").alias("_scope"), F.col("term").alias("_term")).distinct()
+    same = F.col("scope").eqNullSafe(F.col("_scope")) & (F.col("term") == F.col("_term"))
+    terms = stored(index.terms.join(asked, same, "left_semi").select("scope", "term", "df", F.monotonically_increasing_id().alias("t")), "impact-asked")
+    count, n = terms.agg(F.sum("df"), F.count("*")).first()
+    numbered = terms.select(F.col("scope").alias("_scope"), F.col("term").alias("_term"), "t")
+    numbered = F.broadcast(numbered) if n <= BATCH else numbered
+    each = index.documents.select("scope", "doc_id", F.explode("parts").alias("p")).select("scope", "doc_id", "p.term", "p.part")
+    held = held_terms(each.join(numbered, same), count or 0)
+    found = candidates(index, weights).groupBy("doc_id").agg(F.collect_list(F.xxhash64("qid")).alias("only"))
+    w = stored(weights.join(numbered, same).select("qid", "t", "w"), "impact-weights")
+    out = best_of(held.join(found, "doc_id"), w, top_k).withColumn("rank", ranked(F.col("score"), "doc_id", "qid"))
     return out.filter(F.col("rank") <= top_k).withColumn("score", F.round("score", 6))
 
 
