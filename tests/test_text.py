@@ -96,3 +96,15 @@ def test_stable_characters_need_no_normaliser(spark):
     odd = ["ﬁne", "été", "½ ① ｆｕｌｌ", "…", "كتاب ﻻ", "plain", "Straße – „ja“", "", None, "آ"]
     got = spark.createDataFrame([(t,) for t in odd], "t string").select(text.nfkc(F.col("t")).alias("n"))
     assert [r.n for r in got.collect()] == [unicodedata.normalize("NFKC", t or "") for t in odd]
+
+
+def test_texts_without_odd_characters_skip_the_slow_patterns(spark):
+    odd = [None, "", " ", "a", " a", "a　", "\x85a b ", "a\nb", "ﬁx", "xé", "x́", "كي", "① 1", "plain text", " "]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(odd)], "i int, x string")
+    t = F.coalesce("x", F.lit(""))
+    full = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), t, F.lit(True))
+    plain = F.regexp_replace("x", f"^{text.SPACE}+|{text.SPACE}+$", "")
+    for r in rows.select(text.nfkc(F.col("x")).alias("a"), full.alias("b"), text.strip(F.col("x")).alias("c"), plain.alias("d")).collect():
+        assert (r.a, r.c) == (r.b, r.d)
+    plan = rows.select(text.strip(F.col("x")))._jdf.queryExecution().toString() + rows.select(text.nfkc(F.col("x")))._jdf.queryExecution().toString()
+    assert plan.count("substring(x") and "[^\\x00-\\x7f]" in plan
