@@ -108,3 +108,21 @@ def test_texts_without_odd_characters_skip_the_slow_patterns(spark):
         assert (r.a, r.c) == (r.b, r.d)
     plan = rows.select(text.strip(F.col("x")))._jdf.queryExecution().toString() + rows.select(text.nfkc(F.col("x")))._jdf.queryExecution().toString()
     assert plan.count("substring(x") and "[^\\x00-\\x7f]" in plan
+
+
+def test_plain_texts_take_a_short_way_to_the_same_result(spark):
+    """The short ways look for few plain strings and one range; the long ways are written out here."""
+    pool = ["a", "Z", "K", "9", "+", "-", ".", " ", "\n", "\r", "\t", "\f", "\x0b", "\x1c", "\x1f", "\x85", "\u00a0", "\u00c9", "\u0130", "\u212a", "\u200a", "\u200e", "\u0640", "\u0643", "\u064b", "\u06f5", "\u2028"]
+    rows = [(a + x + b + y,) for x in pool for y in pool for a in ("", "A ", "b") for b in ("", " c", "D")] + [(None,)]
+    df, c = spark.createDataFrame(rows, "t string"), F.col("t")
+    long = text._comparable(c)
+    pairs = [
+        (text.normalize_display(c), text._displayed(c)),
+        (text.tokenize(c), F.regexp_extract_all(long, F.lit(text.TOKEN), F.lit(0))),
+        (text.normalize_search(c), F.array_join(F.regexp_extract_all(long, F.lit(text.SEARCHABLE), F.lit(0)), " ")),
+        (text.token_count(c), F.regexp_count(long, F.lit(text.TOKEN))),
+        (text.lines(c), F.split(c, text.LINE_BREAK)),
+    ]
+    for short, full in pairs:
+        assert df.filter(~short.eqNullSafe(full)).limit(5).collect() == []
+    assert df.filter(text._western(c)).count() > 1000
