@@ -112,6 +112,28 @@ class Failing:
         return [[float(len(t)), 1.0] for t in texts]
 
 
+def test_rounds_do_not_grow_with_the_texts(spark, tmp_path, monkeypatch):
+    """Each text is read by one round only, and there are at most so many rounds."""
+    asked, embed = [], dense.embed_missing
+
+    def counted(missing, provider, batch_size):
+        asked.append(sorted(r["text"] for r in missing.collect()))
+        return embed(missing, provider, batch_size)
+
+    class Sizes:
+        model = "sizes"
+
+        def embed(self, texts):
+            return [[1.0, float(len(t))] for t in texts]
+
+    monkeypatch.setattr(dense, "embed_missing", counted)
+    monkeypatch.setattr(dense, "ROUNDS", 4)
+    d = spark.createDataFrame([(i, "x" * (i + 1)) for i in range(40)], "doc_id long, text string")
+    index = dense.build(d, Sizes(), str(tmp_path / "cache"), round_texts=2)
+    assert len(asked) <= 4 and sorted(t for part in asked for t in part) == sorted("x" * (i + 1) for i in range(40))
+    assert index.vectors.count() == 40
+
+
 def test_paid_embeddings_survive_a_failure(spark, tmp_path):
     cache = str(tmp_path / "cache")
     d = spark.createDataFrame([(i, "bad" if i == 7 else f"text {i}") for i in range(12)], "doc_id int, text string")
