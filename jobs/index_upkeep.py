@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from jobs.common import command
@@ -34,8 +34,9 @@ def run(spark: SparkSession, documents: str, output: str, config: dict | None =
     taken = {"batches": 0, "documents": 0}
 
     def take(batch: DataFrame, number: int) -> None:
-        rows = batch.count()
-        upkeep.apply(batch, output, number, config["scope"], config["text"], config["id"], config["version"])
+        read = Observation()
+        upkeep.apply(batch.observe(read, F.count(F.lit(1)).alias("rows")), output, number, config["scope"], config["text"], config["id"], config["version"])
+        rows = read.get["rows"]
         kept = upkeep.versions(spark, output).filter(F.col("batch") == number).agg(F.count("*").alias("n"), F.sum(F.col("deleted").cast("int")).alias("gone")).first()
         taken["batches"], taken["documents"] = taken["batches"] + 1, taken["documents"] + rows
         log.info("batch %d: read %d documents, wrote %d versions, %d of them deletions", number, rows, kept["n"], kept["gone"] or 0)

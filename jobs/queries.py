@@ -32,7 +32,8 @@ def job2_index_upkeep(spark, sf_dir):
     out = _folder(spark, "job2")
     for _ in range(2):
         index_upkeep.run(spark, f"{sf_dir}/documents.parquet", out)
-    stats = upkeep.statistics(spark, out).withColumnRenamed("scope", "_scope").withColumnRenamed("term", "_term")
+    # terms of scopes are few beside postings, which need not be sorted then
+    stats = upkeep.statistics(spark, out).withColumnRenamed("scope", "_scope").withColumnRenamed("term", "_term").hint("shuffle_hash")
     found = upkeep.load(spark, out).postings.join(stats, F.col("scope").eqNullSafe(F.col("_scope")) & (F.col("term") == F.col("_term")))
     return found.select("scope", "doc_id", "term", "tf", "dl", "df", "cf")
 

@@ -134,3 +134,28 @@ def test_config_files(spark, tmp_path):
     (tmp_path / "c.json").write_text(json.dumps({"overlaps": 3}))
     with pytest.raises(ValueError, match="overlaps"):
         common.read_config(spark, str(tmp_path / "c.json"), build_chunks.DEFAULTS)
+
+
+def test_postings_stay_where_they_are(spark, tmp_path):
+    """Where the planner broadcasts nothing by itself, as of large tables, nothing or little that is out of date doesn't sort all postings."""
+    path, kept = str(tmp_path / "out"), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for number, changed in enumerate(([], [3, 4])):
+            rows = [(i, text(i + (i in changed)), "en", "s", 1) for i in range(8)] + [(3, "older", "en", "s", 0)] * number
+            upkeep.apply(spark.createDataFrame(rows, DOCS), path, number, version="n_chars")
+            postings = upkeep.load(spark, path).postings
+            assert "SortMergeJoin" not in postings._jdf.queryExecution().toString()
+            assert rows_of(postings) == rebuilt(spark, [(i, "s", t) for i, t, *_ in rows[:8]])[0]
+        assert sorted(r.doc_id for r in upkeep.versions(spark, path).filter("batch = 1").collect()) == [3, 4]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_files_without_rows(spark, tmp_path):
+    src, out = str(tmp_path / "docs"), str(tmp_path / "out")
+    write(spark, src, [])
+    assert index_upkeep.run(spark, src, out)["documents"] == 0
+    write(spark, src, [(1, "a text", "en", "s", 1, None), (2, None, "en", "s", 1, True)])
+    assert index_upkeep.run(spark, src, out) == {"batches": 1, "documents": 2, "scopes": 1}
+    assert found(spark, out) == rebuilt(spark, [(1, "s", "a text")])

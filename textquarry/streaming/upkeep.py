@@ -37,7 +37,7 @@ def table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame(spark.sparkContext.emptyRDD(), schema)
 
 
 def versions(spark: SparkSession, path: str) -> DataFrame:
@@ -50,6 +50,26 @@ def latest(rows: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(last).select("doc_id", "v.*")
 
 
+def _without(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """Large ``rows`` but those of the stored ``gone``, of which there are few or none: then nothing of ``rows`` moves."""
+    n = gone.count()
+    if not n:
+        return rows
+    return rows.join(F.broadcast(gone) if n <= bm25.BATCH else gone, keys, "left_anti")
+
+
+def _one_of_each(rows: DataFrame) -> DataFrame:
+    """Stored rows of a batch, of those that share an id the one that counts; only these meet."""
+    often = stored(rows.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "often")
+    n = often.count()
+    if not n:
+        return rows.drop("version")
+    order = Window.partitionBy("doc_id").orderBy(F.desc("version"), "deleted", "fingerprint", "scope")
+    some = rows.join(F.broadcast(often) if n <= bm25.BATCH else often, "doc_id", "left_semi")
+    first = some.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+    return stored(_without(rows, often, ["doc_id"]).unionByName(first).drop("version"), "batch")
+
+
 def _write(rows: DataFrame, path: str, *by: str) -> None:
     rows.write.partitionBy(*by).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
@@ -68,21 +88,22 @@ def apply(batch: DataFrame, path: str, batch_id: int, scope: str = "source", tex
         F.col(doc_id).cast("long").alias("doc_id"), F.col(scope).cast("string").alias("scope"), F.coalesce(F.col(text), F.lit("")).alias("text"),
         fingerprint(F.coalesce(F.col(text), F.lit(""))).alias("fingerprint"), gone.alias("deleted"), (F.col(version) if version else F.lit(0)).alias("version"),
     )
-    order = Window.partitionBy("doc_id").orderBy(F.desc("version"), "deleted", "fingerprint", "scope")
-    own = stored(own.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n", "version"), "batch")
+    own = _one_of_each(stored(own, "batch"))
     # most batches bring new ids: the bounds keep the files of older ones unread
     low, high = own.agg(F.min("doc_id"), F.max("doc_id")).first()
     if low is None:
         return
     before = versions(spark, path).filter((F.col("batch") < batch_id) & F.col("doc_id").between(low, high))
     before = latest(before.join(own.select("doc_id"), "doc_id", "left_semi")).select("doc_id", *[F.col(c).alias(f"was_{c}") for c in ("scope", "fingerprint", "deleted")])
-    both = own.join(before, "doc_id", "left")
+    both = own.select("doc_id", "scope", "fingerprint", "deleted").join(before, "doc_id", "left")
     same = F.col("was_deleted").eqNullSafe(F.col("deleted")) & (F.col("deleted") | (F.col("was_scope").eqNullSafe(F.col("scope")) & (F.col("was_fingerprint") == F.col("fingerprint"))))
     unknown = F.col("deleted") & F.col("was_deleted").isNull()
-    new = stored(both.filter(~(same | unknown)).select("doc_id", "scope", "text", "fingerprint", "deleted"), "changed")
-    alive = stored(bm25.doc_terms(new.filter("not deleted"), "text", "doc_id", "scope"), "terms")
-    _write(bm25.term_frequencies(alive).withColumn("batch", F.lit(batch_id).cast("long")), f"{path}/postings", "batch")
-    dl = new.join(alive.select("doc_id", F.size("tokens").alias("dl")), "doc_id", "left").select("doc_id", "scope", "dl", "fingerprint", "deleted")
+    new = _without(own, stored(both.filter(same | unknown).select("doc_id"), "as-is"), ["doc_id"])
+    alive = stored(bm25.doc_terms(new.filter("not deleted"), "text", "doc_id", "scope").withColumn("dl", F.size("tokens")), "terms")
+    counted = bm25.term_frequencies(bm25.dealt(alive, alive.agg(F.sum("dl")).first()[0] or 0))
+    # into the partition's own folder: writing by a column would sort all postings by it
+    counted.write.mode("overwrite").parquet(f"{path}/postings/batch={batch_id}")
+    dl = new.select("doc_id", "scope", "fingerprint", "deleted").join(alive.select("doc_id", "dl"), "doc_id", "left").select("doc_id", "scope", "dl", "fingerprint", "deleted")
     _write(dl.withColumn("batch", F.lit(batch_id).cast("long")).sortWithinPartitions("doc_id"), f"{path}/versions", "batch")
 
 
@@ -90,9 +111,9 @@ def load(spark: SparkSession, path: str) -> bm25.BM25Index:
     """The index of all documents as their last batches left them."""
     seen = versions(spark, path)
     now = latest(seen).filter("not deleted")
-    # what is out of date is little beside the postings
-    old = seen.select("doc_id", "batch").join(now.select("doc_id", "batch"), ["doc_id", "batch"], "left_anti")
-    postings = table(spark, f"{path}/postings", POSTINGS).join(old, ["doc_id", "batch"], "left_anti")
+    # what is out of date is little beside the postings, which would be sorted where the planner doesn't know
+    old = stored(seen.select("doc_id", "batch").join(now.select("doc_id", "batch"), ["doc_id", "batch"], "left_anti"), "out-of-date")
+    postings = _without(table(spark, f"{path}/postings", POSTINGS), old, ["doc_id", "batch"])
     return bm25.BM25Index(postings.select("scope", "doc_id", "term", "tf", "dl"), now.select("scope", "doc_id", "dl"))
 
 
@@ -113,7 +134,7 @@ def refresh_statistics(spark: SparkSession, path: str) -> int:
     none = scopes.select("scope", F.lit(0).alias("n"), F.lit(0).alias("dl"))
     sizes = touched(index.doc_stats).select("scope", F.lit(1).alias("n"), "dl").unionByName(none).groupBy("scope").agg(F.sum("n").alias("df"), F.sum("dl").alias("cf"))
     rows = terms.unionByName(sizes.withColumn("term", F.lit(None).cast("string")))
-    _write(rows.select("term", "df", F.col("cf").cast("long"), F.lit(last).cast("long").alias("upto"), "scope").repartition("scope", "term"), f"{path}/statistics", "scope")
+    _write(rows.select("term", "df", F.col("cf").cast("long"), F.lit(last).cast("long").alias("upto"), "scope"), f"{path}/statistics", "scope")
     spark.range(1).select(F.lit(last).cast("long").alias("upto")).write.mode("append").parquet(f"{path}/marks")
     return scopes.count()
 
