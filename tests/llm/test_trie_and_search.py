@@ -153,3 +153,26 @@ def test_queries_equal_their_sql(spark, name):
     out = con.execute(queries.ORACLE_SQL[name])
     names = [d[0] for d in out.description]
     assert sorted(map(str, map(tuple, df.select(*names).collect()))) == sorted(map(str, out.fetchall()))
+
+
+def test_search_sends_no_copies_of_the_queries_through_the_driver(spark, monkeypatch):
+    """Copies for each group of shards were broadcast, which ended in an error above spark.driver.maxResultSize."""
+    monkeypatch.setattr(maxscore, "SHARD_ROWS", 4)
+    monkeypatch.setattr(maxscore, "QUERY_ROWS", 3)
+    monkeypatch.setattr(maxscore, "PAIRS", 800)
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.integers(-3, 4, 5)], 1, "", "") for i in range(0, 1500, 5)]
+    df, sent = spark.createDataFrame(rows, VECTORS), []
+    save = maxscore.Scratch.save
+    monkeypatch.setattr(maxscore.Scratch, "save", lambda self, df, name="t", *a: (sent.append((name, df._jdf.queryExecution().executedPlan().toString())), save(self, df, name, *a))[1])
+    got = maxscore.search(spark, maxscore.every_nth(df), df)
+    assert sorted(map(tuple, got.collect())) == brute_search([r[:2] for r in rows if r[0] % 50 == 0], [r[:2] for r in rows], 5)
+    assert "Broadcast" not in dict(sent)["met"]
+
+
+def test_cells_of_a_search_keep_their_size():
+    for times in (1, 10, 100):
+        across, down = maxscore.grid(50 * times, 100_000 * times, 8 * times, 2_000 * times, 16)
+        pairs = 100_000 * times * 2_000 * times / (across * down)
+        assert pairs <= maxscore.PAIRS and across <= 50 * times and down <= 8 * times
+    assert maxscore.grid(0, 0, 0, 0, 16) == (1, 1)

@@ -12,15 +12,18 @@ queries and does, for each query:
   are probed in those terms, a few terms at a time, and leave when they cannot any more.
 
 The threshold of a query is its k-th best score so far: it starts from one seed shard that
-all queries meet and grows with the shards a task has met.  A candidate that only equals it
+all queries meet and grows with the shards it has met in a cell.  A candidate that only equals it
 stays, since a smaller id wins a tie.  What the shards keep is merged by a ranking.
 
-Queries and shards meet by an equi-join on a group number: the shards stay in one copy,
-the query blocks go to each group.
+Queries and shards meet in the cells of a grid, groups of shards by groups of query blocks:
+both are cogrouped by the cell's number, so that a shard is read once a cell and neither side
+ever passes through the driver.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -30,8 +33,8 @@ from .common import Scratch, width
 
 TOP, QUERY_STEP, SCALE = 5, 50, 256
 SHARD_ROWS, QUERY_ROWS = 2048, 256
-#: Shards and query blocks of a group: more candidates make more groups, not larger ones.
-SHARDS_IN_GROUP = 16
+#: Pairs of queries and candidates of a cell: larger tables make more cells, not larger ones.
+PAIRS = 1 << 25
 #: Terms that are probed before candidates are looked at again.
 PROBE = 8
 #: Rows with posting lists that pass to a worker at once.
@@ -130,30 +133,30 @@ class Shard:
 
 
 def _meet(k: int):
-    """Of each shard and block of queries, the candidates that may be among a query's k best."""
-
-    def run(batches):
-        known: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}  # of a query block: thresholds of the seed, k best scores met here
-        shard, at = None, None
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples():
-                if at != (r.ids, r.lists):
-                    shard, at = Shard(r.ids, r.lists, r.dims), (r.ids, r.lists)
-                qids, keys = _ints(r.q_ids), _ints(r.q_keys)
-                q = np.ascontiguousarray(_lists(r.q_lists, r.q_dims, len(qids)).T)
-                if r.q_keys not in known:
-                    known[r.q_keys] = np.frombuffer(r.seed, np.float64), np.full((len(qids), k), -np.inf)
-                seed, met = known[r.q_keys]
+    """Of a cell's shards and blocks of queries, the candidates that may be among a query's k best."""
+
+    def run(shards: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        none = np.zeros(0, np.int64)
+        blocks = []
+        for r in asked.itertuples():
+            qids = _ints(r.q_ids)
+            q = np.ascontiguousarray(_lists(r.q_lists, r.q_dims, len(qids)).T)
+            blocks.append((qids, _ints(r.q_keys), q, np.frombuffer(r.seed, np.float64), [(none, none)] * len(qids)))
+        for r in shards.itertuples():
+            shard = Shard(r.ids, r.lists, r.dims)
+            for qids, _, q, seed, best in blocks:
                 for i in range(len(qids)):
-                    ids, scores, _ = shard.best(q[i], qids[i], k, max(seed[i], met[i, 0]))
-                    if len(ids):
-                        out.append((qids[i], keys[i], ids, scores))
-                        met[i] = np.sort(np.append(met[i], scores))[-k:]
-            n = [len(o[2]) for o in out]
-            cat = lambda j: np.concatenate([o[j] for o in out]) if out else np.zeros(0, np.int64)
-            each = lambda j: np.repeat(np.array([o[j] for o in out], np.int64), n)
-            yield pd.DataFrame({"query_id": each(0), "key": each(1), "vec_id": cat(2), "score": cat(3)})
+                    ids, scores = best[i]
+                    more, theirs, _ = shard.best(q[i], qids[i], k, max(seed[i], scores[-1] if len(scores) == k else -np.inf))
+                    if len(more):
+                        ids, scores = np.append(ids, more), np.append(scores, theirs)
+                        top = np.lexsort((ids, -scores))[:k]
+                        best[i] = ids[top], scores[top]
+        cat = lambda x: np.concatenate([none, *x])
+        n = cat([[len(ids) for ids, _ in b[4]] for b in blocks]).astype(np.int64)
+        each = lambda j: np.repeat(cat([b[j] for b in blocks]), n)
+        found = [f for b in blocks for f in b[4]]
+        return pd.DataFrame({"query_id": each(0), "key": each(1), "vec_id": cat([f[0] for f in found]), "score": cat([f[1] for f in found])})
 
     return run
 
@@ -178,6 +181,14 @@ def _seed(k: int):
     return run
 
 
+def grid(shards: int, candidates: int, blocks: int, queries: int, least: int) -> tuple[int, int]:
+    """Into how many groups shards and query blocks are put: about ``PAIRS`` pairs of rows meet in a cell, or there are
+    ``least`` cells, and the copies that the cells need of both sides are as few as that allows."""
+    cells = max(least, -(-candidates * queries // PAIRS))
+    across = max(1, min(shards, math.ceil(math.sqrt(cells * candidates / max(1, queries)))))
+    return across, max(1, min(blocks, -(-cells // across)))
+
+
 def search(spark: SparkSession, queries: DataFrame, candidates: DataFrame, top: int = TOP, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = SCALE) -> DataFrame:
     """query_id, rank, vec_id and score: the ``top`` best candidates of each query by inner product.
 
@@ -203,10 +214,13 @@ def search(spark: SparkSession, queries: DataFrame, candidates: DataFrame, top:
     seed = blocks.limit(1)  # one shard, whatever the number of rows
     first = asked.withColumn("one", F.lit(1)).join(F.broadcast(seed.withColumn("one", F.lit(1))), "one", "left")
     asked = scratch.save(first.drop("one").mapInPandas(_seed(top), "q_ids binary, q_keys binary, q_lists binary, q_dims int, seed binary"), "seeded", PAIRS_AT_ONCE)
-    groups = max(1, -(-blocks.count() // SHARDS_IN_GROUP), min(n, blocks.count()))
-    shards = blocks.withColumn("g", F.pmod(F.xxhash64("ids"), F.lit(groups)))
-    turns = asked.withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
-    met = shards.join(turns, "g").drop("g").mapInPandas(_meet(top), "query_id long, key long, vec_id long, score long")
+    size = lambda df, ids: df.agg(F.count("*"), F.coalesce(F.sum(F.length(ids)) / 8, F.lit(0)).cast("long")).first()
+    across, down = grid(*size(blocks, "ids"), *size(asked, "q_ids"), 2 * spark.sparkContext.defaultParallelism)
+    number = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    shards = blocks.withColumn("g", F.pmod(F.xxhash64("ids"), F.lit(across))).withColumn("h", number(down))
+    turns = asked.withColumn("h", F.pmod(F.xxhash64("q_keys"), F.lit(down))).withColumn("g", number(across))
+    cells = [df.withColumn("cell", F.col("g") * down + F.col("h")).drop("g", "h").repartition(across * down, "cell").groupBy("cell") for df in (shards, turns)]
+    met = cells[0].cogroup(cells[1]).applyInPandas(_meet(top), "query_id long, key long, vec_id long, score long")
     met = scratch.save(met, "met", PAIRS_AT_ONCE)
     scratch.keep_only(met)
     best = Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id")
