@@ -126,3 +126,13 @@ def test_plain_texts_take_a_short_way_to_the_same_result(spark):
     for short, full in pairs:
         assert df.filter(~short.eqNullSafe(full)).limit(5).collect() == []
     assert df.filter(text._western(c)).count() > 1000
+
+
+def test_a_page_is_cleaned_with_its_text_worked_out_once(spark):
+    """What cleaning is made of looks at its text often; the text was normalised again for each look."""
+    from textquarry.sources.io import page_rows
+
+    raw = spark.createDataFrame([("b", "t", "f", 7, " a b \r\n\n 7 \nﬁn \n 12"), ("b", "t", "f", 8, None)], "book_id string, book_title string, source_file string, pdf_page int, raw_text string")
+    rows = page_rows(raw).select("pdf_page", "display_text", "quality.characters", "quality.tokens", "quality.has_text")
+    assert sorted(map(tuple, rows.collect())) == [(7, "a b\nfin\n12", 10, 4, True), (8, "", 0, 0, False)]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Normalizer") == 1
