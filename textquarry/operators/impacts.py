@@ -67,7 +67,7 @@ def build(index: BM25Index, scoped: bool = False, keep: bool = True) -> ImpactIn
     # one row a scope
     posted = posted.join(F.broadcast(stats), F.col("scope").eqNullSafe(F.col("_scope"))).drop("_scope")
     parts = posted.select("scope", "doc_id", "term", "n", saturation(F.col("tf"), F.col("dl"), F.col("avgdl"), index.k1, index.b).alias("part"))
-    parts = stored(parts, "parts") if keep else parts
+    parts = stored(parts, "parts") if keep and index.term_stats is None else parts  # stored postings are read as fast
     terms = parts.groupBy("scope", "term").agg(F.count("*").alias("df"), F.max("part").alias("most"), F.first("n").alias("n"))
     terms = terms.withColumn("idf", idf(F.col("n"), F.col("df"))).withColumn("shares", F.ceil(F.col("df") / (BLOCK * LEVELS)).cast("int"))
     terms = terms.select("scope", "term", "df", "idf", "most", "shares")
