@@ -56,3 +56,42 @@ def test_an_index_that_fails_half_way_still_loads(spark, tmp_path):
         index.save(str(tmp_path / "i"))
     q = spark.createDataFrame([(1, "ice")], "qid long, text string")
     assert [r.doc_id for r in bm25.search(bm25.BM25Index.load(spark, str(tmp_path / "i")), q).collect()] == [1]
+
+
+def test_tables_that_pass_leave_what_is_kept(spark, tmp_path):
+    from pathlib import Path
+
+    from textquarry.store import passing, stored
+
+    there = lambda t: Path(t._stored_path.removeprefix("file://")).exists()
+    with passing(spark):
+        with passing(spark) as keep:
+            a, b = stored(spark.range(3), "a"), stored(spark.range(4), "b")
+            assert keep(b) is b
+        assert not there(a) and there(b) and b.count() == 4
+        with pytest.raises(ValueError):
+            with passing(spark):
+                c = stored(spark.range(5), "c")
+                raise ValueError
+        assert not there(c)
+    assert not there(b)
+    assert there(stored(spark.range(1), "d"))
+
+
+def test_chunks_and_indexes_leave_no_tables_that_nothing_reads(spark, tmp_path):
+    """Everything stored on the way stayed until the driver ended: fifteen times the input for the job of chunks."""
+    from jobs import build_chunks
+    from textquarry.queries import search
+    from textquarry.store import scratch_folder
+
+    from pathlib import Path
+
+    docs = spark.createDataFrame([(i, f"water and ice {i}\nstone {i} and more", "s", "en") for i in range(20)], "doc_id long, text string, source string, lang string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    root = Path(scratch_folder(spark).removeprefix("file://"))
+    names = lambda before=(): sorted(p.name.rsplit("-", 1)[0] for p in root.iterdir() if p not in before)
+    before = set(root.iterdir())
+    assert build_chunks.run(spark, str(tmp_path / "documents.parquet"), str(tmp_path / "out"))["chunks"] == 20
+    assert names(before) == []
+    index = search._impacts(spark, str(tmp_path))
+    assert names(before) == ["blocks", "impact-documents", "impact-terms"] and index.documents.count() == 20
