@@ -152,3 +152,20 @@ def test_medians_of_groups_of_any_size(spark):
     whole = df.filter("x is not null").select(F.col("x").cast("long").alias("x"))
     assert evaluate.upper_medians(whole, [], "x", "m", few=100).collect() == [(sorted(int(x) for v in groups.values() for x in v)[whole.count() // 2],)]
     assert evaluate.upper_medians(df.limit(0), ["g"], "x").collect() == []
+
+
+def test_a_benchmark_makes_the_chunks_of_a_size_once(spark):
+    """Sizes, medians, the index and the results each made them again."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def counted(x):
+        made.add(1)
+        return x
+
+    pages = spark.range(9).select(F.col("id").cast("int").alias("token_count"))
+    one = spark.createDataFrame([(1.0, 1.0)], "recall_at_5 double, mrr_at_10 double")
+    runs = evaluate.benchmark(pages, [1, 2], ["m", "n"], lambda m, par, chi: one, lambda p, t: (None, p.select((counted("token_count") * t).alias("token_count")))).collect()
+    assert sorted((r.model, r.child_target, r.run, r.chunk_count, r.median_chunk_tokens, r.max_chunk_tokens) for r in runs) == [
+        ("m", 1, 0, 9, 4, 8), ("m", 2, 1, 9, 8, 16), ("n", 1, 2, 9, 4, 8), ("n", 2, 3, 9, 8, 16)]
+    assert made.value == 18
