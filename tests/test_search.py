@@ -361,3 +361,14 @@ def test_tasks_of_the_index_follow_the_tokens(spark, monkeypatch):
         assert sum(sizes) == 10 * n and len(sizes) >= 10 * n // 200 * 0.9
         assert max(sizes) <= 2 * bm25.TOKENS
         assert not kept.postings.exceptAll(index.postings).count() and kept.postings.count() == index.postings.count()
+
+
+def test_an_index_for_its_queries_gives_the_same_results(spark):
+    rows = [(i, " ".join(f"w{(i * k) % 11}" for k in range(1, 9)), "ab"[i % 2]) for i in range(60)] + [(99, "", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, scope string")
+    q = spark.createDataFrame([(1, "w1 w2 w2", "a"), (2, "w7 nowhere", "b"), (3, "", "a")], "qid long, text string, scope string")
+    own = bm25.for_queries(bm25.doc_terms(docs, scope="scope"), q)
+    assert {r.term for r in own.postings.select("term").distinct().collect()} == {"w1", "w2", "w7"}
+    for scoped in (False, True):
+        want = bm25.search(bm25.build(docs, scope="scope"), q, 5, scoped)
+        assert sorted(map(tuple, bm25.search(own, q, 5, scoped).collect())) == sorted(map(tuple, want.collect()))
